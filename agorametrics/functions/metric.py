@@ -28,17 +28,15 @@ def round_dp(x: Column, dp: int = 2) -> Column:
 
     ``round`` and ``bround`` go through the shortest decimal text of the double, so 2.675
     becomes 2.68 although the stored number is below the tie. Scaling can only land on a false
-    tie, so only there the exact error of the product (Dekker's split) decides the side.
+    tie, so only there the number formatter, which looks at the exact value, decides.
     """
     scale = float(10**dp)
     x = x.cast("double")
-    scaled = x * scale
-    nearest = F.rint(scaled)
-    high = x * 134217729.0 - (x * 134217729.0 - x)
-    error = (high * scale - scaled) + (x - high) * scale
-    on_tie = F.when(error > 0, scaled + 0.5).when(error < 0, scaled - 0.5).otherwise(nearest)
+    nearest = F.rint(x * scale)
+    exact = F.call_function("format_number", x, F.lit("0." + "0" * dp)).cast("double")
+    rounded = F.when(F.abs(x * scale - nearest) == 0.5, exact).otherwise(nearest / scale)
     # + 0.0 turns a negative zero into zero
-    return F.when(F.abs(scaled - nearest) == 0.5, on_tie).otherwise(nearest) / scale + F.lit(0.0)
+    return rounded + F.lit(0.0)
 
 
 class Metric(NamedTuple):
