@@ -33,7 +33,9 @@ def round_dp(x: Column, dp: int = 2) -> Column:
     scale = float(10**dp)
     x = x.cast("double")
     nearest = F.rint(x * scale)
-    exact = F.call_function("format_number", x, F.lit("0." + "0" * dp)).cast("double")
+    formatted = F.call_function("format_number", x, F.lit("0." + "0" * dp)).cast("double")
+    # half of the last place itself, which the formatter takes for an exact tie
+    exact = F.when(F.abs(x) < 1 / scale, F.signum(x) * round(0.5 / scale, dp)).otherwise(formatted)
     rounded = F.when(F.abs(x * scale - nearest) == 0.5, exact).otherwise(nearest / scale)
     # + 0.0 turns a negative zero into zero
     return rounded + F.lit(0.0)
