@@ -25,7 +25,7 @@ LATIN = r"a-zA-Z\x{130}\x{131}\x{17f}\x{212a}"
 _ZERO_WIDTH = r"[\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2066}-\x{2069}\x{feff}]"
 _DIACRITICS = r"[\x{64b}-\x{652}\x{670}\x{640}]"
 _EMOJI = r"[\x{1f300}-\x{1faff}\x{2600}-\x{27bf}\x{1f000}-\x{1f0ff}]"
-_ARABIC = r"[\x{600}-\x{6ff}\x{750}-\x{77f}\x{8a0}-\x{8ff}]"
+_ARABIC = r"\x{600}-\x{6ff}\x{750}-\x{77f}\x{8a0}-\x{8ff}"
 _INTRAWORD = rf"[{LATIN}][235679]|[235679][{LATIN}]"
 # Characters that can neither compose, decompose nor be reordered under NFC
 _NFC_SAFE = (
@@ -123,11 +123,17 @@ def extract_emojis(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(_EMOJI), F.lit(0))
 
 
+def count_chars(text: Column, members: str) -> Column:
+    """How many characters of a class a text has: what is left without all others. Cheaper than
+    ``regexp_count``, which builds an array of the matches."""
+    return F.length(F.regexp_replace(text, f"[^{members}]+", ""))
+
+
 def emoji_polarity(text: Column) -> Column:
     """Mean polarity of the scored emoji, 0 when there is none."""
-    up = F.regexp_count(text, F.lit(f"[{vocab.EMOJI_POSITIVE}]"))
-    flat = F.regexp_count(text, F.lit(f"[{vocab.EMOJI_NEUTRAL}]"))
-    down = F.regexp_count(text, F.lit(f"[{vocab.EMOJI_NEGATIVE}]"))
+    up = count_chars(text, vocab.EMOJI_POSITIVE)
+    flat = count_chars(text, vocab.EMOJI_NEUTRAL)
+    down = count_chars(text, vocab.EMOJI_NEGATIVE)
     n = up + flat + down
     return F.when(n > 0, round_dp((up - down) / n, 4)).otherwise(0.0)
 
@@ -139,17 +145,18 @@ def words(text: Column) -> Column:
 
 
 def script_counts(text: Column) -> tuple[Column, Column]:
-    return (F.regexp_count(text, F.lit(_ARABIC)), F.regexp_count(text, F.lit("[a-zA-Z]")))
-
-
-def script_ratios(text: Column) -> tuple[Column, Column]:
-    """Share of Arabic and of Latin letters among both; 0 when there are none."""
-    arabic, latin = script_counts(text)
-    total = arabic + latin
-    return (
-        F.when(total > 0, arabic / total).otherwise(0.0),
-        F.when(total > 0, latin / total).otherwise(0.0),
-    )
+    return count_chars(text, _ARABIC), count_chars(text, "a-zA-Z")
+
+
+def with_script_ratios(df, text: str):
+    """Add ``arabic_ratio`` and ``latin_ratio``, the shares among both scripts' letters; 0 when
+    there are none. Letters are counted in a projection of their own, once per text."""
+    arabic, latin = script_counts(F.col(text))
+    counted = df.select("*", arabic.alias("_ar"), latin.alias("_la"))
+    total = F.col("_ar") + F.col("_la")
+    return counted.select(*df.columns, *[
+        F.when(total > 0, F.col(c) / total).otherwise(0.0).alias(name)
+        for c, name in (("_ar", "arabic_ratio"), ("_la", "latin_ratio"))])
 
 
 def arabizi_signal(text: Column) -> Column:

@@ -114,7 +114,7 @@ def _(t):
             r"regexp_replace(t, '[\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2066}-\x{2069}\x{feff}]', '', 'g') as stripped",
             # marks planted between and after the words
             "select text_id, concat(replace(text_content, ' ', concat(' ', chr_mark)), chr_mark) as text_content from "
-            "(select *, '​‮⁦﻿' as chr_mark from (" + TEXTS + "))")
+            "(select *, '\u200b\u202e\u2066\ufeff' as chr_mark from (" + TEXTS + "))")
 def _(t):
     return [X.strip_zero_width(t).alias("stripped")]
 
@@ -153,11 +153,12 @@ _AR = r"len(regexp_extract_all(t, '[\x{600}-\x{6ff}\x{750}-\x{77f}\x{8a0}-\x{8ff
 _LA = "len(regexp_extract_all(t, '[a-zA-Z]'))"
 
 
-@text_query("script_ratios", f"""case when {_AR} + {_LA} > 0 then {rd(f'{_AR} / ({_AR} + {_LA})', 4)} else 0 end as arabic_ratio,
- case when {_AR} + {_LA} > 0 then {rd(f'{_LA} / ({_AR} + {_LA})', 4)} else 0 end as latin_ratio""")
-def _(t):
-    arabic, latin = X.script_ratios(t)
-    return [round_dp(arabic, 4).alias("arabic_ratio"), round_dp(latin, 4).alias("latin_ratio")]
+@query("script_ratios", f"""select text_id, case when {_AR} + {_LA} > 0 then {rd(f'{_AR} / ({_AR} + {_LA})', 4)} else 0 end as arabic_ratio,
+ case when {_AR} + {_LA} > 0 then {rd(f'{_LA} / ({_AR} + {_LA})', 4)} else 0 end as latin_ratio
+ from (select text_id, text_content as t from ({TEXTS}))""")
+def _(fx):
+    rated = X.with_script_ratios(fx.sql(TEXTS), "text_content")
+    return rated.select("text_id", *[round_dp(F.col(c), 4).alias(c) for c in ("arabic_ratio", "latin_ratio")])
 
 
 _WORDS = rf"list_transform(regexp_extract_all(t, '[{X.LATIN}0-9]+'), lambda w: lower(w))"

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from agorametrics import vocab
 from agorametrics.functions import timeparse as T
@@ -100,16 +101,40 @@ def folded(spark: SparkSession, path: str, entity: str) -> DataFrame:
         F.col(c) if c in keys else F.col(f"_last.{c}" if c in updates else f"_first.{c}") for c in columns])
 
 
-def dedupe_snapshots(snapshots: DataFrame, path: str, checkpoint: str, late: str = "7 days", trigger=None):
-    """Append snapshots whose (post_id, captured_at) was not seen within the watermark."""
-    first = snapshots.withWatermark("captured_at", late).dropDuplicatesWithinWatermark(
-        ["post_id", "captured_at"])
+def dedupe_snapshots(snapshots: DataFrame, path: str, checkpoint: str, trigger=None):
+    """Append snapshots whose (post_id, captured_at) the table lacks; ``_ord`` says which row of a
+    batch comes first.
+
+    Exact however late a duplicate arrives, and without state that grows with the stream: a
+    micro-batch is compared with the stored snapshots of its own capture dates only.
+    """
+    spark = snapshots.sparkSession
+    keys = ["post_id", "captured_at"]
+    stored = _schema(snapshots, without="_ord")
+    # an empty folder, so that the first batch finds a table too
+    spark.createDataFrame([], stored).write.mode("overwrite").parquet(
+        f"{path}/batch_id=-1/captured_date=1970-01-01")
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        days = batch.agg(F.to_date(F.min("captured_at")).alias("lo"), F.to_date(F.max("captured_at")).alias("hi")).first()
+        if days["lo"] is None:
+            return
+        table = spark.read.schema(f"{stored.toDDL()}, captured_date date, batch_id bigint").parquet(path).filter(
+            (F.col("batch_id") != batch_id) & F.col("captured_date").between(F.lit(days["lo"]), F.lit(days["hi"])))
+        new = I.insert_new(table, batch, keys, "_ord").withColumn("captured_date", F.to_date("captured_at"))
+        new.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("captured_date").parquet(
+            f"{path}/batch_id={batch_id}")
+
     return (
-        first.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-        .outputMode("append").trigger(**(trigger or {"availableNow": True})).start()
+        snapshots.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True})).start()
     )
 
 
+def _schema(df: DataFrame, without: str) -> StructType:
+    return StructType([f for f in df.schema.fields if f.name != without])
+
+
 def score_comments(comments: DataFrame, path: str, checkpoint: str, backend=None, trigger=None):
     """Label arriving comments and append their analyses; the checkpoint keeps each to one label."""
     scored = S.score_sentiment(comments, backend).select(
