@@ -17,6 +17,7 @@ from agorametrics.functions import timeparse as T
 from agorametrics.functions.metric import cents, round_dp
 from agorametrics.functions.text import extract_hashtag_names
 from agorametrics.operators.kpi import dominant_basis
+from agorametrics.session import materialize
 
 MIN_N = 2
 SHRINKAGE = 5.0
@@ -75,14 +76,15 @@ def rank_observations(obs: DataFrame, kinds, k: float = SHRINKAGE, rules=None) -
     """Ranked keys per account and kind, or one row with the reason why there is none.
 
     The baseline is the mean over the kind's observations, the lift divides the 4-place mean by
-    it, ties in the score go to the smaller key.
+    it, ties in the score go to the smaller key. The sums per key are written once, so the posts
+    are read once although baselines, reasons and scores all start from them.
     """
     rules = {**RULES, **(rules or {})}
-    sums = obs.groupBy("account_id", "kind", "key").agg(
+    sums = materialize(obs.groupBy("account_id", "kind", "key").agg(
         F.sum(cents(F.col("er"))).alias("s"), F.count("er").alias("n"),
         F.count_if(F.col("er_basis") == "err").alias("n_err"),
         F.count_if(F.col("er_basis") == "erf").alias("n_erf"),
-    )
+    ), "observation-sums")
     minimum = F.col("kind")
     min_n, top = F.lit(None), F.lit(None)
     for kind, (least, limit) in rules.items():

@@ -47,7 +47,9 @@ def _(fx):
 @query("median_metric", f"""with {WINDOW} select account_id, count(er) as n, {MEDIAN} as median,
  case when count(er) = 0 then 'insufficient_data' end as median_reason from w group by 1""")
 def _(fx):
-    return K.median_metric(order_window(fx), ["account_id"])
+    # counted and ordered in two branches
+    facts = materialize(order_window(fx).select("account_id", "er"), "median-facts")
+    return K.median_metric(facts, ["account_id"])
 
 
 @query("posting_frequency_per_week", f"""select account_id, count(*) as n_posts,

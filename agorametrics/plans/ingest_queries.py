@@ -192,9 +192,9 @@ def _(fx):
     columns = ["post_id", "captured_at", *COUNT_COLUMNS]
     stored = fx.sql(_STORED).select(*columns)
     empty = stored.limit(0)
-    SK.append_snapshots(empty, stored.withColumn("_ord", F.lit(0)), path)
+    SK.append_snapshots(empty, stored.withColumn("_ord", F.lit(0)), path, unit="month")
     SK.append_snapshots(fx.spark.read.parquet(path).select(*columns),
-                        fx.sql(_LINES).select(*columns, "_ord"), path)
+                        fx.sql(_LINES).select(*columns, "_ord"), path, unit="month")
     return fx.spark.read.parquet(path).select(*columns)
 
 
@@ -451,7 +451,7 @@ def _(fx):
 def _(fx):
     root = shared_dir(fx.spark, "dedupe")
     fx.stream("lineitem").createOrReplaceTempView("lineitem")
-    J.dedupe_snapshots(fx.spark.sql(_LINES), f"{root}/table", f"{root}/checkpoint").awaitTermination()
+    J.dedupe_snapshots(fx.spark.sql(_LINES), f"{root}/table", f"{root}/checkpoint", unit="month").awaitTermination()
     return fx.spark.read.parquet(f"{root}/table").select("post_id", "captured_at", *COUNT_COLUMNS)
 
 

@@ -16,6 +16,9 @@ RUNTIME_CONF = {
     # run time, also where the split costs the aggregation behind the join a shuffle.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Data partitioned by account also counts as clustered by (account, slice), which would save a
+    # shuffle and leave a hot account in one task: insist on all keys.
+    "spark.sql.requireAllClusterKeysForDistribution": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Sinks that replace a slice rewrite only the partitions they touch.
     "spark.sql.sources.partitionOverwriteMode": "dynamic",

@@ -10,10 +10,19 @@ from agorametrics.operators.posts import timestamp
 from agorametrics.session import materialize
 
 
+def by_date(df: DataFrame, name: str, unit: str = "day") -> DataFrame:
+    """Add a date column to partition files by, and bring rows of one date together.
+
+    Rebalancing is a hint to AQE: it merges small dates and splits a date that holds much, so a
+    write makes few files and no task gets a whole hot date.
+    """
+    dated = df.withColumn(name, F.to_date(F.date_trunc(unit, "captured_at")))
+    return dated.hint("rebalance", name)
+
+
 def archive_raw(events: DataFrame, path: str) -> None:
     """Append raw payloads by capture date; the retention purge drops whole dates."""
-    dated = events.withColumn("captured_date", F.to_date("captured_at"))
-    dated.write.mode("append").partitionBy("captured_date").parquet(path)
+    by_date(events, "captured_date").write.mode("append").partitionBy("captured_date").parquet(path)
 
 
 def read_archive(spark: SparkSession, path: str, as_of=None, days: int | None = None) -> DataFrame:
@@ -26,11 +35,14 @@ def read_archive(spark: SparkSession, path: str, as_of=None, days: int | None =
                          & (F.col("captured_at") >= timestamp(cutoff)))
 
 
-def append_snapshots(target: DataFrame, batch: DataFrame, path: str, order: str = "_ord") -> None:
-    """Append the snapshots whose (post_id, captured_at) is new; the first row of a key wins."""
+def append_snapshots(target: DataFrame, batch: DataFrame, path: str, order: str = "_ord",
+                     unit: str = "day") -> None:
+    """Append the snapshots whose (post_id, captured_at) is new; the first row of a key wins.
+
+    Files are partitioned by the capture ``unit``: a day, or a month for thin histories.
+    """
     new = insert_new(target, batch, ["post_id", "captured_at"], order)
-    new.withColumn("captured_date", F.to_date("captured_at")).write.mode("append").partitionBy(
-        "captured_date").parquet(path)
+    by_date(new, "captured_date", unit).write.mode("append").partitionBy("captured_date").parquet(path)
 
 
 def recommendation_rows(ranked: DataFrame, as_of, window: str) -> DataFrame:

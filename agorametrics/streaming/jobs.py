@@ -18,6 +18,7 @@ from agorametrics.functions.metric import round_dp
 from agorametrics.operators import ingest as I
 from agorametrics.operators import sentiment as S
 from agorametrics.sources import payloads
+from agorametrics.sources.sinks import by_date
 
 LANDING = (
     "source string, entity_type string, external_id string, account_external_id string, "
@@ -101,7 +102,7 @@ def folded(spark: SparkSession, path: str, entity: str) -> DataFrame:
         F.col(c) if c in keys else F.col(f"_last.{c}" if c in updates else f"_first.{c}") for c in columns])
 
 
-def dedupe_snapshots(snapshots: DataFrame, path: str, checkpoint: str, trigger=None):
+def dedupe_snapshots(snapshots: DataFrame, path: str, checkpoint: str, unit: str = "day", trigger=None):
     """Append snapshots whose (post_id, captured_at) the table lacks; ``_ord`` says which row of a
     batch comes first.
 
@@ -116,12 +117,13 @@ def dedupe_snapshots(snapshots: DataFrame, path: str, checkpoint: str, trigger=N
         f"{path}/batch_id=-1/captured_date=1970-01-01")
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        days = batch.agg(F.to_date(F.min("captured_at")).alias("lo"), F.to_date(F.max("captured_at")).alias("hi")).first()
+        start = F.to_date(F.date_trunc(unit, "captured_at"))
+        days = batch.agg(F.min(start).alias("lo"), F.max(start).alias("hi")).first()
         if days["lo"] is None:
             return
         table = spark.read.schema(f"{stored.toDDL()}, captured_date date, batch_id bigint").parquet(path).filter(
             (F.col("batch_id") != batch_id) & F.col("captured_date").between(F.lit(days["lo"]), F.lit(days["hi"])))
-        new = I.insert_new(table, batch, keys, "_ord").withColumn("captured_date", F.to_date("captured_at"))
+        new = by_date(I.insert_new(table, batch, keys, "_ord"), "captured_date", unit)
         new.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("captured_date").parquet(
             f"{path}/batch_id={batch_id}")
 
