@@ -19,14 +19,11 @@ from agorametrics.functions.metric import round_dp
 # Unicode white space, and word characters without combining marks
 WS = r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 WORD = r"\p{L}\p{N}_"
-# A case-insensitive [a-z] also matches these four letters
-LATIN = r"a-zA-Z\x{130}\x{131}\x{17f}\x{212a}"
 
 _ZERO_WIDTH = r"[\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2066}-\x{2069}\x{feff}]"
 _DIACRITICS = r"[\x{64b}-\x{652}\x{670}\x{640}]"
 _EMOJI = r"[\x{1f300}-\x{1faff}\x{2600}-\x{27bf}\x{1f000}-\x{1f0ff}]"
 _ARABIC = r"\x{600}-\x{6ff}\x{750}-\x{77f}\x{8a0}-\x{8ff}"
-_INTRAWORD = rf"[{LATIN}][235679]|[235679][{LATIN}]"
 # Characters that can neither compose, decompose nor be reordered under NFC
 _NFC_SAFE = (
     r"^[\x{0}-\x{2ff}\x{621}-\x{64a}\x{660}-\x{66f}\x{671}-\x{6d3}\x{2010}-\x{2027}"
@@ -139,13 +136,33 @@ def emoji_polarity(text: Column) -> Column:
 
 
 # --- language -------------------------------------------------------------------------------
+# A case-insensitive [a-z] also matches these letters. They are replaced so that the patterns can
+# do with ASCII classes, which are several times faster; no listed word has an x.
+_ODD_LETTERS, _STAND_INS = "\u0130\u0131\u017f\u212a", "xxxk"
+_INTRAWORD = "[a-z][235679]|[235679][a-z]"
+
+
+def _folded(text: Column) -> Column:
+    return F.lower(F.translate(text, _ODD_LETTERS, _STAND_INS))
+
+
+def _split_words(folded: Column) -> Column:
+    return F.split(folded, "[^a-z0-9]+")
+
+
 def words(text: Column) -> Column:
-    """Runs of Latin letters and digits, lower-cased."""
-    return F.transform(F.regexp_extract_all(text, F.lit(rf"[{LATIN}0-9]+"), F.lit(0)), F.lower)
+    """Runs of Latin letters and digits, lower-cased; an empty one may lead or end the list."""
+    return _split_words(_folded(text))
+
+
+def _listed(found: Column, names) -> Column:
+    """How many distinct words are in a list."""
+    return F.size(F.array_intersect(found, F.array(*[F.lit(n) for n in names])))
 
 
 def script_counts(text: Column) -> tuple[Column, Column]:
-    return count_chars(text, _ARABIC), count_chars(text, "a-zA-Z")
+    arabic = F.length(text) - F.length(F.regexp_replace(text, f"[{_ARABIC}]+", ""))
+    return arabic, count_chars(text, "a-zA-Z")
 
 
 def with_script_ratios(df, text: str):
@@ -159,35 +176,50 @@ def with_script_ratios(df, text: str):
         for c, name in (("_ar", "arabic_ratio"), ("_la", "latin_ratio"))])
 
 
+def _signal(folded: Column, found: Column) -> Column:
+    distinct = _listed(found, vocab.TUNISIAN_WORDS)
+    # two hits are already the full signal; one word may still occur more than once
+    repeats = F.size(F.filter(found, lambda w: w.isin(*vocab.TUNISIAN_WORDS)))
+    hits = F.when(distinct == 1, repeats).otherwise(distinct)
+    # every match is two characters long
+    inside = (F.length(folded) - F.length(F.regexp_replace(folded, _INTRAWORD, ""))) / 2
+    return F.least(F.lit(1.0), hits * 0.6 + inside * 0.5)
+
+
 def arabizi_signal(text: Column) -> Column:
     """Strength in [0, 1] of dialect words and digits used as letters."""
-    hits = F.size(F.filter(words(text), lambda w: w.isin(*vocab.TUNISIAN_WORDS)))
-    inside = F.regexp_count(text, F.lit(_INTRAWORD))
-    return round_dp(F.least(F.lit(1.0), hits * 0.6 + inside * 0.5), 4)
+    return round_dp(_signal(_folded(text), words(text)), 4)
+
+
+def _hints(text: Column, found: Column) -> tuple[Column, Column]:
+    accent = F.when(text.rlike(f"[{vocab.FRENCH_ACCENTS}]"), 1).otherwise(0)
+    return _listed(found, vocab.FRENCH_HINTS) + accent, _listed(found, vocab.ENGLISH_HINTS)
 
 
 def hint_counts(text: Column) -> tuple[Column, Column]:
     """Distinct French hint words (one more for an accent) and English hint words."""
-    found = F.array_distinct(words(text))
-    accent = F.when(text.rlike(f"[{vocab.FRENCH_ACCENTS}]"), 1).otherwise(0)
-    french = F.size(F.filter(found, lambda w: w.isin(*vocab.FRENCH_HINTS))) + accent
-    return french, F.size(F.filter(found, lambda w: w.isin(*vocab.ENGLISH_HINTS)))
+    return _hints(text, words(text))
 
 
 def with_language(df, text: str, prefix: str = ""):
     """Add ``language``, ``language_confidence`` and ``language_method``.
 
     Rules in order: blank, Arabic script, dialect in Latin letters, hint words, and a weak
-    dialect signal that turns an uncertain answer. Counts are taken in a projection of their own
-    so that each regex runs once per text.
+    dialect signal that turns an uncertain answer. Folding, splitting and counting are projections
+    of their own, so that each regex runs once per text.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    arabic, latin = script_counts(t)
-    french, english = hint_counts(t)
-    counted = df.select(
-        "*", is_blank(t).alias("_blank"), arabic.alias("_ar"), latin.alias("_la"),
-        arabizi_signal(t).alias("_sig"), french.alias("_fr"), english.alias("_en"),
-    )
+    arabic, latin = script_counts(F.col("_t"))
+    folded = df.select("*", t.alias("_t"), _folded(t).alias("_low"))
+    split = folded.select("*", arabic.alias("_ar"), _split_words(F.col("_low")).alias("_w"))
+    french, english = _hints(F.col("_t"), F.col("_w"))
+    # without Arabic letters it only matters whether there are Latin ones
+    any_latin = F.when(F.col("_t").rlike("[a-zA-Z]"), 1).otherwise(0)
+    counted = split.select(
+        *df.columns, is_blank(F.col("_t")).alias("_blank"), "_ar",
+        F.when(F.col("_ar") > 0, latin).otherwise(any_latin).alias("_la"),
+        _signal(F.col("_low"), F.col("_w")).alias("_raw"), french.alias("_fr"), english.alias("_en"),
+    ).withColumn("_sig", round_dp(F.col("_raw"), 4))
     ar, la, sig, fr, en = (F.col(c) for c in ("_ar", "_la", "_sig", "_fr", "_en"))
     total = ar + la
     arabic_ratio = F.when(total > 0, ar / total).otherwise(0.0)

@@ -18,6 +18,8 @@ from agorametrics.plans.registry import bounds, isum, query, rd
 from agorametrics.session import materialize
 
 E_UNTIL, E_SINCE, E_PREV = bounds(EVENTS_AS_OF, "14d")
+# letters a case-insensitive [a-z] matches
+LATIN = r"a-zA-Z\x{130}\x{131}\x{17f}\x{212a}"
 
 
 def _list(values) -> str:
@@ -161,9 +163,9 @@ def _(fx):
     return rated.select("text_id", *[round_dp(F.col(c), 4).alias(c) for c in ("arabic_ratio", "latin_ratio")])
 
 
-_WORDS = rf"list_transform(regexp_extract_all(t, '[{X.LATIN}0-9]+'), lambda w: lower(w))"
+_WORDS = rf"list_transform(regexp_extract_all(t, '[{LATIN}0-9]+'), lambda w: lower(w))"
 _SIGNAL = rd(f"least(1.0::double, len(list_filter({_WORDS}, lambda w: list_contains({_list(vocab.TUNISIAN_WORDS)}, w))) * 0.6::double "
-             rf"+ len(regexp_extract_all(t, '[{X.LATIN}][235679]|[235679][{X.LATIN}]')) * 0.5::double)", 4)
+             rf"+ len(regexp_extract_all(t, '[{LATIN}][235679]|[235679][{LATIN}]')) * 0.5::double)", 4)
 _FR = (f"len(list_filter(list_distinct({_WORDS}), lambda w: list_contains({_list(vocab.FRENCH_HINTS)}, w))) + "
        f"case when regexp_matches(t, '[{vocab.FRENCH_ACCENTS}]') then 1 else 0 end")
 _EN = f"len(list_filter(list_distinct({_WORDS}), lambda w: list_contains({_list(vocab.ENGLISH_HINTS)}, w)))"
