@@ -15,7 +15,8 @@ from agorametrics.session import configure  # noqa: E402
 def spark():
     session = (
         SparkSession.builder.master("local[4]").appName("tests").config("spark.ui.enabled", "false")
-        .config("spark.sql.shuffle.partitions", "4").config("spark.driver.memory", "4g").getOrCreate()
+        .config("spark.sql.shuffle.partitions", "4").config("spark.driver.memory", "4g")
+        .config("spark.sql.maxMetadataValueLength", "10000").config("spark.sql.debug.maxToStringFields", "500").getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     yield configure(session)

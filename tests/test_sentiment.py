@@ -24,7 +24,7 @@ def test_trend_and_deltas(table):
     df = rows(table, [(1, "fr", "negative"), (10, "fr", "positive"), (10, "fr", "negative"), (12, "fr", "positive")])
     trend = {str(r.day): r.net_sentiment for r in S.sentiment_trend(df).collect()}
     assert trend == {"2026-07-01": -1.0, "2026-07-10": 0.0, "2026-07-12": 1.0}
-    row = S.sentiment_deltas(df, AS_OF, "7d").first()
+    row = S.sentiment_deltas(df, AS_OF, "5d").first()
     assert (row.cur_net, row.prev_net, row.net_sentiment_delta) == (0.3333, None, None)
     row = S.sentiment_deltas(df, "2026-07-15 00:00:00", "8d").first()
     assert (row.net_sentiment_delta, row.negative_pct_delta) == (1.3333, -66.67)
