@@ -23,18 +23,26 @@ NO_HASHTAGS = "no_hashtags"
 _HOURS = {"h": 1, "d": 24, "w": 168}
 
 
-def round_dp(x: Column, dp: int = 2) -> Column:
-    """Round a double to ``dp`` places, correctly: by its exact binary value, ties to even.
+def round_dp(x: Column | str, dp: int = 2) -> Column:
+    """Round a double, a column or the name of one, to ``dp`` places, correctly: by its exact
+    binary value, ties to even.
 
     ``round`` and ``bround`` go through the shortest decimal text of the double, so 2.675
     becomes 2.68 although the stored number is below the tie. Scaling can only land on a false
-    tie, so only there the number formatter, which looks at the exact value, decides.
+    tie, so only there the number formatter, which looks at the exact value, decides. Prefer a
+    name: the expression mentions its input several times.
     """
     scale = float(10**dp)
+    if isinstance(x, str):
+        x = f"cast(`{x}` as double)"
+        # half of the last place itself, which the formatter takes for an exact tie
+        return F.expr(f"""case when abs({x} * {scale}D - rint({x} * {scale}D)) = 0.5D
+            then case when abs({x}) < {1 / scale}D then signum({x}) * {round(0.5 / scale, dp)}D
+                 else cast(format_number({x}, '0.{'0' * dp}') as double) end
+            else rint({x} * {scale}D) / {scale}D end + 0.0D""")
     x = x.cast("double")
     nearest = F.rint(x * scale)
     formatted = F.call_function("format_number", x, F.lit("0." + "0" * dp)).cast("double")
-    # half of the last place itself, which the formatter takes for an exact tie
     exact = F.when(F.abs(x) < 1 / scale, F.signum(x) * round(0.5 / scale, dp)).otherwise(formatted)
     rounded = F.when(F.abs(x * scale - nearest) == 0.5, exact).otherwise(nearest / scale)
     # + 0.0 turns a negative zero into zero
@@ -83,7 +91,7 @@ def select_metrics(df, keep: list, metrics: dict[str, Metric], reasons: bool = T
                     *([m.reason.alias(f"{n}_reason") for n, m in metrics.items()] if reasons else []))
     out = list(keep)
     for name, m in metrics.items():
-        out.append(round_dp(F.col(f"_raw_{name}"), m.dp).alias(name))
+        out.append(round_dp(f"_raw_{name}", m.dp).alias(name))
         if reasons:
             out.append(F.col(f"{name}_reason"))
     return raw.select(*out)

@@ -219,7 +219,7 @@ def with_language(df, text: str, prefix: str = ""):
         *df.columns, is_blank(F.col("_t")).alias("_blank"), "_ar",
         F.when(F.col("_ar") > 0, latin).otherwise(any_latin).alias("_la"),
         _signal(F.col("_low"), F.col("_w")).alias("_raw"), french.alias("_fr"), english.alias("_en"),
-    ).withColumn("_sig", round_dp(F.col("_raw"), 4))
+    ).withColumn("_sig", round_dp("_raw", 4))
     ar, la, sig, fr, en = (F.col(c) for c in ("_ar", "_la", "_sig", "_fr", "_en"))
     total = ar + la
     arabic_ratio = F.when(total > 0, ar / total).otherwise(0.0)

@@ -53,8 +53,8 @@ def _class_rows(df: DataFrame, keys, labels, truth, pred) -> DataFrame:
     rated = flat.withColumns({"_p": ratio(tp, tp + fp), "_r": ratio(tp, tp + fn)})
     rated = rated.withColumn("_f", ratio(2.0 * F.col("_p") * F.col("_r"), F.col("_p") + F.col("_r")))
     return rated.select(
-        *keys, "label", round_dp(F.col("_p"), 4).alias("precision"),
-        round_dp(F.col("_r"), 4).alias("recall"), round_dp(F.col("_f"), 4).alias("f1"),
+        *keys, "label", round_dp("_p", 4).alias("precision"),
+        round_dp("_r", 4).alias("recall"), round_dp("_f", 4).alias("f1"),
         (tp + fn).alias("support"), "_hits", "_rows")
 
 
@@ -75,8 +75,8 @@ def macro_f1_accuracy(pairs: DataFrame, keys=(), labels=SENTIMENTS, truth: str =
     n = F.col("support")
     raw = agg.withColumns({"_m": F.col("_f") / 10000.0 / len(labels),
                            "_a": F.when(n > 0, F.col("_h") / n).otherwise(0.0)})
-    return raw.select(*keys, round_dp(F.col("_m"), 4).alias("macro_f1"),
-                      round_dp(F.col("_a"), 4).alias("accuracy"), "support")
+    return raw.select(*keys, round_dp("_m", 4).alias("macro_f1"),
+                      round_dp("_a", 4).alias("accuracy"), "support")
 
 
 def per_language_f1(pairs: DataFrame, language: str = "language", **names) -> DataFrame:
@@ -109,13 +109,13 @@ def eval_summary(pairs: DataFrame, labels=SENTIMENTS, truth: str = "y_true",
         out = out.withColumns({f"_p{i}": ratio(tp, tp + fp), f"_r{i}": ratio(tp, tp + fn)})
         p, r = F.col(f"_p{i}"), F.col(f"_r{i}")
         out = out.withColumn(f"_f{i}", ratio(2.0 * p * r, p + r))
-        out = out.withColumns({n: round_dp(F.col(n), 4) for n in (f"_p{i}", f"_r{i}", f"_f{i}")})
+        out = out.withColumns({n: round_dp(n, 4) for n in (f"_p{i}", f"_r{i}", f"_f{i}")})
     total = F.lit(0)
     for i, _ in enumerate(labels):
         total = total + F.rint(F.col(f"_f{i}") * 10000.0).cast("bigint")
     out = out.withColumns({"_macro": total / 10000.0 / len(labels),
                            "_acc": ratio(F.col("_hits"), F.col("_rows"))})
-    out = out.withColumns({n: round_dp(F.col(n), 4) for n in ("_macro", "_acc")})
+    out = out.withColumns({n: round_dp(n, 4) for n in ("_macro", "_acc")})
 
     def row(section, label, other, value) -> Column:
         return F.struct(F.lit(section).alias("section"), F.lit(label).cast("string").alias("label"),
@@ -144,7 +144,7 @@ def class_weights(df: DataFrame, label: str = "label", classes=SENTIMENTS) -> Da
     flat = counts.select(total.alias("_t"), present.alias("_k"), F.inline(F.array(*rows)))
     raw = flat.withColumn("_w", F.when(F.col("n") > 0, F.col("_t") / (F.col("_k") * F.col("n")))
                           .otherwise(1.0))
-    return raw.select("label", "n", round_dp(F.col("_w"), 4).alias("weight"))
+    return raw.select("label", "n", round_dp("_w", 4).alias("weight"))
 
 
 def stratified_split(rows: DataFrame, label: str, row_id: str, ratios=(0.7, 0.1, 0.2),

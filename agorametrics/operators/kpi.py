@@ -59,7 +59,7 @@ def with_primary_er(metrics: DataFrame) -> DataFrame:
         "*", F.coalesce(by_reach.raw, by_followers.raw).alias("_raw"), basis.alias("er_basis"),
         F.when(basis == "none", by_reach.reason).alias("er_reason"),
     )
-    return raw.withColumn("er", round_dp(F.col("_raw"))).drop("_raw")
+    return raw.withColumn("er", round_dp("_raw")).drop("_raw")
 
 
 def engagement_velocity(posts: DataFrame, snapshots: DataFrame) -> DataFrame:
@@ -217,14 +217,16 @@ def kpi_overview(facts: DataFrame, owners: DataFrame, as_of, window: str = "30d"
     )
     current = frame.filter(cur)
     medians = exact_median(current, ["account_id"], "er", "_median")
-    steadiness = posting_consistency(current).drop("n_posts")
+    # the number of posts is among the totals already
+    gaps = gap_hours(current, ["account_id"], "published_at").groupBy("account_id").agg(
+        F.stddev_samp("gap_hours").alias("_std"))
     extremes = best_worst(current)
     owners = owners.select("account_id", "handle", "platform", "followers", "followers_basis")
     zero = {c: F.coalesce(F.col(c), F.lit(0)) for c in
             ("_n", "_pn", "_e", "_pe", "_ne", "_pne", "_err", "_erf")}
     joined = (
         owners.join(totals, "account_id", "left").join(medians, "account_id", "left")
-        .join(steadiness, "account_id", "left").join(extremes, "account_id", "left")
+        .join(gaps, "account_id", "left").join(extremes, "account_id", "left")
         .withColumns(zero)
     )
     mean = mean_of(F.col("_s") / 100.0, F.col("_ne"))
@@ -237,14 +239,14 @@ def kpi_overview(facts: DataFrame, owners: DataFrame, as_of, window: str = "30d"
         dominant_basis(F.col("_err"), F.col("_erf")).alias("engagement_rate_basis"),
         F.col("_mean").alias("avg_engagement_rate"),
         mean.reason.alias("avg_engagement_rate_reason"),
-        F.col("posting_consistency_hours"),
-        F.when(F.col("_n") < 3, M.INSUFFICIENT_DATA).alias("posting_consistency_hours_reason"),
         *[F.col(f"{side}_{c}") for side in ("best", "worst") for c in ("post_id", "er", "permalink")],
     ]
     return select_metrics(with_means, keep, {
         "median_engagement_rate": Metric(
             F.col("_median"), F.when(F.col("_median").isNull(), M.INSUFFICIENT_DATA)),
         "posting_frequency_per_week": posting_frequency(F.col("_n"), days),
+        "posting_consistency_hours": Metric(F.when(F.col("_n") >= 3, F.col("_std")),
+                                            F.when(F.col("_n") < 3, M.INSUFFICIENT_DATA)),
         "total_engagement_pct": M.delta_pct(F.col("_e"), F.col("_pe")),
         "avg_engagement_rate_pct": M.delta_pct(F.col("_mean"), F.col("_pmean")),
         "n_posts_pct": M.delta_pct(F.col("_n"), F.col("_pn")),

@@ -110,7 +110,7 @@ def rank_observations(obs: DataFrame, kinds, k: float = SHRINKAGE, rules=None) -
     no_tags = (F.col("kind") == "hashtags") & (F.col("n_total") == 0)
     totals = asked.withColumn("_base", F.when(~few, mean)).select(
         "account_id", "kind", "er_basis", "n_total", "_base",
-        round_dp(F.col("_base"), 4).alias("baseline_er"),
+        round_dp("_base", 4).alias("baseline_er"),
         F.when(no_tags, M.NO_HASHTAGS).when(few, M.INSUFFICIENT_DATA)
         .when(F.col("_base") <= 0, M.NO_ENGAGEMENT_SIGNAL)
         .when(F.col("_shown") == 0, M.INSUFFICIENT_DATA).alias("reason"),
@@ -120,8 +120,8 @@ def rank_observations(obs: DataFrame, kinds, k: float = SHRINKAGE, rules=None) -
         .join(totals.filter(F.col("reason").isNull()), ["account_id", "kind"])
         .withColumn("_mean", F.col("s") / 100.0 / F.col("n"))
         .withColumn("_shrunk", shrunk_mean(F.col("s") / 100.0, F.col("n"), F.col("_base"), k))
-        .withColumn("mean_er", round_dp(F.col("_mean"), 4))
-        .withColumn("shrunk_score", round_dp(F.col("_shrunk"), 4))
+        .withColumn("mean_er", round_dp("_mean", 4))
+        .withColumn("shrunk_score", round_dp("_shrunk", 4))
     )
     columns = ["account_id", "kind", "er_basis", "rank", "key", "n", "mean_er", "shrunk_score",
                "lift", "confidence", "baseline_er", "n_total", "reason"]

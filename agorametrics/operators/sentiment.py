@@ -73,7 +73,7 @@ def model_backend(name: str, version: str,
         scored = df.withColumn("_answer", predict(F.col(text)))
         return scored.withColumns({
             "sentiment": X.normalize_model_label(F.col("_answer.label")),
-            "sentiment_score": round_dp(F.col("_answer.score"), 4),
+            "sentiment_score": round_dp("_answer.score", 4),
         }).drop("_answer")
 
     return Backend(name, version, apply)
@@ -140,8 +140,8 @@ def _distribution(counted: DataFrame, keys) -> DataFrame:
         {"total": total, **shares, "_net": F.when(total > 0, (c["positive"] - c["negative"]) / total)})
     return raw.select(
         *keys, "total", *vocab.SENTIMENTS,
-        *[round_dp(F.col(f"_{s}"), 2).alias(f"{s}_pct") for s in vocab.SENTIMENTS],
-        round_dp(F.col("_net"), 4).alias("net_sentiment"),
+        *[round_dp(f"_{s}", 2).alias(f"{s}_pct") for s in vocab.SENTIMENTS],
+        round_dp("_net", 4).alias("net_sentiment"),
     )
 
 
@@ -169,7 +169,7 @@ def sentiment_trend(rows: DataFrame, keys=("account_id",)) -> DataFrame:
         *keys, F.to_date("published_at").alias("day")
     ).agg(F.sum(net).alias("_s"), F.count(F.lit(1)).alias("n"))
     return daily.withColumn("_m", F.col("_s") / F.col("n")).select(
-        *keys, "day", "n", round_dp(F.col("_m"), 4).alias("net_sentiment"))
+        *keys, "day", "n", round_dp("_m", 4).alias("net_sentiment"))
 
 
 def sentiment_deltas(rows: DataFrame, as_of, window: str = "30d", keys=("account_id",)) -> DataFrame:
@@ -185,8 +185,8 @@ def sentiment_deltas(rows: DataFrame, as_of, window: str = "30d", keys=("account
             f"_{side}_net": F.when(total > 0, (c["positive"] - c["negative"]) / total),
             f"_{side}_neg": F.when(total > 0, c["negative"] / total * 100.0),
         }).withColumns({
-            f"{side}_net": round_dp(F.col(f"_{side}_net"), 4),
-            f"{side}_negative_pct": round_dp(F.col(f"_{side}_neg"), 2),
+            f"{side}_net": round_dp(f"_{side}_net", 4),
+            f"{side}_negative_pct": round_dp(f"_{side}_neg", 2),
         })
     diffs = out.withColumns({
         "_dn": F.col("cur_net") - F.col("prev_net"),
@@ -194,8 +194,8 @@ def sentiment_deltas(rows: DataFrame, as_of, window: str = "30d", keys=("account
     })
     return diffs.select(
         *keys, "cur_net", "prev_net", "cur_negative_pct", "prev_negative_pct",
-        round_dp(F.col("_dn"), 4).alias("net_sentiment_delta"),
-        round_dp(F.col("_dp"), 4).alias("negative_pct_delta"),
+        round_dp("_dn", 4).alias("net_sentiment_delta"),
+        round_dp("_dp", 4).alias("negative_pct_delta"),
     )
 
 
@@ -207,7 +207,7 @@ def negative_alerts(rows: DataFrame, as_of, window: str = "14d", keys=("account_
         F.count(F.lit(1)).alias("n_comments"),
         F.count_if(F.col("sentiment") == "negative").alias("_neg"),
     ).withColumn("_share", F.col("_neg") / F.col("n_comments"))
-    daily = daily.withColumn("negative_share", round_dp(F.col("_share"), 4))
+    daily = daily.withColumn("negative_share", round_dp("_share", 4))
     days = W.partitionBy(*keys)
     rated = daily.withColumn("_days", F.count(F.lit(1)).over(days)).withColumn(
         "_threshold",
@@ -227,7 +227,7 @@ def recent_negatives(rows: DataFrame, as_of, window: str = "14d", limit: int = 2
     return negative.withColumn("rank", F.row_number().over(newest)).filter(
         F.col("rank") <= limit
     ).select(*keys, F.col("rank").cast("bigint").alias("rank"), "comment_id", "text_content",
-             "language", round_dp(F.col("sentiment_score"), 4).alias("score"), "published_at")
+             "language", round_dp("sentiment_score", 4).alias("score"), "published_at")
 
 
 def emoji_polarity_rollup(texts: DataFrame, keys, text: str = "text_content") -> DataFrame:
@@ -237,4 +237,4 @@ def emoji_polarity_rollup(texts: DataFrame, keys, text: str = "text_content") ->
         F.count(F.lit(1)).alias("n_texts"),
         F.sum(F.rint(F.col("_p") * 10000.0).cast("bigint")).alias("_s"))
     return agg.withColumn("_m", F.col("_s") / 10000.0 / F.col("n_texts")).select(
-        *keys, "n_texts", round_dp(F.col("_m"), 4).alias("avg_emoji_polarity"))
+        *keys, "n_texts", round_dp("_m", 4).alias("avg_emoji_polarity"))

@@ -46,7 +46,7 @@ def sum_timeseries(df: DataFrame, value: str, granularity: str, keys=("account_i
     sums = df.groupBy(*keys, T.bucket(F.col(ts), granularity, tz).alias("bucket")).agg(
         F.coalesce(F.sum(value), F.lit(0)).cast("double").alias("_v")
     )
-    series = sums.select(*keys, "bucket", round_dp(F.col("_v")).alias("value"))
+    series = sums.select(*keys, "bucket", round_dp("_v").alias("value"))
     return _labelled(gap_fill(series, keys, granularity, ["value"]) if fill else series, granularity)
 
 
@@ -69,7 +69,7 @@ def _pooled(sums: DataFrame, keys) -> DataFrame:
     raw = sums.withColumn(
         "_r", F.when(F.col("_d") > 0, F.col("_e") / F.col("_d") * 100.0).otherwise(0.0)
     )
-    return raw.select(*keys, "bucket", round_dp(F.col("_r")).alias("value"))
+    return raw.select(*keys, "bucket", round_dp("_r").alias("value"))
 
 
 def _labelled(series: DataFrame, granularity: str) -> DataFrame:
@@ -87,7 +87,7 @@ def rolling_mean(series: DataFrame, window: int, keys=("account_id",), value: st
     summed = series.withColumn("_s", F.sum(cents(F.col(value))).over(frame)).withColumn(
         "_n", F.row_number().over(ordered))
     mean = F.when(F.col("_n") >= window, F.col("_s") / 100.0 / window)
-    return summed.withColumn("_m", mean).withColumn(name, round_dp(F.col("_m"))).drop("_s", "_n", "_m")
+    return summed.withColumn("_m", mean).withColumn(name, round_dp("_m")).drop("_s", "_n", "_m")
 
 
 def kpi_timeseries(metrics: DataFrame, metric: str = "err", granularity: str = "day",
@@ -154,7 +154,7 @@ def kpi_by_platform(facts: DataFrame, as_of, window: str = "30d") -> DataFrame:
         F.count_if(cur & (F.col("er_basis") == "erf")).alias("erf"),
         F.sum(F.when(base, er)).alias("bs"), F.count_if(base & has_er).alias("bn"),
     ).withColumn("_day_raw", F.when(F.col("bn") > 0, F.col("bs") / 100.0 / F.col("bn")))
-    daily = daily.withColumn("day_mean", round_dp(F.col("_day_raw")))
+    daily = daily.withColumn("day_mean", round_dp("_day_raw"))
     totals = daily.groupBy("platform").agg(
         F.sum("n").alias("n_posts"), F.sum("e").alias("total_engagement"),
         F.sum("s").alias("_s"), F.sum("ne").alias("_ne"),
@@ -188,12 +188,12 @@ def zscore_per_key(df: DataFrame, keys, value: str = "er", ts: str = "published_
         F.sum(F.when(cur, cents(F.col(value)))).alias("cs"),
         F.count_if(cur & F.col(value).isNotNull()).alias("cn"),
     ).withColumn("_raw", F.when(F.col("n") > 0, F.col("s") / 100.0 / F.col("n")))
-    daily = daily.withColumn("day_mean", round_dp(F.col("_raw")))
+    daily = daily.withColumn("day_mean", round_dp("_raw"))
     agg = daily.groupBy(*keys).agg(
         F.avg("day_mean").alias("_mu"), F.stddev_samp("day_mean").alias("_sd"),
         F.count("day_mean").alias("baseline_days"), F.sum("cs").alias("_cs"), F.sum("cn").alias("_cn"),
     ).withColumn("_mean", F.when(F.col("_cn") > 0, F.col("_cs") / 100.0 / F.col("_cn")))
-    agg = agg.withColumn("current_mean", round_dp(F.col("_mean")))
+    agg = agg.withColumn("current_mean", round_dp("_mean"))
     z = M.zscore(F.col("current_mean"), F.col("_mu"), F.col("_sd"), F.col("baseline_days"))
     keep = [*[F.col(k) for k in keys], F.col("current_mean"), F.col("baseline_days")]
     return select_metrics(agg, keep, {"zscore": z})

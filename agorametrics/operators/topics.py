@@ -50,7 +50,7 @@ def topic_rollup(assigned: DataFrame, keywords: DataFrame | None = None, keys=("
     ).join(enough, keys)
     raw = kept.withColumn("_m", F.when(F.col("n_labeled") > 0, F.col("_s") / F.col("n_labeled")))
     out = raw.select(*keys, "cluster_id", "comment_count", "n_labeled",
-                     round_dp(F.col("_m"), 4).alias("avg_sentiment"))
+                     round_dp("_m", 4).alias("avg_sentiment"))
     if keywords is None:
         return out
     named = out.join(keywords, [c for c in [*keys, "cluster_id"] if c in keywords.columns], "left")

@@ -82,7 +82,7 @@ def _(fx):
     gapped = O.with_previous(posts, ["account_id"], "published_at", "post_id", "_previous")
     hours = (F.unix_micros("published_at") - F.unix_micros("_previous")) / F.lit(3_600_000_000.0)
     return gapped.withColumn("_gap", hours).select(
-        "account_id", "post_id", round_dp(F.col("_gap"), 4).alias("gap_hours"))
+        "account_id", "post_id", round_dp("_gap", 4).alias("gap_hours"))
 
 
 _FOLLOWERS = f"""g as (select account_id, arg_min(followers_count, captured_at) as f_start,
@@ -217,7 +217,7 @@ def _(fx):
 def _(fx):
     sums = fx["fx_timed_posts"].groupBy("account_id", T.bucket(F.col("published_at"), "hour").alias("bucket")).agg(
         (F.sum(M.cents(F.col("er"))) / 100.0).alias("_v"))
-    series = sums.select("account_id", "bucket", round_dp(F.col("_v")).alias("value"))
+    series = sums.select("account_id", "bucket", round_dp("_v").alias("value"))
     return SR.gap_fill(series, ["account_id"], "hour", ["value"])
 
 
@@ -251,7 +251,7 @@ def _rolled(w: int) -> str:
 def _(fx):
     sums = fx["fx_timed_posts"].groupBy("account_id", T.bucket(F.col("published_at"), "day").alias("bucket")).agg(
         (F.sum(M.cents(F.col("er"))) / 100.0).alias("_v"))
-    series = sums.select("account_id", "bucket", round_dp(F.col("_v")).alias("value"))
+    series = sums.select("account_id", "bucket", round_dp("_v").alias("value"))
     return SR.rolling_mean(SR.gap_fill(series, ["account_id"], "day", ["value"]), 7)
 
 
@@ -410,7 +410,7 @@ def _(fx):
 @query("lift", f"""with {_GROUPS} select g.account_id, content_type,
  case when base > 0 then {rd(rd('s / n', 4) + ' / base')} end as lift from g join b on b.account_id = g.account_id""")
 def _(fx):
-    rounded = _groups(fx).withColumn("_raw", F.col("s") / F.col("n")).withColumn("_m", round_dp(F.col("_raw"), 4))
+    rounded = _groups(fx).withColumn("_raw", F.col("s") / F.col("n")).withColumn("_m", round_dp("_raw", 4))
     return rounded.select("account_id", "content_type", R.lift(F.col("_m"), F.col("base")).alias("lift"))
 
 
@@ -418,7 +418,7 @@ def _(fx):
  {rd('(s + 5.0::double * base) / (n + 5)', 4)} as shrunk_mean from g join b on b.account_id = g.account_id""")
 def _(fx):
     shrunk = _groups(fx).withColumn("_m", R.shrunk_mean(F.col("s"), F.col("n"), F.col("base")))
-    return shrunk.select("account_id", "content_type", round_dp(F.col("_m"), 4).alias("shrunk_mean"))
+    return shrunk.select("account_id", "content_type", round_dp("_m", 4).alias("shrunk_mean"))
 
 
 # --- top lists -------------------------------------------------------------------------------

@@ -29,7 +29,8 @@ EXPORT_AS_OF = "2026-07-10 00:00:00"
 
 # --- CSV exports -----------------------------------------------------------------------------
 def _export(fx) -> DataFrame:
-    return C.map_export(fx["fx_export"].drop("order_key"))
+    # a stored export: its columns are read, not made anew wherever a mapping mentions them
+    return C.map_export(materialize(fx["fx_export"].drop("order_key"), "export"))
 
 
 _MAPPED_EXPORT = """select _ord, "Post ID" as external_id, "Page ID" as account_external_id, "Page name" as account_name,
@@ -169,8 +170,12 @@ def _(fx):
 @query("daily_retention", f"""select cast(captured_at as date) as captured_date, count(*) as n from fx_raw_events
  where captured_at >= {ts(EVENTS_AS_OF)} - interval 7 day group by 1""")
 def _(fx):
-    kept = I.retained(fx["fx_raw_events"], EVENTS_AS_OF, 7)
-    return kept.groupBy(F.to_date("captured_at").alias("captured_date")).agg(F.count(F.lit(1)).alias("n"))
+    path = shared_dir(fx.spark, "archive")
+    SK.archive_raw(fx["fx_raw_events"], path)
+    SK.purge_archive(fx.spark, path, EVENTS_AS_OF, 7)
+    # what is left on disk, and nothing older among it
+    left = I.retained(fx.spark.read.parquet(path), EVENTS_AS_OF, 365)
+    return left.groupBy("captured_date").agg(F.count(F.lit(1)).alias("n"))
 
 
 # every line is a snapshot on its own: several share post and time

@@ -265,8 +265,8 @@ def _(fx):
     base = groups.groupBy("account_id").agg(F.sum("n").alias("_n"), F.sum("s").alias("_s")).filter(
         F.col("_n") > 0).withColumn("_base", F.col("_s") / 100.0 / F.col("_n"))
     joined = groups.filter(F.col("n") > 0).join(base, "account_id").withColumn(
-        "_mean", F.col("s") / 100.0 / F.col("n")).withColumn("mean_er", round_dp(F.col("_mean"), 4))
-    return joined.select("account_id", "key", "n", "mean_er", round_dp(F.col("_base"), 4).alias("baseline_er"),
+        "_mean", F.col("s") / 100.0 / F.col("n")).withColumn("mean_er", round_dp("_mean", 4))
+    return joined.select("account_id", "key", "n", "mean_er", round_dp("_base", 4).alias("baseline_er"),
                          lift(F.col("mean_er"), F.col("_base")).alias("lift"))
 
 

@@ -160,7 +160,7 @@ _LA = "len(regexp_extract_all(t, '[a-zA-Z]'))"
  from (select text_id, text_content as t from ({TEXTS}))""")
 def _(fx):
     rated = X.with_script_ratios(fx.sql(TEXTS), "text_content")
-    return rated.select("text_id", *[round_dp(F.col(c), 4).alias(c) for c in ("arabic_ratio", "latin_ratio")])
+    return rated.select("text_id", *[round_dp(c, 4).alias(c) for c in ("arabic_ratio", "latin_ratio")])
 
 
 _WORDS = rf"list_transform(regexp_extract_all(t, '[{LATIN}0-9]+'), lambda w: lower(w))"

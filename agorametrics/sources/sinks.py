@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agorametrics.operators.ingest import insert_new, retention_cutoff
+from agorametrics.operators.ingest import RETENTION_DAYS, insert_new, retention_cutoff, retention_report
 from agorametrics.operators.posts import timestamp
 from agorametrics.session import materialize
 
@@ -35,6 +35,30 @@ def read_archive(spark: SparkSession, path: str, as_of=None, days: int | None =
                          & (F.col("captured_at") >= timestamp(cutoff)))
 
 
+def purge_archive(spark: SparkSession, path: str, as_of, days: int = RETENTION_DAYS) -> DataFrame:
+    """Delete what retention has expired and return the report of ``retention_report``.
+
+    Whole dates are deleted as folders; only the date the cutoff falls into is rewritten.
+    """
+    cutoff = retention_cutoff(as_of, days)
+    events = spark.read.parquet(path)
+    report = materialize(retention_report(events, as_of, days), "retention-report")
+    # one row per stored date, read from the folder names
+    dates = [r[0] for r in events.select("captured_date").distinct().collect()]
+    edge = f"{path}/captured_date={cutoff.date()}"
+    if cutoff.date() in dates:
+        kept = events.filter((F.col("captured_date") == F.lit(cutoff.date()))
+                             & (F.col("captured_at") >= timestamp(cutoff))).drop("captured_date")
+        ready = materialize(kept, "retention-edge")
+        ready.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(edge)
+    folder = spark._jvm.org.apache.hadoop.fs.Path
+    files = folder(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for date in dates:
+        if date < cutoff.date():
+            files.delete(folder(f"{path}/captured_date={date}"), True)
+    return report
+
+
 def append_snapshots(target: DataFrame, batch: DataFrame, path: str, order: str = "_ord",
                      unit: str = "day") -> None:
     """Append the snapshots whose (post_id, captured_at) is new; the first row of a key wins.

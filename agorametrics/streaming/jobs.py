@@ -161,7 +161,7 @@ def timeseries(rows: DataFrame, value: str, path: str, checkpoint: str, granular
     window = F.window("_local", width, width, start) if start else F.window("_local", width)
     sums = local.groupBy("account_id", window.alias("_w")).agg(
         F.coalesce(F.sum(value), F.lit(0)).cast("double").alias("_v"))
-    shaped = sums.select("account_id", F.col("_w.start").alias("bucket"), round_dp(F.col("_v")).alias("value"))
+    shaped = sums.select("account_id", F.col("_w.start").alias("bucket"), round_dp("_v").alias("value"))
 
     def store(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")

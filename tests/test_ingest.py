@@ -243,6 +243,17 @@ def test_archive_and_topics(spark, table):
     assert [(r.account_id, r.comment_count) for r in spark.read.parquet(path).collect()] == [(2, 7)]
 
 
+def test_purge_deletes_from_disk(spark, table):
+    path = shared_dir(spark, "archive")
+    base = events(table, ("youtube", "post", "1", None, None, "{}"))
+    for at in ("2026-05-26 00:00:00", "2026-06-09 23:00:00", "2026-06-10 05:00:00", "2026-06-10 15:00:00", "2026-07-10 00:00:00"):
+        SK.archive_raw(base.withColumn("captured_at", F.lit(at).cast("timestamp")), path)
+    report = SK.purge_archive(spark, path, "2026-07-10 12:00:00", 30).first()
+    assert (report.deleted, report.remaining, str(report.oldest_remaining)) == (3, 2, "2026-06-10 15:00:00")
+    left = spark.read.parquet(path).collect()
+    assert sorted(str(r.captured_at) for r in left) == ["2026-06-10 15:00:00", "2026-07-10 00:00:00"]
+
+
 def test_history(table):
     posts = table([(1, i, f"2026-07-0{i} 00:00:00", t) for i, t in enumerate(["a", " b ", None, "  ", "c"], 1)],
                   "account_id long,post_id long,published_at timestamp,text_content string")
