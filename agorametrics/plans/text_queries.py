@@ -102,9 +102,28 @@ def _(t):
     return [X.mask_mentions_urls(t).alias("masked")]
 
 
-@text_query("collapse_repeats", None)
-def _(t):
-    return [X.collapse_repeats(t).alias("collapsed")]
+def collapse_sql(source: str, row_id: str) -> str:
+    """CTE ``collapsed`` (row id, t): each character beside its two predecessors, kept unless all
+    three are the same and no line break."""
+    return rf"""chars as (select {row_id}, regexp_extract_all(t, '(?s).') as c from {source}),
+ beside as (select {row_id}, list_zip(c, list_concat([''], c), list_concat(['', ''], c)) as z from chars),
+ collapsed as (select {row_id}, array_to_string(list_transform(list_filter(z,
+   lambda x: x[1] is not null and not (x[1] = x[2] and x[1] = x[3] and x[1] <> chr(10))), lambda x: x[1]), '') as t from beside)"""
+
+
+def clean_sql(source: str, row_id: str) -> str:
+    """CTE ``cleaned`` (row id, t): the whole cleaning, step by step."""
+    strip = r"regexp_replace(nfc_normalize(t), '[\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2066}-\x{2069}\x{feff}]', '', 'g')"
+    return rf"""masked as (select {row_id}, {_mask(strip)} as t from {source}), {collapse_sql('masked', row_id)},
+ cleaned as (select {row_id}, trim(regexp_replace({_arabic('t')}, '[{_WS}]+', ' ', 'g'), ' ') as t from collapsed)"""
+
+
+_TEXT_SOURCE = f"src as (select text_id, text_content as t from ({TEXTS}))"
+
+
+@query("collapse_repeats", f"with {_TEXT_SOURCE}, {collapse_sql('src', 'text_id')} select text_id, t as collapsed from collapsed")
+def _(fx):
+    return fx.sql(TEXTS).select("text_id", X.collapse_repeats(F.col("text_content")).alias("collapsed"))
 
 
 @text_query("normalize_arabic", _arabic("t") + " as normalized")
@@ -146,9 +165,9 @@ def _(fx):
     return S.emoji_polarity_rollup(pooled, ["pool"])
 
 
-@text_query("preprocess_text", None)
-def _(t):
-    return [X.preprocess_text(t).alias("clean")]
+@query("preprocess_text", f"with {_TEXT_SOURCE}, {clean_sql('src', 'text_id')} select text_id, t as clean from cleaned")
+def _(fx):
+    return fx.sql(TEXTS).select("text_id", X.preprocess_text(F.col("text_content")).alias("clean"))
 
 
 _AR = r"len(regexp_extract_all(t, '[\x{600}-\x{6ff}\x{750}-\x{77f}\x{8a0}-\x{8ff}]'))"
@@ -209,9 +228,8 @@ def _(fx):
 
 
 @query("score_sentiment", rf"""with src as (select text_id, coalesce(text_content, '') as t from fx_text), {detect_sql('src', 'text_id')},
- -- the cleaning's effect on polar words and emoji of these texts: masks, floods and marks
- c as (select *, {_arabic("replace(" + _mask("t") + ", 'aaaa', 'aa')")} as clean from detected),
- w as (select *, list_transform(regexp_extract_all(lower(clean), '[\p{{L}}\p{{N}}]+'), lambda x: x) as tok from c),
+ {clean_sql('src', 'text_id')},
+ w as (select d.*, c.t as clean, regexp_extract_all(lower(c.t), '[\p{{L}}\p{{N}}]+') as tok from detected d join cleaned c using (text_id)),
  n as (select *, len(list_filter(tok, lambda x: list_contains({_list(vocab.POSITIVE_WORDS)}, x)))
    + length(regexp_replace(clean, '[^{vocab.EMOJI_POSITIVE}]', '', 'g')) as up,
   len(list_filter(tok, lambda x: list_contains({_list(vocab.NEGATIVE_WORDS)}, x)))
