@@ -131,14 +131,15 @@ def nearest_in_time(left: DataFrame, right: DataFrame, keys: Sequence[str], at:
     stacked = asked.unionByName(observed, allowMissingColumns=True).withColumn(
         "_slice", time_slice("_t", slice_seconds)
     )
-    # ascending by value within one instant: looking back finds the largest, and so does looking
-    # ahead because equal instants are always seen by looking back
+    # looking ahead is looking back in the opposite order: a frame that ends at the current row
+    # grows with it, one that ends at the last row is evaluated anew for every row
     order = [F.col("_t"), F.col("_side"), F.col("_obs.v")]
     back = W.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    ahead = W.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(0, W.unboundedFollowing)
+    ahead = W.partitionBy(*keys, "_slice").orderBy(*[c.desc() for c in order]).rowsBetween(
+        W.unboundedPreceding, 0)
     rows = (
         stacked.withColumn("_back", F.last("_obs", True).over(back))
-        .withColumn("_ahead", F.first("_obs", True).over(ahead))
+        .withColumn("_ahead", F.last("_obs", True).over(ahead))
         .filter(F.col("_side") == 1)
     )
     ends = (
@@ -150,10 +151,10 @@ def nearest_in_time(left: DataFrame, right: DataFrame, keys: Sequence[str], at:
     asked_slices = asked.select(*keys, time_slice("_t", slice_seconds).alias("_slice")).distinct()
     frame = asked_slices.join(ends, [*keys, "_slice"], "full")
     earlier = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    later = W.partitionBy(*keys).orderBy("_slice").rowsBetween(1, W.unboundedFollowing)
+    later = W.partitionBy(*keys).orderBy(F.desc("_slice")).rowsBetween(W.unboundedPreceding, -1)
     carried = frame.select(
         *keys, "_slice", F.last("_last", True).over(earlier).alias("_carried_back"),
-        F.first("_first", True).over(later).alias("_carried_ahead"),
+        F.last("_first", True).over(later).alias("_carried_ahead"),
     )
     joined = rows.join(carried, [*keys, "_slice"], "left")
     before, after = F.coalesce("_back", "_carried_back"), F.coalesce("_ahead", "_carried_ahead")

@@ -49,27 +49,31 @@ def shrunk_mean(total: Column, n: Column, baseline: Column, k: float = SHRINKAGE
 
 def observations(facts: DataFrame, kinds, tz: str = vocab.DISPLAY_TZ) -> DataFrame:
     """One row per observation of a post frame (account_id, er, er_basis, published_at,
-    content_type, text_content). A post whose rate did not resolve keeps its rows, with null."""
-    entries = [_entry("post", F.lit(""))]
+    content_type, text_content): ``entry`` is ``kind|key``, one text to group and shuffle by.
+
+    A post whose rate did not resolve keeps its rows, with null. Local time and tags are computed
+    once per post, in a projection of their own.
+    """
+    derived, entries, listed = {}, [_entry("post", F.lit(""))], []
     if "content_type" in kinds:
         name = F.when(F.col("content_type") != "", F.col("content_type"))
         entries.append(_entry("content_type", F.coalesce(name, F.lit("unknown"))))
     if "best_time" in kinds:
-        dow, hour = T.local_dow(F.col("published_at"), tz), T.local_hour(F.col("published_at"), tz)
-        entries += [
-            _entry("best_time", F.concat_ws(":", dow, F.lpad(hour.cast("string"), 2, "0"))),
-            _entry("best_time_day", dow.cast("string")),
-            _entry("best_time_hour", F.lpad(hour.cast("string"), 2, "0")),
-        ]
-    listed = F.array(*entries)
+        derived["_dow"] = T.local_dow(F.col("published_at"), tz).cast("string")
+        derived["_hour"] = F.lpad(T.local_hour(F.col("published_at"), tz).cast("string"), 2, "0")
+        entries += [_entry("best_time", F.concat_ws(":", "_dow", "_hour")),
+                    _entry("best_time_day", F.col("_dow")), _entry("best_time_hour", F.col("_hour"))]
     if "hashtags" in kinds:
-        tags = extract_hashtag_names(F.col("text_content"))
-        listed = F.concat(listed, F.transform(tags, lambda t: _entry("hashtags", t)))
-    return facts.select("account_id", "er", "er_basis", F.inline(listed).alias("kind", "key"))
+        derived["_tags"] = extract_hashtag_names(F.col("text_content"))
+        listed.append(F.transform("_tags", lambda t: _entry("hashtags", t)))
+    kept = ["account_id", "er", "er_basis", *(["content_type"] if "content_type" in kinds else [])]
+    base = facts.select(*kept, *[c.alias(n) for n, c in derived.items()])
+    unfolded = F.concat(F.array(*entries), *listed) if listed else F.array(*entries)
+    return base.select("account_id", "er", "er_basis", F.explode(unfolded).alias("entry"))
 
 
 def _entry(kind: str, key: Column) -> Column:
-    return F.struct(F.lit(kind).alias("kind"), key.alias("key"))
+    return F.concat(F.lit(f"{kind}|"), key)
 
 
 def rank_observations(obs: DataFrame, kinds, k: float = SHRINKAGE, rules=None) -> DataFrame:
@@ -80,10 +84,14 @@ def rank_observations(obs: DataFrame, kinds, k: float = SHRINKAGE, rules=None) -
     are read once although baselines, reasons and scores all start from them.
     """
     rules = {**RULES, **(rules or {})}
-    sums = materialize(obs.groupBy("account_id", "kind", "key").agg(
+    sums = obs.groupBy("account_id", "entry").agg(
         F.sum(cents(F.col("er"))).alias("s"), F.count("er").alias("n"),
         F.count_if(F.col("er_basis") == "err").alias("n_err"),
         F.count_if(F.col("er_basis") == "erf").alias("n_erf"),
+    )
+    sums = materialize(sums.select(
+        "account_id", F.substring_index("entry", "|", 1).alias("kind"),
+        F.expr("substring(entry, instr(entry, '|') + 1)").alias("key"), "s", "n", "n_err", "n_erf",
     ), "observation-sums")
     minimum = F.col("kind")
     min_n, top = F.lit(None), F.lit(None)
@@ -152,9 +160,9 @@ def _top_by_score(scored: DataFrame, top: Column) -> DataFrame:
 def rank_categories(obs: DataFrame, min_n: int = MIN_N, top_k: int | None = None,
                     k: float = SHRINKAGE) -> DataFrame:
     """Rank any keys: ``obs`` is (account_id, key, er) with 2-place rates."""
-    entries = F.array(_entry("post", F.lit("")), _entry("category", F.col("key")))
-    stacked = obs.select("account_id", "er", F.lit("err").alias("er_basis"),
-                         F.inline(entries).alias("kind", "key"))
+    key = F.coalesce(F.col("key").cast("string"), F.lit("unknown"))
+    entries = F.array(_entry("post", F.lit("")), _entry("category", key))
+    stacked = obs.select("account_id", "er", F.lit("err").alias("er_basis"), F.explode(entries).alias("entry"))
     return rank_observations(stacked, ["category"], k, {"category": (min_n, top_k)}).drop(
         "kind", "er_basis")
 
