@@ -268,11 +268,14 @@ def _(fx):
 _POST_TARGET = """select o_orderkey as post_id, o_custkey as account_id, cast(o_orderkey as string) as external_id,
  o_orderdate as published_at, 'photo' as content_type, 'old' as text_content, '#old' as hashtags, cast(1 as bigint) as media_count,
  'old' as permalink, false as is_synthetic from orders where o_orderstatus <> 'F'"""
+# lines of an order may share number, part and supplier: the date is needed for an order without ties
 _POST_BATCH = """select o_orderkey as post_id, o_custkey as account_id, cast(o_orderkey as string) as external_id,
  l_shipdate as published_at, l_returnflag as content_type,
  case when l_linestatus = 'O' then null else concat('line ', cast(l_linenumber as string)) end as text_content,
  l_linestatus as hashtags, cast(l_linenumber as bigint) as media_count, cast(l_partkey as string) as permalink, true as is_synthetic,
- l_linenumber * 1000000000000 + l_partkey * 100000 + l_suppkey as _ord from lineitem join orders on o_orderkey = l_orderkey"""
+ l_linenumber * 1000000000000000000 + l_partkey * 10000000000
+  + (extract(year from l_shipdate) * 400 + extract(doy from l_shipdate)) * 10000 + l_suppkey as _ord
+ from lineitem join orders on o_orderkey = l_orderkey"""
 _POST_COLUMNS = ["post_id", "account_id", "external_id", "published_at", "content_type", "text_content", "hashtags",
                  "media_count", "permalink", "is_synthetic"]
 

@@ -110,3 +110,10 @@ def test_no_query_multiplies_rows(spark, name):
         pytest.skip("runs a stream")
     text = plan(catalog.QUERIES[name](spark, SF))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+def test_no_window_frame_is_evaluated_anew_per_row(spark):
+    """A frame that ends at the last row costs the square of its group."""
+    text = plan(catalog.QUERIES["followers_asof_publish"](spark, SF))
+    frames = re.findall(r"specifiedwindowframe\([^)]*\)[^)]*\)?", text)
+    assert frames and not [f for f in frames if "unboundedfollowing" in f and "unboundedpreceding" not in f]
