@@ -274,7 +274,7 @@ _POST_BATCH = """select o_orderkey as post_id, o_custkey as account_id, cast(o_o
  case when l_linestatus = 'O' then null else concat('line ', cast(l_linenumber as string)) end as text_content,
  l_linestatus as hashtags, cast(l_linenumber as bigint) as media_count, cast(l_partkey as string) as permalink, true as is_synthetic,
  l_linenumber * 1000000000000000000 + l_partkey * 10000000000
-  + (extract(year from l_shipdate) * 400 + extract(doy from l_shipdate)) * 10000 + l_suppkey as _ord
+  + cast(extract(year from l_shipdate) * 400 + extract(doy from l_shipdate) as bigint) * 10000 + l_suppkey as _ord
  from lineitem join orders on o_orderkey = l_orderkey"""
 _POST_COLUMNS = ["post_id", "account_id", "external_id", "published_at", "content_type", "text_content", "hashtags",
                  "media_count", "permalink", "is_synthetic"]
