@@ -73,7 +73,7 @@ def model_backend(name: str, version: str,
         scored = df.withColumn("_answer", predict(F.col(text)))
         return scored.withColumns({
             "sentiment": X.normalize_model_label(F.col("_answer.label")),
-            "sentiment_score": round_dp("_answer.score", 4),
+            "sentiment_score": round_dp(F.col("_answer")["score"], 4),
         }).drop("_answer")
 
     return Backend(name, version, apply)
