@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from agorametrics.llm import bpe
+from agorametrics.llm import bpe, decontaminate
 from agorametrics.llm.common import table
 from agorametrics.session import configure
 
@@ -26,3 +27,34 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
 @query
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def _words(table: str, key: str) -> str:
+    lowered = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"select {key}, row_number() over () as row, regexp_extract_all({lowered}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as words from {table}"
+
+
+ORACLES["op1_decontamination"] = f"""
+with d as materialized ({_words('documents', 'doc_id')}), b as materialized ({_words('benchmark', 'item_id')}),
+asked as (select distinct item_id, least(10, len(words)) as size,
+  array_to_string(words[i:i + least(10, len(words)) - 1], ' ') as win
+ from (select *, unnest(range(1, greatest(1, len(words) - 9) + 1)) as i from b where len(words) > 0)),
+sizes as (select distinct size from asked),
+starts as (select row, size, i, array_to_string(words[i:i + size - 1], ' ') as win
+ from (select row, words, size, unnest(range(1, len(words) - size + 2)) as i from d, sizes where len(words) >= size)),
+hits as (select s.row, s.i, s.size, a.item_id from starts s join asked a on a.size = s.size and a.win = s.win),
+covered as (select row, count(distinct w) as n_hit
+ from (select row, unnest(range(i, i + size)) as w from (select distinct row, i, size from hits)) group by row),
+items as (select row, count(distinct item_id) as n_items,
+  string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar)) as items from hits group by row)
+select d.doc_id, cast(len(d.words) as bigint) as n_words, coalesce(c.n_hit, 0) as n_hit,
+ coalesce(i.n_items, 0) as n_items, sha256(coalesce(i.items, '')) as items_sha256, coalesce(c.n_hit, 0) > 0 as contaminated
+from d left join covered c on c.row = d.row left join items i on i.row = d.row"""
