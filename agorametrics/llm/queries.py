@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agorametrics.llm import bpe, decontaminate
-from agorametrics.llm.common import table
+from agorametrics.llm import bpe, decontaminate, quality, samples, toxicity
+from agorametrics.llm.common import stored, table
 from agorametrics.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,20 @@ items as (select row, count(distinct item_id) as n_items,
 select d.doc_id, cast(len(d.words) as bigint) as n_words, coalesce(c.n_hit, 0) as n_hit,
  coalesce(i.n_items, 0) as n_items, sha256(coalesce(i.items, '')) as items_sha256, coalesce(c.n_hit, 0) > 0 as contaminated
 from d left join covered c on c.row = d.row left join items i on i.row = d.row"""
+
+
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(stored(samples.labelled(docs, table(spark, sf_dir, "labels"), "toxic", 4, 2, toxicity.SAMPLE), "toxic-sample"))
+    return toxicity.score(docs.select("doc_id", "text"), model).select(
+        "doc_id", (samples.fold("doc_id", 4) == 2).alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"), F.size("offending").cast("long").alias("n_offending"))
+
+
+@query
+def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(samples.labelled(docs, table(spark, sf_dir, "labels"), "quality", 3, 1, quality.SAMPLE))
+    return quality.score(docs.select("doc_id", "text"), model).select(
+        "doc_id", (samples.fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
