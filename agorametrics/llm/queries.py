@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agorametrics.llm import bpe, decontaminate, quality, samples, toxicity
+from agorametrics.llm import bpe, decontaminate, quality, samples, toxicity, url_filter
 from agorametrics.llm.common import stored, table
 from agorametrics.session import configure
 
@@ -75,3 +75,37 @@ def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.fit(samples.labelled(docs, table(spark, sf_dir, "labels"), "quality", 3, 1, quality.SAMPLE))
     return quality.score(docs.select("doc_id", "text"), model).select(
         "doc_id", (samples.fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+# Names of sites whose pages make up the list of URLs.
+LISTED_SITES = ["ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
+
+
+@query
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    listed = pages.select("url").where(F.regexp_extract(url_filter.host_of(F.col("url")), "([^.]*)\\.example\\.[a-z]*$", 1).isin(LISTED_SITES))
+    return url_filter.judge(pages, listed, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "listed")
+
+
+def _url_sql() -> str:
+    host = "translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    path = "coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '')"
+    bare = "regexp_replace(host, '^(?:www|m)[.]', '')"
+    query = "regexp_replace(regexp_replace(regexp_extract(coalesce(url, ''), '://[^?#]*[?]([^#]*)', 1), '(?:^|&)(?:utm_[a-z]+|ref|fbclid|gclid)=[^&#]*', '', 'g'), '^&', '')"
+    names = ", ".join(f"'{n}'" for n in LISTED_SITES)
+    cases = []
+    for verdict, rule in sorted(URL_RULES, key=lambda r: -len(r[1])):
+        at = rule.index("/")
+        cases.append((f"(host = '{rule[:at]}' or ends_with(host, '.{rule[:at]}')) and starts_with(path, '{rule[at:]}')", rule, verdict))
+    return f"""with p as (select page_id, url, {host} as host, {path} as path from pages),
+c as (select *, case when {bare} = '' then '' else {bare} || regexp_replace(path, '(?:/|[.]html?|/index[.]html?)$', '')
+ || case when {query} <> '' then '?' || {query} else '' end end as canonical from p),
+listed as (select distinct canonical from c where canonical <> '' and regexp_extract(host, '([^.]*)[.]example[.][a-z]*$', 1) in ({names})),
+j as (select c.*, l.canonical is not null as listed from c left join listed l on l.canonical = c.canonical)
+select page_id, host, path, case {' '.join(f"when {w} then '{r}'" for w, r, _ in cases)} end as rule,
+ case {' '.join(f"when {w} then '{v}'" for w, _, v in cases)} when listed then 'block' else 'allow' end as verdict, listed from j"""
+
+
+ORACLES["op2_url_filter"] = _url_sql()
