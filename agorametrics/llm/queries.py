@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agorametrics.llm import bpe, decontaminate, quality, samples, toxicity, url_filter
+from agorametrics.llm import bpe, decontaminate, quality, quality_rules, samples, toxicity, url_filter
 from agorametrics.llm.common import stored, table
 from agorametrics.session import configure
 
@@ -109,3 +109,60 @@ select page_id, host, path, case {' '.join(f"when {w} then '{r}'" for w, r, _ in
 
 
 ORACLES["op2_url_filter"] = _url_sql()
+
+
+@query
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _rules_sql() -> str:
+    of = {s: (what, per, unit, least) for s, (what, per, unit, least) in quality_rules.SHARES.items()}
+    share = ", ".join(f"case when {per} > 0 then {what} * {unit} // {per} else 0 end as {s}" for s, (what, per, unit, _) in of.items())
+    each = " union all ".join(f"select lang, source, '{s}' as share, {s} as v from s" for s in of)
+    end = "case when bucket < 64 then bucket else ((bucket - (bucket // 32 - 1) * 32 + 1) << (bucket // 32 - 1)::int) - 1 end"
+
+    def quartiles(keys: str) -> str:
+        by = keys + ", " if keys else ""
+        return f"""select {by}share, max(total) as n, min(case when upto * 4 >= total then {end} end) as low,
+  min(case when upto * 4 >= total * 3 then {end} end) as high
+ from (select *, sum(n) over (partition by {by}share order by bucket) as upto, sum(n) over (partition by {by}share) as total
+  from (select {by}share, bucket, count(*) as n from buckets group by all)) group by {by}share"""
+
+    tests = []
+    for s, (_, _, _, least) in of.items():
+        reach = f"{quality_rules.FENCE} * greatest(high - low, {least})"
+        low = f" and v >= low - {reach}" if s == "length" else ""
+        tests.append(f"when share = '{s}' then v <= high + {reach}{low}")
+    return f"""
+with d as materialized (select doc_id, lang, source, row_number() over () as row, coalesce(text, '') as text,
+  regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as words from documents),
+lines as (select row, count(*) as n_lines, count(*) - count(distinct line) as n_dup_lines
+ from (select row, unnest(string_split(text, chr(10))) as line from d) where regexp_matches(line, '[^\\x20\\x09-\\x0D]') group by row),
+wins as (select row, i, array_to_string(words[i:i + 4], ' ') as win
+ from (select row, words, unnest(range(1, len(words) - 3)) as i from d where len(words) >= 6)),
+twice as (select row, i from (select *, count(*) over (partition by row, win) as n from wins) where n > 1),
+again as (select row, count(distinct w) as n_repeat_words from (select row, unnest(range(i, i + 5)) as w from twice) group by row),
+counts as materialized (select d.row, doc_id, lang, source, cast(len(words) as bigint) as n_words,
+ cast(length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')) as bigint) as word_chars,
+ cast(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
+ coalesce(n_lines, 0) as n_lines, coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words
+ from d left join lines l on l.row = d.row left join again a on a.row = d.row),
+s as (select *, {share} from counts),
+buckets as materialized (select lang, source, share, case when v < 64 then v else (length(bin(v)) - 6) * 32 + (v >> (length(bin(v)) - 6)::int) end as bucket from ({each})),
+own as ({quartiles('lang, source')}), by_lang as ({quartiles('lang')}), whole as ({quartiles('')}),
+limits as (select o.lang, o.source, o.share,
+ case when o.n >= {quality_rules.FEWEST} then o.low when b.n >= {quality_rules.FEWEST} then b.low else w.low end as low,
+ case when o.n >= {quality_rules.FEWEST} then o.high when b.n >= {quality_rules.FEWEST} then b.high else w.high end as high
+ from own o join by_lang b on b.share = o.share and b.lang is not distinct from o.lang join whole w on w.share = o.share),
+judged as (select row, bool_and(case {' '.join(tests)} end) as good
+ from (select row, lang, source, unnest([{', '.join(f"'{s}'" for s in of)}]) as share, unnest([{', '.join(of)}]) as v from s) x
+ join limits l using (share) where l.lang is not distinct from x.lang and l.source is not distinct from x.source group by row)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+ n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
+ not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and good as kept
+from counts c join judged j on j.row = c.row"""
+
+
+ORACLES["op7_quality_rules"] = _rules_sql()
