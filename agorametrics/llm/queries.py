@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agorametrics.llm import bpe, decontaminate, quality, quality_rules, samples, toxicity, url_filter
+from agorametrics.llm import bpe, decontaminate, quality, quality_rules, repeats, samples, toxicity, url_filter
 from agorametrics.llm.common import stored, table
 from agorametrics.session import configure
 
@@ -166,3 +166,8 @@ from counts c join judged j on j.row = c.row"""
 
 
 ORACLES["op7_quality_rules"] = _rules_sql()
+
+
+@query
+def op10_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(table(spark, sf_dir, "documents"))
