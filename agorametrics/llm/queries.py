@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agorametrics.llm import bpe, decontaminate, quality, quality_rules, repeats, samples, toxicity, url_filter
+from agorametrics.llm import bpe, decontaminate, forest, licenses, quality, quality_rules, repeats, samples, toxicity, url_filter
 from agorametrics.llm.common import stored, table
 from agorametrics.session import configure
 
@@ -171,3 +171,16 @@ ORACLES["op7_quality_rules"] = _rules_sql()
 @query
 def op10_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digests(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.join(table(spark, sf_dir, "documents")).drop("key", "group")
+
+
+@query
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_sentences", F.array_join("identifiers", ",").alias("sentences"), F.size("matches").cast("long").alias("n_matches"),
+        F.array_join(F.array_sort(F.array_distinct("matches.licence")), ",").alias("licenses"))
