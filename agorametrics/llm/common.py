@@ -29,7 +29,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: lineage is cut, lost executors cost nothing."""
     path = shared_dir(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.stored_at = path
+    return back
+
+
+def release(*frames: DataFrame) -> None:
+    """Give back the space of stored frames that nothing will read any more: each becomes an empty table."""
+    for df in frames:
+        df.sparkSession.createDataFrame([], df.schema).coalesce(1).write.mode("overwrite").parquet(df.stored_at)
 
 
 def fresh(df: DataFrame, *stems: str) -> list[str]:

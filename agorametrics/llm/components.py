@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agorametrics.llm.common import stored
+from agorametrics.llm.common import release, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -28,5 +28,7 @@ def components(edges: DataFrame) -> DataFrame:
         # two numbers of each table tell whether a round changed anything
         facts = [d.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() for d in (now, after)]
         if facts[0] == facts[1]:
+            release(now)
             return after.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
+        release(now)
         now = after

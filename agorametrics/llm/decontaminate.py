@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agorametrics.llm.common import LOWER, PIECE, WORD, lists, packed, pieces, raw, spans, stored
+from agorametrics.llm.common import LOWER, PIECE, WORD, lists, packed, pieces, raw, release, spans, stored
 
 BLOCK = 4 << 20  # bytes of test items that go to the tasks at a time
 
@@ -195,7 +195,7 @@ def documents(index: DataFrame) -> DataFrame:
     return rows.select("segment", "doc", F.col("d.doc_ids").alias("doc_id"), F.col("d.doc_words").cast("long").alias("n_words"))
 
 
-def report(index: DataFrame, hits: DataFrame) -> DataFrame:
+def report(documents: DataFrame, hits: DataFrame) -> DataFrame:
     """Per document the words inside any occurrence, and the items that occur."""
     ordered = hits.groupBy("segment", "doc").agg(
         F.sort_array(F.flatten(F.collect_list(F.arrays_zip("starts", "ends")))).alias("spans"),
@@ -209,11 +209,13 @@ def report(index: DataFrame, hits: DataFrame) -> DataFrame:
         lambda acc: acc["n"].cast("long"))
     found = ordered.select("segment", "doc", covered.alias("n_hit"), "items")
     empty = F.array().cast("array<string>")
-    return documents(index).join(found, ["segment", "doc"], "left").select(
+    return documents.join(found, ["segment", "doc"], "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", empty).alias("items"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, slop: int | None = None) -> DataFrame:
     """doc_id, n_words, n_hit, items of every document."""
     index = stored(build(docs), "postings")
-    return report(index, search(index, benchmark, size, slop))
+    hits, own = stored(search(index, benchmark, size, slop), "hits"), stored(documents(index), "indexed")
+    release(index)
+    return report(own, hits)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agorametrics.llm.common import LOWER, WORD, fresh, lists, mix, pieces, raw, spans, stored, word_hashes
+from agorametrics.llm.common import LOWER, WORD, fresh, lists, mix, pieces, raw, release, spans, stored, word_hashes
 from agorametrics.llm.components import components
 
 SHINGLE = 5
@@ -187,13 +187,15 @@ def join(docs: DataFrame, similar: float = SIMILAR, shingle: int = SHINGLE, reca
     slots = stored(classes.select("d1", "d2", slots).select("d1", "d2", "s.*"), "slots")
     nodes = slots.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("m"), F.min("d1").alias("b")).where("m > 1")
     met = stored(slots.join(nodes, ["tree", "node"]), "met")
+    release(slots)
     family = components(met.select(F.col("d1").alias("a"), "b")).select(F.col("node").alias("d1"), F.col("root").alias("family"))
     members = stored(classes.join(family, "d1"), "members")
     large = members.groupBy("family").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s")).select(
         "family", ((F.col("c") > MEMBERS) | (F.col("s") > SHINGLES)).alias("large"))
     wanted = members.join(large, "family").select("d1", "d2", "label", "family", "large", "one.*").withColumnsRenamed({"doc_id": "d", "key": "k"})
     texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")))
-    full = stored(with_sets(texts, shingle), "sets").dropDuplicates(["d1", "d2"])
+    sets_ = stored(with_sets(texts, shingle), "sets")
+    full = sets_.dropDuplicates(["d1", "d2"])
 
     check = _linked(length, similar)
     yes = F.lit(True)
@@ -201,6 +203,7 @@ def join(docs: DataFrame, similar: float = SIMILAR, shingle: int = SHINGLE, reca
     parts = small.groupBy("family").applyInArrow(check, PARTS)
     parts = parts.unionByName(_tiles(full.where("large"), met).groupBy("tree", "node", "x", "y").applyInArrow(check, PARTS))
     parts = stored(parts, "link-parts")
+    release(met, sets_)
     # families are whole already; tiles of a large one still have to be put together
     in_large = parts.join(wanted.where("large").select("d1", "d2"), ["d1", "d2"], "left_semi")
     name = lambda a, b: F.concat_ws(":", F.col(a), F.col(b))
@@ -211,6 +214,7 @@ def join(docs: DataFrame, similar: float = SIMILAR, shingle: int = SHINGLE, reca
     known = classes.select("d1", "d2", "class_id").join(links, ["d1", "d2"], "left").select(
         "d1", "d2", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", name("d1", "d2")).alias("root"))
     known = stored(known, "class-links")
+    release(parts, members, classes)
     groups = known.groupBy("root").agg(F.min("class_id").alias("group_id"))
     known = known.join(groups, "root").withColumnRenamed("root", "group")
     alone = own.where("n = 0").select(

@@ -8,9 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agorametrics.llm import bpe, decontaminate, forest, licenses, quality, quality_rules, repeats, samples, toxicity, url_filter
+from agorametrics.llm import bpe, decontaminate, forest, licenses, quality, quality_rules, repeats, samples, token_files, toxicity, url_filter
 from agorametrics.llm.common import stored, table
-from agorametrics.session import configure
+from agorametrics.session import configure, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -184,3 +184,10 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_sentences", F.array_join("identifiers", ",").alias("sentences"), F.size("matches").cast("long").alias("n_matches"),
         F.array_join(F.array_sort(F.array_distinct("matches.licence")), ",").alias("licenses"))
+
+
+@query
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_dir(spark, "tokens")
+    token_files.write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.checksums(token_files.tokens(spark, folder))

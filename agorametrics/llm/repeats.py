@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from agorametrics.llm.common import lists, mix, pieces, put, ragged, raw, stored
+from agorametrics.llm.common import lists, mix, pieces, put, ragged, raw, release, stored
 
 LENGTH = 200
 GRAM = 32
@@ -266,6 +266,7 @@ class Repeats:
         by_fp = own.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("ctx").alias("low"), F.max("ctx").alias("high"))
         shared = by_fp.where("n > 1").select("fp", (F.col("low") != F.col("high")).alias("mixed"))
         shared = stored(own.join(shared, "fp"), "shared-anchors")
+        release(own)
         mixed = shared.where("mixed")
         classes = mixed.groupBy("fp", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "key", "at", "size")).alias("one"))
         classes = stored(classes.select("fp", "ctx", "n", "one.*"), "contexts")
@@ -279,7 +280,8 @@ class Repeats:
         marked = mixed.join(marks, ["fp", "ctx"]).select("doc_id", "key", (F.col("at") + F.col("s")).alias("s"), (F.col("at") + F.col("e")).alias("e"))
         whole = shared.where("not mixed").select("doc_id", "key", F.col("at").alias("s"), (F.col("at") + F.col("size")).alias("e"))
         ranges = whole.unionByName(marked).groupBy("doc_id", "key").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-        self.spans = _merged(ranges)
+        self.spans = stored(_merged(ranges), "spans")
+        release(shared, classes, marks)
 
     @staticmethod
     def _marks(contexts: DataFrame, classes: DataFrame, length: int) -> DataFrame:
@@ -341,8 +343,7 @@ def cut(rows: DataFrame, text: str = "text", spans: str = "spans", out: str = "k
 def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
     found = Repeats(docs, length)
-    spans = stored(found.spans, "spans")
-    names = spans.select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "spans")
+    names = found.spans.select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "spans")
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k"))
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
     changed = cut(found.texts.drop("asked").join(names, same).select("doc_id", "text", "spans")).select(
