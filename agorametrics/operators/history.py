@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 
 from agorametrics.functions.text import _strip, is_blank
 
-MAX_RUNS = 100
-ERROR_CHARS = 500
-
 
 def brand_context(posts: DataFrame, limit: int = 3) -> DataFrame:
     """The last captions per account as ``- text`` lines, newest first; blank ones among them are
@@ -32,17 +29,18 @@ def recent_runs(runs: DataFrame, limit: int = 20, account_id=None) -> DataFrame:
     """Newest agent runs with the tool calls out of their trace."""
     if account_id is not None:
         runs = runs.filter(F.col("account_id") == account_id)
-    newest = runs.orderBy(F.desc("id")).limit(min(limit, MAX_RUNS))
+    newest = runs.orderBy(F.desc("id")).limit(limit)
     trace = F.from_json("reasoning_trace", "tool_calls array<string>")["tool_calls"]
     return newest.withColumn("trace", F.coalesce(trace, F.array().cast("array<string>"))).drop("reasoning_trace")
 
 
-def attempt_depth(results: DataFrame, attempts: str = "attempts") -> DataFrame:
-    """One row per attempt of a call; its place in the list is the fallback depth, the error text
-    is cut at 500 characters."""
+def attempt_depth(results: DataFrame, attempts: str = "attempts", error_chars: int | None = None) -> DataFrame:
+    """One row per attempt of a call; its place in the list is the fallback depth. ``error_chars``
+    cuts the error texts; by default they stay whole."""
     keep = [c for c in results.columns if c != attempts]
     rows = results.select(*keep, F.posexplode(attempts).alias("fallback_depth", "_a"))
-    error = F.when(F.col("_a.error") != "", F.substring(F.col("_a.error"), 1, ERROR_CHARS))
+    text = F.col("_a.error") if error_chars is None else F.substring(F.col("_a.error"), 1, error_chars)
+    error = F.when(F.col("_a.error") != "", text)
     return rows.select(
         *keep, F.col("fallback_depth").cast("bigint").alias("fallback_depth"), "_a.provider", "_a.model",
         "_a.status", error.alias("error"))

@@ -13,8 +13,6 @@ from agorametrics.operators import posts as P
 from agorametrics.schemas import COUNT_COLUMNS, COUNT_DEFAULT_ZERO
 
 FUTURE_TOLERANCE_MINUTES = 5
-FIRST_SYNC_DAYS = 90
-COMMENT_POST_CAP = 25
 RETENTION_DAYS = 30
 
 
@@ -211,11 +209,15 @@ def normalize_and_store(batch: dict[str, DataFrame], tables: dict[str, DataFrame
 
 # --- cursors, fetch cap, retention -----------------------------------------------------------
 def cursor_filter(rows: DataFrame, cursors: DataFrame, keys, ts: str, as_of,
-                  first_sync_days: int = FIRST_SYNC_DAYS) -> DataFrame:
-    """Rows newer than their key's cursor; without one, of the last ``first_sync_days``."""
-    default = P.timestamp(P.moment(as_of) - timedelta(days=first_sync_days))
+                  first_sync_days: int | None = None) -> DataFrame:
+    """Rows newer than their key's cursor. Without a cursor all rows, or, where the caller gives
+    ``first_sync_days``, those of that many days before ``as_of``."""
     joined = rows.join(cursors.select(*keys, "cursor_value"), list(keys), "left")
-    return joined.filter(F.col(ts) > F.coalesce("cursor_value", default)).select(*rows.columns)
+    first = F.lit(True)
+    if first_sync_days is not None:
+        first = F.col(ts) > P.timestamp(P.moment(as_of) - timedelta(days=first_sync_days))
+    newer = F.when(F.col("cursor_value").isNull(), first).otherwise(F.col(ts) > F.col("cursor_value"))
+    return joined.filter(newer).select(*rows.columns)
 
 
 def advance_cursors(cursors: DataFrame, seen: DataFrame, keys, as_of) -> DataFrame:
@@ -226,8 +228,8 @@ def advance_cursors(cursors: DataFrame, seen: DataFrame, keys, as_of) -> DataFra
     return stacked.groupBy(*keys).agg(F.max_by("cursor_value", "_side").alias("cursor_value"))
 
 
-def comment_fetch_cap(posts: DataFrame, cap: int = COMMENT_POST_CAP, keys=("account_id",)) -> DataFrame:
-    """The newest posts per account whose comments one run fetches."""
+def comment_fetch_cap(posts: DataFrame, cap: int, keys=("account_id",)) -> DataFrame:
+    """The ``cap`` newest posts per account, for a caller whose fetches are counted."""
     order = [F.desc("published_at"), F.asc("post_id")]
     ranked = posts.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
     return ranked.filter(F.col("rank") <= cap).withColumn("rank", F.col("rank").cast("bigint"))

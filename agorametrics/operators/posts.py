@@ -62,12 +62,14 @@ def nonblank_text(df: DataFrame, text: str = "text_content") -> DataFrame:
     return df.filter(~is_blank(F.col(text)))
 
 
-def latest_snapshot(snapshots: DataFrame) -> DataFrame:
+def latest_snapshot(snapshots: DataFrame, as_of=None) -> DataFrame:
     """Newest snapshot per post, in one aggregation and without a self-join.
 
-    One ``max_by`` per column keeps the buffers fixed-width, so Spark aggregates by hash and
+    ``as_of`` leaves out what was captured later: a rerun finds the same rows. One ``max_by`` per column keeps the buffers fixed-width, so Spark aggregates by hash and
     combines before the shuffle. (post_id, captured_at) is a key, so all pick the same row.
     """
+    if as_of is not None:
+        snapshots = snapshots.filter(F.col("captured_at") <= timestamp(as_of))
     newest = [F.max_by(c, "captured_at").alias(c) for c in METRIC_COLUMNS if c in snapshots.columns]
     return snapshots.groupBy("post_id").agg(F.max("captured_at").alias("captured_at"), *newest)
 
@@ -83,16 +85,15 @@ def with_engagement(df: DataFrame) -> DataFrame:
 def resolve_followers(accounts: DataFrame, follower_snapshots: DataFrame, as_of) -> DataFrame:
     """One row per account: ``followers`` and ``followers_basis`` at ``as_of``.
 
-    The snapshot nearest in time within a week, else the account's latest count.
+    The last snapshot of the week before, else the account's latest count. Nothing captured after
+    ``as_of`` counts.
     """
     at = moment(as_of)
     age = timedelta(days=FOLLOWER_MAX_AGE_DAYS)
-    distance = F.abs(F.unix_micros("captured_at") - F.unix_micros(timestamp(at)))
     nearest = (
         follower_snapshots
-        .filter((F.col("captured_at") >= timestamp(at - age)) & (F.col("captured_at") <= timestamp(at + age)))
-        .groupBy("account_id")
-        .agg(F.min_by("followers_count", F.struct(distance, F.col("captured_at"))).alias("_snapshot"))
+        .filter((F.col("captured_at") >= timestamp(at - age)) & (F.col("captured_at") <= timestamp(at)))
+        .groupBy("account_id").agg(F.max_by("followers_count", "captured_at").alias("_snapshot"))
     )
     followers = F.coalesce("_snapshot", "followers_count")
     basis = (
@@ -129,7 +130,8 @@ def post_metrics(posts: DataFrame, snapshots: DataFrame, accounts: DataFrame,
     """One row per post: its newest counts, platform, engagement and followers.
 
     Posts without a snapshot drop out. ``accounts`` carries account_id, platform, handle and
-    followers_count. All filters are on stored columns and reach the scans. A source that never
+    followers_count. All filters are on stored columns and reach the scans; with any filter on the
+    posts, only snapshots of the posts left are aggregated. Snapshots after ``as_of`` don't count. A source that never
     captures a post before it is published may set ``snapshots_follow_publish``; the lower bound
     then prunes the snapshots as well.
     """
@@ -149,7 +151,9 @@ def post_metrics(posts: DataFrame, snapshots: DataFrame, accounts: DataFrame,
             F.when(F.col("followers_count").isNotNull(), "account_latest").otherwise("unavailable"),
         )
     owners = owners.select("account_id", "platform", "handle", "followers", "followers_basis")
-    newest = latest_snapshot(snapshots)
+    if since is not None or until is not None or account_ids is not None:
+        snapshots = snapshots.join(scoped.select("post_id"), "post_id", "left_semi")
+    newest = latest_snapshot(snapshots, as_of)
     joined = scoped.join(newest, "post_id").join(owners, "account_id")
     return with_engagement(joined)
 

@@ -13,7 +13,6 @@ MIN_DOCS = 20
 MIN_TOPIC_SIZE = 3
 TOP_KEYWORDS = 8
 OUTLIER = -1
-MAX_LISTED = 200
 
 
 def usable_clusters(assigned: DataFrame, keys=("account_id",), min_docs: int = MIN_DOCS,
@@ -71,20 +70,22 @@ def topic_comment_link(analyses: DataFrame, assigned: DataFrame, usable: DataFra
 
 
 def list_topics(topics: DataFrame, limit: int = 50, keys=("account_id",)) -> DataFrame:
-    """Stored topics per key, largest first, at most 200."""
+    """The ``limit`` largest stored topics per key; rows without a topic are left out."""
     order = [F.col("comment_count").desc_nulls_last(), F.col("cluster_id").asc()]
+    topics = topics.filter(F.col("cluster_id").isNotNull())
     ranked = topics.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
-    return ranked.filter(F.col("rank") <= min(limit, MAX_LISTED)).withColumn(
+    return ranked.filter(F.col("rank") <= limit).withColumn(
         "rank", F.col("rank").cast("bigint"))
 
 
 def fit_topics(comments: DataFrame, k: int = 10, text: str = "text_content", seed: int = 42,
-               min_weight: float = 0.3, vocabulary: int = 1 << 16, max_iter: int = 10):
+               min_weight: float = 0.3, vocabulary: int | None = None, max_iter: int = 10):
     """Cluster comments by their words: one topic model over all accounts.
 
     A document belongs to its heaviest topic; below ``min_weight`` it is an outlier. Returns the
-    comments with ``cluster_id``, and ``cluster_id, keywords``. Comments of the same seed and
-    order give the same topics.
+    comments with ``cluster_id``, and ``cluster_id, keywords``. Every iteration reads all comments.
+    ``vocabulary`` bounds the words the model knows (its tables grow with k times the words); by
+    default all are known. Comments of the same seed and order give the same topics.
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.clustering import LDA
@@ -94,9 +95,9 @@ def fit_topics(comments: DataFrame, k: int = 10, text: str = "text_content", see
     prepared = comments.withColumn("_clean", preprocess_text(F.col(text)))
     model = Pipeline(stages=[
         RegexTokenizer(inputCol="_clean", outputCol="_words", pattern=r"\p{L}[\p{L}\p{N}]+", gaps=False),
-        CountVectorizer(inputCol="_words", outputCol="_counts", vocabSize=vocabulary),
+        CountVectorizer(inputCol="_words", outputCol="_counts", vocabSize=vocabulary or (1 << 31) - 1),
         LDA(featuresCol="_counts", topicDistributionCol="_weights", k=k, seed=seed,
-            maxIter=max_iter, optimizer="online"),
+            maxIter=max_iter, optimizer="online", subsamplingRate=1.0),
     ]).fit(prepared)
     placed = model.transform(prepared).withColumn("_w", vector_to_array("_weights"))
     heaviest = F.array_max("_w")

@@ -155,7 +155,15 @@ _D = {
 }
 
 
-@query("kpi_overview", f"""with {WINDOW}, {_BEST},
+# facts and owners with the followers known at the report date
+_OWNED = f"""owners as (select a.* exclude (followers_count), coalesce(n.followers_count, a.followers_count) as followers_count,
+  case when n.followers_count is not null then 'snapshot' when a.followers_count is null then 'unavailable' else 'account_latest' end as followers_basis
+  from fx_accounts a left join (select account_id, arg_max(followers_count, captured_at) as followers_count from fx_order_followers
+   where captured_at between {O_UNTIL} - interval 7 day and {O_UNTIL} group by 1) n on n.account_id = a.account_id),
+ {WINDOW.replace("join fx_accounts a", "join owners a")}"""
+
+
+@query("kpi_overview", f"""with {_OWNED}, {_BEST},
  gaps as (select account_id, (epoch_us(published_at) -
   epoch_us(lag(published_at) over (partition by account_id order by published_at, post_id))) / 3600000000.0::double as gap from w),
  c as (select account_id, count(*) as n, {isum('engagement')} as e, {MEAN} as m, {MEDIAN} as med,
@@ -164,10 +172,9 @@ _D = {
  p as (select account_id, count(*) as pn, {isum('engagement')} as pe, {MEAN} as pm_ from facts
   where published_at >= {O_PREV} and published_at < {O_SINCE} group by 1),
  j as (select a.account_id, a.handle, a.platform, a.followers_count as followers,
-  case when a.followers_count is null then 'unavailable' else 'account_latest' end as followers_basis,
-  coalesce(n, 0) as n, coalesce(e, 0) as e, m, med, coalesce(basis, 'none') as basis, sd,
+  a.followers_basis, coalesce(n, 0) as n, coalesce(e, 0) as e, m, med, coalesce(basis, 'none') as basis, sd,
   coalesce(pn, 0) as pn, coalesce(pe, 0) as pe, pm_
-  from fx_accounts a left join c using (account_id) left join s using (account_id) left join p using (account_id))
+  from owners a left join c using (account_id) left join s using (account_id) left join p using (account_id))
  select j.account_id, handle, platform, followers, followers_basis, n as n_posts, e as total_engagement,
   basis as engagement_rate_basis, m as avg_engagement_rate, case when m is null then 'insufficient_data' end as avg_engagement_rate_reason,
   case when n >= 3 then sd end as posting_consistency_hours, case when n < 3 then 'insufficient_data' end as posting_consistency_hours_reason,
@@ -178,7 +185,7 @@ _D = {
  from j left join best using (account_id) left join worst using (account_id)""")
 def _(fx):
     until, delta = P.moment(ORDERS_AS_OF), P.parse_window("730d")
-    accounts, followers = fx["fx_accounts"], fx["fx_follower_snapshots"]
+    accounts, followers = fx["fx_accounts"], fx["fx_order_followers"]
     facts = materialize(K.post_facts(fx["fx_posts"], fx["fx_snapshots"], accounts, followers, ORDERS_AS_OF,
                                      until - 2 * delta, until), "post-facts")
     owners = P.resolve_followers(accounts, followers, ORDERS_AS_OF)
@@ -435,7 +442,7 @@ def _(fx):
 @query("comment_fetch_cap", """select account_id, post_id, row_number() over (partition by account_id
  order by published_at desc, post_id) as rank from fx_timed_posts qualify rank <= 25""")
 def _(fx):
-    return I.comment_fetch_cap(fx["fx_timed_posts"]).select("account_id", "post_id", "rank")
+    return I.comment_fetch_cap(fx["fx_timed_posts"], cap=25).select("account_id", "post_id", "rank")
 
 
 @query("brand_context", """with l as (select account_id, text_content, row_number() over (partition by account_id
@@ -459,7 +466,7 @@ _RUNS = """select event_id as id, user_id as account_id, concat('q ', cast(event
 
 @query("recent_runs", f"""select id, account_id, question, case when reasoning_trace is null then ''
  else concat('kpi_overview,', json_extract_string(reasoning_trace, '$.tool_calls[1]')) end as trace
- from ({_RUNS}) order by id desc limit 100""")
+ from ({_RUNS}) order by id desc limit 500""")
 def _(fx):
     runs = H.recent_runs(fx.sql(_RUNS), limit=500)
     return runs.withColumn("trace", F.array_join("trace", ","))
@@ -485,4 +492,4 @@ def _(fx):
     attempt = F.struct("id", "provider", "model", "status", "error")
     grouped = calls.groupBy("user_id", F.floor(F.col("id") / 4).alias("call")).agg(
         F.array_sort(F.collect_list(attempt)).alias("attempts"))
-    return H.attempt_depth(grouped)
+    return H.attempt_depth(grouped, error_chars=500)

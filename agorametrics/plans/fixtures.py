@@ -48,6 +48,9 @@ select l_orderkey as post_id, l_shipdate as captured_at,
     "fx_follower_snapshots": """
 select user_id as account_id, ts as captured_at, cast(floor(value * 100) as bigint) as followers_count
  from events where event_type = 'signup'""",
+    "fx_order_followers": f"""
+select c_custkey as account_id, timestamp '{ORDERS_AS_OF}' - interval '1' day * cast(c_custkey % 12 as int) + interval '1' day * 2 as captured_at,
+ c_custkey * 7 % 5000 as followers_count from customer where c_custkey % 4 <> 1""",
     "fx_timed_posts": """
 select event_id as post_id, user_id as account_id, ts as published_at, event_type as content_type, value as er from events""",
     "fx_comments": """
@@ -61,9 +64,9 @@ select event_id as id, case when user_id % 2 = 0 then 'youtube' else 'facebook'
  cast(event_id as varchar(20)) as external_id, props as payload, ts as captured_at from events""",
     "fx_text": """
 select doc_id as text_id, case doc_id % 12
- when 0 then '3ajbetni barcha el video, ya3tik sa7a' when 1 then 'behi barcha, yesser' when 2 then 'el livraison m3atla yesser, mouch behi'
- when 3 then 'Super produit, je recommande vivement la livraison' when 4 then 'Great quality product, will order again for sure'
- when 5 then 'منتج رائع شكرا لكم' when 6 then 'جميلَة أهلا إسلام #نجاح' when 7 then 'price is 300 for 2 items thanks'
+ when 0 then 'tawa nheb el photo hedhi barcha, 3aychek' when 1 then 'mrigel yesser, labes' when 2 then 'chnowa hedha, el colis mouch 3adi'
+ when 3 then 'Merci pour la commande, vous avez bien fait' when 4 then 'This is the map for the harbour, and it was very good'
+ when 5 then 'الصورة واضحة جدا اليوم' when 6 then 'جميلَة أهلا إسلام #نجاح' when 7 then 'the book has 12 maps and 3 notes for you'
  when 8 then '@ali barchaaaa!!! 😍 https://x.com now' when 9 then 'awful 😡 visit www.site.tn #Tunis #tunis #Café_1'
  when 10 then '   ' else 'hmm 🤔 😍😡 déçu' end as text_content from documents""",
     "fx_day_sentiment": """
@@ -180,6 +183,11 @@ select cast(o_orderkey as string) as order_key, o_orderkey as _ord,
 }
 
 
+# both the planted edge cases and the long documents
+TEXTS = """select text_id, text_content from fx_text
+ union all select doc_id + 1000000000 as text_id, text as text_content from documents"""
+
+
 def _names(sql: str, known) -> list[str]:
     words = set(re.findall(r"[a-z_]+", sql))
     return [n for n in known if n in words]

@@ -9,7 +9,7 @@ from agorametrics.operators import kpi as K
 from agorametrics.operators import posts as P
 from agorametrics.operators import sentiment as S
 from agorametrics.operators import topics as TP
-from agorametrics.plans.fixtures import EVENTS_AS_OF, ORDERS_AS_OF
+from agorametrics.plans.fixtures import EVENTS_AS_OF, ORDERS_AS_OF, TEXTS
 from agorametrics.plans.registry import (
     FACTS, KPI_SQL, LATEST, POST_METRICS, bounds, isum, kpi_select, query, rd, ts,
 )
@@ -20,7 +20,7 @@ GATE_AS_OF = "2000-06-01 00:00:00"
 
 
 def metrics(fx, **kw):
-    return P.post_metrics(fx["fx_posts"], fx["fx_snapshots"], fx["fx_accounts"], **kw)
+    return P.post_metrics(fx["fx_posts"], fx["fx_snapshots"], fx["fx_accounts"], as_of=ORDERS_AS_OF, **kw)
 
 
 # --- filters ---------------------------------------------------------------------------------
@@ -92,7 +92,7 @@ _CURSORS = f"""select source, entity_type, max(captured_at) - interval 5 day as
 def _(fx):
     events = fx["fx_raw_events"].select("id", "source", "entity_type", "captured_at")
     cursors = fx.sql(_CURSORS)
-    return I.cursor_filter(events, cursors, ["source", "entity_type"], "captured_at", "2024-04-10 00:00:00")
+    return I.cursor_filter(events, cursors, ["source", "entity_type"], "captured_at", "2024-04-10 00:00:00", first_sync_days=90)
 
 
 @query("retention_purge", f"""select count(*) filter (captured_at < {ts('2024-02-10 00:00:00')} - interval 30 day) as deleted,
@@ -108,9 +108,9 @@ def _(fx):
     return fx["fx_comments"].filter(F.col("sentiment").isNull()).select("comment_id", "account_id")
 
 
-@query("nonblank_text_filter", "select text_id, text_content from fx_text where trim(text_content) <> ''")
+@query("nonblank_text_filter", f"select text_id, text_content from ({TEXTS}) where trim(text_content, ' ' || chr(10) || chr(9) || chr(13)) <> ''")
 def _(fx):
-    return P.nonblank_text(fx["fx_text"])
+    return P.nonblank_text(fx.sql(TEXTS))
 
 
 @query("min_sample_filter", """select account_id, content_type, count(*) as n from fx_timed_posts
@@ -148,7 +148,7 @@ def _(fx):
  l.comments_count, l.shares, l.saves, l.reach, l.impressions, l.video_views, l.clicks
  from fx_posts p join latest l on l.post_id = p.post_id""")
 def _(fx):
-    newest = P.latest_snapshot(fx["fx_snapshots"])
+    newest = P.latest_snapshot(fx["fx_snapshots"], ORDERS_AS_OF)
     return fx["fx_posts"].select("post_id", "account_id").join(newest, "post_id")
 
 
@@ -180,7 +180,7 @@ def _(fx):
   select account_id, followers_count, row_number() over (partition by account_id
    order by abs(epoch_us(captured_at) - epoch_us({E_UNTIL})), captured_at) as rn
   from fx_follower_snapshots
-  where captured_at between {E_UNTIL} - interval 7 day and {E_UNTIL} + interval 7 day)
+  where captured_at between {E_UNTIL} - interval 7 day and {E_UNTIL})
  select a.account_id, coalesce(n.followers_count, a.followers_count) as followers,
   case when n.followers_count is not null then 'snapshot' when a.followers_count is not null then 'account_latest'
    else 'unavailable' end as followers_basis

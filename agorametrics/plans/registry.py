@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from agorametrics.functions.metric import parse_window
-from agorametrics.plans.fixtures import Fixtures, with_views
+from agorametrics.plans.fixtures import ORDERS_AS_OF, Fixtures, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -59,7 +59,7 @@ def bounds(as_of: str, window: str) -> tuple[str, str, str]:
     return ts(until), ts(until - delta), ts(until - 2 * delta)
 
 
-LATEST = """latest as (select * from fx_snapshots
+LATEST = f"""latest as (select * from fx_snapshots where captured_at <= timestamp '{ORDERS_AS_OF}'
  qualify row_number() over (partition by post_id order by captured_at desc) = 1)"""
 
 POST_METRICS = f"""{LATEST}, pm as (

@@ -12,7 +12,7 @@ from agorametrics.operators import evaluate as E
 from agorametrics.operators import posts as P
 from agorametrics.operators import sentiment as S
 from agorametrics.operators import topics as TP
-from agorametrics.plans.fixtures import EVENTS_AS_OF
+from agorametrics.plans.fixtures import EVENTS_AS_OF, TEXTS
 from agorametrics.plans.post_queries import ASSIGNED
 from agorametrics.plans.registry import bounds, isum, query, rd
 from agorametrics.session import materialize
@@ -26,11 +26,6 @@ def _list(values) -> str:
     return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
 
 
-# both the planted edge cases and the long documents
-TEXTS = """select text_id, text_content from fx_text
- union all select doc_id + 1000000000 as text_id, text as text_content from documents"""
-
-
 def text_query(name: str, oracle: str | None, source: str = TEXTS):
     """A query over all texts; the oracle gives the select list for a text ``t``."""
     sql = None if oracle is None else f"select text_id, {oracle} from (select text_id, text_content as t from ({source}))"
@@ -157,11 +152,11 @@ def _(t):
 
 
 @query("emoji_polarity_rollup", f"""with p as (select text_id % 12 as pool, {_POLARITY} as polarity
-  from (select text_id, text_content as t from fx_text))
+  from (select text_id, text_content as t from ({TEXTS})))
  select pool, count(*) as n_texts, {rd('sum(cast(round(polarity * 10000) as bigint)) / 10000.0 / count(*)', 4)} as avg_emoji_polarity
  from p group by 1""")
 def _(fx):
-    pooled = fx["fx_text"].withColumn("pool", F.col("text_id") % 12)
+    pooled = fx.sql(TEXTS).withColumn("pool", F.col("text_id") % 12)
     return S.emoji_polarity_rollup(pooled, ["pool"])
 
 
@@ -227,7 +222,7 @@ def _(fx):
     return X.with_language(fx.sql(TEXTS), "text_content").drop("text_content")
 
 
-@query("score_sentiment", rf"""with src as (select text_id, coalesce(text_content, '') as t from fx_text), {detect_sql('src', 'text_id')},
+@query("score_sentiment", rf"""with src as (select text_id, coalesce(text_content, '') as t from ({TEXTS})), {detect_sql('src', 'text_id')},
  {clean_sql('src', 'text_id')},
  w as (select d.*, c.t as clean, regexp_extract_all(lower(c.t), '[\p{{L}}\p{{N}}]+') as tok from detected d join cleaned c using (text_id)),
  n as (select *, len(list_filter(tok, lambda x: list_contains({_list(vocab.POSITIVE_WORDS)}, x)))
@@ -239,7 +234,7 @@ def _(fx):
   case when up = down then 0.5::double else {rd('greatest(up, down) / (up + down)', 4)} end as sentiment_score,
   'lexicon' as model_name, 'lexicon-1.0' as model_version, language = 'aeb-latn' as needs_arabizi_specialist from n""")
 def _(fx):
-    return S.score_sentiment(fx["fx_text"]).drop("text_content")
+    return S.score_sentiment(fx.sql(TEXTS)).drop("text_content")
 
 
 _LABEL_MAP = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in vocab.DATASET_LABELS.items()) + "}"
@@ -440,7 +435,7 @@ def _(fx):
 @query("fit_topics")
 def _(fx):
     comments = fx["fx_comments"].select("comment_id", "account_id", "text_content", "sentiment")
-    assigned, keywords = TP.fit_topics(materialize(comments, "topic-input"), k=5, max_iter=5, vocabulary=1 << 14)
+    assigned, keywords = TP.fit_topics(materialize(comments, "topic-input"), k=5, max_iter=5)
     rolled = TP.topic_rollup(assigned, keywords)
     return rolled.withColumn("keywords", F.array_join("keywords", " "))
 

@@ -53,7 +53,7 @@ def stub(name, answer):
 
 
 def test_scoring_routes_dialect(table):
-    df = table([(1, "behi barcha, yesser"), (2, "Great quality product"), (3, None)], "comment_id long,text_content string")
+    df = table([(1, "mrigel yesser, labes"), (2, "This is a very good map"), (3, None)], "comment_id long,text_content string")
     main = S.score_sentiment(df, stub("main", "LABEL_2"))
     got = {r.comment_id: r for r in main.collect()}
     assert got[1].needs_arabizi_specialist and not got[2].needs_arabizi_specialist

@@ -72,11 +72,11 @@ def test_white_space(apply):
 
 def test_language(spark):
     texts = {
-        "3ajbetni barcha el video, ya3tik sa7a": ("aeb-latn", "arabizi_rule"), "behi barcha, yesser": ("aeb-latn", "arabizi_rule"),
-        "el livraison m3atla yesser, mouch behi": ("aeb-latn", "arabizi_rule"), "sa7a 3aslema chnowa": ("aeb-latn", "arabizi_rule"),
-        "منتج رائع شكرا لكم": ("ar", "script"), "Super produit, je recommande vivement la livraison": ("fr", "heuristic"),
-        "Great quality product, will order again for sure": ("en", "heuristic"), "": ("other", "heuristic"),
-        "   ": ("other", "heuristic"), "price is 300 for 2 items thanks": ("en", "heuristic"), "12345 !!": ("other", "heuristic"),
+        "tawa nheb el photo hedhi barcha, 3aychek": ("aeb-latn", "arabizi_rule"), "mrigel yesser, labes": ("aeb-latn", "arabizi_rule"),
+        "chnowa hedha, el colis mouch 3adi": ("aeb-latn", "arabizi_rule"), "aslema sahbi kifach": ("aeb-latn", "arabizi_rule"),
+        "الصورة واضحة جدا اليوم": ("ar", "script"), "Merci pour la commande, vous avez bien fait": ("fr", "heuristic"),
+        "This is the map for the harbour, and it was very good": ("en", "heuristic"), "": ("other", "heuristic"),
+        "   ": ("other", "heuristic"), "the book has 12 maps and 3 notes for you": ("en", "heuristic"), "12345 !!": ("other", "heuristic"),
     }
     df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
     rows = {r.t: r for r in X.with_language(df, "t").collect()}
