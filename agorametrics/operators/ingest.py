@@ -125,9 +125,20 @@ def skip_report(*rejected: DataFrame) -> DataFrame:
     return out
 
 
-def new_ids(df: DataFrame, keys) -> Column:
-    """Surrogate id of a natural key: the same key always gets the same id, on any executor."""
-    return F.xxhash64(*[F.col(k) for k in keys])
+def new_ids(df: DataFrame, keys, content=(), order: str = "_ord") -> Column:
+    """Surrogate id of a natural key, 128 bits as text: the same key always gets the same id, on any
+    executor. A row without a whole key is told apart by ``content`` and its place in ``order``."""
+
+    def part(c: str) -> Column:
+        text = F.col(c).cast("string")
+        return F.coalesce(F.concat(F.length(text), F.lit(":"), text), F.lit("-"))
+
+    whole = F.concat_ws("|", *[part(k) for k in keys])
+    keyless = F.lit(False)
+    for k in keys:
+        keyless = keyless | F.col(k).isNull()
+    more = [part(c) for c in [*content, order] if c in df.columns]
+    return F.md5(F.when(keyless, F.concat_ws("|", whole, *more)).otherwise(whole))
 
 
 def stage_posts(staged: DataFrame, accounts: DataFrame, as_of) -> DataFrame:
@@ -139,7 +150,7 @@ def stage_posts(staged: DataFrame, accounts: DataFrame, as_of) -> DataFrame:
         tags = F.coalesce(F.col("hashtags"), tags)
     return gated.withColumns({
         "reason": reason, "content_type": X.map_content_type(F.col("content_type")), "hashtags": tags,
-        "post_id": new_ids(gated, ["account_id", "external_id"]),
+        "post_id": new_ids(gated, ["account_id", "external_id"], ["published_at", "text_content"]),
     }).drop("reject_reason")
 
 
@@ -157,7 +168,7 @@ def stage_comments(staged: DataFrame, accounts: DataFrame, posts: DataFrame) ->
     return resolved.withColumns({
         "author_hash": X.author_hash(F.col("author_external_id")),
         "reason": F.when(F.col("post_id").isNull(), "unknown_post"),
-        "comment_id": new_ids(resolved, ["post_id", "external_id"]),
+        "comment_id": new_ids(resolved, ["post_id", "external_id"], ["published_at", "text_content"]),
     }).drop("author_external_id")
 
 

@@ -124,13 +124,14 @@ select cast(o.o_orderkey as string) as post_external_id, cast(o.o_custkey as str
  false as is_synthetic, e.event_id as _ord
  from events e join orders o on o.o_orderkey = e.event_id % 100""",
     "fx_landing": """
-select case when user_id % 2 = 0 then 'youtube' else 'facebook' end as source,
+select case when event_id % 41 = 0 then 'elsewhere' when user_id % 2 = 0 then 'youtube' else 'facebook' end as source,
  case event_type when 'view' then 'metric' when 'click' then 'post' when 'signup' then 'account' else 'comment' end as entity_type,
  case when event_type = 'signup' then concat('acc', cast(user_id as string)) else cast(event_id as string) end as external_id,
  concat('acc', cast(user_id as string)) as account_external_id,
  case when event_type in ('signup', 'click') then null else concat('p', cast(event_id % 500 as string)) end as post_external_id,
  ts as captured_at, event_id as _ord,
- case when event_type = 'signup' and user_id % 2 = 0 then
+ case when event_id % 37 = 0 then '{"id":"cut off' when event_id % 43 = 0 then '[1, 2]' when event_id % 47 = 0 then null
+ when event_type = 'signup' and user_id % 2 = 0 then
   concat('{"id":"acc', cast(user_id as string), '","snippet":{"title":"Title ', cast(event_id as string), '"',
    case when user_id % 3 = 0 then ',"customUrl":""' else concat(',"customUrl":"@u', cast(event_id as string), '"') end,
    '},"statistics":{"subscriberCount":"', cast(event_id as string), '"}}')

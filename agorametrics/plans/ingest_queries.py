@@ -101,6 +101,9 @@ def _j(path: str) -> str:
 
 
 _VIDEO = "source = 'youtube'"
+_BAD = """case when source = 'elsewhere' then 'unknown_source'
+ when _ord % 37 = 0 or _ord % 43 = 0 or _ord % 47 = 0 then 'malformed_payload' end"""
+_READ = f"(select * from fx_landing where {_BAD} is null)"
 _POSTS = f"""select _ord, account_external_id, source as platform, external_id,
  case when {_VIDEO} then cast(replace({_j('contentDetails.videoPublishedAt')}, 'Z', '') as timestamp)
   else cast(left({_j('created_time')}, 19) as timestamp) end as published_at,
@@ -110,27 +113,27 @@ _POSTS = f"""select _ord, account_external_id, source as platform, external_id,
  case when {_VIDEO} then {_j('snippet.title')} || case when {_j('snippet.description')} = '' then '' else chr(10) || {_j('snippet.description')} end
   else {_j('message')} end as text_content,
  case when {_VIDEO} then 'https://www.youtube.com/watch?v=' || external_id else {_j('permalink_url')} end as permalink,
- cast(0 as bigint) as media_count, false as is_synthetic from fx_landing where entity_type = 'post'"""
+ cast(0 as bigint) as media_count, false as is_synthetic from {_READ} where entity_type = 'post'"""
 _ACCOUNTS = f"""select _ord, source as platform, external_id,
  case when {_VIDEO} then coalesce(nullif({_j('snippet.customUrl')}, ''), {_j('snippet.title')}) else {_j('username')} end as handle,
  case when {_VIDEO} then {_j('snippet.title')} else {_j('name')} end as display_name,
  case when {_VIDEO} then cast({_j('statistics.subscriberCount')} as bigint)
   else coalesce(cast({_j('followers_count')} as bigint), cast({_j('fan_count')} as bigint)) end as followers_count,
- false as is_competitor from fx_landing where entity_type = 'account'"""
+ false as is_competitor from {_READ} where entity_type = 'account'"""
 _METRICS = f"""select _ord, external_id as post_external_id, account_external_id, source as platform, captured_at,
  cast(case when {_VIDEO} then {_j('statistics.likeCount')} else {_j('engagement.likes.summary.total_count')} end as bigint) as likes,
  cast(case when {_VIDEO} then coalesce({_j('statistics.commentCount')}, '0') else {_j('engagement.comments.summary.total_count')} end as bigint) as comments_count,
  cast(case when {_VIDEO} then '0' else coalesce({_j('engagement.shares.count')}, '0') end as bigint) as shares, cast(0 as bigint) as saves,
  cast({_j('insights.data[1].values[0].value')} as bigint) as reach, cast({_j('insights.data[0].values[0].value')} as bigint) as impressions,
  cast({_j('statistics.viewCount')} as bigint) as video_views, cast({_j('insights.data[2].values[0].value')} as bigint) as clicks
- from fx_landing where entity_type = 'metric'"""
+ from {_READ} where entity_type = 'metric'"""
 _COMMENTS = f"""select _ord, post_external_id, account_external_id, source as platform,
  case when {_VIDEO} then {_j('snippet.topLevelComment.id')} else {_j('id')} end as external_id,
  case when {_VIDEO} then {_j('snippet.topLevelComment.snippet.textDisplay')} else {_j('message')} end as text_content,
  case when {_VIDEO} then timestamp '2024-01-02 09:00:00' else timestamp '2024-01-03 09:00:00' end as published_at,
  cast(case when {_VIDEO} then {_j('snippet.topLevelComment.snippet.likeCount')} else {_j('like_count')} end as bigint) as like_count,
  case when {_VIDEO} then {_j('snippet.topLevelComment.snippet.authorChannelId.value')} else {_j('from.id')} end as author_external_id,
- false as is_synthetic from fx_landing where entity_type = 'comment'"""
+ false as is_synthetic from {_READ} where entity_type = 'comment'"""
 
 
 @query("payload_accounts", f"select * exclude (_ord), _ord as ord from ({_ACCOUNTS})")
@@ -153,6 +156,14 @@ def _(fx):
     return PL.payload_comments(fx["fx_landing"]).withColumnRenamed("_ord", "ord")
 
 
+_ENTITY_NAMES = "case entity_type when 'account' then 'accounts' when 'post' then 'posts' when 'metric' then 'metrics' else 'comments' end"
+
+
+@query("payload_rejects", f"""select _ord as ord, source, {_ENTITY_NAMES} as entity, {_BAD} as reason from fx_landing where {_BAD} is not null""")
+def _(fx):
+    return PL.payload_rejects(fx["fx_landing"]).select(F.col("_ord").alias("ord"), "source", "entity", "reason")
+
+
 @query("payload_field_extract", "select id, source, entity_type, cast(json_extract(payload, '$.k') as bigint) as k from fx_raw_events")
 def _(fx):
     return PL.payload_field(fx["fx_raw_events"], "$.k", "bigint", "k").select("id", "source", "entity_type", "k")
@@ -391,12 +402,12 @@ def _empty(fx, ddl: str) -> DataFrame:
  union all select 'comments', coalesce(reason, 'stored'), count(*) from c group by 2""")
 def _(fx):
     tables = {
-        "accounts": _empty(fx, "account_id bigint, platform string, external_id string, handle string, display_name string, "
+        "accounts": _empty(fx, "account_id string, platform string, external_id string, handle string, display_name string, "
                                "followers_count bigint, is_competitor boolean"),
-        "posts": _empty(fx, "post_id bigint, account_id bigint, external_id string, published_at timestamp, content_type string, "
+        "posts": _empty(fx, "post_id string, account_id string, external_id string, published_at timestamp, content_type string, "
                             "text_content string, hashtags array<string>, media_count bigint, permalink string, is_synthetic boolean"),
-        "snapshots": _empty(fx, "post_id bigint, captured_at timestamp, " + ", ".join(f"{c} bigint" for c in COUNT_COLUMNS)),
-        "comments": _empty(fx, "comment_id bigint, post_id bigint, external_id string, author_hash string, text_content string, "
+        "snapshots": _empty(fx, "post_id string, captured_at timestamp, " + ", ".join(f"{c} bigint" for c in COUNT_COLUMNS)),
+        "comments": _empty(fx, "comment_id string, post_id string, external_id string, author_hash string, text_content string, "
                                "published_at timestamp, like_count bigint, is_synthetic boolean"),
     }
     batch = {"accounts": fx["stg_accounts"].drop("account_id"), "posts": fx["stg_posts"], "metrics": fx.sql(_METRIC_BATCH),
@@ -435,7 +446,8 @@ _STAMP = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
  union all select 'posts', count(*), count(*) filter (content_type = 'short') from p
  union all select 'snapshots', count(*), {isum('likes')} from m
  union all select 'comments', count(*), {isum('like_count')} from c
- union all select 'cursors', 2 * count(*), count(*) from (select distinct source, account_external_id from fx_landing)""")
+ union all select 'cursors', 2 * count(*), count(*) from (select distinct source, account_external_id from fx_landing)
+ union all select 'rejected', count(*), count(*) filter ({_BAD} = 'unknown_source') from fx_landing where {_BAD} is not null""")
 def _(fx):
     spark, root = fx.spark, shared_dir(fx.spark, "ingest")
     fx["fx_landing"].drop("_ord").write.json(f"{root}/landing", timestampFormat=_STAMP)
@@ -451,7 +463,9 @@ def _(fx):
         part = J.folded(spark, f"{root}/log", entity).agg(F.count(F.lit(1)).alias("n"), total.alias("total")).select(
             F.lit(entity).alias("entity"), "n", "total")
         out = part if out is None else out.unionByName(part)
-    return out
+    rejected = spark.read.parquet(f"{root}/log/rejected")
+    return out.unionByName(rejected.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("reason") == "unknown_source").alias("total")).select(
+        F.lit("rejected").alias("entity"), "n", "total"))
 
 
 @query("stream_snapshot_dedupe", f"""select post_id, captured_at, {_COUNTS} from ({_LINES})
@@ -459,7 +473,7 @@ def _(fx):
 def _(fx):
     root = shared_dir(fx.spark, "dedupe")
     fx.stream("lineitem").createOrReplaceTempView("lineitem")
-    J.dedupe_snapshots(fx.spark.sql(_LINES), f"{root}/table", f"{root}/checkpoint", unit="month").awaitTermination()
+    J.dedupe_snapshots(fx.spark.sql(_LINES), f"{root}/table", f"{root}/checkpoint", f"{root}/rejected", unit="month").awaitTermination()
     return fx.spark.read.parquet(f"{root}/table").select("post_id", "captured_at", *COUNT_COLUMNS)
 
 
@@ -476,7 +490,13 @@ def _(fx):
  cast(sum(cast(floor(value) as bigint)) as double) as value, strftime(bucket, '%Y-%m-%d %H:00') as label from events group by 1, 2""")
 def _(fx):
     root = shared_dir(fx.spark, "series")
-    rows = fx.stream("events").select(F.col("user_id").alias("account_id"), F.col("ts").alias("published_at"),
-                                      F.floor("value").cast("bigint").alias("likes"))
-    J.timeseries(rows, "likes", f"{root}/log", f"{root}/checkpoint").awaitTermination()
-    return J.timeseries_state(fx.spark, f"{root}/log")
+    # the earlier half of the events arrives in a second run, days to weeks late
+    events, half = fx.table("events"), F.lit("2024-01-16 00:00:00").cast("timestamp")
+    for name, part in (("a", F.col("ts") >= half), ("b", ~(F.col("ts") >= half))):
+        events.filter(part).select(F.col("user_id").alias("account_id"), F.col("ts").alias("published_at"),
+                                   F.floor("value").cast("bigint").alias("likes")).write.parquet(f"{root}/in/{name}")
+        rows = fx.spark.readStream.schema("account_id bigint, published_at timestamp, likes bigint").option(
+            "recursiveFileLookup", "true").parquet(f"{root}/in")
+        J.timeseries(rows, "likes", f"{root}/log", f"{root}/checkpoint").awaitTermination()
+    J.compact_timeseries(fx.spark, f"{root}/log", f"{root}/folded")
+    return J.timeseries_state(fx.spark, f"{root}/folded")

@@ -15,10 +15,46 @@ from agorametrics.functions.text import _lookup
 from agorametrics.functions.timeparse import iso_duration_seconds, parse_iso_dt, to_int
 
 
-def _parsed(events: DataFrame, entity: str, schema: str) -> DataFrame:
+SOURCES = ("youtube", "facebook")
+_SCHEMAS = {"account": schemas.ACCOUNT_PAYLOAD, "post": schemas.POST_PAYLOAD, "metric": schemas.METRIC_PAYLOAD,
+            "comment": schemas.COMMENT_PAYLOAD}
+_ENTITIES = {"account": "accounts", "post": "posts", "metric": "metrics", "comment": "comments"}
+
+
+def _read(events: DataFrame, entity: str) -> DataFrame:
+    """Events of a kind with their payload ``p`` and ``_reason``, null for those that can be read."""
     kind = events.filter(F.col("entity_type") == entity)
-    return kind.withColumn("p", F.from_json("payload", schema)).withColumn(
-        "_video", F.col("source") == "youtube")
+    broken = F.try_parse_json("payload").isNull() | (F.schema_of_variant(F.try_parse_json("payload")).startswith("OBJECT") == F.lit(False))
+    reason = F.when(~F.coalesce(F.col("source").isin(*SOURCES), F.lit(False)), "unknown_source").when(
+        F.coalesce(broken, F.lit(True)), "malformed_payload")
+    return kind.withColumn("p", F.from_json("payload", _SCHEMAS[entity])).withColumn(
+        "_video", F.col("source") == "youtube").withColumn("_reason", reason)
+
+
+def _parsed(events: DataFrame, entity: str) -> DataFrame:
+    return _read(events, entity).filter(F.col("_reason").isNull()).drop("_reason")
+
+
+def payload_rejects(events: DataFrame) -> DataFrame:
+    """Events no record is made of, with ``entity`` and ``reason``: an unknown source or kind, a
+    payload that is no JSON object, a post without a readable time."""
+    kept = [c for c in events.columns]
+    out = events.filter(~F.coalesce(F.col("entity_type").isin(*_SCHEMAS), F.lit(False))).select(
+        *kept, F.coalesce("entity_type", F.lit("none")).alias("entity"), F.lit("unknown_entity").alias("reason"))
+    for entity, name in _ENTITIES.items():
+        rows = _read(events, entity)
+        reason = F.col("_reason")
+        if entity == "post":
+            reason = F.coalesce(reason, F.when(_post_time(rows).isNull(), "missing_publish_time"))
+        out = out.unionByName(rows.select(*kept, F.lit(name).alias("entity"), reason.alias("reason")).filter(
+            F.col("reason").isNotNull()))
+    return out
+
+
+def _post_time(parsed: DataFrame) -> Column:
+    p = parsed["p"]
+    published = F.coalesce(p["contentDetails"]["videoPublishedAt"], p["snippet"]["publishedAt"])
+    return parse_iso_dt(_either(published, p["created_time"]))
 
 
 def _either(video: Column, page: Column) -> Column:
@@ -30,11 +66,11 @@ def _nonempty(text: Column) -> Column:
 
 
 def _kept(events: DataFrame) -> list[str]:
-    return [c for c in events.columns if c.startswith("_")]
+    return [c for c in events.columns if c.startswith("_") and c not in ("_video", "_reason")]
 
 
 def payload_accounts(events: DataFrame) -> DataFrame:
-    parsed = _parsed(events, "account", schemas.ACCOUNT_PAYLOAD)
+    parsed = _parsed(events, "account")
     p = F.col("p")
     handle = F.coalesce(_nonempty(p["snippet"]["customUrl"]), p["snippet"]["title"])
     followers = F.coalesce(to_int(p["followers_count"]), to_int(p["fan_count"]))
@@ -47,8 +83,8 @@ def payload_accounts(events: DataFrame) -> DataFrame:
 
 
 def payload_posts(events: DataFrame) -> DataFrame:
-    """Posts; those whose time cannot be read drop out."""
-    parsed = _parsed(events, "post", schemas.POST_PAYLOAD)
+    """Posts; those whose time cannot be read are among ``payload_rejects``."""
+    parsed = _parsed(events, "post")
     p = F.col("p")
     seconds = iso_duration_seconds(p["contentDetails"]["duration"])
     video_type = F.when(seconds <= vocab.SHORT_MAX_SECONDS, "short").otherwise("video")
@@ -56,10 +92,9 @@ def payload_posts(events: DataFrame) -> DataFrame:
     title = F.coalesce(p["snippet"]["title"], F.lit(""))
     description = F.coalesce(p["snippet"]["description"], F.lit(""))
     both = F.when(description != "", F.trim(F.concat(title, F.lit("\n"), description))).otherwise(title)
-    published = F.coalesce(p["contentDetails"]["videoPublishedAt"], p["snippet"]["publishedAt"])
     rows = parsed.select(
         *_kept(events), "account_external_id", F.col("source").alias("platform"), "external_id",
-        parse_iso_dt(_either(published, p["created_time"])).alias("published_at"),
+        _post_time(parsed).alias("published_at"),
         _either(video_type, F.coalesce(_lookup(status, vocab.PAGE_STATUS_MAP), status)).alias("content_type"),
         _either(_nonempty(both), p["message"]).alias("text_content"),
         _either(F.concat(F.lit("https://www.youtube.com/watch?v="), F.col("external_id")),
@@ -69,7 +104,7 @@ def payload_posts(events: DataFrame) -> DataFrame:
 
 
 def payload_snapshots(events: DataFrame) -> DataFrame:
-    parsed = _parsed(events, "metric", schemas.METRIC_PAYLOAD)
+    parsed = _parsed(events, "metric")
     p = F.col("p")
     stats, shown = p["statistics"], p["engagement"]
     named = F.transform(
@@ -97,7 +132,7 @@ def payload_snapshots(events: DataFrame) -> DataFrame:
 
 
 def payload_comments(events: DataFrame) -> DataFrame:
-    parsed = _parsed(events, "comment", schemas.COMMENT_PAYLOAD)
+    parsed = _parsed(events, "comment")
     p = F.col("p")
     top = p["snippet"]["topLevelComment"]
     body = top["snippet"]

@@ -40,7 +40,8 @@ def _log(path: str, entity: str, batch_id: int) -> str:
 def ingest_payloads(landing: DataFrame, path: str, checkpoint: str, as_of, trigger=None):
     """Landing events to change logs of accounts, posts, snapshots, comments and cursors.
 
-    Rows the quality gates reject go to ``rejected`` with their reason.
+    Rows the quality gates reject, and events that cannot be read, go to ``rejected`` with their
+    reason.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
@@ -58,11 +59,14 @@ def ingest_payloads(landing: DataFrame, path: str, checkpoint: str, as_of, trigg
             "cursors": _cursors(events, as_of),
             "rejected": posts.select(F.lit("posts").alias("entity"), F.col("reject_reason").alias("reason"))
             .unionByName(metrics.select(F.lit("metrics").alias("entity"), F.col("reject_reason").alias("reason")))
-            .filter(F.col("reason").isNotNull()),
+            .filter(F.col("reason").isNotNull())
+            .unionByName(payloads.payload_rejects(events).select("entity", "reason")),
         }
-        for entity, frame in frames.items():
-            frame.write.mode("overwrite").parquet(_log(path, entity, batch_id))
-        batch.unpersist()
+        try:
+            for entity, frame in frames.items():
+                frame.write.mode("overwrite").parquet(_log(path, entity, batch_id))
+        finally:
+            batch.unpersist()
 
     return (
         landing.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
@@ -85,7 +89,17 @@ def folded(spark: SparkSession, path: str, entity: str) -> DataFrame:
 
     Snapshots are immutable: all their columns keep the first value.
     """
-    log = spark.read.parquet(f"{path}/{entity}")
+    return _fold(spark.read.parquet(f"{path}/{entity}"), entity)
+
+
+def compact(spark: SparkSession, path: str, entity: str, folded_path: str) -> None:
+    """Write the current rows of a change log as the first batch of a new log, which readers and
+    further batches go on with: a scheduled job keeps logs as short as the time between two runs."""
+    rows = _fold(spark.read.parquet(f"{path}/{entity}"), entity).withColumn("_ord", F.lit(0).cast("bigint"))
+    rows.write.mode("overwrite").parquet(_log(folded_path, entity, -1))
+
+
+def _fold(log: DataFrame, entity: str) -> DataFrame:
     keys = _KEYS[entity]
     at = F.struct("batch_id", "_ord")
     columns = [c for c in log.columns if c not in ("batch_id", "_ord")]
@@ -102,12 +116,13 @@ def folded(spark: SparkSession, path: str, entity: str) -> DataFrame:
         F.col(c) if c in keys else F.col(f"_last.{c}" if c in updates else f"_first.{c}") for c in columns])
 
 
-def dedupe_snapshots(snapshots: DataFrame, path: str, checkpoint: str, unit: str = "day", trigger=None):
+def dedupe_snapshots(snapshots: DataFrame, path: str, checkpoint: str, rejected: str, unit: str = "day", trigger=None):
     """Append snapshots whose (post_id, captured_at) the table lacks; ``_ord`` says which row of a
-    batch comes first.
+    batch comes first. Rows without a capture time go to ``rejected`` with the reason.
 
     Exact however late a duplicate arrives, and without state that grows with the stream: a
-    micro-batch is compared with the stored snapshots of its own capture dates only.
+    micro-batch is compared with the stored snapshots of its own capture dates only, however far
+    apart these are.
     """
     spark = snapshots.sparkSession
     keys = ["post_id", "captured_at"]
@@ -118,12 +133,14 @@ def dedupe_snapshots(snapshots: DataFrame, path: str, checkpoint: str, unit: str
 
     def store(batch: DataFrame, batch_id: int) -> None:
         start = F.to_date(F.date_trunc(unit, "captured_at"))
-        days = batch.agg(F.min(start).alias("lo"), F.max(start).alias("hi")).first()
-        if days["lo"] is None:
-            return
+        undated = batch.filter(F.col("captured_at").isNull()).withColumn("reason", F.lit("missing_capture_time"))
+        undated.write.mode("overwrite").parquet(f"{rejected}/batch_id={batch_id}")
+        dated = batch.filter(F.col("captured_at").isNotNull())
+        # one row per capture date of the batch: folder names
+        days = [r[0] for r in dated.select(start.alias("day")).distinct().collect()]
         table = spark.read.schema(f"{stored.toDDL()}, captured_date date, batch_id bigint").parquet(path).filter(
-            (F.col("batch_id") != batch_id) & F.col("captured_date").between(F.lit(days["lo"]), F.lit(days["hi"])))
-        new = by_date(I.insert_new(table, batch, keys, "_ord"), "captured_date", unit)
+            (F.col("batch_id") != batch_id) & F.col("captured_date").isin(days))
+        new = by_date(I.insert_new(table, dated, keys, "_ord"), "captured_date", unit)
         new.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("captured_date").parquet(
             f"{path}/batch_id={batch_id}")
 
@@ -151,28 +168,35 @@ _WINDOWS = {"hour": ("1 hour", None), "day": ("1 day", None), "week": ("7 days",
 
 
 def timeseries(rows: DataFrame, value: str, path: str, checkpoint: str, granularity: str = "hour",
-               ts: str = "published_at", tz: str = vocab.DISPLAY_TZ, late: str = "2 days", trigger=None):
+               ts: str = "published_at", tz: str = vocab.DISPLAY_TZ, trigger=None):
     """Keep sums per account and local-time bucket current.
 
-    Every micro-batch logs the buckets it changed; ``timeseries_state`` reads the newest sums.
+    Every micro-batch logs the sums of its own rows, however late these are: no watermark, no state,
+    no row lost. ``timeseries_state`` adds the logged parts up, ``compact_timeseries`` folds them.
     """
     width, start = _WINDOWS[granularity]
-    local = rows.withColumn("_local", T.local_time(F.col(ts), tz)).withWatermark("_local", late)
+    local = rows.withColumn("_local", T.local_time(F.col(ts), tz))
     window = F.window("_local", width, width, start) if start else F.window("_local", width)
-    sums = local.groupBy("account_id", window.alias("_w")).agg(
-        F.coalesce(F.sum(value), F.lit(0)).cast("double").alias("_v"))
-    shaped = sums.select("account_id", F.col("_w.start").alias("bucket"), round_dp("_v").alias("value"))
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        sums = batch.groupBy("account_id", window.alias("_w")).agg(F.sum(value).alias("part"))
+        sums.select("account_id", F.col("_w.start").alias("bucket"), "part").write.mode("overwrite").parquet(
+            f"{path}/batch_id={batch_id}")
 
     return (
-        shaped.writeStream.outputMode("update").foreachBatch(store)
+        local.writeStream.foreachBatch(store)
         .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
     )
 
 
 def timeseries_state(spark: SparkSession, path: str, granularity: str = "hour") -> DataFrame:
-    newest = spark.read.parquet(path).groupBy("account_id", "bucket").agg(
-        F.max_by("value", "batch_id").alias("value"))
-    return newest.withColumn("label", T.bucket_label(F.col("bucket"), granularity))
+    sums = spark.read.parquet(path).groupBy("account_id", "bucket").agg(
+        F.coalesce(F.sum("part"), F.lit(0)).cast("double").alias("_v"))
+    return sums.select("account_id", "bucket", round_dp("_v").alias("value")).withColumn(
+        "label", T.bucket_label(F.col("bucket"), granularity))
+
+
+def compact_timeseries(spark: SparkSession, path: str, folded: str) -> None:
+    """Write the sums of all logged parts as one part of a new log: what a scheduled job keeps small."""
+    parts = spark.read.parquet(path).groupBy("account_id", "bucket").agg(F.sum("part").alias("part"))
+    parts.write.mode("overwrite").parquet(f"{folded}/batch_id=0")

@@ -152,6 +152,19 @@ def test_video_payloads(table):
         "good light", "UCreader5", 2, "clipA")
 
 
+def test_unreadable_events_are_told(table):
+    df = events(table, ("youtube", "metric", "m1", "a", None, '{"statistics":{"likeCount":"4"'), ("youtube", "metric", "m2", "a", None, "[]"),
+                ("facebook", "comment", "c1", "a", "p", None), ("other", "post", "p1", "a", None, '{"id":"p1"}'),
+                ("youtube", "account", "a", None, None, "not json"), ("youtube", "post", "p2", "a", None, '{"snippet":{"title":"t"}}'),
+                ("youtube", "story", "s", "a", None, "{}"), ("youtube", "metric", "m3", "a", None, '{"statistics":{"likeCount":"4"}}'))
+    assert [(r.post_external_id, r.likes) for r in PL.payload_snapshots(df).collect()] == [("m3", 4)]
+    assert PL.payload_accounts(df).count() == PL.payload_comments(df).count() == PL.payload_posts(df).count() == 0
+    assert {(r.external_id, r.entity, r.reason) for r in PL.payload_rejects(df).collect()} == {
+        ("m1", "metrics", "malformed_payload"), ("m2", "metrics", "malformed_payload"), ("c1", "comments", "malformed_payload"),
+        ("p1", "posts", "unknown_source"), ("a", "accounts", "malformed_payload"), ("p2", "posts", "missing_publish_time"),
+        ("s", "story", "unknown_entity")}
+
+
 def test_page_payloads(table):
     df = events(
         table,
@@ -185,10 +198,10 @@ def staged(export):
 
 def empty(spark):
     return {
-        "accounts": spark.createDataFrame([], "account_id long, platform string, external_id string, handle string, display_name string, followers_count long, is_competitor boolean"),
-        "posts": spark.createDataFrame([], "post_id long, account_id long, external_id string, published_at timestamp, content_type string, text_content string, hashtags array<string>, media_count long, permalink string, is_synthetic boolean"),
-        "snapshots": spark.createDataFrame([], "post_id long, captured_at timestamp, " + COUNTS),
-        "comments": spark.createDataFrame([], "comment_id long, post_id long, external_id string, author_hash string, text_content string, published_at timestamp, like_count long, is_synthetic boolean"),
+        "accounts": spark.createDataFrame([], "account_id string, platform string, external_id string, handle string, display_name string, followers_count long, is_competitor boolean"),
+        "posts": spark.createDataFrame([], "post_id string, account_id string, external_id string, published_at timestamp, content_type string, text_content string, hashtags array<string>, media_count long, permalink string, is_synthetic boolean"),
+        "snapshots": spark.createDataFrame([], "post_id string, captured_at timestamp, " + COUNTS),
+        "comments": spark.createDataFrame([], "comment_id string, post_id string, external_id string, author_hash string, text_content string, published_at timestamp, like_count long, is_synthetic boolean"),
     }
 
 
@@ -206,12 +219,32 @@ def test_same_file_twice_stores_once(spark, export):
     assert len(first["comments"].first().author_hash) == 64
 
 
+def test_keyless_comments_stay_two(spark, export):
+    batch = staged(export)
+    two = batch["comments"].filter("external_id is null")
+    batch["comments"] = two.unionByName(two.withColumn("_ord", F.lit(7).cast("long")))
+    out, _ = I.normalize_and_store(batch, empty(spark), NOW, keep=materialize)
+    ids = [r.comment_id for r in out["comments"].collect()]
+    assert len(ids) == len(set(ids)) == 2 and all(len(i) == 32 for i in ids)
+    from agorametrics.plans.ingest_queries import analyze_new_comments
+
+    none = spark.createDataFrame([], "comment_id string, language string, sentiment string, sentiment_score double, model_name string, "
+                                     "model_version string, analyzed_at timestamp")
+    done = analyze_new_comments(out["comments"], none, NOW)
+    assert {r.comment_id for r in done.collect()} == set(ids)
+    assert analyze_new_comments(out["comments"], done, NOW).count() == 2
+
+
 def test_cursors(table):
     rows = table([("y", "a", "2026-07-05 00:00:00"), ("y", "a", "2026-07-06 00:00:00"), ("y", "b", "2026-05-01 00:00:00"),
                   ("y", "b", "2026-03-01 00:00:00")], "source string,account string,t timestamp")
     cursors = table([("y", "a", "2026-07-05 00:00:00"), ("z", "c", "2026-01-01 00:00:00")], "source string,account string,cursor_value timestamp")
     keys = ["source", "account"]
-    assert {str(r.t) for r in I.cursor_filter(rows, cursors, keys, "t", NOW).collect()} == {"2026-07-06 00:00:00", "2026-05-01 00:00:00"}
+    assert {str(r.t) for r in I.cursor_filter(rows, cursors, keys, "t", NOW).collect()} == {
+        "2026-07-06 00:00:00", "2026-05-01 00:00:00", "2026-03-01 00:00:00"}
+    # without a window of the caller's a first sync takes all
+    first = I.cursor_filter(rows, cursors, keys, "t", NOW, first_sync_days=90).collect()
+    assert {str(r.t) for r in first} == {"2026-07-06 00:00:00", "2026-05-01 00:00:00"}
     moved = {(r.source, r.account): str(r.cursor_value) for r in I.advance_cursors(cursors, rows.select(*keys).distinct(), keys, NOW).collect()}
     assert moved == {("y", "a"): NOW, ("y", "b"): NOW, ("z", "c"): "2026-01-01 00:00:00"}
 
@@ -263,7 +296,8 @@ def test_history(table):
     calls = table([(1, [("p", "m", "error", "e" * 700), ("q", "m", "ok", None)])],
                   "id long,attempts array<struct<provider:string,model:string,status:string,error:string>>")
     rows = H.attempt_depth(calls).orderBy("fallback_depth").collect()
-    assert [(r.fallback_depth, r.provider, r.error and len(r.error)) for r in rows] == [(0, "p", 500), (1, "q", None)]
+    assert [(r.fallback_depth, r.provider, r.error and len(r.error)) for r in rows] == [(0, "p", 700), (1, "q", None)]
+    assert len(H.attempt_depth(calls, error_chars=50).orderBy("fallback_depth").first().error) == 50
 
 
 def test_stream_dedupe_is_exact_across_batches(spark, table):
@@ -271,17 +305,22 @@ def test_stream_dedupe_is_exact_across_batches(spark, table):
     schema = "post_id long,captured_at timestamp,likes long,_ord long"
     first = table([(1, "2026-07-01 00:00:00", 5, 1), (1, "2026-07-01 00:00:00", 6, 2), (2, "2026-07-02 00:00:00", 7, 3)], schema)
     # months later the first snapshot arrives once more
-    late = table([(1, "2026-07-01 00:00:00", 99, 9), (3, "2026-12-01 00:00:00", 1, 10)], schema)
+    late = table([(1, "2026-07-01 00:00:00", 99, 9), (3, "2026-12-01 00:00:00", 1, 10), (4, None, 8, 11)], schema)
+    undated = table([(5, None, 8, 12)], schema)
 
     def run():
         stream = spark.readStream.schema(first.schema).parquet(f"{root}/in")
-        J.dedupe_snapshots(stream, f"{root}/out", f"{root}/ck").awaitTermination()
+        J.dedupe_snapshots(stream, f"{root}/out", f"{root}/ck", f"{root}/rejected").awaitTermination()
         return {(r.post_id, r.likes) for r in spark.read.parquet(f"{root}/out").collect()}
 
     first.write.parquet(f"{root}/in")
     assert run() == {(1, 5), (2, 7)}
     late.write.mode("append").parquet(f"{root}/in")
     assert run() == {(1, 5), (2, 7), (3, 1)}
+    undated.write.mode("append").parquet(f"{root}/in")
+    assert run() == {(1, 5), (2, 7), (3, 1)}
+    assert {(r.post_id, r.reason) for r in spark.read.parquet(f"{root}/rejected").collect()} == {
+        (4, "missing_capture_time"), (5, "missing_capture_time")}
 
 
 def test_stream_ingest_folds_batches(spark, table):
@@ -320,3 +359,7 @@ def test_stream_series_follow_late_rows(spark, table):
 
     assert run([(1, "2026-07-01 10:10:00", 5), (1, "2026-07-01 10:50:00", 6)]) == {("2026-07-01 11:00", 11.0)}
     assert run([(1, "2026-07-01 10:55:00", 1), (1, "2026-07-01 12:00:00", 2)]) == {("2026-07-01 11:00", 12.0), ("2026-07-01 13:00", 2.0)}
+    late = run([(1, "2026-06-20 10:10:00", 100)])
+    assert late == {("2026-06-20 11:00", 100.0), ("2026-07-01 11:00", 12.0), ("2026-07-01 13:00", 2.0)}
+    J.compact_timeseries(spark, f"{root}/log", f"{root}/folded")
+    assert {(r.label, r.value) for r in J.timeseries_state(spark, f"{root}/folded").collect()} == late

@@ -41,7 +41,8 @@ def stored(spark, tmp_path):
 
 
 def test_filters_and_columns_reach_the_scan(stored):
-    frame = P.post_metrics(*stored, since="2026-07-02 00:00:00", until="2026-07-03 00:00:00", include_synthetic=False)
+    frame = P.post_metrics(*stored, as_of="2026-07-03 00:00:00", since="2026-07-02 00:00:00", until="2026-07-03 00:00:00",
+                           include_synthetic=False)
     df = K.with_primary_er(frame).groupBy("account_id").agg(F.avg("er"))
     text = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
     scans = [s.split("\n\n")[0] for s in re.split(r"\(\d+\) Scan parquet", text)[1:]]
@@ -51,6 +52,18 @@ def test_filters_and_columns_reach_the_scan(stored):
     assert "text_content" not in schema and "permalink" not in schema
     snaps = next(s for s in scans if "captured_at" in s)
     assert "impressions" not in re.search(r"ReadSchema: (.*)", snaps).group(1)
+    assert "LessThanOrEqual(captured_at" in snaps
+    # only the window's posts reach the aggregation of the snapshots
+    tree = text.split("\n\n")[0]
+    assert "LeftSemi" in text and tree.index("LeftSemi" if "LeftSemi" in tree else "Join") < len(tree)
+
+
+def test_later_snapshots_change_nothing(spark, stored):
+    posts, snaps, accounts = stored
+    as_of = "2026-07-02 00:00:00"
+    later = snaps.withColumn("captured_at", F.lit("2026-07-09").cast("timestamp")).withColumn("likes", F.lit(999))
+    rows = [P.post_metrics(posts, s, accounts, as_of=as_of, until=as_of).collect() for s in (snaps, snaps.unionByName(later))]
+    assert sorted(rows[0]) == sorted(rows[1]) and rows[0]
 
 
 def test_snapshots_aggregate_by_hash_and_before_the_shuffle(stored):
@@ -61,7 +74,7 @@ def test_snapshots_aggregate_by_hash_and_before_the_shuffle(stored):
 def test_top_posts_cut_before_the_shuffle(stored):
     text = plan(K.top_posts(P.post_metrics(*stored)))
     assert text.index("WindowGroupLimit") and "Partial" in text
-    assert "WindowGroupLimit" in plan(I.comment_fetch_cap(stored[0]))
+    assert "WindowGroupLimit" in plan(I.comment_fetch_cap(stored[0], 25))
 
 
 def test_a_hot_account_is_split_by_the_join(spark, stored):
