@@ -29,8 +29,14 @@ EXPORT_AS_OF = "2026-07-10 00:00:00"
 
 # --- CSV exports -----------------------------------------------------------------------------
 def _export(fx) -> DataFrame:
-    # a stored export: its columns are read, not made anew wherever a mapping mentions them
-    return C.map_export(materialize(fx["fx_export"].drop("order_key"), "export"))
+    """The export as CSV files in order; every other one has its columns the other way round."""
+    path = shared_dir(fx.spark, "export")
+    rows = fx["fx_export"].drop("order_key").repartitionByRange(4, "_ord").sortWithinPartitions("_ord")
+    rows = materialize(rows.withColumn("_half", F.spark_partition_id() % 2), "export")
+    for half, columns in enumerate((rows.columns[:-1], rows.columns[-2::-1])):
+        rows.filter(F.col("_half") == half).sortWithinPartitions("_ord").select(*columns).write.csv(
+            f"{path}/half={half}", header=True, escape='"')
+    return C.csv_profile_scan(fx.spark, f"{path}/half=*")
 
 
 _MAPPED_EXPORT = """select _ord, "Post ID" as external_id, "Page ID" as account_external_id, "Page name" as account_name,
@@ -50,9 +56,7 @@ _TIMED_EXPORT = f"""timed as (select *, coalesce(external_id, account_external_i
  content_type, text_content, permalink, likes, comments_count, shares, reach, clicks,
  cast(null as varchar) as saves, cast(null as varchar) as impressions from ({_MAPPED_EXPORT})""")
 def _(fx):
-    path = shared_dir(fx.spark, "export")
-    fx["fx_export"].drop("order_key").write.csv(path, header=True, escape='"')
-    mapped = C.csv_profile_scan(fx.spark, path)
+    mapped = _export(fx)
     return mapped.select(F.col("_ord").cast("bigint").alias("ord"), "platform", "external_id", "account_external_id",
                          "account_name", "published_at", "content_type", "text_content", "permalink", "likes",
                          "comments_count", "shares", "reach", "clicks", "saves", "impressions")
@@ -62,13 +66,13 @@ def _(fx):
  arg_min(account_name, _ord) as display_name, cast(null as bigint) as followers_count, false as is_competitor
  from ({_MAPPED_EXPORT}) group by 2""")
 def _(fx):
-    return C.csv_to_accounts(_export(fx))
+    return C.csv_to_accounts(_export(fx).withColumn("_ord", F.col("_ord").cast("bigint")), order="_ord")
 
 
 @query("csv_to_posts", f"""with {_TIMED_EXPORT} select _ord as ord, account_external_id, 'facebook' as platform, post_external_id as external_id,
  utc as published_at, content_type, text_content, permalink, cast(0 as bigint) as media_count, false as is_synthetic from timed""")
 def _(fx):
-    return C.csv_to_posts(_export(fx)).withColumnRenamed("_ord", "ord")
+    return C.csv_to_posts(_export(fx)).withColumn("ord", F.col("_ord").cast("bigint")).drop("_ord", "_place")
 
 
 @query("csv_to_snapshots", f"""with {_TIMED_EXPORT} select _ord as ord, post_external_id, account_external_id, 'facebook' as platform,
@@ -77,7 +81,7 @@ def _(fx):
  cast(reach as bigint) as reach, cast(null as bigint) as impressions, cast(null as bigint) as video_views,
  cast(clicks as bigint) as clicks from timed""")
 def _(fx):
-    return C.csv_to_snapshots(_export(fx), EXPORT_AS_OF).withColumnRenamed("_ord", "ord")
+    return C.csv_to_snapshots(_export(fx), EXPORT_AS_OF).withColumn("ord", F.col("_ord").cast("bigint")).drop("_ord", "_place")
 
 
 _LABELED = """select case when event_id % 10 = 0 then '  ' else concat(' text, "', cast(event_id as string), '" ') end as text,

@@ -39,9 +39,43 @@ def resolve_columns(headers, profile: dict) -> tuple[dict[str, str], list[str]]:
     return found, [h for h in headers if h not in used]
 
 
-def read_export(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text; quoted line breaks are part of a value."""
-    return spark.read.csv(path, header=True, multiLine=True, escape='"')
+def export_headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """Files of a folder by their header: one row per file comes to the driver."""
+    lines = spark.read.text(path).select("_metadata.file_path", "_metadata.file_block_start", "value")
+    # the first line of a file is the first row of the task that reads its start
+    heads = lines.filter("file_block_start = 0").groupBy("file_path").agg(F.first("value").alias("head"))
+    parsed = heads.select("file_path", F.from_csv("head", ", ".join(f"c{i} string" for i in range(512)), {"escape": '"'}).alias("h"))
+    found: dict[tuple[str, ...], list[str]] = {}
+    for row in parsed.orderBy("file_path").collect():
+        names = [c.lstrip("\ufeff") if c else c for c in row["h"]]
+        while names and names[-1] is None:
+            names.pop()
+        found.setdefault(tuple(n or "" for n in names), []).append(row["file_path"])
+    return found
+
+
+def read_export(spark: SparkSession, path: str, multiline: bool = False) -> list[DataFrame]:
+    """All columns as text, one frame per header the files of ``path`` have.
+
+    Files are split among tasks. Where quoted values hold line breaks, ``multiline`` reads them right,
+    at a task for each file. ``_place`` orders rows as they stand: file, block, row.
+    """
+    frames = []
+    for header, files in export_headers(spark, path).items():
+        names = [n or f"_unnamed_{i}" for i, n in enumerate(header)]
+        schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
+        raw = spark.read.schema(schema).option("enforceSchema", True).csv(files, header=True, multiLine=multiline, escape='"')
+        place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                         F.monotonically_increasing_id().alias("row"))
+        frames.append(raw.select("*", place.alias("_place")))
+    return frames
+
+
+def unmapped_headers(spark: SparkSession, path: str, profile_id: str | None = None) -> DataFrame:
+    """file, header: the columns no field of the profile uses."""
+    rows = [(f, h) for header, files in export_headers(spark, path).items()
+            for h in resolve_columns([c for c in header if not c.startswith("_")], get_profile(profile_id))[1] for f in files]
+    return spark.createDataFrame(rows, "file string, header string")
 
 
 def map_export(raw: DataFrame, profile_id: str | None = None, platform: str | None = None,
@@ -73,11 +107,16 @@ def map_export(raw: DataFrame, profile_id: str | None = None, platform: str | No
     return mapped.filter(F.col("account_external_id").isNotNull())
 
 
-def csv_profile_scan(spark: SparkSession, path: str, profile_id: str | None = None, **options) -> DataFrame:
-    return map_export(read_export(spark, path), profile_id, **options)
+def csv_profile_scan(spark: SparkSession, path: str, profile_id: str | None = None, multiline: bool = False, **options) -> DataFrame:
+    """The rows of all files, each mapped by its own header; ``_place`` is their order."""
+    out = None
+    for raw in read_export(spark, path, multiline):
+        mapped = map_export(raw, profile_id, **options)
+        out = mapped if out is None else out.unionByName(mapped, allowMissingColumns=True)
+    return out
 
 
-def csv_to_accounts(mapped: DataFrame, order: str = "_ord") -> DataFrame:
+def csv_to_accounts(mapped: DataFrame, order: str = "_place") -> DataFrame:
     """Distinct accounts; handle and name of the first row."""
     first = F.min_by(F.struct("account_handle", "account_name"), order)
     return mapped.groupBy("platform", "account_external_id").agg(first.alias("_f")).select(
@@ -126,5 +165,9 @@ def labeled_rows(raw: DataFrame, text: str = "text", label: str = "label") -> Da
     return named.filter(F.col("label").isNotNull() & ~is_blank(F.col("text")))
 
 
-def labeled_csv_scan(spark: SparkSession, path: str, text: str = "text", label: str = "label") -> DataFrame:
-    return labeled_rows(read_export(spark, path), text, label)
+def labeled_csv_scan(spark: SparkSession, path: str, text: str = "text", label: str = "label", multiline: bool = False) -> DataFrame:
+    out = None
+    for raw in read_export(spark, path, multiline):
+        rows = labeled_rows(raw, text, label).select("text", "label")
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -81,7 +81,7 @@ CSV = ("Post ID,Page ID,Page name,Publish time,Post type,Title,Reactions,Comment
 def export(spark, tmp_path):
     path = tmp_path / "export.csv"
     path.write_text(CSV, encoding="utf-8")
-    return C.csv_profile_scan(spark, str(path)).withColumn("_ord", F.monotonically_increasing_id())
+    return C.csv_profile_scan(spark, str(path), multiline=True).withColumn("_ord", F.col("_place.row")).drop("_place")
 
 
 def test_csv_records(export):
@@ -94,10 +94,21 @@ def test_csv_records(export):
     assert (snaps["1"].likes, snaps["1"].saves, snaps["1"].reach, snaps["1"].impressions) == (12, 0, 400, None)
     made = snaps["p1:2026-07-04T09:00:00+00:00"]
     assert (made.likes, made.comments_count, made.reach) == (7, 0, None)
-    accounts = C.csv_to_accounts(export).collect()
+    accounts = C.csv_to_accounts(export, order="_ord").collect()
     assert [(r.external_id, r.display_name, r.followers_count) for r in accounts] == [("p1", "Demo", None)]
 
 
+def test_files_with_other_headers(spark, tmp_path):
+    """Columns go by name in each file; rows keep their order over splits and files."""
+    (tmp_path / "a.csv").write_text("Post ID,Page ID,Page name,Publish time,Reactions,Reach,Extra\n1,p,First,2026-07-01,6,200,x\n2,p,Second,2026-07-02,7,210,x\n")
+    (tmp_path / "b.csv").write_text("Reach,Mystery,Reactions,Publish time,Page name,Page ID,Post ID\n300,?,9,2026-07-03,Third,p,3\n")
+    scan = C.csv_profile_scan(spark, str(tmp_path))
+    assert {(r.external_id, r.likes, r.reach) for r in scan.collect()} == {("1", "6", "200"), ("2", "7", "210"), ("3", "9", "300")}
+    assert [r.external_id for r in scan.orderBy("_place").collect()] == ["1", "2", "3"]
+    assert C.csv_to_accounts(scan).first().display_name == "First"
+    assert {(r.file[-5:], r.header) for r in C.unmapped_headers(spark, str(tmp_path)).collect()} == {("a.csv", "Extra"), ("b.csv", "Mystery")}
+
+
 def test_csv_headers(spark):
     profile = C.get_profile()
     found, unmapped = C.resolve_columns(["Post ID", "Publish time", "Mystery"], profile)
@@ -187,7 +198,7 @@ def test_page_payloads(table):
 
 def staged(export):
     return {
-        "accounts": C.csv_to_accounts(export).withColumn("_ord", F.lit(0)),
+        "accounts": C.csv_to_accounts(export, order="_ord").withColumn("_ord", F.lit(0)),
         "posts": C.csv_to_posts(export), "metrics": C.csv_to_snapshots(export, NOW),
         "comments": export.sparkSession.createDataFrame(
             [("1", "p1", "facebook", None, "nice", None, 1, "u1", False, 1), ("77", "p1", "facebook", "c", "lost", None, 1, "", False, 2)],
