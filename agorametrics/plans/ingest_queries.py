@@ -178,7 +178,8 @@ def _(fx):
  where captured_at >= {ts(EVENTS_AS_OF)} - interval 10 day""")
 def _(fx):
     path = shared_dir(fx.spark, "archive")
-    SK.archive_raw(fx["fx_raw_events"], path)
+    for _ in range(2):  # the second is a retry
+        SK.archive_raw(fx["fx_raw_events"], path, "daily")
     return SK.read_archive(fx.spark, path, EVENTS_AS_OF, 10).drop("captured_date")
 
 
@@ -186,7 +187,7 @@ def _(fx):
  where captured_at >= {ts(EVENTS_AS_OF)} - interval 7 day group by 1""")
 def _(fx):
     path = shared_dir(fx.spark, "archive")
-    SK.archive_raw(fx["fx_raw_events"], path)
+    SK.archive_raw(fx["fx_raw_events"], path, "daily")
     SK.purge_archive(fx.spark, path, EVENTS_AS_OF, 7)
     # what is left on disk, and nothing older among it
     left = I.retained(fx.spark.read.parquet(path), EVENTS_AS_OF, 365)
@@ -211,10 +212,9 @@ def _(fx):
     path = shared_dir(fx.spark, "snapshots")
     columns = ["post_id", "captured_at", *COUNT_COLUMNS]
     stored = fx.sql(_STORED).select(*columns)
-    empty = stored.limit(0)
-    SK.append_snapshots(empty, stored.withColumn("_ord", F.lit(0)), path, unit="month")
-    SK.append_snapshots(fx.spark.read.parquet(path).select(*columns),
-                        fx.sql(_LINES).select(*columns, "_ord"), path, unit="month")
+    SK.append_snapshots(stored.withColumn("_ord", F.lit(0)), path, unit="month")
+    for _ in range(2):  # the second is a retry
+        SK.append_snapshots(fx.sql(_LINES).select(*columns, "_ord"), path, unit="month")
     return fx.spark.read.parquet(path).select(*columns)
 
 
@@ -223,7 +223,8 @@ def _(fx):
   count(key) as n_ranked, max(baseline_er) as baseline_er, max(reason) as reason from ranked group by 1, 2""")
 def _(fx):
     path = shared_dir(fx.spark, "recommendations")
-    SK.append_recommendations(R.all_recommendations(fx["fx_facts"]), path, EVENTS_AS_OF, "90d")
+    for _ in range(2):  # the second is a retry
+        SK.append_recommendations(R.all_recommendations(fx["fx_facts"]), path, EVENTS_AS_OF, "90d")
     stored = fx.spark.read.parquet(path)
     payload = F.from_json("payload", "ranked array<struct<key:string>>, reason string")
     evidence = F.from_json("evidence", "baseline_er double")
@@ -276,8 +277,10 @@ _ACCOUNT_COLUMNS = ["account_id", "platform", "external_id", "handle", "display_
 @query("upsert_accounts", upsert_sql("select * from stg_accounts_old", "select * from stg_accounts", ["platform", "external_id"],
                                      I.UPDATES["accounts"], _ACCOUNT_COLUMNS))
 def _(fx):
-    target = fx["stg_accounts_old"].select(*_ACCOUNT_COLUMNS)
-    return I.upsert(target, fx["stg_accounts"], ["platform", "external_id"], I.UPDATES["accounts"], "_ord")
+    path, keys = shared_dir(fx.spark, "accounts"), ["platform", "external_id"]
+    SK.upsert_table(fx["stg_accounts_old"].select(*_ACCOUNT_COLUMNS, F.lit(0).alias("_ord")), path, keys, I.UPDATES["accounts"])
+    SK.upsert_table(fx["stg_accounts"].select(*_ACCOUNT_COLUMNS, "_ord"), path, keys, I.UPDATES["accounts"])
+    return fx.spark.read.parquet(path).select(*_ACCOUNT_COLUMNS)
 
 
 _POST_TARGET = """select o_orderkey as post_id, o_custkey as account_id, cast(o_orderkey as string) as external_id,

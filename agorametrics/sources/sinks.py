@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from agorametrics.operators.ingest import RETENTION_DAYS, insert_new, retention_cutoff, retention_report
+from agorametrics.operators.ingest import RETENTION_DAYS, insert_new, retention_cutoff, upsert
 from agorametrics.operators.posts import timestamp
 from agorametrics.session import materialize
 
@@ -20,14 +21,16 @@ def by_date(df: DataFrame, name: str, unit: str = "day") -> DataFrame:
     return dated.hint("rebalance", name)
 
 
-def archive_raw(events: DataFrame, path: str) -> None:
-    """Append raw payloads by capture date; the retention purge drops whole dates."""
-    by_date(events, "captured_date").write.mode("append").partitionBy("captured_date").parquet(path)
+def archive_raw(events: DataFrame, path: str, run: str) -> None:
+    """Store raw payloads by capture date under the name of the run that fetched them: a retry of the
+    run replaces what it wrote. The retention purge drops whole dates."""
+    by_date(events, "captured_date").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(
+        "captured_date").parquet(f"{path}/run={run}")
 
 
 def read_archive(spark: SparkSession, path: str, as_of=None, days: int | None = None) -> DataFrame:
     """The archive; with ``days``, what retention leaves: older dates are pruned unread."""
-    events = spark.read.parquet(path)
+    events = spark.read.parquet(path).drop("run")
     if days is None:
         return events
     cutoff = retention_cutoff(as_of, days)
@@ -38,37 +41,85 @@ def read_archive(spark: SparkSession, path: str, as_of=None, days: int | None =
 def purge_archive(spark: SparkSession, path: str, as_of, days: int = RETENTION_DAYS) -> DataFrame:
     """Delete what retention has expired and return the report of ``retention_report``.
 
-    Whole dates are deleted as folders; only the date the cutoff falls into is rewritten.
+    Folders are known by their names. Expired dates are counted from file footers and emptied; only
+    the date the cutoff falls into is read and rewritten, and the oldest date left is read for its
+    earliest time.
     """
     cutoff = retention_cutoff(as_of, days)
     events = spark.read.parquet(path)
-    report = materialize(retention_report(events, as_of, days), "retention-report")
-    # one row per stored date, read from the folder names
-    dates = [r[0] for r in events.select("captured_date").distinct().collect()]
-    edge = f"{path}/captured_date={cutoff.date()}"
-    if cutoff.date() in dates:
-        kept = events.filter((F.col("captured_date") == F.lit(cutoff.date()))
-                             & (F.col("captured_at") >= timestamp(cutoff))).drop("captured_date")
-        ready = materialize(kept, "retention-edge")
-        ready.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(edge)
-    folder = spark._jvm.org.apache.hadoop.fs.Path
-    files = folder(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    for date in dates:
-        if date < cutoff.date():
-            files.delete(folder(f"{path}/captured_date={date}"), True)
+    schema = events.drop("run", "captured_date").schema
+    # one folder per run and date: names, no rows
+    folders = {f.rsplit("/", 1)[0] for f in events.inputFiles()}
+    dated = sorted((f.rsplit("captured_date=", 1)[1], f) for f in folders if "captured_date=" in f)
+    last = str(cutoff.date())
+    day, old = F.col("captured_date"), F.col("captured_at") < timestamp(cutoff)
+    edge = materialize(events.filter(day == F.lit(cutoff.date())), "retention-edge")
+    gone = events.filter(day < F.lit(cutoff.date())).agg(F.count(F.lit(1)).alias("n"))
+    left = events.filter(day > F.lit(cutoff.date())).agg(F.count(F.lit(1)).alias("n"))
+    kept = edge.filter(~old)
+    oldest = next((d for d, _ in dated if d > last), None)
+    later = events.filter(day == F.lit(oldest).cast("date")) if oldest else kept.limit(0)
+    earliest = kept.select("captured_at").unionByName(later.select("captured_at")).agg(F.min("captured_at").alias("oldest_remaining"))
+    counts = gone.select(F.col("n").alias("deleted"), F.lit(0).cast("bigint").alias("remaining")).unionByName(
+        left.select(F.lit(0).cast("bigint").alias("deleted"), F.col("n").alias("remaining"))).unionByName(
+        edge.agg(F.count_if(old).alias("deleted"), F.count_if(~old).alias("remaining")))
+    report = counts.agg(F.sum("deleted").alias("deleted"), F.sum("remaining").alias("remaining"), F.lit(1).alias("one")).join(
+        earliest.withColumn("one", F.lit(1)), "one").drop("one")
+    report = materialize(report, "retention-report")
+    empty = spark.createDataFrame([], schema).coalesce(1)
+    for date, folder in dated:
+        if date <= last:
+            rows = empty if date < last else kept.filter(F.col("run").cast("string") == _run_of(folder)).select(*schema.names)
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(folder)
     return report
 
 
-def append_snapshots(target: DataFrame, batch: DataFrame, path: str, order: str = "_ord",
-                     unit: str = "day") -> None:
-    """Append the snapshots whose (post_id, captured_at) is new; the first row of a key wins.
+def _run_of(folder: str) -> str:
+    return folder.rsplit("/run=", 1)[1].split("/", 1)[0]
+
+
+def append_snapshots(batch: DataFrame, path: str, order: str = "_ord", unit: str = "day") -> None:
+    """Append the snapshots whose (post_id, captured_at) the table at ``path`` lacks; the first row of
+    a key wins, and a retry adds nothing.
 
-    Files are partitioned by the capture ``unit``: a day, or a month for thin histories.
+    Files are partitioned by the capture ``unit``: a day, or a month for thin histories. Only the
+    partitions of the batch's own dates are read.
     """
-    new = insert_new(target, batch, ["post_id", "captured_at"], order)
+    keys = ["post_id", "captured_at"]
+    spark = batch.sparkSession
+    stored = T.StructType([f for f in batch.schema.fields if f.name != order])
+    start = F.to_date(F.date_trunc(unit, "captured_at"))
+    # one row per capture date: folder names
+    days = [r[0] for r in batch.select(start.alias("day")).distinct().collect()]
+    spark.createDataFrame([], stored).write.mode("overwrite").parquet(f"{path}/captured_date=1970-01-01")  # so that there is a table
+    target = spark.read.schema(f"{stored.toDDL()}, captured_date date").parquet(path).filter(F.col("captured_date").isin(days))
+    new = insert_new(target, batch, keys, order)
     by_date(new, "captured_date", unit).write.mode("append").partitionBy("captured_date").parquet(path)
 
 
+BUCKETS = 64
+
+
+def upsert_table(batch: DataFrame, path: str, keys, updates, order: str = "_ord", buckets: int = BUCKETS,
+                 overwrite_nulls: bool = True) -> None:
+    """Upsert a batch into a table of files in hash buckets of the key: only the buckets the batch has
+    keys of are read and rewritten. ``buckets`` belongs to the table and must stay as it was.
+
+    The touched buckets are written aside first, as they are made of the folders they replace. A retry
+    gives the same table, except that rows with a null in the key are appended each time.
+    """
+    spark = batch.sparkSession
+    columns = [c for c in batch.columns if c != order]
+    stored = T.StructType([f for f in batch.schema.fields if f.name != order])
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+    touched = [r[0] for r in batch.select(bucket.alias("bucket")).distinct().collect()]  # at most ``buckets`` numbers
+    spark.createDataFrame([], stored).write.mode("overwrite").parquet(f"{path}/bucket=-1")  # so that there is a table
+    target = spark.read.schema(f"{stored.toDDL()}, bucket int").parquet(path).filter(F.col("bucket").isin(touched))
+    new = upsert(target.select(*columns), batch, keys, updates, order, overwrite_nulls)
+    ready = materialize(new.withColumn("bucket", bucket), "upsert")
+    ready.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
 def recommendation_rows(ranked: DataFrame, as_of, window: str) -> DataFrame:
     """One row per account and kind: the ranked keys as JSON payload, the top key's confidence,
     and the evidence. Kinds hold at most some hundred keys per account."""
@@ -87,7 +138,10 @@ def recommendation_rows(ranked: DataFrame, as_of, window: str) -> DataFrame:
 
 
 def append_recommendations(ranked: DataFrame, path: str, as_of, window: str) -> None:
-    recommendation_rows(ranked, as_of, window).write.mode("append").parquet(path)
+    """Store the rows of one run, known by its date and window: a retry replaces them."""
+    run = f"{as_of}-{window}".replace(" ", "T").replace(":", "")
+    recommendation_rows(ranked, as_of, window).write.mode("overwrite").option(
+        "partitionOverwriteMode", "static").parquet(f"{path}/run={run}")
 
 
 def replace_topics(topics: DataFrame, stored: DataFrame | None, accounts: DataFrame, path: str,

@@ -272,8 +272,8 @@ def test_retention(table):
 def test_archive_and_topics(spark, table):
     path = shared_dir(spark, "archive")
     rows = events(table, ("youtube", "post", "1", None, None, "{}"), ("youtube", "post", "2", None, None, "{}"))
-    SK.archive_raw(rows, path)
-    SK.archive_raw(rows.withColumn("captured_at", F.lit("2026-01-01").cast("timestamp")), path)
+    for run, part in (("a", rows), ("b", rows.withColumn("captured_at", F.lit("2026-01-01").cast("timestamp"))), ("a", rows)):
+        SK.archive_raw(part, path, run)  # run a is tried twice
     assert SK.read_archive(spark, path).count() == 4
     kept = SK.read_archive(spark, path, NOW, 30)
     assert kept.count() == 2
@@ -291,13 +291,30 @@ def test_purge_deletes_from_disk(spark, table):
     path = shared_dir(spark, "archive")
     base = events(table, ("youtube", "post", "1", None, None, "{}"))
     for at in ("2026-05-26 00:00:00", "2026-06-09 23:00:00", "2026-06-10 05:00:00", "2026-06-10 15:00:00", "2026-07-10 00:00:00"):
-        SK.archive_raw(base.withColumn("captured_at", F.lit(at).cast("timestamp")), path)
+        SK.archive_raw(base.withColumn("captured_at", F.lit(at).cast("timestamp")), path, "r" + at[8:13].replace(" ", "-"))
     report = SK.purge_archive(spark, path, "2026-07-10 12:00:00", 30).first()
     assert (report.deleted, report.remaining, str(report.oldest_remaining)) == (3, 2, "2026-06-10 15:00:00")
     left = spark.read.parquet(path).collect()
     assert sorted(str(r.captured_at) for r in left) == ["2026-06-10 15:00:00", "2026-07-10 00:00:00"]
 
 
+def test_upsert_touches_only_the_buckets_of_the_batch(spark, table):
+    import os
+
+    path = shared_dir(spark, "bucketed")
+    schema = "id long, name string, seen long, _ord long"
+    SK.upsert_table(table([(i, f"n{i}", 0, 0) for i in range(200)] + [(None, "lost", 0, 1)], schema), path, ["id"], ("name",))
+    root = path.removeprefix("file:")
+    files = {d: set(os.listdir(f"{root}/{d}")) for d in os.listdir(root) if d.startswith("bucket=") and d != "bucket=-1"}
+    batch = table([(7, "new", 9, 1), (7, "newest", 9, 2), (900, "added", 9, 3)], schema)
+    for _ in range(2):  # the second is a retry
+        SK.upsert_table(batch, path, ["id"], ("name",))
+        rows = {r.id: (r.name, r.seen) for r in spark.read.parquet(path).collect()}
+        assert len(rows) == 202 and rows[7] == ("newest", 0) and rows[900] == ("added", 9) and rows[None] == ("lost", 0)
+    changed = [d for d in files if set(os.listdir(f"{root}/{d}")) != files[d]]
+    assert 1 <= len(changed) <= 2 < len(files)
+
+
 def test_history(table):
     posts = table([(1, i, f"2026-07-0{i} 00:00:00", t) for i, t in enumerate(["a", " b ", None, "  ", "c"], 1)],
                   "account_id long,post_id long,published_at timestamp,text_content string")
