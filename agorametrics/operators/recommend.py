@@ -30,7 +30,6 @@ RULES = {
     "best_time_hour": (1, None),
 }
 _MARGINALS = ("best_time_day", "best_time_hour")
-_SALTS = 64
 
 
 def confidence_for(n: Column) -> Column:
@@ -146,9 +145,10 @@ def rank_observations(obs: DataFrame, kinds, k: float = SHRINKAGE, rules=None) -
 
 def _top_by_score(scored: DataFrame, top: Column) -> DataFrame:
     """First ``top`` keys per account and kind (all where null), in two steps: an account may use
-    any number of hashtags, so each of 64 parts first names its own best."""
+    any number of hashtags, so each of as many parts as there are shuffle partitions first names its
+    own best."""
     order = [F.desc("shrunk_score"), F.asc("key")]
-    salt = F.pmod(F.xxhash64("key"), F.lit(_SALTS))
+    salt = F.pmod(F.xxhash64("key"), F.lit(int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     part = W.partitionBy("account_id", "kind", "_salt").orderBy(*order)
     whole = W.partitionBy("account_id", "kind").orderBy(*order)
     keeps = lambda rank: top.isNull() | (F.col(rank) <= top)

@@ -36,20 +36,26 @@ def usable_clusters(assigned: DataFrame, keys=("account_id",), min_docs: int = M
 def topic_rollup(assigned: DataFrame, keywords: DataFrame | None = None, keys=("account_id",),
                  min_docs: int = MIN_DOCS, min_size: int = MIN_TOPIC_SIZE) -> DataFrame:
     """Per key and usable cluster: size, mean net sentiment over labeled comments, how many are
-    labeled, and keywords with their label. Unusable clusters and small keys drop out."""
+    labeled, and keywords with their label. Unusable clusters drop out; a key with fewer than
+    ``min_docs`` documents gets one row with the reason instead."""
     keys = list(keys)
     net = net_sentiment_score(F.col("sentiment"))
     rolled = assigned.groupBy(*keys, "cluster_id").agg(
         F.count(F.lit(1)).alias("comment_count"), F.sum(net).alias("_s"),
         F.count(net).alias("n_labeled"))
-    enough = rolled.groupBy(*keys).agg(F.sum("comment_count").alias("_docs")).filter(
-        F.col("_docs") >= min_docs)
+    docs = rolled.groupBy(*keys).agg(F.sum("comment_count").alias("_docs"))
+    enough = docs.filter(F.col("_docs") >= min_docs)
+    refused = docs.filter(F.col("_docs") < min_docs).select(
+        *keys, *[F.lit(None).cast(t).alias(c) for c, t in (
+            ("cluster_id", "bigint"), ("comment_count", "bigint"), ("n_labeled", "bigint"), ("avg_sentiment", "double"))],
+        F.lit(INSUFFICIENT_DATA).alias("reason"))
     kept = rolled.filter(
         (F.col("cluster_id") != OUTLIER) & (F.col("comment_count") >= min_size)
     ).join(enough, keys)
     raw = kept.withColumn("_m", F.when(F.col("n_labeled") > 0, F.col("_s") / F.col("n_labeled")))
     out = raw.select(*keys, "cluster_id", "comment_count", "n_labeled",
-                     round_dp("_m", 4).alias("avg_sentiment"))
+                     round_dp("_m", 4).alias("avg_sentiment"), F.lit(None).cast("string").alias("reason"))
+    out = out.unionByName(refused)
     if keywords is None:
         return out
     named = out.join(keywords, [c for c in [*keys, "cluster_id"] if c in keywords.columns], "left")

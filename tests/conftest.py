@@ -12,11 +12,12 @@ from agorametrics.session import configure  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = (
         SparkSession.builder.master("local[4]").appName("tests").config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", "4").config("spark.driver.memory", "4g")
-        .config("spark.sql.maxMetadataValueLength", "10000").config("spark.sql.debug.maxToStringFields", "500").getOrCreate()
+        .config("spark.sql.maxMetadataValueLength", "10000").config("spark.sql.debug.maxToStringFields", "500")
+        .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared"))).getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     yield configure(session)
