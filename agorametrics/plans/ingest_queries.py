@@ -16,7 +16,7 @@ from agorametrics.plans.account_queries import rank_sql
 from agorametrics.plans.fixtures import EVENTS_AS_OF
 from agorametrics.plans.post_queries import _CURSORS, _NEGATIVE, ASSIGNED, GATE_AS_OF
 from agorametrics.plans.registry import isum, query, ts
-from agorametrics.plans.text_queries import _LABEL_MAP, _MAPPED, _ROLLUP, detect_sql
+from agorametrics.plans.text_queries import _LABEL_MAP, _MAPPED, _ROLLUP, scored_sql
 from agorametrics.schemas import COUNT_COLUMNS
 from agorametrics.session import materialize, shared_dir
 from agorametrics.sources import csv_export as C
@@ -435,12 +435,14 @@ def analyze_new_comments(comments: DataFrame, analyses: DataFrame, as_of, backen
     return I.upsert(analyses, labels, ["comment_id"], I.UPDATES["analyses"], "_ord")
 
 
-@query("analyze_new_comments", f"""with src as (select comment_id, text_content as t from fx_comments), {detect_sql('src', 'comment_id')}
+@query("analyze_new_comments", f"""with src as (select comment_id, coalesce(text_content, '') as t from fx_comments), {scored_sql('src', 'comment_id')}
  select comment_id, case when g.comment_id is not null then g.language else d.language end as language,
-  coalesce(g.model_name, 'lexicon') as model_name from detected d left join ({_GIVEN}) g using (comment_id)""")
+  case when g.comment_id is not null then g.sentiment else d.sentiment end as sentiment,
+  case when g.comment_id is not null then g.sentiment_score else d.sentiment_score end as sentiment_score,
+  coalesce(g.model_name, 'lexicon') as model_name from scored d left join ({_GIVEN}) g using (comment_id)""")
 def _(fx):
     out = analyze_new_comments(fx["fx_comments"], fx.sql(_GIVEN), EVENTS_AS_OF)
-    return out.select("comment_id", "language", "model_name")
+    return out.select("comment_id", "language", "sentiment", "sentiment_score", "model_name")
 
 
 # --- streams ---------------------------------------------------------------------------------
@@ -484,13 +486,13 @@ def _(fx):
     return fx.spark.read.parquet(f"{root}/table").select("post_id", "captured_at", *COUNT_COLUMNS)
 
 
-@query("stream_score_comments", f"""with src as (select doc_id as comment_id, text as t from documents), {detect_sql('src', 'comment_id')}
- select comment_id, language, 'lexicon' as model_name from detected""")
+@query("stream_score_comments", f"""with src as (select doc_id as comment_id, coalesce(text, '') as t from documents), {scored_sql('src', 'comment_id')}
+ select comment_id, language, sentiment, sentiment_score, model_name, model_version from scored""")
 def _(fx):
     root = shared_dir(fx.spark, "scores")
     comments = fx.stream("documents").select(F.col("doc_id").alias("comment_id"), F.col("text").alias("text_content"))
     J.score_comments(comments, f"{root}/analyses", f"{root}/checkpoint").awaitTermination()
-    return fx.spark.read.parquet(f"{root}/analyses").select("comment_id", "language", "model_name")
+    return fx.spark.read.parquet(f"{root}/analyses").select("comment_id", "language", "sentiment", "sentiment_score", "model_name", "model_version")
 
 
 @query("stream_timeseries", """select user_id as account_id, date_trunc('hour', timezone('Africa/Tunis', timezone('UTC', ts)))::timestamp as bucket,

@@ -222,17 +222,23 @@ def _(fx):
     return X.with_language(fx.sql(TEXTS), "text_content").drop("text_content")
 
 
-@query("score_sentiment", rf"""with src as (select text_id, coalesce(text_content, '') as t from ({TEXTS})), {detect_sql('src', 'text_id')},
- {clean_sql('src', 'text_id')},
- w as (select d.*, c.t as clean, regexp_extract_all(lower(c.t), '[\p{{L}}\p{{N}}]+') as tok from detected d join cleaned c using (text_id)),
+def scored_sql(source: str, row_id: str) -> str:
+    """CTE ``scored``: language, sentiment and score per text of ``source`` (row id, t)."""
+    return rf"""{detect_sql(source, row_id)},
+ {clean_sql(source, row_id)},
+ w as (select d.*, c.t as clean, regexp_extract_all(lower(c.t), '[\p{{L}}\p{{N}}]+') as tok from detected d join cleaned c using ({row_id})),
  n as (select *, len(list_filter(tok, lambda x: list_contains({_list(vocab.POSITIVE_WORDS)}, x)))
    + length(regexp_replace(clean, '[^{vocab.EMOJI_POSITIVE}]', '', 'g')) as up,
   len(list_filter(tok, lambda x: list_contains({_list(vocab.NEGATIVE_WORDS)}, x)))
-   + length(regexp_replace(clean, '[^{vocab.EMOJI_NEGATIVE}]', '', 'g')) as down from w)
- select text_id, language, language_confidence, language_method, {_POLARITY} as emoji_polarity,
+   + length(regexp_replace(clean, '[^{vocab.EMOJI_NEGATIVE}]', '', 'g')) as down from w),
+ scored as (select {row_id}, language, language_confidence, language_method, {_POLARITY} as emoji_polarity,
   case when up > down then 'positive' when up < down then 'negative' else 'neutral' end as sentiment,
   case when up = down then 0.5::double else {rd('greatest(up, down) / (up + down)', 4)} end as sentiment_score,
-  'lexicon' as model_name, 'lexicon-1.0' as model_version, language = 'aeb-latn' as needs_arabizi_specialist from n""")
+  'lexicon' as model_name, 'lexicon-1.0' as model_version, language = 'aeb-latn' as needs_arabizi_specialist from n)"""
+
+
+@query("score_sentiment", f"""with src as (select text_id, coalesce(text_content, '') as t from ({TEXTS})), {scored_sql('src', 'text_id')}
+ select * from scored""")
 def _(fx):
     return S.score_sentiment(fx.sql(TEXTS)).drop("text_content")
 
