@@ -16,7 +16,7 @@ from agorametrics.plans.account_queries import rank_sql
 from agorametrics.plans.fixtures import EVENTS_AS_OF
 from agorametrics.plans.post_queries import _CURSORS, _NEGATIVE, ASSIGNED, GATE_AS_OF
 from agorametrics.plans.registry import isum, query, ts
-from agorametrics.plans.text_queries import _LABEL_MAP, _MAPPED, _ROLLUP, scored_sql
+from agorametrics.plans.text_queries import _LABEL_MAP, _MAPPED, _ROLLUP, _ordered_distinct, scored_sql
 from agorametrics.schemas import COUNT_COLUMNS
 from agorametrics.session import materialize, shared_dir
 from agorametrics.sources import csv_export as C
@@ -423,6 +423,99 @@ def _(fx):
     return report
 
 
+# --- the four stored tables after a batch on tables that hold rows already -------------------
+def id_sql(*keys: str) -> str:
+    parts = ", ".join(f"coalesce(length(cast({k} as string)) || ':' || cast({k} as string), '-')" for k in keys)
+    return f"md5(concat_ws('|', {parts}))"
+
+
+_OLD_ACCOUNTS = "select platform, external_id, handle, display_name, followers_count, is_competitor from stg_accounts_old"
+_OLD_POSTS = """select 'facebook' as platform, cast(o_custkey as string) as account_external_id, cast(o_orderkey as string) as external_id,
+ o_orderdate as published_at, 'old' as content_type, 'kept text' as text_content, cast(3 as bigint) as media_count, 'old link' as permalink,
+ false as is_synthetic from orders where o_orderkey % 3 = 0"""
+_OLD_SNAPSHOTS = """select post_external_id, account_external_id, captured_at, likes + 1000 as likes, comments_count, shares, saves, reach,
+ impressions, video_views, clicks from stg_metrics where _ord > 20 and post_external_id <> 'gone' and cast(post_external_id as bigint) % 3 = 0"""
+_OLD_COMMENTS = """select cast(o_orderkey as string) as post_external_id, cast(o_custkey as string) as account_external_id,
+ concat('c', cast(o_orderkey % 40 as string)) as external_id, 'old hash' as author_hash, 'old comment' as text_content,
+ o_orderdate as published_at, cast(1 as bigint) as like_count, true as is_synthetic from orders where o_orderkey < 100 and o_orderkey % 3 = 0"""
+_ACC_ID = id_sql("'facebook'", "account_external_id")
+_POST_ID = id_sql(_ACC_ID, "post_external_id")
+_TABLES = {
+    "accounts": ("account_id", ["account_id", "platform", "external_id", "handle", "display_name", "followers_count", "is_competitor"]),
+    "posts": ("post_id", ["post_id", "account_id", "external_id", "published_at", "content_type", "text_content", "hashtags",
+                          "media_count", "permalink", "is_synthetic"]),
+    "snapshots": ("post_id", ["post_id", "captured_at", *COUNT_COLUMNS]),
+    "comments": ("comment_id", ["comment_id", "post_id", "external_id", "author_hash", "text_content", "published_at", "like_count",
+                                "is_synthetic"]),
+}
+
+
+def _flat_sql(entity: str, source: str) -> str:
+    key, columns = _TABLES[entity]
+    text = ", ".join(f"coalesce(cast({f'epoch_us({c})' if c.endswith('_at') else c} as varchar), '~')" for c in columns if c != key)
+    return f"select '{entity}' as entity, {key} as id, concat_ws('|', {text}) as content from ({source})"
+
+
+_STORED_ACCOUNTS = upsert_sql(
+    f"select {id_sql('platform', 'external_id')} as account_id, * from ({_OLD_ACCOUNTS})",
+    f"select * exclude (account_id), {id_sql('platform', 'external_id')} as account_id from stg_accounts",
+    ["platform", "external_id"], I.UPDATES["accounts"], _TABLES["accounts"][1])
+_TAGS = r"list_transform(regexp_extract_all(coalesce(text_content, ''), '#[\p{L}\p{N}_\x{600}-\x{6ff}]+'), lambda x: lower(x))"
+_STORED_POSTS = upsert_sql(
+    f"""select {id_sql(_ACC_ID, 'external_id')} as post_id, {_ACC_ID} as account_id, external_id, published_at, content_type, text_content,
+ '#old' as hashtags, media_count, permalink, is_synthetic from ({_OLD_POSTS})""",
+    f"""select {id_sql(_ACC_ID, 'external_id')} as post_id, {_ACC_ID} as account_id, external_id, published_at, {_MAPPED} as content_type, text_content,
+ {_ordered_distinct(_TAGS)} as hashtags, media_count, permalink, is_synthetic, _ord from stg_posts
+ where {_POST_GATE} is null and {_ACC_ID} in (select account_id from acc)""",
+    ["account_id", "external_id"], I.UPDATES["posts"], _TABLES["posts"][1])
+_STORED_SNAPSHOTS = f"""with old as (select {_POST_ID} as post_id, captured_at, {_COUNTS} from ({_OLD_SNAPSHOTS}))
+ select * from old union all select post_id, captured_at, {_COUNTS} from (select {_POST_ID} as post_id, * from ({_METRIC_BATCH}))
+ where {_METRIC_GATE} is null and post_id in (select post_id from posts_now)
+  and (post_id, captured_at) not in (select (post_id, captured_at) from old)
+ qualify row_number() over (partition by post_id, captured_at order by _ord) = 1"""
+_KEYLESS = "length(cast(published_at as string)) || ':' || cast(published_at as string), length(text_content) || ':' || text_content, length(cast(_ord as string)) || ':' || cast(_ord as string)"
+_STORED_COMMENTS = upsert_sql(
+    f"""select {id_sql('post_id', 'external_id')} as comment_id, * from (select {_POST_ID} as post_id, external_id, author_hash, text_content, published_at,
+ like_count, is_synthetic from ({_OLD_COMMENTS}))""",
+    f"""select case when external_id is null then md5(concat_ws('|', length(post_id) || ':' || post_id, '-', {_KEYLESS})) else {id_sql('post_id', 'external_id')} end as comment_id, *
+ from (select {_POST_ID} as post_id, external_id, case when author_external_id <> '' then sha256(author_external_id) end as author_hash,
+  text_content, published_at, like_count, is_synthetic, _ord from stg_comments) where post_id in (select post_id from posts_now)""",
+    ["post_id", "external_id"], I.UPDATES["comments"], _TABLES["comments"][1])
+
+
+@query("normalized_tables", f"""with acc as ({_STORED_ACCOUNTS}), posts_now as ({_STORED_POSTS})
+ {_flat_sql('accounts', 'select * from acc')} union all {_flat_sql('posts', 'select * from posts_now')}
+ union all {_flat_sql('snapshots', _STORED_SNAPSHOTS)} union all {_flat_sql('comments', _STORED_COMMENTS)}""")
+def _(fx):
+    def owned(df):
+        return df.withColumn("account_id", I.new_ids(df, ["platform", "account_external_id"]))
+
+    def of_post(df):
+        with_account = owned(df.withColumn("platform", F.lit("facebook")))
+        return with_account.withColumn("post_id", I.new_ids(with_account, ["account_id", "post_external_id"]))
+
+    accounts = fx.sql(_OLD_ACCOUNTS)
+    posts = owned(fx.sql(_OLD_POSTS)).withColumn("hashtags", F.array(F.lit("#old")))
+    comments = of_post(fx.sql(_OLD_COMMENTS))
+    tables = {
+        "accounts": accounts.withColumn("account_id", I.new_ids(accounts, ["platform", "external_id"])),
+        "posts": posts.withColumn("post_id", I.new_ids(posts, ["account_id", "external_id"])),
+        "snapshots": of_post(fx.sql(_OLD_SNAPSHOTS)),
+        "comments": comments.withColumn("comment_id", I.new_ids(comments, ["post_id", "external_id"])),
+    }
+    tables = {name: materialize(df.select(*_TABLES[name][1]), f"old-{name}") for name, df in tables.items()}
+    batch = {"accounts": fx["stg_accounts"].drop("account_id"), "posts": fx["stg_posts"], "metrics": fx.sql(_METRIC_BATCH),
+             "comments": fx["stg_comments"]}
+    stored, _ = I.normalize_and_store(batch, tables, GATE_AS_OF, keep=materialize)
+    out = None
+    for name, (key, columns) in _TABLES.items():
+        texts = [F.unix_micros(c) if c.endswith("_at") else F.array_join(c, " ") if c == "hashtags" else F.col(c) for c in columns if c != key]
+        part = stored[name].select(F.lit(name).alias("entity"), F.col(key).alias("id"),
+                                   F.concat_ws("|", *[F.coalesce(t.cast("string"), F.lit("~")) for t in texts]).alias("content"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 _GIVEN = """select comment_id, language, sentiment, cast(1.0 as double) as sentiment_score, 'given' as model_name, '1' as model_version,
  cast(null as timestamp) as analyzed_at from fx_comments where sentiment is not null"""
 
