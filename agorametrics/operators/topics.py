@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from agorametrics.functions.metric import INSUFFICIENT_DATA, round_dp
 from agorametrics.functions.text import label_from_keywords, net_sentiment_score, preprocess_text
+from agorametrics.operators.posts import nonblank_text, window_filter
 
 MIN_DOCS = 20
 MIN_TOPIC_SIZE = 3
@@ -84,6 +85,44 @@ def list_topics(topics: DataFrame, limit: int = 50, keys=("account_id",)) -> Dat
         "rank", F.col("rank").cast("bigint"))
 
 
+def topic_keywords(assigned: DataFrame, keys=("account_id",), text: str = "text_content", top: int = TOP_KEYWORDS) -> DataFrame:
+    """The ``top`` words of every cluster of a key, by class-based TF-IDF: a word's share of the
+    cluster's words, times ln(1 + mean words of a cluster / uses of the word in all clusters of the
+    key). Outliers have no keywords. Ties go by the word."""
+    keys = list(keys)
+    words = F.explode(F.regexp_extract_all(F.lower(preprocess_text(F.col(text))), F.lit(r"\p{L}[\p{L}\p{N}]+"), 0)).alias("word")
+    used = assigned.filter(F.col("cluster_id") != OUTLIER).select(*keys, "cluster_id", words)
+    # counted before the shuffle; everything after works on the counts
+    counts = used.groupBy(*keys, "cluster_id", "word").agg(F.count(F.lit(1)).alias("n"))
+    sizes = counts.groupBy(*keys, "cluster_id").agg(F.sum("n").alias("size"))
+    means = sizes.groupBy(*keys).agg((F.sum("size") / F.count(F.lit(1))).alias("mean"))
+    everywhere = counts.groupBy(*keys, "word").agg(F.sum("n").alias("uses"))
+    scored = counts.join(everywhere, [*keys, "word"]).join(sizes, [*keys, "cluster_id"]).join(means, keys)
+    scored = scored.withColumn("score", F.col("n") / F.col("size") * F.log(1 + F.col("mean") / F.col("uses")))
+    ranked = scored.withColumn("rank", F.row_number().over(
+        W.partitionBy(*keys, "cluster_id").orderBy(F.desc("score"), F.asc("word")))).filter(F.col("rank") <= top)
+    listed = F.array_sort(F.collect_list(F.struct("rank", "word")))  # ``top`` words
+    return ranked.groupBy(*keys, "cluster_id").agg(F.transform(listed, lambda w: w["word"]).alias("keywords"))
+
+
+def discover_topics(comments: DataFrame, as_of, window: str, cluster, keep=lambda df, name: df,
+                    min_docs: int = MIN_DOCS, min_size: int = MIN_TOPIC_SIZE) -> tuple[DataFrame, DataFrame]:
+    """Topics of the window's comments per account, and the comments with their topic.
+
+    Blank texts are left out, comments without a sentiment stay. ``cluster`` gives comments a
+    ``cluster_id``, such as the first result of ``fit_topics``. Accounts with too few texts get one row
+    with reason and number. ``keep`` is called on the clustered comments, which several steps read.
+    """
+    inside = nonblank_text(window_filter(comments, "published_at", as_of, window))
+    assigned = keep(cluster(inside), "topic-input")
+    usable = usable_clusters(assigned, min_docs=min_docs, min_size=min_size)
+    rolled = topic_rollup(assigned, topic_keywords(assigned), min_docs=min_docs, min_size=min_size)
+    sizes = usable.select("account_id", "cluster_id", "n_docs").withColumnsRenamed({"account_id": "_a", "cluster_id": "_c"})
+    topics = rolled.join(sizes, (F.col("account_id") == F.col("_a")) & F.col("cluster_id").eqNullSafe(F.col("_c"))).drop("_a", "_c")
+    linked = assigned.select("comment_id", "account_id")
+    return topics, topic_comment_link(linked, assigned.select("comment_id", "account_id", "cluster_id"), usable)
+
+
 def fit_topics(comments: DataFrame, k: int = 10, text: str = "text_content", seed: int = 42,
                min_weight: float = 0.3, vocabulary: int | None = None, max_iter: int = 10):
     """Cluster comments by their words: one topic model over all accounts.

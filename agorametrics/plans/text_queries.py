@@ -443,6 +443,44 @@ def _(fx):
     return TP.list_topics(TP.topic_rollup(fx.sql(ASSIGNED)), limit=4)
 
 
+_T_UNTIL, _T_SINCE, _ = bounds(EVENTS_AS_OF, "20d")
+_DISCOVERED = f"""assigned as (select * from ({_FEW}) where published_at >= {_T_SINCE} and published_at < {_T_UNTIL}
+  and trim(text_content, ' ' || chr(10) || chr(9) || chr(13)) <> ''),
+ {_ROLLUP},
+ src as (select comment_id * 10 + account_id as text_id, text_content as t from assigned), {clean_sql('src', 'text_id')},
+ words as (select account_id, cluster_id, unnest(regexp_extract_all(lower(c.t), '\\p{{L}}[\\p{{L}}\\p{{N}}]+')) as word
+  from assigned a join cleaned c on c.text_id = a.comment_id * 10 + a.account_id where cluster_id <> -1),
+ counts as (select account_id, cluster_id, word, count(*) as n from words group by all),
+ weighed as (select account_id, cluster_id, word, n / sum(n) over (partition by account_id, cluster_id)
+   * ln(1 + (select sum(n) / count(distinct cluster_id) from counts d where d.account_id = c.account_id)
+    / sum(n) over (partition by account_id, word)) as score from counts c),
+ best as (select account_id, cluster_id, list(word order by score desc, word) as found
+  from (select * from weighed qualify row_number() over (partition by account_id, cluster_id order by score desc, word) <= 8) group by 1, 2)"""
+
+
+def _discovered(fx):
+    keep = lambda df: fx.sql(_FEW).select("comment_id", "account_id", "cluster_id").join(df, ["comment_id", "account_id"])
+    comments = fx.sql(_FEW).drop("cluster_id")
+    return TP.discover_topics(comments, EVENTS_AS_OF, "20d", keep, keep=materialize)
+
+
+@query("discover_topics", f"""with {_DISCOVERED}
+ select t.*, cast(null as varchar) as reason, array_to_string(b.found, ' ') as keywords, array_to_string(b.found[1:3], ' / ') as label,
+  cast(max(r.docs) as bigint) as n_docs
+ from topics t join best b using (account_id, cluster_id) join rolled r on r.account_id = t.account_id group by all
+ union all select account_id, null, null, null, null, 'insufficient_data', '', 'unlabeled', cast(max(docs) as bigint) from rolled
+ group by 1 having max(docs) < 20""")
+def _(fx):
+    topics, _ = _discovered(fx)
+    return topics.withColumn("keywords", F.coalesce(F.array_join("keywords", " "), F.lit("")))
+
+
+@query("discover_topic_links", f"""with {_DISCOVERED} select a.account_id, a.comment_id, t.cluster_id as topic_id
+ from assigned a left join topics t on t.account_id = a.account_id and t.cluster_id = a.cluster_id""")
+def _(fx):
+    return _discovered(fx)[1].select("account_id", "comment_id", "topic_id")
+
+
 @query("fit_topics")
 def _(fx):
     comments = fx["fx_comments"].select("comment_id", "account_id", "text_content", "sentiment")
