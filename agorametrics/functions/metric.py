@@ -9,6 +9,7 @@ from typing import NamedTuple
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Reason codes.
 REACH_UNAVAILABLE = "reach_unavailable"
 FOLLOWERS_UNAVAILABLE = "followers_unavailable"
 IMPRESSIONS_UNAVAILABLE = "impressions_unavailable"

@@ -20,10 +20,10 @@ from agorametrics.functions.metric import round_dp
 WS = r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 WORD = r"\p{L}\p{N}_"
 
-_ZERO_WIDTH = r"[\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2066}-\x{2069}\x{feff}]"
-_DIACRITICS = r"[\x{64b}-\x{652}\x{670}\x{640}]"
-_EMOJI = r"[\x{1f300}-\x{1faff}\x{2600}-\x{27bf}\x{1f000}-\x{1f0ff}]"
-_ARABIC = r"\x{600}-\x{6ff}\x{750}-\x{77f}\x{8a0}-\x{8ff}"
+_ZERO_WIDTH = vocab.ZERO_WIDTH_RANGE
+_DIACRITICS = vocab.DIACRITICS_RANGE
+_EMOJI = vocab.EMOJI_RANGE
+_ARABIC = vocab.ARABIC_RANGE
 # Characters that can neither compose, decompose nor be reordered under NFC
 _NFC_SAFE = (
     r"^[\x{0}-\x{2ff}\x{621}-\x{64a}\x{660}-\x{66f}\x{671}-\x{6d3}\x{2010}-\x{2027}"
@@ -139,7 +139,7 @@ def emoji_polarity(text: Column) -> Column:
 # A case-insensitive [a-z] also matches these letters. They are replaced so that the patterns can
 # do with ASCII classes, which are several times faster; no listed word has an x.
 _ODD_LETTERS, _STAND_INS = "\u0130\u0131\u017f\u212a", "xxxk"
-_INTRAWORD = "[a-z][235679]|[235679][a-z]"
+_INTRAWORD = vocab.INTRAWORD_DIGITS
 
 
 def _folded(text: Column) -> Column:

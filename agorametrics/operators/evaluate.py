@@ -153,7 +153,7 @@ def stratified_split(rows: DataFrame, label: str, row_id: str, ratios=(0.7, 0.1,
     down for train and val. Rows are shuffled by a seeded hash of their id, so the same input and
     seed give the same split on any partitioning."""
     if abs(sum(ratios) - 1.0) > 1e-6:
-        raise ValueError(f"ratios must sum to 1.0, got {ratios}")
+        raise ValueError(f"the shares of the splits add up to {sum(ratios)}, not to 1")
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(row_id).cast("string")))
     ranked = rank_by_hash(rows.withColumn("_digest", digest), [label], "_digest", "_rank", "_size")
     n_train = F.floor(F.col("_size") * F.lit(float(ratios[0])))

@@ -1,30 +1,7 @@
-"""Fixed schemas of the staging records and the stored tables."""
+"""Count columns, and the shapes of archived payloads."""
 
 from __future__ import annotations
 
-ACCOUNT_RECORD = (
-    "platform string, external_id string, handle string, display_name string, "
-    "followers_count bigint, is_competitor boolean"
-)
-POST_RECORD = (
-    "account_external_id string, platform string, external_id string, published_at timestamp, "
-    "content_type string, text_content string, permalink string, media_count bigint, "
-    "is_synthetic boolean, hashtags array<string>"
-)
-SNAPSHOT_RECORD = (
-    "post_external_id string, account_external_id string, platform string, captured_at timestamp, "
-    "likes bigint, comments_count bigint, shares bigint, saves bigint, "
-    "reach bigint, impressions bigint, video_views bigint, clicks bigint"
-)
-COMMENT_RECORD = (
-    "post_external_id string, account_external_id string, platform string, external_id string, "
-    "text_content string, published_at timestamp, like_count bigint, author_external_id string, "
-    "is_synthetic boolean"
-)
-RAW_EVENT = (
-    "source string, entity_type string, external_id string, payload string, captured_at timestamp"
-)
-
 COUNT_DEFAULT_ZERO = ("likes", "comments_count", "shares", "saves")
 COUNT_NULLABLE = ("reach", "impressions", "video_views", "clicks")
 COUNT_COLUMNS = COUNT_DEFAULT_ZERO + COUNT_NULLABLE

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,5 +62,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     path = shared_dir(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    if _open:
+        _open[-1].append((path, back))
+    return back
+
+
+_open: list[list[tuple[str, DataFrame]]] = []
+
+
+@contextmanager
+def scratch():
+    """Tables that ``materialize`` writes inside the block give their space back at its end, when the
+    block's results must have been written or collected: each becomes an empty table."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path, df in _open.pop():
+            df.sparkSession.createDataFrame([], df.schema).coalesce(1).write.mode("overwrite").option(
+                "partitionOverwriteMode", "static").parquet(path)
 

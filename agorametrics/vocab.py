@@ -7,10 +7,7 @@ from __future__ import annotations
 
 DISPLAY_TZ = "Africa/Tunis"
 
-PLATFORMS = ("facebook", "instagram", "youtube", "tiktok", "linkedin", "x")
-CONTENT_TYPES = ("photo", "video", "reel", "carousel", "text", "link", "short")
 SENTIMENTS = ("positive", "neutral", "negative")
-LANGUAGES = ("fr", "en", "ar", "aeb-latn", "other")
 DAY_NAMES = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
 
 # Platform-native content type -> canonical content type.
@@ -165,3 +162,10 @@ CSV_PROFILES = {
     },
 }
 DEFAULT_CSV_PROFILE = "meta_business_suite_posts"
+
+# Character ranges of the text operators.
+ZERO_WIDTH_RANGE = r"[\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2066}-\x{2069}\x{feff}]"
+DIACRITICS_RANGE = r"[\x{64b}-\x{652}\x{670}\x{640}]"
+EMOJI_RANGE = r"[\x{1f300}-\x{1faff}\x{2600}-\x{27bf}\x{1f000}-\x{1f0ff}]"
+ARABIC_RANGE = r"\x{600}-\x{6ff}\x{750}-\x{77f}\x{8a0}-\x{8ff}"
+INTRAWORD_DIGITS = "[a-z][235679]|[235679][a-z]"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from agorametrics.operators import history as H
 from agorametrics.operators import ingest as I
 from agorametrics.schemas import COUNT_COLUMNS
-from agorametrics.session import materialize, shared_dir
+from agorametrics.session import materialize, scratch, shared_dir
 from agorametrics.sources import csv_export as C
 from agorametrics.sources import payloads as PL
 from agorametrics.sources import sinks as SK
@@ -391,3 +391,11 @@ def test_stream_series_follow_late_rows(spark, table):
     assert late == {("2026-06-20 11:00", 100.0), ("2026-07-01 11:00", 12.0), ("2026-07-01 13:00", 2.0)}
     J.compact_timeseries(spark, f"{root}/log", f"{root}/folded")
     assert {(r.label, r.value) for r in J.timeseries_state(spark, f"{root}/folded").collect()} == late
+
+
+def test_scratch_gives_its_space_back(spark):
+    with scratch():
+        kept = materialize(spark.range(100), "t")
+        assert kept.count() == 100
+    path = kept.inputFiles()[0].rsplit("/", 1)[0]
+    assert spark.read.parquet(path).count() == 0
