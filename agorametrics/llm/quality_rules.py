@@ -28,7 +28,7 @@ FENCE = 3
 FEWEST = 50
 # share: what it is of, in millionths (word length: thousandths of a character); least distance of the quartiles
 SHARES = {
-    "symbols": ("n_symbols", "word_chars", 1_000_000, 50_000),
+    "symbols": ("n_symbols", "word_chars", 1_000_000, 20_000),
     "dup_lines": ("n_dup_lines", "n_lines", 1_000_000, 200_000),
     "repeats": ("n_repeat_words", "n_words", 1_000_000, 100_000),
     "length": ("word_chars", "n_words", 1_000, 2_000),
