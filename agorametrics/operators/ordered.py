@@ -95,8 +95,17 @@ def rank_by_hash(df: DataFrame, keys: Sequence[str], digest: str, rank: str, siz
 
     The first three digits of the digest cut a group into 4096 slices that are already in order.
     """
+    return rank_in_slices(df, keys, F.substring(digest, 1, 3), [F.col(digest)], rank, size)
+
+
+def rank_in_slices(df: DataFrame, keys: Sequence[str], slice_: Column, order: list[Column], rank: str, size: str) -> DataFrame:
+    """Row number and group size without a window over a whole group.
+
+    ``slice_`` cuts a group into parts that ascend in the order; rows are numbered inside their part,
+    behind the rows of the parts before.
+    """
     keys = list(keys)
-    sliced = df.withColumn("_slice", F.substring(digest, 1, 3))
+    sliced = df.withColumn("_slice", slice_)
     counts = sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select(
@@ -104,7 +113,7 @@ def rank_by_hash(df: DataFrame, keys: Sequence[str], digest: str, rank: str, siz
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
         F.sum("_n").over(W.partitionBy(*keys)).alias(size),
     )
-    inside = W.partitionBy(*keys, "_slice").orderBy(digest)
+    inside = W.partitionBy(*keys, "_slice").orderBy(*order)
     return (
         sliced.withColumn("_rn", F.row_number().over(inside))
         .join(offsets, [*keys, "_slice"])

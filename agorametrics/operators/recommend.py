@@ -17,6 +17,7 @@ from agorametrics.functions import timeparse as T
 from agorametrics.functions.metric import cents, round_dp
 from agorametrics.functions.text import extract_hashtag_names
 from agorametrics.operators.kpi import dominant_basis
+from agorametrics.operators.ordered import rank_in_slices
 from agorametrics.session import materialize
 
 MIN_N = 2
@@ -26,8 +27,8 @@ RULES = {
     "content_type": (MIN_N, None),
     "hashtags": (MIN_N, 10),
     "best_time": (MIN_N, 5),
-    "best_time_day": (1, None),
-    "best_time_hour": (1, None),
+    "best_time_day": (1, 7),
+    "best_time_hour": (1, 24),
 }
 _MARGINALS = ("best_time_day", "best_time_hour")
 
@@ -93,10 +94,9 @@ def rank_observations(obs: DataFrame, kinds, k: float = SHRINKAGE, rules=None) -
         F.expr("substring(entry, instr(entry, '|') + 1)").alias("key"), "s", "n", "n_err", "n_erf",
     ), "observation-sums")
     minimum = F.col("kind")
-    min_n, top = F.lit(None), F.lit(None)
-    for kind, (least, limit) in rules.items():
+    min_n = F.lit(None)
+    for kind, (least, _) in rules.items():
         min_n = F.when(minimum == kind, least).otherwise(min_n)
-        top = F.when(minimum == kind, F.lit(limit)).otherwise(top)
 
     per_kind = sums.groupBy("account_id", "kind").agg(
         F.sum("n").alias("n_total"), F.sum("s").alias("_s"),
@@ -132,7 +132,7 @@ def rank_observations(obs: DataFrame, kinds, k: float = SHRINKAGE, rules=None) -
     )
     columns = ["account_id", "kind", "er_basis", "rank", "key", "n", "mean_er", "shrunk_score",
                "lift", "confidence", "baseline_er", "n_total", "reason"]
-    ranked = _top_by_score(scored, top).withColumn(
+    ranked = _top_by_score(scored, {kind: rules[kind][1] for kind in kinds}).withColumn(
         "lift", lift(F.col("mean_er"), F.col("_base"))
     ).withColumn("confidence", confidence_for(F.col("n")))
     # marginals only accompany the cells; their lack is told by the cells' row
@@ -143,18 +143,30 @@ def rank_observations(obs: DataFrame, kinds, k: float = SHRINKAGE, rules=None) -
     return ranked.select(*columns).unionByName(empty.select(*columns))
 
 
-def _top_by_score(scored: DataFrame, top: Column) -> DataFrame:
-    """First ``top`` keys per account and kind (all where null), in two steps: an account may use
-    any number of hashtags, so each of as many parts as there are shuffle partitions first names its
-    own best."""
+def _top_by_score(scored: DataFrame, limits: dict[str, int | None]) -> DataFrame:
+    """First keys per account and kind, as many as the kind's limit, or all.
+
+    An account may use any number of hashtags or types. With a limit, each of as many parts as there
+    are shuffle partitions first names its own best; limits are literals, so that Spark cuts before it
+    sorts. Without one, keys are ranked inside bands of a hundredth of the score.
+    """
     order = [F.desc("shrunk_score"), F.asc("key")]
     salt = F.pmod(F.xxhash64("key"), F.lit(int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     part = W.partitionBy("account_id", "kind", "_salt").orderBy(*order)
     whole = W.partitionBy("account_id", "kind").orderBy(*order)
-    keeps = lambda rank: top.isNull() | (F.col(rank) <= top)
-    local = scored.withColumn("_salt", salt).withColumn("_local", F.row_number().over(part))
-    final = local.filter(keeps("_local")).withColumn("rank", F.row_number().over(whole).cast("bigint"))
-    return final.filter(keeps("rank")).drop("_salt", "_local")
+    out = None
+    for limit in sorted({n for n in limits.values() if n is not None}):
+        own = scored.filter(F.col("kind").isin([k for k, n in limits.items() if n == limit]))
+        local = own.withColumn("_salt", salt).withColumn("_local", F.row_number().over(part)).filter(F.col("_local") <= limit)
+        final = local.withColumn("rank", F.row_number().over(whole)).filter(F.col("rank") <= limit)
+        final = final.withColumn("rank", F.col("rank").cast("bigint")).drop("_salt", "_local")
+        out = final if out is None else out.unionByName(final)
+    open_ = [k for k, n in limits.items() if n is None]
+    if open_:
+        own = scored.filter(F.col("kind").isin(open_))
+        final = rank_in_slices(own, ["account_id", "kind"], -F.floor(F.col("shrunk_score") * 100), order, "rank", "_size").drop("_size")
+        out = final if out is None else out.unionByName(final)
+    return out
 
 
 def rank_categories(obs: DataFrame, min_n: int = MIN_N, top_k: int | None = None,
