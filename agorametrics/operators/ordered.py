@@ -15,15 +15,35 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def time_slice(ts: str, seconds: int) -> Column:
-    return F.floor(F.unix_micros(F.col(ts)) / F.lit(seconds * 1_000_000)).cast("bigint")
+# Rows a slice should hold at most: a group with more gets narrower slices.
+ROWS = 1_000_000
+
+
+def hot_groups(df: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
+    """Keys of the groups of more than ``ROWS`` rows, as ``_key0`` .., and the seconds that hold ``ROWS``
+    of their rows on average. At most a row for every ``ROWS`` of the input: small enough to broadcast."""
+    at = F.unix_micros(F.col(ts))
+    n = F.count(ts)
+    span = (F.max(at) - F.min(at)) / 1e6
+    hot = df.groupBy(*keys).agg(n.alias("_n"), F.greatest(F.lit(1), F.floor(span * ROWS / n)).cast("bigint").alias("_width"))
+    return hot.filter(F.col("_n") > ROWS).select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], "_width")
+
+
+def with_slice(df: DataFrame, keys: Sequence[str], ts: str, seconds: int, hot: DataFrame) -> DataFrame:
+    """Add ``_slice``: the second a slice of the group's time starts at; slices ascend with time."""
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_key{i}"))
+    width = F.least(F.coalesce("_width", F.lit(seconds)), F.lit(seconds))
+    start = F.floor(F.unix_micros(F.col(ts)) / (width * 1_000_000)) * width
+    return df.join(F.broadcast(hot), same, "left").withColumn("_slice", start.cast("bigint")).select(*df.columns, "_slice")
 
 
 def with_previous(df: DataFrame, keys: Sequence[str], ts: str, tie: str, name: str,
                   slice_seconds: int = 3600) -> DataFrame:
     """Add ``name``: the previous ``ts`` of the same group, null for the first row."""
     keys = list(keys)
-    sliced = df.withColumn("_slice", time_slice(ts, slice_seconds))
+    sliced = with_slice(df, keys, ts, slice_seconds, hot_groups(df, keys, ts))
     inside = W.partitionBy(*keys, "_slice").orderBy(ts, tie)
     rows = sliced.withColumn("_prev", F.lag(ts).over(inside))
     # one row per slice: its last timestamp, handed to the slice that follows
@@ -41,7 +61,7 @@ def gap_hours(df: DataFrame, keys: Sequence[str], ts: str, slice_seconds: int =
     Gaps inside a slice need no join; gaps between slices come from the slices' ends.
     """
     keys = list(keys)
-    sliced = df.select(*keys, ts).withColumn("_slice", time_slice(ts, slice_seconds))
+    sliced = with_slice(df.select(*keys, ts), keys, ts, slice_seconds, hot_groups(df, keys, ts))
     inside = W.partitionBy(*keys, "_slice").orderBy(ts)
     within = sliced.select(*keys, F.lag(ts).over(inside).alias("_a"), F.col(ts).alias("_b"))
     ends = sliced.groupBy(*keys, "_slice").agg(F.min(ts).alias("_b"), F.max(ts).alias("_last"))
@@ -137,9 +157,10 @@ def nearest_in_time(left: DataFrame, right: DataFrame, keys: Sequence[str], at:
         *keys, F.col(seen).alias("_t"), F.lit(0).alias("_side"), obs.alias("_obs")
     )
     asked = left.withColumn("_t", F.col(at)).withColumn("_side", F.lit(1))
-    stacked = asked.unionByName(observed, allowMissingColumns=True).withColumn(
-        "_slice", time_slice("_t", slice_seconds)
-    )
+    # slices are as wide as the group's rows of both sides allow
+    times = asked.select(*keys, "_t").unionByName(observed.select(*keys, "_t"))
+    hot = hot_groups(times, keys, "_t")
+    stacked = with_slice(asked.unionByName(observed, allowMissingColumns=True), keys, "_t", slice_seconds, hot)
     # looking ahead is looking back in the opposite order: a frame that ends at the current row
     # grows with it, one that ends at the last row is evaluated anew for every row
     order = [F.col("_t"), F.col("_side"), F.col("_obs.v")]
@@ -152,12 +173,12 @@ def nearest_in_time(left: DataFrame, right: DataFrame, keys: Sequence[str], at:
         .filter(F.col("_side") == 1)
     )
     ends = (
-        observed.withColumn("_slice", time_slice("_t", slice_seconds))
+        with_slice(observed, keys, "_t", slice_seconds, hot)
         .groupBy(*keys, "_slice")
         .agg(F.min("_obs").alias("_first"), F.max("_obs").alias("_last"))
     )
     # a slice of left rows without observations still needs its neighbours' ends
-    asked_slices = asked.select(*keys, time_slice("_t", slice_seconds).alias("_slice")).distinct()
+    asked_slices = with_slice(asked.select(*keys, "_t"), keys, "_t", slice_seconds, hot).select(*keys, "_slice").distinct()
     frame = asked_slices.join(ends, [*keys, "_slice"], "full")
     earlier = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     later = W.partitionBy(*keys).orderBy(F.desc("_slice")).rowsBetween(W.unboundedPreceding, -1)

@@ -22,14 +22,24 @@ def skewed(n=3000, seed=1):
 SCHEMA = "account_id long,ts timestamp,id long,value double"
 
 
+@pytest.mark.parametrize("rows", [50, O.ROWS])
 @pytest.mark.parametrize("seconds", [60, 3600, 86400 * 400])
-def test_previous_equals_plain_window(table, seconds):
+def test_previous_equals_plain_window(table, monkeypatch, seconds, rows):
+    monkeypatch.setattr(O, "ROWS", rows)
     df = table(skewed(), SCHEMA)
     got = O.with_previous(df, ["account_id"], "ts", "id", "previous", seconds)
     want = df.withColumn("previous", F.lag("ts").over(W.partitionBy("account_id").orderBy("ts", "id")))
     assert {(r.id, r.previous) for r in got.collect()} == {(r.id, r.previous) for r in want.collect()}
 
 
+def test_hot_groups_get_slices_by_count(table, monkeypatch):
+    monkeypatch.setattr(O, "ROWS", 100)
+    df = table(skewed(), SCHEMA)
+    sliced = O.with_slice(df, ["account_id"], "ts", 86400 * 400, O.hot_groups(df, ["account_id"], "ts"))
+    sizes = [r.n for r in sliced.groupBy("account_id", "_slice").agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 3000 and max(sizes) < 200
+
+
 def test_gaps_equal_plain_window(table):
     df = table(skewed(), SCHEMA)
     w = W.partitionBy("account_id").orderBy("ts", "id")
@@ -56,8 +66,10 @@ def test_rank_by_hash_equals_plain_window(table):
     assert {(r.id, r.r) for r in got.collect()} == {(r.id, r.r) for r in want.collect()}
 
 
+@pytest.mark.parametrize("rows", [10, O.ROWS])
 @pytest.mark.parametrize("seconds", [3600, 86400, 86400 * 30])
-def test_nearest_equals_brute_force(table, seconds):
+def test_nearest_equals_brute_force(table, monkeypatch, seconds, rows):
+    monkeypatch.setattr(O, "ROWS", rows)
     rng = random.Random(3)
     posts = [(i, rng.randrange(4), str(START + timedelta(hours=rng.randrange(24 * 60)))) for i in range(300)]
     snaps = [(a, str(START + timedelta(hours=h)), rng.randrange(1000))
