@@ -16,7 +16,8 @@ tiles of at most ``TILE`` classes a side; a pair counts in the first trie where
 
 Null and empty texts, and texts without a word, have no set: they are alone, with no links. Repeated
 rows are members of one class. Words: see ``decontaminate``. A null id is an id like others; ids are
-only reported and break ties, texts are told apart by id and text hash.
+only reported and break ties, texts are told apart by id and text hash. Very long texts have large
+sets; an empty table gives no rows. Other columns are left aside, and kept by ``keep_one``.
 """
 
 from __future__ import annotations

@@ -6,8 +6,8 @@ normalised sentences have identifiers; a rule is an ordered sequence of identifi
 where its identifiers follow each other in the text with at most ``GAP`` other sentences between two.
 Of overlapping matches the longest wins, then the first.
 
-Null and empty texts have no sentences and no match. Repeated rows are scanned alike; other columns
-are left aside. Sentences and rules are configuration: parameters of the operator, part of the task.
+Null and empty texts have no sentences and no match; an empty table gives no rows. Repeated rows are
+scanned alike, very long texts whole; other columns are left aside. Sentences and rules are configuration: parameters of the operator, part of the task.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ whole chain of whole texts, in lockstep over the documents of a batch.
 
 Lines are parts between line breaks that hold a word (a run of bytes other than white space). A text
 without any, null or empty, scores the share of label 1 in the sample. If the sample has one label
-only, every text scores that share; without labelled documents it is 0.5. Repeated rows score alike.
+only, every text scores that share; without labelled documents it is 0.5. Repeated rows score alike; an empty table gives no rows. Other
+columns stay, one with the name of a new column is replaced.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ mean word length also has a lower cut. A source with under ``FEWEST`` documents
 sketch, a small language the corpus's.
 
 Null and empty texts count zero words and fail the base rule. Null languages and sources are groups
-of their own. Repeated rows count, and are judged, each. Other columns are left aside.
+of their own. Repeated rows count, and are judged, each. Very long texts are counted whole; an empty
+table gives no rows. Other columns are left aside.
 
 All of it is DataFrame expressions; work on the words of one text stays inside its row.
 """
@@ -113,30 +114,28 @@ def merge(sketches: DataFrame, *keys: str) -> DataFrame:
 
 
 def quartiles(sketches: DataFrame, *keys: str) -> DataFrame:
-    """keys, n, and low and high quartile of each share. A sketch has some hundred buckets at most."""
+    """keys, share, n, low and high quartile. A sketch has some hundred buckets at most."""
     from pyspark.sql import Window
 
     group = Window.partitionBy(*keys, "share")
     upto = sketches.withColumn("upto", F.sum("n").over(group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(group))
     end = upper_end(F.col("bucket"))
-    each = upto.groupBy(*keys, "share").agg(
+    return upto.groupBy(*keys, "share").agg(
         F.max("all").alias("n"), F.min(F.when(F.col("upto") * 4 >= F.col("all"), end)).alias("low"),
         F.min(F.when(F.col("upto") * 4 >= F.col("all") * 3, end)).alias("high"))
-    return each.groupBy(*keys).agg(
-        F.max("n").alias("n"),
-        *[F.max(F.when(F.col("share") == s, F.struct("low", "high"))).alias(s) for s in SHARES])
 
 
 def thresholds(sketches: DataFrame, lang: str = "lang", source: str = "source", fewest: int = FEWEST) -> DataFrame:
     """Quartiles that hold for each (lang, source): its own, its language's or the corpus's."""
-    own = quartiles(sketches, lang, source)
-    by_lang = quartiles(merge(sketches, lang), lang)
-    whole = quartiles(merge(sketches).withColumn("one", F.lit(1)), "one")
-    names = lambda df, tag: df.select(*[c for c in df.columns if c in (lang, source, "one")], F.struct("n", *SHARES).alias(tag))
-    own, by_lang, whole = names(own, "a"), names(by_lang, "b").withColumnRenamed(lang, "_lang"), names(whole, "c")
-    both = own.join(by_lang, F.col(lang).eqNullSafe(F.col("_lang")), "left").withColumn("one", F.lit(1)).join(whole, "one", "left")
+    at = F.struct("n", "low", "high")
+    own = quartiles(sketches, lang, source).select(lang, source, "share", at.alias("a"))
+    by_lang = quartiles(merge(sketches, lang), lang).select(F.col(lang).alias("_lang"), F.col("share").alias("_share"), at.alias("b"))
+    whole = quartiles(merge(sketches)).select("share", at.alias("c"))
+    both = own.join(by_lang, F.col(lang).eqNullSafe(F.col("_lang")) & (F.col("share") == F.col("_share")), "left").join(whole, "share", "left")
     pick = F.when(F.col("a.n") >= fewest, F.col("a")).when(F.col("b.n") >= fewest, F.col("b")).otherwise(F.col("c"))
-    return both.select(lang, source, pick.alias("at"))
+    each = both.select(lang, source, "share", pick.alias("at"))
+    wide = each.groupBy(lang, source).agg(*[F.max(F.when(F.col("share") == s, F.col("at"))).alias(s) for s in SHARES])
+    return wide.select(lang, source, F.struct(*SHARES).alias("at"))
 
 
 def verdict(limits: Column) -> Column:

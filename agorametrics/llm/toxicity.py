@@ -9,7 +9,8 @@ and characters outside ASCII; a sentence ends at ``.``, ``!``, ``?`` or a line b
 The fit reads a bounded, documented sample of labelled documents (``labelled``); the features are
 chosen among all of that sample's. Scores read whole texts. A null or empty text has no sentence and
 scores 0. Without any labelled document of either kind, all score the share of label 1 (0 if none).
-Repeated rows score alike; other columns stay.
+Repeated rows score alike; an empty table gives no rows. Other columns stay, one with the name of a
+new column is replaced. Very long texts are scored whole, by themselves.
 """
 
 from __future__ import annotations
