@@ -8,15 +8,18 @@ counts the ids before a document in its part; with the parts' totals, which are
 columns alone, that gives its place among all ids.
 
 Texts are encoded whole by the tokenizers library, without special tokens; strings of these in a text
-are ordinary text. The tokenizer's split never crosses white space, so each distinct chunk between
-blanks is encoded once a batch, and common ones once a worker. Every document ends with the end id; a
+are ordinary text. The tokenizer's split never crosses white space, so each distinct part is encoded
+once a batch, and common ones once a worker. Every document ends with the end id; a
 null or empty text has only that. Rows of one id are ordered by text hash; equal rows are equal. Null
-ids come first. Columns other than id and text are left aside.
+ids come first. Very long texts are encoded whole; an empty table gives empty files. Columns other than
+id and text are left aside.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from agorametrics.llm.common import PIECE, lists, packed, pieces, ragged, raw, spans
+from agorametrics.llm.common import LOWER, lists, packed, pieces, ragged, raw, spans
 
 ROW_GROUP = 16 << 20
 PAGE = 128 << 10
@@ -32,76 +35,105 @@ CACHE = 200_000  # chunks a worker remembers
 
 FILE = "doc_id long, part int, offset long, n_tokens int, ids array<int>"
 
-_BLANK = np.zeros(256, dtype=bool)
-_BLANK[0x09:0x0E] = _BLANK[0x20] = True
+# Kinds of bytes: blank, letter, digit, other sign. A chunk between blanks that holds anything else
+# (see ``segments``) is left to the library whole.
+_KIND = np.full(256, 4, dtype=np.uint8)
+_KIND[0x21:0x7F] = 3
+_KIND[0x09:0x0E] = _KIND[0x20] = 0
+_KIND[0x30:0x3A] = 2
+_KIND[0x41:0x5B] = _KIND[0x61:0x7B] = 1
+_KIND[0x27] = 4  # an apostrophe may start a contraction
 _MARK = "\x00"  # between chunks that are encoded together: a token of its own
+_PLAIN = re.compile("[a-zà-öø-ÿ]+|[0-9]|[!-&(-/:-@\\[-`{-~]+")
+
+
+def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """Where the parts start that the tokenizer's split makes of the texts, and these, lower-cased: chunks between blanks
+    of ASCII and the letters À to ÿ are split here (letters, single digits, runs of other signs);
+    chunks with anything else stay whole."""
+    kind = _KIND[data]
+    high = data >= 0x80
+    lead = np.zeros(data.size, dtype=bool)
+    if data.size:
+        # letters À to ÿ are C3 and one byte; 97 and B7 behind it are signs
+        lead[:-1] = (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+    tail = np.zeros(data.size, dtype=bool)
+    tail[1:] = lead[:-1]
+    kind[high & (lead | tail)] = 1
+    low = LOWER[data]
+    low[tail & (data <= 0x9E)] += 0x20
+    whole, ends = spans(kind != 0, offsets)
+    odd = np.concatenate([[0], np.cumsum(kind == 4)])
+    left = np.flatnonzero(odd[ends] > odd[whole])
+    kind[ragged(whole[left], ends[left] - whole[left])] = 4
+    new = np.empty(data.size, dtype=bool)
+    if data.size:
+        new[0] = True
+        new[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+        new[offsets[(offsets > 0) & (offsets < data.size)]] = True
+    starts = np.flatnonzero(new & (kind != 0))
+    first = np.flatnonzero(new)
+    after = np.append(first[1:], data.size)[np.searchsorted(first, starts)]
+    return starts, packed(low, kind != 0, starts, after).dictionary_encode()
 
 
 class Chunks:
-    """Encodes chunks without blanks; remembers the first ``CACHE`` of them."""
+    """Encodes what ``segments`` finds; remembers the first ``CACHE`` of them."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, normalizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.full = Tokenizer.from_file(path)
         self.full.encode_special_tokens = True
-        # for lower-case ASCII the normaliser has nothing to do
-        self.plain = Tokenizer.from_file(path)
-        self.plain.encode_special_tokens = True
-        self.plain.normalizer = normalizers.Sequence([])
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.bytes = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xE0, 0x100)}
         self.mark = self.full.encode(_MARK, add_special_tokens=False).ids
         self.known: dict[bytes, int] = {}
         self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int32)
 
-    def _together(self, tokenizer, chunks: list[str]) -> list[list[int]]:
+    def _together(self, chunks: list[str]) -> list[list[int]]:
         joint = f" {_MARK} "
         out: list[list[int]] = []
         for lo in range(0, len(chunks), 500):
             some = chunks[lo:lo + 500]
-            ids = np.array(tokenizer.encode_batch_fast([joint.join(some)], add_special_tokens=False)[0].ids)
+            ids = np.array(self.full.encode_batch_fast([joint.join(some)], add_special_tokens=False)[0].ids)
             parts = np.split(ids, np.flatnonzero(ids == self.mark[0]))
             if len(self.mark) != 1 or len(parts) != len(some):
-                out += [x.ids for x in tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+                out += [x.ids for x in self.full.encode_batch_fast(some, add_special_tokens=False)]
             else:
                 out += [parts[0].tolist(), *(p[1:].tolist() for p in parts[1:])]
         return out
 
     def encode(self, chunks: list[bytes]) -> list[list[int]]:
         found: list = [None] * len(chunks)
-        ascii_, other = [], []
-        word = self.full.model.tokenize
+        other = []
+        merge, plain = self.full.model.tokenize, _PLAIN.fullmatch
         for i, c in enumerate(chunks):
-            if c.isascii():
-                low = c.lower()
-                if low.isalpha():  # one word of the split: straight to the merges
-                    found[i] = [t.id for t in word(low.decode())]
-                else:
-                    ascii_.append((i, low.decode()))
+            text = c.decode("utf-8", "replace")
+            if plain(text):  # one piece of the split: straight to the merges, in the model's letters
+                found[i] = [t.id for t in merge(text if text.isascii() else text.translate(self.bytes))]
+            elif _MARK in text:
+                found[i] = self.full.encode(text, add_special_tokens=False).ids
             else:
-                other.append((i, c.decode("utf-8", "replace")))
-        for tokenizer, some in ((self.plain, ascii_), (self.full, other)):
-            alone = [(i, c) for i, c in some if _MARK in c]
-            some = [(i, c) for i, c in some if _MARK not in c]
-            for (i, _), ids in zip(some, self._together(tokenizer, [c for _, c in some]), strict=True):
-                found[i] = ids
-            for i, c in alone:
-                found[i] = tokenizer.encode(c, add_special_tokens=False).ids
+                other.append(i)
+        for i, ids in zip(other, self._together([chunks[i].decode("utf-8", "replace") for i in other]), strict=True):
+            found[i] = ids
         return found
 
     def table(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Number of ids and first place of each chunk in the flat ids, and these."""
-        at = np.array([self.known.get(c, -1) for c in chunks], dtype=np.int64)
+        at = np.fromiter((self.known.get(c, -1) for c in chunks), np.int64, len(chunks))
         new = np.flatnonzero(at < 0)
-        ids = self.encode([chunks[i] for i in new])
+        missing = [chunks[i] for i in new]
+        ids = self.encode(missing)
         size = np.concatenate([self.size, np.fromiter(map(len, ids), np.int64, len(ids))])
-        flat = np.concatenate([self.flat, np.fromiter((x for y in ids for x in y), np.int32)])
+        flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.int32)])
         at[new] = self.size.size + np.arange(new.size)
-        room = max(0, CACHE - self.size.size)
-        if room and new.size:
-            n = min(room, new.size)
-            self.known.update(zip([chunks[i] for i in new[:n]], range(self.size.size, self.size.size + n), strict=True))
-            total = self.size.size + n
-            self.size, self.flat = size[:total], flat[:int(size[:total].sum())]
+        room = CACHE - self.size.size
+        if room > 0 and missing:
+            total = self.size.size + min(room, len(missing))
+            self.known.update(zip(missing, range(self.size.size, total), strict=False))
+            self.size, self.flat = size[:total].copy(), flat[:int(size[:total].sum())].copy()
         return size[at], (np.cumsum(size) - size)[at], flat
 
 
@@ -117,11 +149,9 @@ def rows(docs: DataFrame, path: str, end: int = 1, doc_id: str = "doc_id", text:
         if path not in _workers:
             _workers[path] = Chunks(path)
         own, part, done = _workers[path], TaskContext.get().partitionId(), 0
-        for batch in pieces(batches, most=2 * PIECE):
+        for batch in pieces(batches):
             data, offsets = raw(batch.column(1))
-            mask = ~_BLANK[data]
-            starts, ends = spans(mask, offsets)
-            chunks = packed(data, mask, starts, ends).dictionary_encode()
+            starts, chunks = segments(data, offsets)
             size, first, flat = own.table(chunks.dictionary.to_pylist())
             codes = chunks.indices.to_numpy()
             ids = flat[ragged(first[codes], size[codes])]
