@@ -146,3 +146,27 @@ def put(batch: pa.RecordBatch, schema: pa.Schema, **columns) -> pa.RecordBatch:
     """The batch with more columns, typed as ``schema`` says."""
     arrays = [columns[f.name] if f.name in columns else batch.column(batch.schema.get_field_index(f.name)) for f in schema]
     return pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a, type=f.type) for a, f in zip(arrays, schema, strict=True)], schema=schema)
+
+
+def short(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whole numbers below 2 ** 35 in seven bits a byte, low ones first, and how many bytes each takes."""
+    numbers = numbers.astype(np.int64)
+    size = np.ones(numbers.size, np.int64)
+    for k in range(1, 5):
+        size += numbers >= 1 << 7 * k
+    out = np.empty(int(size.sum()), np.uint8)
+    at = np.cumsum(size) - size
+    for k in range(5):
+        some = np.flatnonzero(size > k)
+        out[at[some] + k] = numbers[some] >> 7 * k & 0x7F | np.where(size[some] > k + 1, 0x80, 0)
+    return out, size
+
+
+def long(data: np.ndarray) -> np.ndarray:
+    """The numbers that ``short`` wrote."""
+    if not data.size:
+        return np.zeros(0, np.int64)
+    last = np.flatnonzero(data < 0x80)
+    first = np.concatenate([[0], last[:-1] + 1])
+    place = np.arange(data.size) - np.repeat(first, last - first + 1)
+    return np.add.reduceat((data & 0x7F).astype(np.int64) << 7 * place, first)

@@ -14,7 +14,8 @@ bounded list that goes to the tasks, and takes one pass over the rows of its ter
 Words: A-Z lower-cased, then runs of digits, letters a-z and characters outside ASCII.
 Null or empty texts have no words: such documents come back with zeros, such items match nothing.
 Items without an id count for ``n_hit`` but not for ``items``; items of one id count once. Repeated
-documents are rows of their own. Columns other than id and text are left aside.
+documents are rows of their own; a very long one is a segment by itself. Without items nothing is hit,
+without documents there are no rows. Columns other than id and text are left aside.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agorametrics.llm.common import LOWER, PIECE, WORD, lists, packed, pieces, raw, release, spans, stored
+from agorametrics.llm.common import LOWER, PIECE, WORD, lists, long, packed, pieces, raw, release, short, spans, stored
 
 BLOCK = 4 << 20  # bytes of test items that go to the tasks at a time
 
@@ -60,12 +61,13 @@ def build(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
             begin = np.cumsum(n) - n
             steps = np.diff(at, prepend=np.int32(0))
             steps[begin] = at[begin]
-            upto = np.append(begin, codes.size).astype(np.int32) * 4
+            packed_, size = short(steps)
+            upto = np.concatenate([[0], np.cumsum(size)])[np.append(begin, codes.size)].astype(np.int32)
             terms = len(n)
             nothing = pa.nulls(terms, pa.list_(pa.int64())), pa.nulls(terms, pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.full(terms, segment)), found.dictionary, pa.array(n),
-                pa.Array.from_buffers(pa.binary(), terms, [None, pa.py_buffer(upto), pa.py_buffer(steps)]), *nothing], schema=schema)
+                pa.Array.from_buffers(pa.binary(), terms, [None, pa.py_buffer(upto), pa.py_buffer(packed_)]), *nothing], schema=schema)
             whole = np.array([0, len(counts)])
             yield pa.RecordBatch.from_arrays([
                 pa.array([segment]), pa.nulls(1, pa.binary()), pa.array([codes.size]), pa.nulls(1, pa.binary()),
@@ -155,7 +157,7 @@ def _in_segments(rows: DataFrame, asked: dict[tuple[bytes, ...], set], slop: int
         segment = group.column("segment")[0].as_py()
         lengths = np.array(group.column("doc_words")[terms.index(None)].as_py(), np.int64)
         bounds = np.cumsum(lengths + 1) - lengths - 1
-        own = {t: np.cumsum(np.frombuffer(p.as_py(), np.int32)) for t, p in zip(terms, group.column("positions"), strict=True) if t is not None}
+        own = {t: np.cumsum(long(np.frombuffer(p.as_py(), np.uint8))) for t, p in zip(terms, group.column("positions"), strict=True) if t is not None}
         starts, ends, which = [], [], []
         for w, phrase in enumerate(phrases):
             if all(t in own for t in phrase):
