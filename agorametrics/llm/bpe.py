@@ -5,8 +5,8 @@ the split pattern holds white space after another character, so a match always e
 look-ahead of the pattern only looks inside one run of white space. Cut texts therefore give the ids
 of whole ones, however long they are. A chunk that occurs often in a batch is encoded once.
 
-Null and empty texts have no ids. Repeated rows each keep their row. Other columns stay; if a name
-clashes with a new column, the caller names the new one.
+Null and empty texts have no ids; an empty table gives no rows. Repeated rows each keep their row.
+Other columns stay, one with the name of a new column (``out``) is replaced.
 """
 
 from __future__ import annotations
@@ -55,9 +55,13 @@ def safe_cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(first)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """``docs`` with the ids of the whole ``text`` as array<int>, without special tokens."""
-    kind = T.StructType([f for f in docs.schema if f.name != out] + [T.StructField(out, T.ArrayType(T.IntegerType(), False))])
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids", decoded: str | None = None) -> DataFrame:
+    """``docs`` with the ids of the whole ``text`` as array<int>, without special tokens.
+
+    ``decoded`` names a column for the bytes that the ids stand for, made in the same pass.
+    """
+    new = [T.StructField(out, T.ArrayType(T.IntegerType(), False))] + ([T.StructField(decoded, T.BinaryType())] if decoded else [])
+    kind = T.StructType([f for f in docs.schema if f.name not in (out, decoded)] + new)
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -74,8 +78,12 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: st
             flat = np.fromiter(chain.from_iterable(found), np.int32, int(size.sum()))
             codes = chunks.indices.to_numpy()
             ids = flat[ragged((np.cumsum(size) - size)[codes], size[codes])]
-            upto = np.concatenate([[0], np.cumsum(size[codes])])
-            yield put(batch, schema, **{out: lists(pa.array(ids, pa.int32()), upto[np.searchsorted(cuts, offsets)])})
+            at = np.concatenate([[0], np.cumsum(size[codes])])[np.searchsorted(cuts, offsets)]
+            columns = {out: lists(pa.array(ids, pa.int32()), at)}
+            if decoded:
+                texts = [own.decode_bytes(ids[a:b].tolist()) for a, b in zip(at[:-1], at[1:], strict=True)]
+                columns[decoded] = pa.array(texts, schema.field(decoded).type)
+            yield put(batch, schema, **columns)
 
     return docs.mapInArrow(run, kind)
 
@@ -98,7 +106,7 @@ def decode(docs: DataFrame, path: str, pattern: str, ids: str = "ids", out: str
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, number of ids, digest of the ids, digest of the bytes they decode to."""
-    both = decode(encode(docs.select("doc_id", "text"), path, pattern).select("doc_id", "ids"), path, pattern)
+    both = encode(docs.select("doc_id", "text"), path, pattern, decoded="decoded")
     return both.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),

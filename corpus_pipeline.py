@@ -54,7 +54,7 @@ def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Ids of every text, and whether they decode to the text's bytes again."""
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     own = docs.select("doc_id", "lang", "source", "text")
-    both = bpe.decode(bpe.encode(own, path, pattern), path, pattern)
+    both = bpe.encode(own, path, pattern, decoded="decoded")
     intact = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
     return both.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", intact.alias("intact"))
 

@@ -60,6 +60,8 @@ def test_bpe_equals_whole_texts_and_comes_back(docs):
     assert len(out) == 2 * len(ODD) and all(r.ids_ == "kept" for r in out)
     for r in out:
         assert r.ids == own.encode_ordinary(r.text or "") and bytes(r.decoded) == (r.text or "").encode()
+    once = bpe.encode(df, RANKS, PATTERN, decoded="decoded").collect()
+    assert sorted((r.doc_id, r.ids, bytes(r.decoded)) for r in once) == sorted((r.doc_id, r.ids, bytes(r.decoded)) for r in out)
 
 
 def test_bpe_random_texts(docs):
