@@ -62,17 +62,21 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = PI
             to = min(to, batch.num_rows)
             yield batch.slice(at, to - at)
             at = to
+    # a worker waits for its next task with what Arrow still holds
+    pa.default_memory_pool().release_unused()
 
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts, and where each starts (one more for the end). Null counts as empty."""
     if column.null_count:
-        column = column.fill_null("" if pa.types.is_string(column.type) else b"")
+        binary = pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type)
+        column = column.fill_null(b"" if binary else "")
     n = len(column)
     if not n:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     _, offsets, data = column.buffers()
-    ends = np.frombuffer(offsets, dtype=np.int32, count=column.offset + n + 1)[column.offset:].astype(np.int64)
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    ends = np.frombuffer(offsets, dtype=np.int64 if wide else np.int32, count=column.offset + n + 1)[column.offset:].astype(np.int64)
     whole = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
     return whole[ends[0]:ends[-1]], ends - ends[0]
 

@@ -20,7 +20,8 @@ compared by a 128-bit hash each, dealt by that hash. Contexts are compared by 12
 
 Texts count as UTF-8 bytes; null is empty. A row is known by id and text, so repeated rows are places
 of their own and each get the spans; rows that share an id but not the text are apart. A null id is
-an id like others. Matches never cross texts. Very long texts are read in parts of ``PART`` windows.
+an id like others. Matches never cross texts; an empty table gives no rows. Columns other than id and
+text are left aside, ``cut`` keeps them and replaces its own. Very long texts are read in parts of ``PART`` windows.
 """
 
 from __future__ import annotations
@@ -264,9 +265,10 @@ class Repeats:
         self.docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("key", _row_key("doc_id", "text"))
         own = stored(anchors(self.docs, length, gram), "anchors")
         by_fp = own.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("ctx").alias("low"), F.max("ctx").alias("high"))
-        shared = by_fp.where("n > 1").select("fp", (F.col("low") != F.col("high")).alias("mixed"))
-        shared = stored(own.join(shared, "fp"), "shared-anchors")
-        release(own)
+        # stored, so that both sides of the join are plain shuffles and a hot anchor's rows are split
+        repeated = stored(by_fp.where("n > 1").select("fp", (F.col("low") != F.col("high")).alias("mixed")), "repeated-anchors")
+        shared = stored(own.join(repeated, "fp"), "shared-anchors")
+        release(own, repeated)
         mixed = shared.where("mixed")
         classes = mixed.groupBy("fp", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "key", "at", "size")).alias("one"))
         classes = stored(classes.select("fp", "ctx", "n", "one.*"), "contexts")
@@ -320,7 +322,7 @@ def cut(rows: DataFrame, text: str = "text", spans: str = "spans", out: str = "k
         from pyspark.sql.pandas.types import to_arrow_schema
 
         schema = to_arrow_schema(kind)
-        for batch in pieces(batches, text):
+        for batch in pieces(batches, text, PART):
             data, offsets = raw(batch.column(batch.schema.get_field_index(text)))
             ranges = batch.column(batch.schema.get_field_index(spans))
             flat = ranges.flatten()
