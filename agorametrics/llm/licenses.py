@@ -1,10 +1,12 @@
 """Licence scans by sentence rules.
 
-A text's sentences (up to ``.``, ``!``, ``?`` or ``;`` before white space, or a line break) are
-normalised: lower case, everything but letters, digits and dots inside words becomes one blank. Known
-normalised sentences have identifiers; a rule is an ordered sequence of identifiers. A rule matches
-where its identifiers follow each other in the text with at most ``GAP`` other sentences between two.
-Of overlapping matches the longest wins, then the first.
+A text's sentences (up to ``.``, ``!``, ``?`` or ``;`` before white space, or a line without a letter
+or digit) are normalised: lower case, everything but letters, digits and dots inside words becomes one
+blank, line breaks and comment marks too, so wrapped headers are whole. Whole lines that are a known
+sentence are one by themselves, the most lines first. Known normalised sentences have identifiers; a
+rule is an ordered sequence of identifiers. A rule matches where its identifiers follow each other in
+the text with at most ``GAP`` other sentences between two. Of overlapping matches the longest wins,
+then the first.
 
 Null and empty texts have no sentences and no match; an empty table gives no rows. Repeated rows are
 scanned alike, very long texts whole; other columns are left aside. Sentences and rules are configuration: parameters of the operator, part of the task.
@@ -32,6 +34,10 @@ SENTENCES = {
     "cc-by-nc-4.0-notice": "licensed under cc by nc 4.0",
     "gpl-3-notice": "this work is licensed under the gnu general public license version 3",
     "gpl-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "gpl-software": "this program is free software",
+    "gpl-terms": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "gpl-hope": "this program is distributed in the hope that it will be useful but without any warranty",
+    "gpl-implied": "without even the implied warranty of merchantability or fitness for a particular purpose",
     "gpl-warranty": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
     "mit-notice": "released under the mit license",
     "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
@@ -39,6 +45,30 @@ SENTENCES = {
     "mit-as-is": "the software is provided as is without warranty of any kind express or implied",
 }
 
+# Other forms of these sentences, as they are cut from the licences' own texts.
+FORMS = {
+    "apache-2.0-notice": (
+        "licensed under the apache license version 2.0 the license",
+        "the asf licenses this file to you under the apache license version 2.0 the license",
+    ),
+    "apache-2.0-copy": (
+        "you may obtain a copy of the license at http www.apache.org licenses license 2.0",
+        "you may obtain a copy of the license at https www.apache.org licenses license 2.0",
+    ),
+    "bsd-endorse": tuple(
+        f"neither the name of {who} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+        for who in ("the university", "the organization", "copyright holder")),
+    "mit-grant": (
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
+    ),
+    "mit-include": (
+        "the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software",
+    ),
+    "mit-as-is": (
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
+    ),
+}
+
 # Ordered rules: licence, and the identifiers that make it up.
 RULES = [
     ("Apache-2.0", ("apache-2.0-notice", "apache-2.0-use", "apache-2.0-copy")),
@@ -48,11 +78,14 @@ RULES = [
     ("CC-BY-NC-4.0", ("cc-by-nc-4.0-notice",)),
     ("GPL-3.0", ("gpl-3-notice",)),
     ("GPL-3.0", ("gpl-free", "gpl-warranty")),
+    ("GPL-3.0", ("gpl-free", "gpl-hope", "gpl-implied")),
+    ("GPL-3.0", ("gpl-software", "gpl-terms", "gpl-hope", "gpl-implied")),
     ("MIT", ("mit-grant", "mit-include", "mit-as-is")),
     ("MIT", ("mit-notice",)),
 ]
 
-_BREAK = re.compile(r"[.!?;]+(?=\s|$)|\n")
+_NO_WORD = r"[^0-9A-Za-z\u0080-\U0010ffff\n]"
+_BREAK = re.compile(rf"[.!?;]+(?=\s|$)|\n(?:{_NO_WORD}*\n)+")
 _REST = re.compile(r"[^0-9a-z.\u0080-\U0010ffff]+|\.(?![0-9a-z])|(?<![0-9a-z])\.")
 
 
@@ -60,6 +93,47 @@ def normalised(sentence: str) -> str:
     return _REST.sub(" ", sentence.lower()).strip()
 
 
+def starts(by_text: dict[str, str]) -> re.Pattern:
+    """Lines that start like a known sentence: others are never normalised."""
+    words = "|".join(sorted({re.escape(s.split(" ", 1)[0]) for s in by_text}))
+    return re.compile(rf"^{_NO_WORD}*(?:{words})(?![0-9A-Za-z])", re.IGNORECASE | re.MULTILINE)
+
+
+def identified(text: str, by_text: dict[str, str], heads: re.Pattern) -> tuple[int, list[tuple[int, str]]]:
+    """How many sentences a text has, and (sentence number, identifier) of the known ones."""
+    longest = max(map(len, by_text), default=0)
+    found, at = [], 0
+    for sentence in _BREAK.split(text):
+        if not sentence or sentence.isspace():
+            continue
+        if not heads.search(sentence):
+            at += 1
+            continue
+        lines = sentence.split("\n")
+        plain: dict[int, str] = {}
+        k, other = 0, False
+        while k < len(lines):
+            known, end, so_far = None, k, ""
+            if heads.match(lines[k]):
+                for j in range(k, len(lines)):
+                    if j not in plain:
+                        plain[j] = normalised(lines[j])
+                    so_far = f"{so_far} {plain[j]}".strip()
+                    if len(so_far) > longest:
+                        break
+                    if so_far in by_text:
+                        known, end = by_text[so_far], j
+            if known:
+                at += other
+                found.append((at, known))
+                at, other = at + 1, False
+            else:
+                other = other or bool(lines[k].strip())
+            k = end + 1
+        at += other
+    return at, found
+
+
 def matches(found: list[tuple[int, str]], rules: list[tuple[str, tuple[str, ...]]], gap: int = GAP) -> list[tuple[str, int, int]]:
     """(licence, first sentence, last sentence) of the matches in (sentence number, identifier)."""
     every = []
@@ -82,10 +156,11 @@ def matches(found: list[tuple[int, str]], rules: list[tuple[str, tuple[str, ...]
 def scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules: list | None = None, gap: int = GAP,
          doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_sentences, identifiers (in order), matches (licence, first, last) of every document."""
-    sentences, rules = sentences or SENTENCES, rules or RULES
-    by_text = {normalised(s): i for i, s in sentences.items()}
-    # a known sentence starts like one: others are never normalised
-    heads = re.compile(r"\W*(?:" + "|".join(sorted({re.escape(s.split(" ", 1)[0]) for s in by_text})) + r")\b", re.IGNORECASE)
+    rules = rules or RULES
+    by_text = {normalised(s): i for i, s in (sentences or SENTENCES).items()}
+    if not sentences:
+        by_text |= {normalised(s): i for i, forms in FORMS.items() for s in forms}
+    heads = starts(by_text)
     kind = "doc_id long, n_sentences long, identifiers array<string>, matches array<struct<licence:string,first:long,last:long>>"
 
     def run(batches):
@@ -95,15 +170,7 @@ def scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules: list |
         for batch in pieces(batches):
             n, identifiers, found_ = [], [], []
             for own in batch.column(1).to_pylist():
-                found, at = [], 0
-                for sentence in _BREAK.split(own or ""):
-                    if not sentence or sentence.isspace():
-                        continue
-                    if heads.match(sentence):
-                        known = by_text.get(normalised(sentence))
-                        if known:
-                            found.append((at, known))
-                    at += 1
+                at, found = identified(own or "", by_text, heads)
                 n.append(at)
                 identifiers.append([i for _, i in found])
                 found_.append([dict(zip(("licence", "first", "last"), m, strict=True)) for m in matches(found, rules, gap)])

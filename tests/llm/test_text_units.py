@@ -164,3 +164,111 @@ def test_licence_rules():
 @pytest.mark.parametrize("rows", [[], [(0, "mit-notice"), (1, "mit-notice")]])
 def test_every_occurrence_counts(rows):
     assert len(licenses.matches(rows, licenses.RULES)) == len(rows)
+
+
+MIT = """MIT License
+
+Copyright (c) 2020 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+BSD_2 = """Copyright (c) 2020, A. Person
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD_3 = BSD_2 + """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+BSD_END = """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.
+"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>.
+"""
+APACHE = """Copyright 2020 A. Person
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+ALL_APACHE = ["apache-2.0-notice", "apache-2.0-use", "apache-2.0-copy"]
+GENUINE = [
+    (MIT, "MIT", ["mit-grant", "mit-include", "mit-as-is"]),
+    (BSD_2 + BSD_END, "BSD-2-Clause", ["bsd-redistribution", "bsd-binary"]),
+    (BSD_3 + BSD_END, "BSD-3-Clause", ["bsd-redistribution", "bsd-binary", "bsd-endorse"]),
+    (GPL, "GPL-3.0", ["gpl-free", "gpl-hope", "gpl-implied"]),
+    (GPL.replace("software:", "software;"), "GPL-3.0", ["gpl-software", "gpl-terms", "gpl-hope", "gpl-implied"]),
+    (APACHE, "Apache-2.0", ALL_APACHE),
+]
+
+
+def identified(text):
+    known = {licenses.normalised(s): i for i, s in licenses.SENTENCES.items()}
+    known |= {licenses.normalised(s): i for i, forms in licenses.FORMS.items() for s in forms}
+    return licenses.identified(text, known, licenses.starts(known))
+
+
+@pytest.mark.parametrize("text, licence, ids", GENUINE)
+@pytest.mark.parametrize("mark, end", [("", "\n"), ("# ", "\n"), (" * ", "\n"), ("// ", "\r\n"), (None, "\n")])
+def test_genuine_headers(text, licence, ids, mark, end):
+    if mark is None:  # wrapped elsewhere
+        import textwrap
+
+        text = "\n\n".join(textwrap.fill(" ".join(p.split()), 50) for p in text.split("\n\n"))
+    n, found = identified("".join((mark or "") + line + end for line in text.split("\n")))
+    assert [i for _, i in found] == ids and [m[0] for m in licenses.matches(found, licenses.RULES)] == [licence]
+    assert found[-1][0] < n
+
+
+def test_lines_and_sentences():
+    assert identified("A title\nReleased under the MIT License\nand more of it\nover lines. Released under\nthe MIT License") == (4, [(1, "mit-notice"), (3, "mit-notice")])
+    assert identified("It was not\nreleased under the MIT License before.") == (1, [])
+    assert identified("MIT License\n" + MIT.split("\n\n")[2])[1] == [(1, "mit-grant")]
+    assert identified("one\n***\ntwo\nstill two") == (2, [])
+    assert identified("") == (0, []) and identified(" \n\n ") == (0, [])
