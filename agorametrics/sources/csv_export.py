@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,36 +41,85 @@ def resolve_columns(headers, profile: dict) -> tuple[dict[str, str], list[str]]:
     return found, [h for h in headers if h not in used]
 
 
+COLUMNS = 20_480  # Spark's own limit; a wider header raises it
+
+
+def _broken(line: str) -> Column:
+    """Whether quotes are left in a line without its whole quoted values: one that may hold a line break does so.
+
+    Doubled quotes go first, they never open or close a value.
+    """
+    bare = F.regexp_replace(F.replace(F.col(line), F.lit('""'), F.lit("")), '(?:^|,)"[^"]*"(?=,|$)', ",")
+    return bare.contains('"')
+
+
+def _broken_files(spark: SparkSession, path: str) -> set[str]:
+    """Files whose quotes may span lines: one pass, their names come to the driver."""
+    lines = spark.read.text(path).select("_metadata.file_path", "value")
+    return {r.file_path for r in lines.filter(_broken("value")).select("file_path").distinct().collect()}
+
+
 def export_headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
     """Files of a folder by their header: one row per file comes to the driver."""
     lines = spark.read.text(path).select("_metadata.file_path", "_metadata.file_block_start", "value")
     # the first line of a file is the first row of the task that reads its start
     heads = lines.filter("file_block_start = 0").groupBy("file_path").agg(F.first("value").alias("head"))
-    parsed = heads.select("file_path", F.from_csv("head", ", ".join(f"c{i} string" for i in range(512)), {"escape": '"'}).alias("h"))
     found: dict[tuple[str, ...], list[str]] = {}
-    for row in parsed.orderBy("file_path").collect():
-        names = [c.lstrip("\ufeff") if c else c for c in row["h"]]
-        while names and names[-1] is None:
+    for file, head in heads.orderBy("file_path").collect():
+        if head.count('"') % 2:  # a line break in a column's name
+            names = list(spark.read.csv([file], header=False, multiLine=True, escape='"', maxColumns=10 * COLUMNS).first())
+        else:
+            names = next(csv.reader([head]), [])
+        names = [(n or "").lstrip("\ufeff") for n in names]
+        while names and not names[-1]:
             names.pop()
-        found.setdefault(tuple(n or "" for n in names), []).append(row["file_path"])
+        found.setdefault(tuple(names), []).append(file)
     return found
 
 
-def read_export(spark: SparkSession, path: str, multiline: bool = False) -> list[DataFrame]:
-    """All columns as text, one frame per header the files of ``path`` have.
-
-    Files are split among tasks. Where quoted values hold line breaks, ``multiline`` reads them right,
-    at a task for each file. ``_place`` orders rows as they stand: file, block, row.
-    """
-    frames = []
+def _read(spark: SparkSession, path: str, multiline: bool | None, more: str = ""):
+    """Frame and column names per header and reading mode of the files of ``path``."""
+    found: dict[tuple[tuple[str, ...], bool], list[str]] = {}
+    broken = _broken_files(spark, path) if multiline is None else set()
     for header, files in export_headers(spark, path).items():
+        for file in files:
+            found.setdefault((header, multiline or file in broken), []).append(file)
+    for (header, whole), files in found.items():
         names = [n or f"_unnamed_{i}" for i, n in enumerate(header)]
-        schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
-        raw = spark.read.schema(schema).option("enforceSchema", True).csv(files, header=True, multiLine=multiline, escape='"')
-        place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-                         F.monotonically_increasing_id().alias("row"))
-        frames.append(raw.select("*", place.alias("_place")))
-    return frames
+        schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in [*names, *([more] if more else [])])
+        yield names, spark.read.schema(schema).option("enforceSchema", True).csv(
+            files, header=True, multiLine=whole, escape='"', maxColumns=max(COLUMNS, len(names) + 1),
+            columnNameOfCorruptRecord=more or None)
+
+
+def read_export(spark: SparkSession, path: str, multiline: bool | None = None) -> list[DataFrame]:
+    """All columns as text, one frame per header the files of ``path`` have and mode they are read in.
+
+    Files are split among tasks; one whose quoted values may hold line breaks is a task of its own. Which
+    these are is looked up, or said for all by ``multiline``. ``_place`` orders rows as they stand: file,
+    block, row.
+    """
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                     F.monotonically_increasing_id().alias("row"))
+    return [raw.select("*", place.alias("_place")) for _, raw in _read(spark, path, multiline)]
+
+
+def malformed_rows(spark: SparkSession, path: str, multiline: bool | None = None) -> DataFrame:
+    """file, record, reason: records with more or fewer columns than their header.
+
+    reason: ``quote_left_open`` or ``column_count``. The scans keep such records: absent columns are null,
+    surplus ones have no name and are left out.
+    """
+    out = spark.createDataFrame([], "file string, record string, reason string")
+    for names, raw in _read(spark, path, multiline, "_malformed_record"):
+        text = F.col("_malformed_record")
+        quotes = F.length(text) - F.length(F.replace(text, F.lit('"'), F.lit("")))
+        # a condition on all columns that always holds: Spark counts only those it reads
+        every = F.concat_ws("", *[F.col(f"`{n.replace('`', '``')}`") for n in names]) >= ""
+        read = raw.filter(text.isNotNull() & every).select(F.col("_metadata.file_path").alias("file"), text.alias("record"),
+                          F.when(quotes % 2 == 1, "quote_left_open").otherwise("column_count").alias("reason"))
+        out = out.unionByName(read)
+    return out
 
 
 def unmapped_headers(spark: SparkSession, path: str, profile_id: str | None = None) -> DataFrame:
@@ -107,7 +158,7 @@ def map_export(raw: DataFrame, profile_id: str | None = None, platform: str | No
     return mapped.filter(F.col("account_external_id").isNotNull())
 
 
-def csv_profile_scan(spark: SparkSession, path: str, profile_id: str | None = None, multiline: bool = False, **options) -> DataFrame:
+def csv_profile_scan(spark: SparkSession, path: str, profile_id: str | None = None, multiline: bool | None = None, **options) -> DataFrame:
     """The rows of all files, each mapped by its own header; ``_place`` is their order."""
     out = None
     for raw in read_export(spark, path, multiline):
@@ -165,7 +216,7 @@ def labeled_rows(raw: DataFrame, text: str = "text", label: str = "label") -> Da
     return named.filter(F.col("label").isNotNull() & ~is_blank(F.col("text")))
 
 
-def labeled_csv_scan(spark: SparkSession, path: str, text: str = "text", label: str = "label", multiline: bool = False) -> DataFrame:
+def labeled_csv_scan(spark: SparkSession, path: str, text: str = "text", label: str = "label", multiline: bool | None = None) -> DataFrame:
     out = None
     for raw in read_export(spark, path, multiline):
         rows = labeled_rows(raw, text, label).select("text", "label")

@@ -109,6 +109,43 @@ def test_files_with_other_headers(spark, tmp_path):
     assert {(r.file[-5:], r.header) for r in C.unmapped_headers(spark, str(tmp_path)).collect()} == {("a.csv", "Extra"), ("b.csv", "Mystery")}
 
 
+def test_line_breaks_are_found(spark, tmp_path):
+    """A file with a quoted line break is read whole without being told so, the others are split."""
+    (tmp_path / "a.csv").write_text(CSV, encoding="utf-8")
+    (tmp_path / "b.csv").write_text(CSV.replace("\nline two", '""\r\n""line two').replace("1,p1", "9,p1"), encoding="utf-8", newline="")
+    (tmp_path / "c.csv").write_text(CSV.split("\n")[0] + '\n7,p1,Demo,2026-07-05 10:00:00,Link,"say ""so"", now",1,1,1,1,x\n', encoding="utf-8")
+    posts = {r.external_id: r.text_content for r in C.csv_to_posts(C.csv_profile_scan(spark, str(tmp_path))).collect()}
+    # Spark reads a line break of two characters as one
+    assert posts.pop("9").replace("\r", "") == 'Hello, #Promo"\n"line two'
+    assert posts == {"1": "Hello, #Promo\nline two", "7": 'say "so", now', "p1:2026-07-04T09:00:00+00:00": "Three"}
+    assert {f[-5:] for f in C._broken_files(spark, str(tmp_path))} == {"a.csv", "b.csv"}
+    (tmp_path / "l").mkdir()
+    (tmp_path / "l" / "l.csv").write_text('"te\nxt",text,label\n1,"two\nlines",pos\n2,bad,0\n', encoding="utf-8")
+    assert {tuple(r) for r in C.labeled_csv_scan(spark, str(tmp_path / "l")).collect()} == {("two\nlines", "positive"), ("bad", "negative")}
+
+
+@pytest.mark.parametrize("line, broken", [
+    ('a,b', False), ('"a","b"', False), ('"a, ""b"" c",""', False), ('a,"""x"""', False), ('""""', False), ('a,""",",b', False),
+    ('a,"open', True), ('a,"open ""', True), ('a,",""', True), ('close",b', True), ('5" wide,"open', True)])
+def test_lines_with_open_quotes(spark, line, broken):
+    assert spark.createDataFrame([(line,)], "value string").select(C._broken("value")).first()[0] is broken
+
+
+def test_malformed_rows_have_a_reason(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("text,label,more\na,pos,1\nb,neg\nc,pos,1,2\nd,,\n")
+    (tmp_path / "b.csv").write_text('text,label,more\na,pos,1\n"b,neg,2\nc,pos,3\n')
+    found = {(r.file[-5:], r.record.strip(), r.reason) for r in C.malformed_rows(spark, str(tmp_path)).collect()}
+    assert found == {("a.csv", "b,neg", "column_count"), ("a.csv", "c,pos,1,2", "column_count"), ("b.csv", '"b,neg,2\nc,pos,3', "quote_left_open")}
+
+
+def test_wide_exports(spark, tmp_path):
+    """Columns behind the 512th are columns like others."""
+    names = ["Post ID", "Page ID", "Publish time", *(f"x{i}" for i in range(700)), "Title"]
+    (tmp_path / "w.csv").write_text(",".join(names) + "\n1,p,2026-07-01," + "0," * 700 + "Last\n")
+    assert C.csv_profile_scan(spark, str(tmp_path)).first().text_content == "Last"
+    assert C.unmapped_headers(spark, str(tmp_path)).count() == 700
+
+
 def test_csv_headers(spark):
     profile = C.get_profile()
     found, unmapped = C.resolve_columns(["Post ID", "Publish time", "Mystery"], profile)
