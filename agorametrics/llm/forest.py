@@ -12,7 +12,8 @@ of their node; components of these links are families, and a link never crosses
 A family's sets come together in one task, where each pair that meets in any trie is compared exactly.
 Pairs are counted there and never written out: a class gets its number of links and the smallest class
 it is connected with. A family beyond ``MEMBERS`` or ``SHINGLES`` is verified node by node instead, in
-tiles of at most ``TILE`` classes a side; a pair counts in the first trie where it meets.
+tiles of at most ``TILE`` classes and half of ``SHINGLES`` (and one set more) a side; a pair counts in
+the first trie where it meets.
 
 Null and empty texts, and texts without a word, have no set: they are alone, with no links. Repeated
 rows are members of one class. Words: see ``decontaminate``. A null id is an id like others; ids are
@@ -24,7 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from agorametrics.llm.common import LOWER, WORD, fresh, lists, mix, pieces, raw, release, spans, stored, word_hashes
@@ -193,7 +194,7 @@ def join(docs: DataFrame, similar: float = SIMILAR, shingle: int = SHINGLE, reca
     members = stored(classes.join(family, "d1"), "members")
     large = members.groupBy("family").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s")).select(
         "family", ((F.col("c") > MEMBERS) | (F.col("s") > SHINGLES)).alias("large"))
-    wanted = members.join(large, "family").select("d1", "d2", "label", "family", "large", "one.*").withColumnsRenamed({"doc_id": "d", "key": "k"})
+    wanted = members.join(large, "family").select("d1", "d2", "n", "label", "family", "large", "one.*").withColumnsRenamed({"doc_id": "d", "key": "k"})
     texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")))
     sets_ = stored(with_sets(texts, shingle), "sets")
     full = sets_.dropDuplicates(["d1", "d2"])
@@ -202,9 +203,10 @@ def join(docs: DataFrame, similar: float = SIMILAR, shingle: int = SHINGLE, reca
     yes = F.lit(True)
     small = full.where("not large").select("d1", "d2", "label", "shingles", "family", F.lit(-1).alias("tree"), yes.alias("left"), yes.alias("right"))
     parts = small.groupBy("family").applyInArrow(check, PARTS)
-    parts = parts.unionByName(_tiles(full.where("large"), met).groupBy("tree", "node", "x", "y").applyInArrow(check, PARTS))
+    nodes_of = stored(wanted.where("large").select("d1", "d2", "n").join(met, ["d1", "d2"]).select("d1", "d2", "n", "tree", "node"), "large-nodes")
+    parts = parts.unionByName(_tiles(full.where("large"), nodes_of).groupBy("tree", "node", "x", "y").applyInArrow(check, PARTS))
     parts = stored(parts, "link-parts")
-    release(met, sets_)
+    release(met, sets_, nodes_of)
     # families are whole already; tiles of a large one still have to be put together
     in_large = parts.join(wanted.where("large").select("d1", "d2"), ["d1", "d2"], "left_semi")
     name = lambda a, b: F.concat_ws(":", F.col(a), F.col(b))
@@ -224,11 +226,27 @@ def join(docs: DataFrame, similar: float = SIMILAR, shingle: int = SHINGLE, reca
     return own.where("n > 0").join(known, ["d1", "d2"]).select(*alone.columns).unionByName(alone)
 
 
-def _tiles(full: DataFrame, met: DataFrame) -> DataFrame:
-    """Each class of a large family in the tiles of its nodes: blocks x <= y of a node meet in one tile."""
-    own = full.join(met.select("d1", "d2", "tree", "node", "m"), ["d1", "d2"])
-    blocks = F.ceil(F.col("m") / TILE).cast("int")
-    own = own.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("d2", "d1"), F.col("blocks")).cast("int"))
+def _tiles(full: DataFrame, own: DataFrame) -> DataFrame:
+    """Each class of a large family in the tiles of its nodes: blocks x <= y of a node meet in one tile.
+
+    ``own``: d1, d2, n, tree, node of these classes. A block has at most ``TILE`` classes, and shingles up
+    to half of ``SHINGLES`` and one set more. A node of the same classes as one of a smaller trie is left
+    out: its pairs have met.
+    """
+    same = own.groupBy("tree", "node").agg(
+        F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("d1", "d2")).alias("h1"), F.bit_xor(F.xxhash64("d2", "d1")).alias("h2"))
+    first = same.groupBy("m", "h1", "h2").agg(F.min(F.struct("tree", "node")).alias("f")).select("f.*", "m")
+    # hash parts of about TILE classes are cut by running sums: no window holds a whole node
+    part = F.pmod(F.xxhash64("d2", "d1"), F.ceil(F.col("m") / TILE)).alias("part")
+    own = own.join(first, ["tree", "node"]).select("d1", "d2", "n", "tree", "node", part)
+    w = Window.partitionBy("tree", "node", "part").orderBy("d1", "d2")
+    before = F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cut = F.floor(before / (SHINGLES / 2)) + F.floor((F.row_number().over(w) - 1) / TILE)
+    own = own.withColumn("cut", cut)
+    each = Window.partitionBy("tree", "node")
+    numbers = own.select("tree", "node", "part", "cut").distinct().select(
+        "*", (F.row_number().over(each.orderBy("part", "cut")) - 1).alias("block"), F.count(F.lit(1)).over(each).cast("int").alias("blocks"))
+    own = full.join(own.join(numbers, ["tree", "node", "part", "cut"]), ["d1", "d2"])
     own = own.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     x, y = F.least("block", "with"), F.greatest("block", "with")
     return own.select("d1", "d2", "label", "shingles", "tree", "node", x.alias("x"), y.alias("y"),

@@ -349,6 +349,29 @@ def test_near_duplicates_by_brute_force(docs, monkeypatch, members):
     assert [got[i] for i in range(len(texts))] == want and sum(w[1] for w in want) > 20
 
 
+def test_large_sets_by_brute_force(docs, monkeypatch):
+    monkeypatch.setattr(forest, "SHINGLES", 150)
+    texts = near_copies(11)
+    got = {r.doc_id: (r.class_id, r.n_links, r.group_id) for r in forest.join(docs(texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == forest.brute_force(texts)
+
+
+def test_tiles_are_bounded_by_shingles(spark, monkeypatch):
+    """Few classes of large sets: no tile beyond the bound, each pair in one tile, equal nodes once."""
+    monkeypatch.setattr(forest, "SHINGLES", 1_000)
+    sizes = [(i, -i, 20 + 7 * i % 90) for i in range(60)] + [(60, -60, 2_000)]
+    full = spark.createDataFrame([(a, b, b"", list(range(n))) for a, b, n in sizes], "d1 long, d2 long, label binary, shingles array<long>")
+    nodes = [(a, b, n, t, 5 + t) for a, b, n in sizes for t in range(4)] + [(a, b, n, 4, 9) for a, b, n in sizes[:30]]
+    tiles = {}
+    for r in forest._tiles(full, spark.createDataFrame(nodes, "d1 long, d2 long, n long, tree int, node long")).collect():
+        tiles.setdefault((r.tree, r.node, r.x, r.y), []).append(r)
+    assert {t[:2] for t in tiles} == {(0, 5), (4, 9)}
+    assert max(sum(len(r.shingles) for r in rows if r.d1 < 60) for rows in tiles.values()) <= 1_000 + 2 * 110
+    pairs = [tuple(sorted((a.d1, b.d1))) for t, rows in tiles.items() if t[0] == 0 for a in rows for b in rows
+             if a.left and b.right and a.d1 != b.d1 and (t[2] < t[3] or a.d1 < b.d1)]
+    assert len(pairs) == len(set(pairs)) == 61 * 60 // 2
+
+
 def test_one_document_of_each_group_stays(docs):
     texts = near_copies(12)
     df = docs(texts, ids=[None if i == 20 else i for i in range(len(texts))], _d="x", group="y")
