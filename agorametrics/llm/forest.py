@@ -5,8 +5,9 @@ word is one shingle. Texts of equal sets, told by 128 bits, form a class; only o
 goes on, so thousands of copies cost one.
 
 Every class has a label in each of ``TREES`` tries: ``DEPTH`` MinHash values. Two classes meet in a
-trie node, a prefix of their labels. Prefixes start at full depth and are shortened until a pair at
-the threshold meets in some trie with the target recall. Classes that meet are linked to the smallest
+trie node, a prefix of their labels. All prefixes have one length, computed before any row is read: the
+longest with which a pair at the threshold meets in some trie with the target recall. With the defaults
+these are bands of three values. Classes that meet are linked to the smallest
 of their node; components of these links are families, and a link never crosses families.
 
 A family's sets come together in one task, where each pair that meets in any trie is compared exactly.
