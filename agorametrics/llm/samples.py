@@ -15,10 +15,12 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_ou
     """text and y of at most ``most`` labelled documents outside the held-out fold.
 
     ``most`` is the bound on what a fit may read: the rows with the smallest hash of their id. Labels
-    other than 0 and 1 are left out; of several labels of one document the largest counts.
+    other than 0 and 1 are left out; of several labels of one document the largest counts. Of several
+    rows of one id the text with the smallest hash counts, so a frequent id weighs as one document.
     """
     chosen = (labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (fold("doc_id", folds) != held_out))
               .groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
     # ``most`` rows of two numbers: bounded, whatever the tables hold
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "y")
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("text", "y")

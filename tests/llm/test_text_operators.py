@@ -429,6 +429,13 @@ def test_repeats_of_nothing(empty, docs):
         (0, 0, 0, hashlib.sha256(b"").hexdigest()), (5, 0, 0, hashlib.sha256(b"short").hexdigest())]
 
 
+def test_a_frequent_id_is_one_sample(spark, docs):
+    df = docs([*[f"copy {i % 3}" for i in range(50)], "other", None], ids=[7] * 50 + [8, 9])
+    labels = spark.createDataFrame([(7, 1), (8, 0), (9, 0)], "doc_id long, toxic int")
+    rows = samples.labelled(df, labels, "toxic", 4, -1, 10).collect()
+    assert sorted((r.y, (r.text or "")[:4]) for r in rows) == [(0, ""), (0, "othe"), (1, "copy")]
+
+
 # --- 9: licences -----------------------------------------------------------------------------
 def test_licence_scan(docs, empty):
     texts = [None, "", "Text.\nReleased under the MIT License.\nMore", "licensed under the APACHE license, version 2.0", "No licence at all.", "Released under the MIT License. " * 2]
