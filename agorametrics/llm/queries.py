@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agorametrics.llm import bpe, decontaminate, forest, licenses, quality, quality_rules, repeats, samples, token_files, toxicity, url_filter
+from agorametrics.llm import align, bpe, decontaminate, forest, licenses, quality, quality_rules, repeats, samples, token_files, toxicity, url_filter
 from agorametrics.llm.common import stored, table
 from agorametrics.session import configure, shared_dir
 
@@ -191,3 +191,8 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark, "tokens")
     token_files.write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"))
     return token_files.checksums(token_files.tokens(spark, folder))
+
+
+@query
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.scores(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
