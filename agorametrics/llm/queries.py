@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agorametrics.llm import align, bpe, decontaminate, forest, licenses, quality, quality_rules, repeats, samples, token_files, toxicity, url_filter
+from agorametrics.llm import align, bpe, decontaminate, forest, licenses, negatives, quality, quality_rules, repeats, samples, token_files, toxicity, url_filter
 from agorametrics.llm.common import stored, table
 from agorametrics.session import configure, shared_dir
 
@@ -196,3 +196,27 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.scores(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.select("vec_id", "embedding", label.alias("label")), F.col("vec_id") % 100 == 0)
+
+
+ORACLES["op12_hard_negatives"] = """
+with raw as (select row_number() over () as row, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+  list_transform(embedding, lambda x: floor(256 * cast(x as double))) as vec
+ from embeddings where vec_id is not null and label is not null and embedding is not null
+  and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+v as materialized (select * from raw where len(list_filter(vec, lambda x: abs(x) > 67108864)) = 0),
+s as materialized (select a.row as a, a.vec_id as anchor_id, a.label = b.label as same, b.vec_id as other_id, b.row as b,
+  cast(coalesce(list_sum(list_transform(list_zip(a.vec, b.vec), lambda p: p[1] * p[2])), 0) as bigint) as score
+ from v a, v b where a.vec_id % 100 = 0),
+p as (select * from s where same and a <> b qualify row_number() over (partition by a order by score desc, other_id, b) <= 5),
+n as (select p.a, p.b, p.anchor_id, p.other_id as positive_id, s.other_id as negative_id, p.score as positive_score, s.score as negative_score, s.b as nb
+ from p join s on s.a = p.a and not s.same and 80 * p.score <= 100 * s.score and 100 * s.score <= 100 * p.score)
+select anchor_id, positive_id, cast(row_number() over (partition by a, b order by negative_score desc, negative_id, nb) as integer) as rank,
+ negative_id, positive_score, negative_score from n
+qualify row_number() over (partition by a, b order by negative_score desc, negative_id, nb) <= 5"""
