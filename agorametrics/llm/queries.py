@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agorametrics.llm import align, bpe, decontaminate, forest, licenses, negatives, quality, quality_rules, repeats, samples, token_files, toxicity, url_filter
+from agorametrics.llm import align, bpe, decontaminate, forest, licenses, negatives, quality, quality_rules, repeats, samples, secret_scan, token_files, toxicity, url_filter
 from agorametrics.llm.common import stored, table
 from agorametrics.session import configure, shared_dir
 
@@ -220,3 +220,14 @@ n as (select p.a, p.b, p.anchor_id, p.other_id as positive_id, s.other_id as neg
 select anchor_id, positive_id, cast(row_number() over (partition by a, b order by negative_score desc, negative_id, nb) as integer) as rank,
  negative_id, positive_score, negative_score from n
 qualify row_number() over (partition by a, b order by negative_score desc, negative_id, nb) <= 5"""
+
+
+@query
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+
+    def count(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == secret_scan.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"), F.sha2(secret_scan.written("base").cast("binary"), 256).alias("base_sha256"), secret_scan.written("spans").alias("spans"))

@@ -6,6 +6,7 @@ import hashlib
 from collections import Counter, defaultdict
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -82,12 +83,33 @@ def test_files_that_cannot_be_cut_are_encoded_whole(monkeypatch):
     assert own.cuttable
     assert not own._cuttable(A, ["▁a", "a▁b"])
     monkeypatch.setattr(own, "cuttable", False)
-    import numpy as np
-    import pyarrow as pa
-
-    data, offsets = align.framed(pa.array(["a b  c", None, "d e"]))
-    slots, first = align.chunked(own, data, offsets)
-    assert first.tolist() == [0, 1, 1, 2] and np.array(own.n_groups)[slots].tolist() == [4, 2]
+    found = align.Chunked(own, pa.array(["a b  c", None, "d e"]))
+    assert found.doc.tolist() == [0, 2]
+    assert sum(doc.tolist().count(0) for *_, doc in found.slabs()) == 4
+
+
+def test_slabs_wide_groups_and_a_full_memory_change_nothing(table, monkeypatch):
+    rows = list(enumerate([*ODD, "日本語" * 40, "x" * 500 + " é" * 30]))
+    want = [tuple(r) for r in align.aligned(table(rows, "doc_id long, text string"), A, B).collect()]
+    own = align.worker(A, B)
+    small = align.Pair(A, B)
+    monkeypatch.setattr(align, "SLAB", 7)
+    monkeypatch.setattr(align, "WIDE", 1)
+    monkeypatch.setattr(align, "CACHE", 3)
+    monkeypatch.setattr(align, "JOINED", 2)
+    column = pa.array([t for _, t in rows])
+    for pair in (own, small):
+        counts, parts = [[0] * 4 for _ in rows], []
+        for ids_a, ids_b, n_a, n_b, doc in align.Chunked(pair, column).slabs():
+            for i, x, y in zip(doc.tolist(), n_a.tolist(), n_b.tolist(), strict=True):
+                counts[i] = [p + q for p, q in zip(counts[i], (x, y, 1, x * y), strict=True)]
+            parts.append(align.links(ids_a, ids_b, n_a, n_b, doc))
+        keys, times = align.merged(parts)
+        mask = (1 << 2 * align.SHIFT) - 1
+        assert len(small.known) <= 3
+        for i, (_, *four, _, pairs, often) in enumerate(want):
+            mine = keys >> 2 * align.SHIFT == i
+            assert counts[i] == four and (keys[mine] & mask).tolist() == pairs and times[mine].tolist() == often
 
 
 def test_empty_table(table):
