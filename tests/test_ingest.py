@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -110,25 +111,84 @@ def test_files_with_other_headers(spark, tmp_path):
 
 
 def test_line_breaks_are_found(spark, tmp_path):
-    """A file with a quoted line break is read whole without being told so, the others are split."""
+    """Quoted line breaks are found without being told so."""
     (tmp_path / "a.csv").write_text(CSV, encoding="utf-8")
     (tmp_path / "b.csv").write_text(CSV.replace("\nline two", '""\r\n""line two').replace("1,p1", "9,p1"), encoding="utf-8", newline="")
     (tmp_path / "c.csv").write_text(CSV.split("\n")[0] + '\n7,p1,Demo,2026-07-05 10:00:00,Link,"say ""so"", now",1,1,1,1,x\n', encoding="utf-8")
     posts = {r.external_id: r.text_content for r in C.csv_to_posts(C.csv_profile_scan(spark, str(tmp_path))).collect()}
-    # Spark reads a line break of two characters as one
     assert posts.pop("9").replace("\r", "") == 'Hello, #Promo"\n"line two'
     assert posts == {"1": "Hello, #Promo\nline two", "7": 'say "so", now', "p1:2026-07-04T09:00:00+00:00": "Three"}
-    assert {f[-5:] for f in C._broken_files(spark, str(tmp_path))} == {"a.csv", "b.csv"}
     (tmp_path / "l").mkdir()
     (tmp_path / "l" / "l.csv").write_text('"te\nxt",text,label\n1,"two\nlines",pos\n2,bad,0\n', encoding="utf-8")
     assert {tuple(r) for r in C.labeled_csv_scan(spark, str(tmp_path / "l")).collect()} == {("two\nlines", "positive"), ("bad", "negative")}
 
 
-@pytest.mark.parametrize("line, broken", [
-    ('a,b', False), ('"a","b"', False), ('"a, ""b"" c",""', False), ('a,"""x"""', False), ('""""', False), ('a,""",",b', False),
-    ('a,"open', True), ('a,"open ""', True), ('a,",""', True), ('close",b', True), ('5" wide,"open', True)])
-def test_lines_with_open_quotes(spark, line, broken):
-    assert spark.createDataFrame([(line,)], "value string").select(C._broken("value")).first()[0] is broken
+@pytest.mark.parametrize("line, outside, inside", [
+    ('a,b', False, True), ('"a","b"', False, False), ('"a, ""b"" c",""', False, False), ('a,"""x"""', False, False), ('""""', False, True), ('a,""",",b', False, True),
+    ('a,"open', True, False), ('a,"open ""', True, False), ('a,",""', True, False), ('close",b', False, False), ('5" wide,"open', True, True), ('', False, True),
+    ('close","open', True, True), ('""', False, True), ('"', True, False)])
+def test_lines_with_open_quotes(spark, tmp_path, line, outside, inside):
+    (tmp_path / "l.txt").write_text(line + "\n")
+    assert tuple(C._lines(spark, str(tmp_path)).select("outside", "inside").first()) == (outside, inside)
+
+
+@pytest.fixture
+def small_splits(spark):
+    keys = {"spark.sql.files.maxPartitionBytes": "64b", "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
+    old = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _whole(spark, path, names):
+    """The file as one task reads it."""
+    rows = spark.read.schema(", ".join(f"{n} string" for n in names)).csv(str(path), header=True, multiLine=True, escape='"', enforceSchema=True).collect()
+    return [tuple(r) for r in rows]
+
+
+def test_split_files_equal_whole_ones(spark, tmp_path, small_splits):
+    """Quoted line breaks, values longer than splits, stray and doubled quotes, blank lines; many tasks a file."""
+    r = random.Random(11)
+    cells = ["", "x", "plain", '"a, b"', '"two\nlines"', '"say ""so"""', '5" wide', 'a"b"c', '""', '"long ' + "\n".join("line,%d" % i for i in range(30)) + '"', '"\n"', '"\n\n"', '"""\n"""', '"x"y']
+    for k in range(3):
+        rows = [",".join(r.choice(cells) for _ in range(3)) for _ in range(60)]
+        rows[r.randrange(60)] = ""
+        (tmp_path / f"{k}.csv").write_text('p,"q\nq",s\n' + "\n".join(rows) + ("\n" if k % 2 else ""), encoding="utf-8")
+    got = []
+    for raw in C.read_export(spark, str(tmp_path)):
+        assert raw.columns[:3] == ["p", "q\nq", "s"]
+        got += [tuple(row)[:3] for row in raw.collect()]
+        places = [(x._place.file, x._place.block, x._place.row) for x in raw.orderBy("_place").collect()]
+        assert len(set(places)) == len(places)
+        in_order = [tuple(x)[:3] for x in raw.orderBy("_place").collect() if x._place.file.endswith("0.csv")]
+        assert in_order == [tuple(x) for x in spark.read.schema("p string, q string, s string").csv(str(tmp_path / "0.csv"), header=True, multiLine=True, escape='"').collect()]
+    assert sorted(map(str, got)) == sorted(map(str, _whole(spark, tmp_path, "pqs")))
+    lines = C._lines(spark, str(tmp_path))
+    assert lines.rdd.getNumPartitions() > 30
+    assert C._inside(C._splits(lines)).count() > 10
+
+
+def test_a_quote_that_is_never_closed(spark, tmp_path, small_splits):
+    """The rest of its split is a record, and so is every further split; nothing vanishes, rows before it stay."""
+    body = "".join(f"{i},pos,{i}\n" for i in range(20))
+    (tmp_path / "a.csv").write_text('text,label,more\n1,pos,1\n"2,neg,2\n' + body)
+    rows = [tuple(x)[:3] for raw in C.read_export(spark, str(tmp_path)) for x in raw.orderBy("_place").collect()]
+    assert rows[0] == ("1", "pos", "1") and rows[1][0].startswith("2,neg,2\n0,pos")
+    bad = C.malformed_rows(spark, str(tmp_path)).collect()
+    assert [x.record for x in bad if x.reason == "quote_left_open"][0].startswith('"2,neg,2\n0,pos')
+    assert sum(x.record.count("pos") for x in bad) == 20
+
+
+def test_other_line_ends(spark, tmp_path, small_splits):
+    (tmp_path / "a.csv").write_bytes(b'\xef\xbb\xbfp,q\r\n1,"x\r\ny"\r\n\r\n2,z\r\n')
+    (tmp_path / "b.csv").write_bytes(b'p,q\r3,"u\rv"\r4,w\r')
+    got = sorted((x.p, x.q.replace("\r\n", "\n")) for raw in C.read_export(spark, str(tmp_path)) for x in raw.collect())
+    assert got == [("1", "x\ny"), ("2", "z"), ("3", "u\nv"), ("4", "w")]
+    one = [tuple(x)[:2] for raw in C.read_export(spark, str(tmp_path / "a.csv"), multiline=False) for x in raw.orderBy("_place").collect()]
+    assert len(one) == 3
 
 
 def test_malformed_rows_have_a_reason(spark, tmp_path):
