@@ -65,8 +65,6 @@ def upsert(target: DataFrame, batch: DataFrame, keys, updates, order: str,
     keeps a known value where the newer one is null.
     """
     keys, columns = list(keys), target.columns
-    updates = [c for c in updates if c in columns]
-    firsts = [c for c in columns if c not in keys and c not in updates]
     old = target.select(*columns, F.struct(F.lit(0).alias("side"), F.lit(0).cast("bigint").alias("pos"))
                         .alias("_at"))
     new = batch.select(*columns, F.struct(F.lit(1).alias("side"), F.col(order).cast("bigint").alias("pos"))
@@ -75,22 +73,35 @@ def upsert(target: DataFrame, batch: DataFrame, keys, updates, order: str,
     keyed = F.lit(True)
     for k in keys:
         keyed = keyed & F.col(k).isNotNull()
-    aggs = []
-    if overwrite_nulls:
+    folded = folded_rows(both.filter(keyed), columns, keys, updates, overwrite_nulls)
+    return folded.unionByName(both.filter(~keyed).select(*columns))
+
+
+def folded_rows(rows: DataFrame, columns, keys, updates, overwrite_nulls: bool = True, newest: str | None = None) -> DataFrame:
+    """One row per key: columns in ``updates`` by the last value of ``_at``, a struct, all others by the first.
+
+    ``newest`` names a column for the first field of the last ``_at``.
+    """
+    keys, columns = list(keys), list(columns)
+    updates = [c for c in updates if c in columns and c not in keys]
+    firsts = [c for c in columns if c not in keys and c not in updates]
+    aggs = [F.max("_at").alias("_newest")] if newest or not (updates or firsts) else []
+    if updates and overwrite_nulls:
         aggs.append(F.max_by(F.struct(*updates), "_at").alias("_last"))
-    else:
+    elif updates:
         aggs += [F.max_by(F.when(F.col(c).isNotNull(), F.col(c)),
                           F.when(F.col(c).isNotNull(), F.col("_at"))).alias(c) for c in updates]
     if firsts:
         aggs.append(F.min_by(F.struct(*firsts), "_at").alias("_first"))
-    folded = both.filter(keyed).groupBy(*keys).agg(*aggs)
+    folded = rows.groupBy(*keys).agg(*aggs)
 
     def pick(c: str) -> Column:
         if c in keys or (c in updates and not overwrite_nulls):
             return F.col(c)
         return F.col(f"_last.{c}" if c in updates else f"_first.{c}").alias(c)
 
-    return folded.select(*[pick(c) for c in columns]).unionByName(both.filter(~keyed).select(*columns))
+    more = [F.col(f"_newest.{newest}").alias(newest)] if newest else []
+    return folded.select(*[pick(c) for c in columns], *more)
 
 
 def insert_new(target: DataFrame, batch: DataFrame, keys, order: str) -> DataFrame:

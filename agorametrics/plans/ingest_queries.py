@@ -22,6 +22,8 @@ from agorametrics.session import materialize, shared_dir
 from agorametrics.sources import csv_export as C
 from agorametrics.sources import payloads as PL
 from agorametrics.sources import sinks as SK
+from agorametrics.sources import store as ST
+from agorametrics.sources.keyed import KeyedTable
 from agorametrics.streaming import jobs as J
 
 EXPORT_AS_OF = "2026-07-10 00:00:00"
@@ -195,7 +197,9 @@ def _(fx):
 
 
 # every line is a snapshot on its own: several share post and time
-_LINES = """select l_orderkey as post_id, l_shipdate as captured_at, cast(l_quantity as bigint) as likes,
+# some have no time, some no post
+_LINES = """select case when l_partkey % 50 = 7 then null else l_orderkey end as post_id,
+ case when l_suppkey % 40 = 3 then null else l_shipdate end as captured_at, cast(l_quantity as bigint) as likes,
  cast(l_linenumber as bigint) as comments_count, cast(1 as bigint) as shares, cast(0 as bigint) as saves,
  cast(floor(l_extendedprice) as bigint) as reach, cast(null as bigint) as impressions, cast(null as bigint) as video_views,
  cast(l_partkey as bigint) as clicks, l_linenumber * 1000000000000 + l_partkey * 100000 + l_suppkey as _ord from lineitem"""
@@ -203,19 +207,24 @@ _STORED = "select * from fx_snapshots where reach is null"
 _COUNTS = ", ".join(COUNT_COLUMNS)
 
 
-@query("snapshot_append_sink", f"""with stored as ({_STORED}), lines as ({_LINES})
- select post_id, captured_at, {_COUNTS} from stored
- union all select post_id, captured_at, {_COUNTS} from lines where not exists (
+_LOST = "case when captured_at is null then 'missing_capture_time' when post_id is null then 'missing_post' end"
+
+
+@query("snapshot_append_sink", f"""with stored as ({_STORED}), lines as (select *, {_LOST} as reason from ({_LINES}))
+ select post_id, captured_at, {_COUNTS}, cast(null as varchar) as reason from stored
+ union all (select post_id, captured_at, {_COUNTS}, reason from lines where reason is null and not exists (
   select 1 from stored where stored.post_id = lines.post_id and stored.captured_at = lines.captured_at)
- qualify row_number() over (partition by post_id, captured_at order by _ord) = 1""")
+ qualify row_number() over (partition by post_id, captured_at order by _ord) = 1)
+ union all select post_id, captured_at, {_COUNTS}, reason from lines where reason is not null""")
 def _(fx):
     path = shared_dir(fx.spark, "snapshots")
     columns = ["post_id", "captured_at", *COUNT_COLUMNS]
     stored = fx.sql(_STORED).select(*columns)
-    SK.append_snapshots(stored.withColumn("_ord", F.lit(0)), path, unit="month")
+    SK.append_snapshots(stored.withColumn("_ord", F.lit(0)), path, unit="month", run="stored")
     for _ in range(2):  # the second is a retry
-        SK.append_snapshots(fx.sql(_LINES).select(*columns, "_ord"), path, unit="month")
-    return fx.spark.read.parquet(path).select(*columns)
+        SK.append_snapshots(fx.sql(_LINES).select(*columns, "_ord"), path, unit="month", run="lines")
+    kept = fx.spark.read.parquet(path).select(*columns, F.lit(None).cast("string").alias("reason"))
+    return kept.unionByName(SK.rejected_snapshots(fx.spark, path).select(*columns, "reason"))
 
 
 @query("recommendation_sink", f"""with {rank_sql('fx_facts', list(R.RULES))}
@@ -271,16 +280,26 @@ def upsert_sql(target: str, batch: str, keys: list[str], updates, columns: list[
  union all select {listed} from b where not ({whole})"""
 
 
+def _upserted(fx, entity: str, old: DataFrame, batch: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """The table after the batch, which comes in two parts by order, each of them twice, with the first folded into the base."""
+    table = KeyedTable(shared_dir(fx.spark, entity), tuple(keys), tuple(I.UPDATES[entity])).create(fx.spark, old.select(*columns).schema)
+    table.append(old.select(*columns, F.lit(0).alias("_ord")), 0)
+    batch = materialize(batch.select(*columns, "_ord"), "batch")
+    cut = batch.agg(F.percentile_approx("_ord", 0.5).alias("cut")).first().cut
+    for version, part in ((1, F.col("_ord") <= cut), (3, F.col("_ord") > cut)):
+        for _ in range(2):  # the second is a retry
+            table.append(batch.filter(part), version)
+        table.compact(fx.spark, version + 1, share=0.0 if version == 1 else 100.0)
+    return table.read(fx.spark).select(*columns)
+
+
 _ACCOUNT_COLUMNS = ["account_id", "platform", "external_id", "handle", "display_name", "followers_count", "is_competitor"]
 
 
 @query("upsert_accounts", upsert_sql("select * from stg_accounts_old", "select * from stg_accounts", ["platform", "external_id"],
                                      I.UPDATES["accounts"], _ACCOUNT_COLUMNS))
 def _(fx):
-    path, keys = shared_dir(fx.spark, "accounts"), ["platform", "external_id"]
-    SK.upsert_table(fx["stg_accounts_old"].select(*_ACCOUNT_COLUMNS, F.lit(0).alias("_ord")), path, keys, I.UPDATES["accounts"])
-    SK.upsert_table(fx["stg_accounts"].select(*_ACCOUNT_COLUMNS, "_ord"), path, keys, I.UPDATES["accounts"])
-    return fx.spark.read.parquet(path).select(*_ACCOUNT_COLUMNS)
+    return _upserted(fx, "accounts", fx["stg_accounts_old"], fx["stg_accounts"], ["platform", "external_id"], _ACCOUNT_COLUMNS)
 
 
 _POST_TARGET = """select o_orderkey as post_id, o_custkey as account_id, cast(o_orderkey as string) as external_id,
@@ -300,7 +319,7 @@ _POST_COLUMNS = ["post_id", "account_id", "external_id", "published_at", "conten
 
 @query("upsert_posts", upsert_sql(_POST_TARGET, _POST_BATCH, ["account_id", "external_id"], I.UPDATES["posts"], _POST_COLUMNS))
 def _(fx):
-    return I.upsert(fx.sql(_POST_TARGET), fx.sql(_POST_BATCH), ["account_id", "external_id"], I.UPDATES["posts"], "_ord")
+    return _upserted(fx, "posts", fx.sql(_POST_TARGET), fx.sql(_POST_BATCH), ["account_id", "external_id"], _POST_COLUMNS)
 
 
 _COMMENT_BATCH = """select cast(post_external_id as bigint) as post_id, external_id, text_content, published_at, like_count,
@@ -314,8 +333,7 @@ _COMMENT_COLUMNS = ["post_id", "external_id", "text_content", "published_at", "l
 @query("upsert_comments", upsert_sql(_COMMENT_TARGET, _COMMENT_BATCH, ["post_id", "external_id"], I.UPDATES["comments"],
                                      _COMMENT_COLUMNS))
 def _(fx):
-    return I.upsert(fx.sql(_COMMENT_TARGET), fx.sql(_COMMENT_BATCH), ["post_id", "external_id"],
-                    I.UPDATES["comments"], "_ord")
+    return _upserted(fx, "comments", fx.sql(_COMMENT_TARGET), fx.sql(_COMMENT_BATCH), ["post_id", "external_id"], _COMMENT_COLUMNS)
 
 
 _ANALYSIS_TARGET = """select comment_id, language, sentiment, sentiment_score, 'old' as model_name, '0' as model_version,
@@ -328,7 +346,7 @@ _ANALYSIS_COLUMNS = ["comment_id", "language", "sentiment", "sentiment_score", "
 
 @query("upsert_analyses", upsert_sql(_ANALYSIS_TARGET, _ANALYSIS_BATCH, ["comment_id"], I.UPDATES["analyses"], _ANALYSIS_COLUMNS))
 def _(fx):
-    return I.upsert(fx.sql(_ANALYSIS_TARGET), fx.sql(_ANALYSIS_BATCH), ["comment_id"], I.UPDATES["analyses"], "_ord")
+    return _upserted(fx, "analyses", fx.sql(_ANALYSIS_TARGET), fx.sql(_ANALYSIS_BATCH), ["comment_id"], _ANALYSIS_COLUMNS)
 
 
 # --- resolution and reports ------------------------------------------------------------------
@@ -388,8 +406,14 @@ _METRIC_BATCH = """select * from stg_metrics union all
  video_views, clicks, _ord + 1000000 as _ord from stg_metrics where comments_count >= 5"""
 
 
-def _empty(fx, ddl: str) -> DataFrame:
-    return fx.spark.createDataFrame([], ddl)
+_STORED_COLUMNS = {
+    "accounts": "account_id string, platform string, external_id string, handle string, display_name string, followers_count bigint, is_competitor boolean",
+    "posts": "post_id string, account_id string, external_id string, published_at timestamp, content_type string, text_content string, "
+             "hashtags array<string>, media_count bigint, permalink string, is_synthetic boolean",
+    "snapshots": "post_id string, captured_at timestamp, " + ", ".join(f"{c} bigint" for c in COUNT_COLUMNS),
+    "comments": "comment_id string, post_id string, external_id string, author_hash string, text_content string, published_at timestamp, "
+                "like_count bigint, is_synthetic boolean",
+}
 
 
 @query("normalize_and_store", f"""with acc as (select distinct platform, external_id from stg_accounts),
@@ -408,19 +432,22 @@ def _empty(fx, ddl: str) -> DataFrame:
   having count(*) > count(distinct (post_external_id, captured_at))
  union all select 'comments', coalesce(reason, 'stored'), count(*) from c group by 2""")
 def _(fx):
-    tables = {
-        "accounts": _empty(fx, "account_id string, platform string, external_id string, handle string, display_name string, "
-                               "followers_count bigint, is_competitor boolean"),
-        "posts": _empty(fx, "post_id string, account_id string, external_id string, published_at timestamp, content_type string, "
-                            "text_content string, hashtags array<string>, media_count bigint, permalink string, is_synthetic boolean"),
-        "snapshots": _empty(fx, "post_id string, captured_at timestamp, " + ", ".join(f"{c} bigint" for c in COUNT_COLUMNS)),
-        "comments": _empty(fx, "comment_id string, post_id string, external_id string, author_hash string, text_content string, "
-                               "published_at timestamp, like_count bigint, is_synthetic boolean"),
-    }
-    batch = {"accounts": fx["stg_accounts"].drop("account_id"), "posts": fx["stg_posts"], "metrics": fx.sql(_METRIC_BATCH),
-             "comments": fx["stg_comments"]}
-    _, report = I.normalize_and_store(batch, tables, GATE_AS_OF, keep=materialize)
-    return report
+    return ST.store_batch(_batch(fx), _store(fx, {}), GATE_AS_OF, 1)
+
+
+def _batch(fx) -> dict[str, DataFrame]:
+    return {"accounts": fx["stg_accounts"].drop("account_id"), "posts": fx["stg_posts"], "metrics": fx.sql(_METRIC_BATCH),
+            "comments": fx["stg_comments"]}
+
+
+def _store(fx, old: dict[str, DataFrame]) -> dict[str, KeyedTable]:
+    """Keyed tables that hold these rows."""
+    tables = ST.keyed_tables(shared_dir(fx.spark, "store"))
+    for name, columns in _STORED_COLUMNS.items():
+        tables[name].create(fx.spark, columns)
+        if name in old:
+            tables[name].append(old[name].withColumn("_ord", F.lit(0)), 0)
+    return tables
 
 
 # --- the four stored tables after a batch on tables that hold rows already -------------------
@@ -503,14 +530,14 @@ def _(fx):
         "snapshots": of_post(fx.sql(_OLD_SNAPSHOTS)),
         "comments": comments.withColumn("comment_id", I.new_ids(comments, ["post_id", "external_id"])),
     }
-    tables = {name: materialize(df.select(*_TABLES[name][1]), f"old-{name}") for name, df in tables.items()}
-    batch = {"accounts": fx["stg_accounts"].drop("account_id"), "posts": fx["stg_posts"], "metrics": fx.sql(_METRIC_BATCH),
-             "comments": fx["stg_comments"]}
-    stored, _ = I.normalize_and_store(batch, tables, GATE_AS_OF, keep=materialize)
+    stored = _store(fx, {name: df.select(*_TABLES[name][1]) for name, df in tables.items()})
+    ST.store_batch(_batch(fx), stored, GATE_AS_OF, 1)
+    stored["posts"].compact(fx.spark, 2, share=0.0)
+    ST.store_batch(_batch(fx), stored, GATE_AS_OF, 1)  # a retry, even after the log was folded
     out = None
     for name, (key, columns) in _TABLES.items():
         texts = [F.unix_micros(c) if c.endswith("_at") else F.array_join(c, " ") if c == "hashtags" else F.col(c) for c in columns if c != key]
-        part = stored[name].select(F.lit(name).alias("entity"), F.col(key).alias("id"),
+        part = stored[name].read(fx.spark).select(F.lit(name).alias("entity"), F.col(key).alias("id"),
                                    F.concat_ws("|", *[F.coalesce(t.cast("string"), F.lit("~")) for t in texts]).alias("content"))
         out = part if out is None else out.unionByName(part)
     return out
@@ -570,13 +597,17 @@ def _(fx):
         F.lit("rejected").alias("entity"), "n", "total"))
 
 
-@query("stream_snapshot_dedupe", f"""select post_id, captured_at, {_COUNTS} from ({_LINES})
- qualify row_number() over (partition by post_id, captured_at order by _ord) = 1""")
+@query("stream_snapshot_dedupe", f"""with lines as (select *, {_LOST} as reason from ({_LINES}))
+ (select post_id, captured_at, {_COUNTS}, reason from lines where reason is null
+ qualify row_number() over (partition by post_id, captured_at order by _ord) = 1)
+ union all select post_id, captured_at, {_COUNTS}, reason from lines where reason is not null""")
 def _(fx):
     root = shared_dir(fx.spark, "dedupe")
     fx.stream("lineitem").createOrReplaceTempView("lineitem")
     J.dedupe_snapshots(fx.spark.sql(_LINES), f"{root}/table", f"{root}/checkpoint", f"{root}/rejected", unit="month").awaitTermination()
-    return fx.spark.read.parquet(f"{root}/table").select("post_id", "captured_at", *COUNT_COLUMNS)
+    columns = ["post_id", "captured_at", *COUNT_COLUMNS]
+    kept = fx.spark.read.parquet(f"{root}/table").select(*columns, F.lit(None).cast("string").alias("reason"))
+    return kept.unionByName(fx.spark.read.parquet(f"{root}/rejected").select(*columns, "reason"))
 
 
 @query("stream_score_comments", f"""with src as (select doc_id as comment_id, coalesce(text, '') as t from documents), {scored_sql('src', 'comment_id')}

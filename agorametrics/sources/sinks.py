@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from agorametrics.operators.ingest import RETENTION_DAYS, insert_new, retention_cutoff, upsert
+from agorametrics.operators.ingest import RETENTION_DAYS, insert_new, retention_cutoff
 from agorametrics.operators.posts import timestamp
 from agorametrics.session import materialize
 
@@ -41,83 +41,61 @@ def read_archive(spark: SparkSession, path: str, as_of=None, days: int | None =
 def purge_archive(spark: SparkSession, path: str, as_of, days: int = RETENTION_DAYS) -> DataFrame:
     """Delete what retention has expired and return the report of ``retention_report``.
 
-    Folders are known by their names. Expired dates are counted from file footers and emptied; only
-    the date the cutoff falls into is read and rewritten, and the oldest date left is read for its
-    earliest time.
+    Expired dates are counted from file footers, and those folders are emptied that still hold rows: a
+    purge costs what expired since the one before, however long the history. Only the date the cutoff falls
+    into is read and rewritten, and the oldest date left is read for its earliest time.
     """
     cutoff = retention_cutoff(as_of, days)
     events = spark.read.parquet(path)
     schema = events.drop("run", "captured_date").schema
-    # one folder per run and date: names, no rows
-    folders = {f.rsplit("/", 1)[0] for f in events.inputFiles()}
-    dated = sorted((f.rsplit("captured_date=", 1)[1], f) for f in folders if "captured_date=" in f)
-    last = str(cutoff.date())
     day, old = F.col("captured_date"), F.col("captured_at") < timestamp(cutoff)
-    edge = materialize(events.filter(day == F.lit(cutoff.date())), "retention-edge")
-    gone = events.filter(day < F.lit(cutoff.date())).agg(F.count(F.lit(1)).alias("n"))
-    left = events.filter(day > F.lit(cutoff.date())).agg(F.count(F.lit(1)).alias("n"))
+    last = F.lit(cutoff.date())
+    # folders with expired rows: counts without columns come from footers, empty files give none
+    held = events.filter(day <= last).groupBy(
+        F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "").alias("folder"), F.col("run").cast("string").alias("run"), day.alias("day")).agg(
+        F.count(F.lit(1)).alias("n")).collect()
+    edge = materialize(events.filter(day == last), "retention-edge")
+    gone = sum(r.n for r in held if r.day < cutoff.date())
+    left = events.filter(day > last).agg(F.count(F.lit(1)).alias("n"), F.min(day).alias("day")).first()
     kept = edge.filter(~old)
-    oldest = next((d for d, _ in dated if d > last), None)
-    later = events.filter(day == F.lit(oldest).cast("date")) if oldest else kept.limit(0)
+    later = events.filter(day == F.lit(left.day)) if left.day else kept.limit(0)
     earliest = kept.select("captured_at").unionByName(later.select("captured_at")).agg(F.min("captured_at").alias("oldest_remaining"))
-    counts = gone.select(F.col("n").alias("deleted"), F.lit(0).cast("bigint").alias("remaining")).unionByName(
-        left.select(F.lit(0).cast("bigint").alias("deleted"), F.col("n").alias("remaining"))).unionByName(
-        edge.agg(F.count_if(old).alias("deleted"), F.count_if(~old).alias("remaining")))
-    report = counts.agg(F.sum("deleted").alias("deleted"), F.sum("remaining").alias("remaining"), F.lit(1).alias("one")).join(
-        earliest.withColumn("one", F.lit(1)), "one").drop("one")
-    report = materialize(report, "retention-report")
+    counts = edge.agg((F.count_if(old) + gone).alias("deleted"), (F.count_if(~old) + left.n).alias("remaining"), F.lit(1).alias("one"))
+    report = materialize(counts.join(earliest.withColumn("one", F.lit(1)), "one").drop("one"), "retention-report")
     empty = spark.createDataFrame([], schema).coalesce(1)
-    for date, folder in dated:
-        if date <= last:
-            rows = empty if date < last else kept.filter(F.col("run").cast("string") == _run_of(folder)).select(*schema.names)
-            rows.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(folder)
+    for folder in held:
+        rows = empty if folder.day < cutoff.date() else kept.filter(F.col("run").cast("string") == folder.run).select(*schema.names)
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(folder.folder)
     return report
 
 
-def _run_of(folder: str) -> str:
-    return folder.rsplit("/run=", 1)[1].split("/", 1)[0]
-
-
-def append_snapshots(batch: DataFrame, path: str, order: str = "_ord", unit: str = "day") -> None:
+def append_snapshots(batch: DataFrame, path: str, order: str = "_ord", unit: str = "day", run: str = "batch") -> None:
     """Append the snapshots whose (post_id, captured_at) the table at ``path`` lacks; the first row of
     a key wins, and a retry adds nothing.
 
     Files are partitioned by the capture ``unit``: a day, or a month for thin histories. Only the
-    partitions of the batch's own dates are read.
+    partitions of the batch's own dates are read. Rows without a post or a capture time go to
+    ``rejected_snapshots`` with the reason, under the name of the ``run`` that brought them: a retry of the run replaces them.
     """
     keys = ["post_id", "captured_at"]
     spark = batch.sparkSession
     stored = T.StructType([f for f in batch.schema.fields if f.name != order])
+    reason = F.when(F.col("captured_at").isNull(), "missing_capture_time").when(F.col("post_id").isNull(), "missing_post")
+    batch.withColumn("reason", reason).filter("reason is not null").drop(order).write.mode("overwrite").option(
+        "partitionOverwriteMode", "static").parquet(f"{path}-rejected/run={run}")
+    whole = batch.filter(reason.isNull())
     start = F.to_date(F.date_trunc(unit, "captured_at"))
     # one row per capture date: folder names
-    days = [r[0] for r in batch.select(start.alias("day")).distinct().collect()]
+    days = [r[0] for r in whole.select(start.alias("day")).distinct().collect()]
     spark.createDataFrame([], stored).write.mode("overwrite").parquet(f"{path}/captured_date=1970-01-01")  # so that there is a table
     target = spark.read.schema(f"{stored.toDDL()}, captured_date date").parquet(path).filter(F.col("captured_date").isin(days))
-    new = insert_new(target, batch, keys, order)
+    new = insert_new(target, whole, keys, order)
     by_date(new, "captured_date", unit).write.mode("append").partitionBy("captured_date").parquet(path)
 
 
-BUCKETS = 64
-
-
-def upsert_table(batch: DataFrame, path: str, keys, updates, order: str = "_ord", buckets: int = BUCKETS,
-                 overwrite_nulls: bool = True) -> None:
-    """Upsert a batch into a table of files in hash buckets of the key: only the buckets the batch has
-    keys of are read and rewritten. ``buckets`` belongs to the table and must stay as it was.
-
-    The touched buckets are written aside first, as they are made of the folders they replace. A retry
-    gives the same table, except that rows with a null in the key are appended each time.
-    """
-    spark = batch.sparkSession
-    columns = [c for c in batch.columns if c != order]
-    stored = T.StructType([f for f in batch.schema.fields if f.name != order])
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-    touched = [r[0] for r in batch.select(bucket.alias("bucket")).distinct().collect()]  # at most ``buckets`` numbers
-    spark.createDataFrame([], stored).write.mode("overwrite").parquet(f"{path}/bucket=-1")  # so that there is a table
-    target = spark.read.schema(f"{stored.toDDL()}, bucket int").parquet(path).filter(F.col("bucket").isin(touched))
-    new = upsert(target.select(*columns), batch, keys, updates, order, overwrite_nulls)
-    ready = materialize(new.withColumn("bucket", bucket), "upsert")
-    ready.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+def rejected_snapshots(spark: SparkSession, path: str) -> DataFrame:
+    """What ``append_snapshots`` could not store, with a reason."""
+    return spark.read.parquet(f"{path}-rejected")
 
 
 def recommendation_rows(ranked: DataFrame, as_of, window: str) -> DataFrame:

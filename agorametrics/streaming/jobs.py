@@ -50,6 +50,7 @@ def ingest_payloads(landing: DataFrame, path: str, checkpoint: str, as_of, trigg
         events = batch.withColumn("_ord", F.unix_micros("captured_at"))
         posts = I.post_quality_gate(payloads.payload_posts(events), as_of)
         metrics = I.metric_quality_gate(payloads.payload_snapshots(events), as_of)
+        metrics = metrics.withColumn("reject_reason", F.coalesce("reject_reason", F.when(F.col("captured_at").isNull(), "missing_capture_time")))
         ok = F.col("reject_reason").isNull()
         frames = {
             "accounts": payloads.payload_accounts(events),
@@ -100,25 +101,21 @@ def compact(spark: SparkSession, path: str, entity: str, folded_path: str) -> No
 
 
 def _fold(log: DataFrame, entity: str) -> DataFrame:
+    """Rows with a whole key folded, the others as they are: a comment without an id is no other comment. Rows of one batch
+    and capture time are ordered by a hash of their content."""
     keys = _KEYS[entity]
-    at = F.struct("batch_id", "_ord")
     columns = [c for c in log.columns if c not in ("batch_id", "_ord")]
     updates = {"cursors": ["cursor_value"], "snapshots": []}.get(entity, list(I.UPDATES.get(entity, ())))
-    updates = [c for c in updates if c in columns and c not in keys]
-    firsts = [c for c in columns if c not in keys and c not in updates]
-    aggs = []
-    if updates:
-        aggs.append(F.max_by(F.struct(*updates), at).alias("_last"))
-    if firsts:
-        aggs.append(F.min_by(F.struct(*firsts), at).alias("_first"))
-    rows = log.groupBy(*keys).agg(*aggs)
-    return rows.select(*[
-        F.col(c) if c in keys else F.col(f"_last.{c}" if c in updates else f"_first.{c}") for c in columns])
+    keyed = F.lit(True)
+    for k in keys:
+        keyed = keyed & F.col(k).isNotNull()
+    placed = log.select(*columns, F.struct("batch_id", "_ord", F.xxhash64(*columns).alias("tie")).alias("_at"))
+    return I.folded_rows(placed.filter(keyed), columns, keys, updates).unionByName(log.filter(~keyed).select(*columns))
 
 
 def dedupe_snapshots(snapshots: DataFrame, path: str, checkpoint: str, rejected: str, unit: str = "day", trigger=None):
     """Append snapshots whose (post_id, captured_at) the table lacks; ``_ord`` says which row of a
-    batch comes first. Rows without a capture time go to ``rejected`` with the reason.
+    batch comes first. Rows without a post or a capture time go to ``rejected`` with the reason.
 
     Exact however late a duplicate arrives, and without state that grows with the stream: a
     micro-batch is compared with the stored snapshots of its own capture dates only, however far
@@ -133,9 +130,9 @@ def dedupe_snapshots(snapshots: DataFrame, path: str, checkpoint: str, rejected:
 
     def store(batch: DataFrame, batch_id: int) -> None:
         start = F.to_date(F.date_trunc(unit, "captured_at"))
-        undated = batch.filter(F.col("captured_at").isNull()).withColumn("reason", F.lit("missing_capture_time"))
-        undated.write.mode("overwrite").parquet(f"{rejected}/batch_id={batch_id}")
-        dated = batch.filter(F.col("captured_at").isNotNull())
+        reason = F.when(F.col("captured_at").isNull(), "missing_capture_time").when(F.col("post_id").isNull(), "missing_post")
+        batch.withColumn("reason", reason).filter("reason is not null").write.mode("overwrite").parquet(f"{rejected}/batch_id={batch_id}")
+        dated = batch.filter(reason.isNull())
         # one row per capture date of the batch: folder names
         days = [r[0] for r in dated.select(start.alias("day")).distinct().collect()]
         table = spark.read.schema(f"{stored.toDDL()}, captured_date date, batch_id bigint").parquet(path).filter(

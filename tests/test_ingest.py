@@ -395,21 +395,16 @@ def test_purge_deletes_from_disk(spark, table):
     assert sorted(str(r.captured_at) for r in left) == ["2026-06-10 15:00:00", "2026-07-10 00:00:00"]
 
 
-def test_upsert_touches_only_the_buckets_of_the_batch(spark, table):
-    import os
-
-    path = shared_dir(spark, "bucketed")
-    schema = "id long, name string, seen long, _ord long"
-    SK.upsert_table(table([(i, f"n{i}", 0, 0) for i in range(200)] + [(None, "lost", 0, 1)], schema), path, ["id"], ("name",))
-    root = path.removeprefix("file:")
-    files = {d: set(os.listdir(f"{root}/{d}")) for d in os.listdir(root) if d.startswith("bucket=") and d != "bucket=-1"}
-    batch = table([(7, "new", 9, 1), (7, "newest", 9, 2), (900, "added", 9, 3)], schema)
-    for _ in range(2):  # the second is a retry
-        SK.upsert_table(batch, path, ["id"], ("name",))
-        rows = {r.id: (r.name, r.seen) for r in spark.read.parquet(path).collect()}
-        assert len(rows) == 202 and rows[7] == ("newest", 0) and rows[900] == ("added", 9) and rows[None] == ("lost", 0)
-    changed = [d for d in files if set(os.listdir(f"{root}/{d}")) != files[d]]
-    assert 1 <= len(changed) <= 2 < len(files)
+def test_undated_snapshots_are_rejected_once(spark, table):
+    path = shared_dir(spark, "snaps")
+    schema = "post_id long,captured_at timestamp,likes long,_ord long"
+    batch = table([(1, "2026-07-01 00:00:00", 5, 1), (1, None, 6, 2), (1, None, 7, 3), (None, "2026-07-01 00:00:00", 8, 4)], schema)
+    for _ in range(2):
+        SK.append_snapshots(batch, path, run="r1")
+    SK.append_snapshots(table([(2, None, 9, 1)], schema), path, run="r2")
+    assert [(r.post_id, r.likes) for r in spark.read.parquet(path).collect()] == [(1, 5)]
+    assert sorted((r.likes, r.reason) for r in SK.rejected_snapshots(spark, path).collect()) == [
+        (6, "missing_capture_time"), (7, "missing_capture_time"), (8, "missing_post"), (9, "missing_capture_time")]
 
 
 def test_history(table):
@@ -472,6 +467,35 @@ def test_stream_ingest_folds_batches(spark, table):
     assert [r.reason for r in spark.read.parquet(f"{root}/log/rejected").collect()] == ["negative_likes"] * 2
 
 
+def test_stream_keeps_comments_without_an_id(spark, table):
+    root = shared_dir(spark, "stream")
+    text = '{"created_time":"2026-07-01T09:00:00+0000","message":"%s","like_count":%d%s}'
+    rows = [("facebook", "comment", None, "a", "p", text % (f"t{i}", i, ""), "2026-07-01 00:00:00") for i in range(5)]
+    rows += [("facebook", "comment", None, "a", "p", text % (t, 0, ',"id":"c1"'), "2026-07-01 00:00:00") for t in ("one", "two")]
+    table(rows, EVENT).write.json(f"{root}/in")
+
+    def folded():
+        stream = spark.readStream.schema(J.LANDING).json(f"{root}/in")
+        J.ingest_payloads(stream, f"{root}/log", f"{root}/ck", NOW).awaitTermination()
+        return sorted((r.external_id or "", r.text_content) for r in J.folded(spark, f"{root}/log", "comments").collect())
+
+    first = folded()
+    assert first[:5] == [("", f"t{i}") for i in range(5)] and len(first) == 6
+    assert folded() == first  # nothing new arrived
+    table(rows[:1], EVENT).write.mode("append").json(f"{root}/in")
+    assert len(folded()) == 7  # another comment, as far as anyone can tell
+    J.compact(spark, f"{root}/log", "comments", f"{root}/folded")
+    assert J.folded(spark, f"{root}/folded", "comments").count() == 7
+
+
+def test_ties_of_a_batch_are_broken_by_content(spark, table):
+    """Two payloads of one account at one time: the same one wins in whatever order they come."""
+    rows = [("p", "a", f"h{i}", "n", i, False, 0, 7) for i in range(6)]
+    schema = "platform string,external_id string,handle string,display_name string,followers_count long,is_competitor boolean,batch_id long,_ord long"
+    won = {J._fold(table(order, schema), "accounts").first().handle for order in (rows, rows[::-1], rows[3:] + rows[:3])}
+    assert len(won) == 1
+
+
 def test_stream_series_follow_late_rows(spark, table):
     root = shared_dir(spark, "stream")
     schema = "account_id long,published_at timestamp,likes long"
