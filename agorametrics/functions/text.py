@@ -201,11 +201,12 @@ def hint_counts(text: Column) -> tuple[Column, Column]:
     return _hints(text, words(text))
 
 
-def with_language(df, text: str, prefix: str = ""):
+def with_language(df, text: str, prefix: str = "", base_language: str | None = None, base_confidence: str | None = None):
     """Add ``language``, ``language_confidence`` and ``language_method``.
 
-    Rules in order: blank, Arabic script, dialect in Latin letters, hint words, and a weak
-    dialect signal that turns an uncertain answer. Folding, splitting and counting are projections
+    Rules in order: blank, Arabic script, dialect in Latin letters, the base detector, and a weak
+    dialect signal that turns an uncertain answer. The base detector's answer is read from two columns, of which any
+    other language than fr, en and ar is ``other``; where there is none, hint words answer. Folding, splitting and counting are projections
     of their own, so that each regex runs once per text.
     """
     t = F.coalesce(F.col(text), F.lit(""))
@@ -225,6 +226,12 @@ def with_language(df, text: str, prefix: str = ""):
     arabic_ratio = F.when(total > 0, ar / total).otherwise(0.0)
     base = F.when((fr == 0) & (en == 0), "other").when(fr >= en, "fr").otherwise("en")
     base_conf = F.when((fr == 0) & (en == 0), 0.3).otherwise(0.5)
+    detector = "heuristic"
+    if base_language:
+        told = F.col(base_language)
+        base = F.when(told.isin("fr", "en", "ar"), told).when(told.isNotNull(), "other").otherwise(base)
+        base_conf = F.when(told.isNotNull(), round_dp(base_confidence, 4)).otherwise(base_conf)
+        detector = F.when(told.isNotNull(), "base_detector").otherwise("heuristic")
     is_ar = (arabic_ratio >= 0.4) & (ar >= la)
     weak = (sig > 0) & base.isin("other", "en") & (base_conf < 0.8)
 
@@ -244,7 +251,7 @@ def with_language(df, text: str, prefix: str = ""):
                        0.55 + sig * 0.2, base_conf, lit(0.3)), 4)
         .alias(f"{prefix}language_confidence"),
         route(lit("heuristic"), lit("script"), lit("arabizi_rule"), lit("arabizi_rule"),
-              lit("heuristic"), lit("heuristic")).alias(f"{prefix}language_method"),
+              lit(detector) if isinstance(detector, str) else detector, lit("heuristic")).alias(f"{prefix}language_method"),
     )
 
 

@@ -9,6 +9,7 @@ from agorametrics.functions import text as X
 from agorametrics.functions import timeparse as T
 from agorametrics.functions.metric import round_dp
 from agorametrics.operators import evaluate as E
+from agorametrics.operators import language as L
 from agorametrics.operators import posts as P
 from agorametrics.operators import sentiment as S
 from agorametrics.operators import topics as TP
@@ -222,6 +223,49 @@ def _(fx):
     return X.with_language(fx.sql(TEXTS), "text_content").drop("text_content")
 
 
+# --- the base detector: learnt on four fifths of the documents, judged on the rest -------------
+_GRAM_SQL = f"""texts as (select doc_id, lang, coalesce(text, '') as t, doc_id % 5 = 1 as held_out from documents),
+ words as (select doc_id, lang, held_out, word, count(*) as n from (
+  select doc_id, lang, held_out, unnest(regexp_extract_all(lower(t), '\\p{{L}}+')) as word from texts) group by all),
+ grams as (select doc_id, lang, held_out, gram, sum(n) as n from (
+  select doc_id, lang, held_out, n, unnest(list_transform(range(1, length(word) + 1), lambda i: (' ' || word || ' ')[i:i + 2])) as gram from words) group by all),
+ counts as (select lang as label, gram, cast(sum(n) as bigint) as n from grams where not held_out and lang is not null group by 1, 2),
+ sizes as (select label, sum(n) as size, (select count(distinct gram) from counts) as kinds from counts group by 1),
+ scored as (select doc_id, s.label, cast(sum(g.n * cast(round(ln((coalesce(c.n, 0) + 1) / cast(size + kinds as double)) * 1000000) as bigint)) as bigint) as score,
+   cast(sum(g.n) as bigint) as n_grams
+  from grams g join sizes s on true left join counts c on c.label = s.label and c.gram = g.gram where held_out group by 1, 2),
+ told as (select doc_id, n_grams, label as base_language, score from scored qualify row_number() over (partition by doc_id order by score desc, label) = 1)"""
+
+
+def _detector(fx) -> tuple[L.Detector, DataFrame]:
+    docs = fx.table("documents")
+    held_out = F.col("doc_id") % 5 == 1
+    return L.train(materialize(L.gram_counts(docs.filter(~held_out), "lang", "text"), "gram-counts")), docs.filter(held_out)
+
+
+@query("language_gram_counts", f"with {_GRAM_SQL} select * from counts")
+def _(fx):
+    return L.gram_counts(fx.table("documents").filter(F.col("doc_id") % 5 != 1), "lang", "text")
+
+
+@query("base_language", f"with {_GRAM_SQL} select * from told")
+def _(fx):
+    detector, held_out = _detector(fx)
+    return detector.detect(held_out, "doc_id", "text").select("doc_id", "n_grams", "base_language", F.col("base_score").alias("score"))
+
+
+@query("base_language_accuracy", f"""with {_GRAM_SQL}, src as (select doc_id, t from texts where held_out), {detect_sql('src', 'doc_id')}
+ select t.lang, count(*) as n, count(*) filter (told.base_language = t.lang) as hits, count(*) filter (language = t.lang) as hint_hits
+ from texts t left join told on told.doc_id = t.doc_id left join detected d on d.doc_id = t.doc_id where t.held_out and t.lang is not null group by 1""")
+def _(fx):
+    detector, held_out = _detector(fx)
+    told = detector.detect(held_out, "doc_id", "text").select("doc_id", "base_language")
+    both = X.with_language(held_out, "text").join(told, "doc_id", "left").filter(F.col("lang").isNotNull())
+    return both.groupBy("lang").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("base_language") == F.col("lang")).alias("hits"),
+        F.count_if(F.col("language") == F.col("lang")).alias("hint_hits"))
+
+
 def scored_sql(source: str, row_id: str) -> str:
     """CTE ``scored``: language, sentiment and score per text of ``source`` (row id, t)."""
     return rf"""{detect_sql(source, row_id)},
