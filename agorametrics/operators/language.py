@@ -1,4 +1,4 @@
-"""A base language detector learnt from labelled texts: naive Bayes over letter trigrams.
+"""Naive Bayes learnt from labelled texts: a base language detector over letter trigrams, a sentiment classifier over words.
 
 Counts are a table (label, gram, n) that batches add to; weights are made of it, one row per trigram
 with a column per label, as whole millionths of a logarithm, so that sums are exact in any order. A text's
@@ -9,11 +9,14 @@ texts the counts haven't seen.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from agorametrics.functions.metric import round_dp
+from agorametrics.operators.sentiment import Backend
+
 UNIT = 1_000_000
 REACHES = (1, 2, 5, 10, 20, 50, 100, 1_000)
 
@@ -28,11 +31,18 @@ def _grams(word: Column) -> Column:
     return F.explode(F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.substr(padded, i, F.lit(3))))
 
 
-def gram_counts(texts: DataFrame, label: str, text: str = "text_content") -> DataFrame:
-    """label, gram, n of labelled texts; words are counted first, so a common one is cut once."""
+def _parts(counted: DataFrame, unit: str, *keys: str) -> DataFrame:
+    """keys, gram, n: trigrams of counted words, or the words themselves."""
+    gram = _grams(F.col("word")) if unit == "trigram" else F.col("word")
+    return counted.select(*keys, "n", gram.alias("gram")).groupBy(*keys, "gram").agg(F.sum("n").alias("n"))
+
+
+def gram_counts(texts: DataFrame, label: str, text: str = "text_content", unit: str = "trigram") -> DataFrame:
+    """label, gram, n of labelled texts; words are counted first, so a common one is cut once. With ``unit`` "word" a gram
+    is a word."""
     words = texts.filter(F.col(label).isNotNull()).select(F.col(label).alias("label"), _words(F.col(text)).alias("word"))
     counted = words.groupBy("label", "word").agg(F.count(F.lit(1)).alias("n"))
-    return counted.select("label", "n", _grams(F.col("word")).alias("gram")).groupBy("label", "gram").agg(F.sum("n").alias("n"))
+    return _parts(counted, unit, "label")
 
 
 def merge_counts(*counts: DataFrame) -> DataFrame:
@@ -51,11 +61,12 @@ class Detector:
     unseen: tuple[int, ...]
     weights: DataFrame
     reach: int = REACHES[-1]
+    unit: str = "trigram"
 
     def scores(self, texts: DataFrame, row_id: str, text: str = "text_content") -> DataFrame:
         """row_id, n_grams and the score of each label (``s0``, ``s1``, ...) of texts that have a letter."""
         words = texts.select(row_id, _words(F.col(text)).alias("word")).groupBy(row_id, "word").agg(F.count(F.lit(1)).alias("n"))
-        grams = words.select(row_id, "n", _grams(F.col("word")).alias("gram")).groupBy(row_id, "gram").agg(F.sum("n").alias("n"))
+        grams = _parts(words, self.unit, row_id)
         met = grams.join(self.weights, "gram", "left")
         sums = [F.sum(F.col("n") * F.coalesce(f"w{i}", F.lit(w))).alias(f"s{i}") for i, w in enumerate(self.unseen)]
         return met.groupBy(row_id).agg(F.sum("n").alias("n_grams"), *sums)
@@ -81,7 +92,7 @@ class Detector:
         return F.exp((score - best) * scale) / total
 
 
-def train(counts: DataFrame) -> Detector:
+def train(counts: DataFrame, unit: str = "trigram") -> Detector:
     """Weights of a table of counts, one added to each. A row per label comes to the driver."""
     sizes = counts.groupBy("label").agg(F.sum("n").alias("n")).orderBy("label").collect()
     kinds = counts.agg(F.count_distinct("gram").alias("n")).first().n
@@ -93,7 +104,7 @@ def train(counts: DataFrame) -> Detector:
 
     weights = wide.select("gram", *[weight(F.col(f"n{i}"), r.n).alias(f"w{i}") for i, r in enumerate(sizes)])
     unseen = counts.sparkSession.range(1).select(*[weight(F.lit(0), r.n) for r in sizes]).first()
-    return Detector(labels, tuple(unseen), weights)
+    return Detector(labels, tuple(unseen), weights, unit=unit)
 
 
 def calibrate(detector: Detector, texts: DataFrame, row_id: str, label: str, text: str = "text_content") -> Detector:
@@ -107,4 +118,17 @@ def calibrate(detector: Detector, texts: DataFrame, row_id: str, label: str, tex
     if losses[0] is None:
         return detector
     best = min(REACHES, key=lambda r: (losses[str(r)], r))
-    return Detector(detector.labels, detector.unseen, detector.weights, best)
+    return replace(detector, reach=best)
+
+
+def classifier(detector: Detector, row_id: str, name: str = "naive-bayes", version: str = "1.0") -> Backend:
+    """Counts of labelled comments as a sentiment backend; a text without a known part is neutral at 0.5."""
+
+    def apply(df: DataFrame, text: str) -> DataFrame:
+        told = detector.detect(df, row_id, text).select(row_id, "base_language", "base_confidence")
+        joined = df.join(told, row_id, "left")
+        return joined.select(
+            *[df[c] if c != row_id else F.col(row_id) for c in df.columns], F.coalesce("base_language", F.lit("neutral")).alias("sentiment"),
+            round_dp(F.coalesce("base_confidence", F.lit(0.5)), 4).alias("sentiment_score"))
+
+    return Backend(name, version, apply)

@@ -610,6 +610,42 @@ def _(fx):
     return E.stratified_split(rows, "sentiment", "comment_id")
 
 
+# --- a classifier learnt from labelled comments scores the others -------------------------------
+_LEARNT = f"""src as (select comment_id, coalesce(text_content, '') as t from fx_comments where sentiment is not null), {clean_sql('src', 'comment_id')},
+ words as (select comment_id, word, count(*) as n from (
+  select comment_id, unnest(regexp_extract_all(lower(t), '\\p{{L}}+')) as word from cleaned) group by 1, 2),
+ counts as (select sentiment as label, word, count(*) as texts, sum(n) as n from words join fx_comments using (comment_id) where comment_id % 5 <> 2 group by 1, 2),
+ sizes as (select label, sum(n) as size, (select count(distinct word) from counts) as kinds from counts group by 1),
+ scores as (select comment_id, s.label, sum(w.n * cast(round(ln((coalesce(c.n, 0) + 1) / cast(size + kinds as double)) * 1000000) as bigint)) as score
+  from words w join sizes s on true left join counts c on c.label = s.label and c.word = w.word where comment_id % 5 = 2 group by 1, 2),
+ told as (select comment_id, label from scores qualify row_number() over (partition by comment_id order by score desc, label) = 1),
+ pairs as (select comment_id, coalesce(language, 'unknown') as language, sentiment as y_true, coalesce(label, 'neutral') as y_pred
+  from fx_comments left join told using (comment_id) where sentiment is not null and comment_id % 5 = 2)"""
+
+
+def _model_scored(fx) -> DataFrame:
+    """Analyses of held-out comments, stored as the scoring job stores them, with their true labels."""
+    comments = fx["fx_comments"].filter(F.col("sentiment").isNotNull())
+    held_out = F.col("comment_id") % 5 == 2
+    known = comments.filter(~held_out).withColumn("clean", X.preprocess_text(F.coalesce("text_content", F.lit(""))))
+    model = L.train(materialize(L.gram_counts(known, "sentiment", "clean", unit="word"), "word-counts"), unit="word")
+    scored = S.score_sentiment(comments.filter(held_out).select("comment_id", "text_content"), L.classifier(model, "comment_id"))
+    stored = materialize(scored.select("comment_id", "sentiment", "sentiment_score", "model_name", "model_version"), "analyses")
+    return stored.select("comment_id", F.col("sentiment").alias("y_pred"), "model_name").join(
+        comments.select("comment_id", F.coalesce("language", F.lit("unknown")).alias("language"), F.col("sentiment").alias("y_true")), "comment_id")
+
+
+@query("model_sentiment", f"with {_LEARNT} select comment_id, language, y_true, y_pred, 'naive-bayes' as model_name from pairs")
+def _(fx):
+    return _model_scored(fx)
+
+
+@query("model_sentiment_f1", f"""with {_LEARNT}, {class_sql('language')} select language, {_MACRO} as macro_f1,
+ {rd('max(hits) / max(n)', 4)} as accuracy, max(n) as support from cls group by 1""")
+def _(fx):
+    return E.per_language_f1(_model_scored(fx))
+
+
 @query("train_sentiment")
 def _(fx):
     rows = fx["fx_comments"].filter(F.col("sentiment").isNotNull()).select(

@@ -101,3 +101,14 @@ def test_one_label_and_no_texts(table):
     assert [tuple(r)[2:3] + tuple(r)[4:] for r in one.detect(table([(1, None, "salut")], SCHEMA), "id", "t").collect()] == [("fr", 1.0)]
     assert one.detect(table([], SCHEMA), "id", "t").collect() == []
     assert L.calibrate(one, table([], SCHEMA), "id", "lang", "t").reach == L.REACHES[-1]
+
+
+def test_a_classifier_over_words_as_a_sentiment_backend(table):
+    from agorametrics.operators import sentiment as S
+
+    known = table([(1, "positive", "good fine day"), (2, "negative", "bad awful day"), (3, "positive", "fine good"), (4, "negative", "bad bad")], SCHEMA)
+    model = L.train(L.gram_counts(known, "lang", "t", unit="word"), unit="word")
+    comments = table([(1, "fine!"), (2, "AWFUL thing"), (3, "12 ?"), (4, None), (5, "day")], "comment_id long, text_content string")
+    rows = {r.comment_id: r for r in S.score_sentiment(comments, L.classifier(model, "comment_id")).collect()}
+    assert [rows[i].sentiment for i in range(1, 6)] == ["positive", "negative", "neutral", "neutral", "negative"]
+    assert rows[3].sentiment_score == 0.5 and 0.5 < rows[1].sentiment_score < 1 and {r.model_name for r in rows.values()} == {"naive-bayes"}
