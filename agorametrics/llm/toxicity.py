@@ -2,14 +2,18 @@
 
 A sentence's probability is logistic in the word features it holds; a document's is the noisy-or of
 its sentences, 1 - prod(1 - p). Both are fitted together to the documents' labels, so the model also
-says which sentences offend. Features are whole words of up to seven bytes and word starts of four to
-seven bytes, since insults are inflected. Words are those of A-Z lower-cased runs of digits, letters
-and characters outside ASCII; a sentence ends at ``.``, ``!``, ``?`` or a line break.
-
-The fit reads a bounded, documented sample of labelled documents (``labelled``); the features are
-chosen among all of that sample's. Scores read whole texts. A null or empty text has no sentence and
-scores 0. Without any labelled document of either kind, all score the share of label 1 (0 if none).
-Repeated rows score alike; an empty table gives no rows. Other columns stay, one with the name of a
+says which sentences offend. Features are hashes of whole words, however long, of word starts of four to
+seven bytes, since insults are inflected, and of all windows of ``INNER`` bytes inside longer words, which
+find the parts of a compound, also in scripts without blanks. Words are those of A-Z lower-cased runs of
+digits, letters and characters outside ASCII; a sentence ends at ``.``, ``!``, ``?`` or a line break. What
+two features of one word say is in both weights; a feature counts once for each word of a sentence.
+
+The fit reads a bounded, documented sample of labelled documents (``samples.labelled``): rows, and bytes
+of their texts, are bounded. Every feature of it that tells the labels apart takes part, there is no limit to
+their number. Scores read whole texts. A null or empty text has no sentence and
+scores 0, whatever the model. Without any labelled document of one kind, every sentence has the probability
+of the kind that is there, so all texts with a word score that. Repeated rows score alike; an empty table
+gives no rows. Other columns stay, one with the name of a
 new column is replaced. Very long texts are scored whole, by themselves.
 """
 
@@ -23,15 +27,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from agorametrics.llm.common import LOWER, WORD, lists, pieces, put, raw, spans
+from agorametrics.llm.common import LOWER, WORD, lists, mix, packed, pieces, put, ragged, raw, spans, word_hashes
 
 SAMPLE = 20_000  # labelled documents a fit reads at most
-FEATURES = 4_096  # features a model has at most
 STARTS = (4, 5, 6, 7)
+INNER = 6  # bytes of a window inside a word that is longer
+GAIN = 6.0  # twice the logarithm of a likelihood ratio that a feature must reach
+SEEN = 3  # documents of label 1 that a feature must be in
 
 _END = np.zeros(256, dtype=bool)
 _END[[0x0A, 0x21, 0x2E, 0x3F]] = True
-_KEEP = np.array([(1 << 8 * n) - 1 for n in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
+_WORD, _START, _INNER = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
 @dataclass
@@ -41,32 +47,60 @@ class Model:
     bias: float
 
 
-def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First eight bytes of each word as a number, its sentence, and each sentence's text."""
+@dataclass
+class Words:
+    """The words of a piece: each distinct one with its features, and where it stands."""
+
+    features: np.ndarray  # of all distinct words, one after the other
+    first: np.ndarray  # where each distinct word's start, one more for the end
+    word: np.ndarray  # distinct word of each place
+    sentence: np.ndarray  # and its sentence
+    text: np.ndarray  # text of each sentence
+
+    def expanded(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the features of these words, and the index of the word each belongs to."""
+        size = (self.first[1:] - self.first[:-1])[which]
+        return ragged(self.first[which], size), np.repeat(np.arange(which.size), size)
+
+
+def tokens(data: np.ndarray, offsets: np.ndarray) -> Words:
     low = LOWER[data]
-    starts, ends = spans(WORD[low], offsets)
-    wide = np.concatenate([low, np.zeros(8, np.uint8)])
-    eight = np.ndarray((data.size,), "<u8", wide, strides=(1,)) if data.size else np.zeros(0, np.uint64)
-    heads = eight[starts] & _KEEP[np.minimum(ends - starts, 8)]
+    mask = WORD[low]
+    starts, ends = spans(mask, offsets)
     text = np.searchsorted(offsets, starts, side="right") - 1
     mark = np.searchsorted(np.flatnonzero(_END[data]), starts) + text
     new = np.ones(starts.size, dtype=bool)
-    new[1:] = mark[1:] != mark[:-1]
-    return heads, np.cumsum(new) - 1, text[new]
-
-
-def keys_of(heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All features of these word heads: their keys, and the head each belongs to."""
-    keys, of = [], []
-    size = sum((heads >> np.uint64(8 * k) != 0).astype(np.int64) for k in range(8))
-    short = np.flatnonzero(size <= 7)
-    keys.append(heads[short] | np.uint64(0x80 << 56))
-    of.append(short)
-    for n in STARTS:
-        have = np.flatnonzero(size >= n)
-        keys.append(heads[have] & _KEEP[n] | np.uint64(n << 56))
-        of.append(have)
-    return np.concatenate(keys), np.concatenate(of)
+    new[1:] = (mark[1:] != mark[:-1]) | (text[1:] != text[:-1])
+    coded = packed(low, mask, starts, ends).dictionary_encode()
+    features, first = features_of(*raw(coded.dictionary))
+    return Words(features, first, coded.indices.to_numpy(), np.cumsum(new) - 1, text[new])
+
+
+def features_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct features of each word: of itself, its starts and its inner windows."""
+    size = np.diff(offsets)
+    n = size.size
+    starts = offsets[:-1]
+    keys, of = [mix(word_hashes(data, starts, offsets[1:]) ^ _WORD)], [np.arange(n)]
+    for k in STARTS:
+        some = np.flatnonzero(size >= k)
+        keys.append(mix(word_hashes(data, starts[some], starts[some] + k) ^ _START))
+        of.append(some)
+    some = np.flatnonzero(size > INNER)
+    windows = size[some] - INNER + 1
+    at = ragged(starts[some], windows)
+    if at.size:
+        rolled = np.zeros(at.size, np.uint64)
+        for k in range(INNER):
+            rolled = mix(rolled * np.uint64(31) + data[at + k].astype(np.uint64) + np.uint64(1))
+        keys.append(rolled ^ _INNER)
+        of.append(np.repeat(some, windows))
+    keys, of = np.concatenate(keys), np.concatenate(of)
+    order = np.lexsort((keys, of))
+    keys, of = keys[order], of[order]
+    new = np.ones(keys.size, dtype=bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (of[1:] != of[:-1])
+    return keys[new], np.searchsorted(of[new], np.arange(n + 1))
 
 
 def feature_counts(sample: DataFrame) -> DataFrame:
@@ -74,16 +108,13 @@ def feature_counts(sample: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in pieces(batches):
-            data, offsets = raw(batch.column(0))
-            heads, sentence, text = tokens(data, offsets)
+            found = tokens(*raw(batch.column(0)))
             y = batch.column(1).to_numpy()
-            doc = text[sentence]
-            order = np.lexsort((heads, doc))
-            heads, doc = heads[order], doc[order]
-            new = np.ones(heads.size, dtype=bool)
-            new[1:] = (heads[1:] != heads[:-1]) | (doc[1:] != doc[:-1])
-            keys, of = keys_of(heads[new])
-            doc = doc[new][of]
+            doc = found.text[found.sentence] if found.word.size else np.zeros(0, np.int64)
+            # distinct words of each document, then distinct features
+            pairs = np.unique(doc * max(1, found.first.size) + found.word)
+            at, of = found.expanded(pairs % max(1, found.first.size))
+            keys, doc = found.features[at], (pairs // max(1, found.first.size))[of]
             order = np.lexsort((doc, keys))
             keys, doc = keys[order], doc[order]
             new = np.ones(keys.size, dtype=bool)
@@ -99,15 +130,16 @@ def feature_counts(sample: DataFrame) -> DataFrame:
     return parts.groupBy("key").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
-def choose(counts: DataFrame, pos: int, neg: int, most: int = FEATURES) -> np.ndarray:
-    """The features that speak most for label 1, by the likelihood ratio."""
+def choose(counts: DataFrame, pos: int, neg: int, least: float = GAIN) -> np.ndarray:
+    """The features that speak for label 1, by the likelihood ratio: all that reach ``least``."""
     share = F.lit(pos / (pos + neg))
     n = F.col("pos") + F.col("neg")
     gain = 2 * (F.col("pos") * F.log(F.col("pos") / (n * share))
                 + F.when(F.col("neg") > 0, F.col("neg") * F.log(F.col("neg") / (n * (1 - share)))).otherwise(0.0))
-    chosen = (counts.where((F.col("pos") >= 2) & (F.col("pos") > 2 * n * share)).select("key", gain.alias("gain"))
-              .where("gain > 6").orderBy(F.desc("gain"), "key").limit(most).collect())
-    return np.sort(np.array([r.key for r in chosen], dtype=np.int64).view(np.uint64))
+    chosen = (counts.where((F.col("pos") >= SEEN) & (F.col("pos") * (1 - share) > 2 * F.col("neg") * share)).select("key", gain.alias("gain"))
+              .where(F.col("gain") > least).select("key").toArrow())
+    # at most the distinct features of the sample, whose bytes are bounded
+    return np.sort(chosen["key"].to_numpy().view(np.uint64))
 
 
 def bags(sample: DataFrame, keys: np.ndarray) -> list:
@@ -115,21 +147,14 @@ def bags(sample: DataFrame, keys: np.ndarray) -> list:
 
     def run(batches):
         for batch in pieces(batches):
-            data, offsets = raw(batch.column(0))
-            heads, sentence, text = tokens(data, offsets)
-            table, back = np.unique(heads, return_inverse=True)
-            found, of = keys_of(table)
-            at = np.searchsorted(keys, found)
+            words = tokens(*raw(batch.column(0)))
+            sentence, text = words.sentence, words.text
+            at = np.searchsorted(keys, words.features)
             at[at == keys.size] = 0
-            hit = keys[at] == found if keys.size else np.zeros(found.size, bool)
-            feature, of = at[hit], of[hit]
-            order = np.argsort(of, kind="stable")
-            feature, of = feature[order], of[order]
-            low, high = np.searchsorted(of, back), np.searchsorted(of, back, side="right")
-            n = high - low
-            token = np.repeat(np.arange(back.size), n)
-            which = feature[np.arange(token.size) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
-            pair_sentence = sentence[token]
+            hit = keys[at] == words.features if keys.size else np.zeros(words.features.size, bool)
+            where, token = words.expanded(words.word)
+            kept = hit[where]
+            which, pair_sentence = at[where[kept]], sentence[token[kept]]
             per_doc = np.bincount(text, minlength=batch.num_rows)
             first = np.cumsum(per_doc) - per_doc
             cut = np.searchsorted(text[pair_sentence], np.arange(batch.num_rows + 1))
@@ -142,7 +167,7 @@ def bags(sample: DataFrame, keys: np.ndarray) -> list:
         run, "y long, n long, sentence array<int>, feature array<int>").collect()
 
 
-def train(rows: list, n_features: int, steps: int = 400, penalty: float = 2e-4) -> tuple[np.ndarray, float]:
+def train(rows: list, n_features: int, steps: int = 400, penalty: float = 7e-5) -> tuple[np.ndarray, float]:
     """Weights and bias that fit the noisy-or of the sentences to the labels (Adam on all rows)."""
     y = np.array([r.y for r in rows], float)
     count = np.array([r.n for r in rows], float)
@@ -201,16 +226,15 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score",
         schema, own = to_arrow_schema(kind), shared.value
         for batch in pieces(batches, text):
             data, offsets = raw(batch.column(batch.schema.get_field_index(text)))
-            heads, sentence, of_text = tokens(data, offsets)
-            table, back = np.unique(heads, return_inverse=True)
-            weight = np.zeros(table.size)
+            words = tokens(data, offsets)
+            sentence, of_text = words.sentence, words.text
+            weight = np.zeros(words.first.size - 1)
             if own.keys.size:
-                found, of = keys_of(table)
-                at = np.searchsorted(own.keys, found)
+                at = np.searchsorted(own.keys, words.features)
                 at[at == own.keys.size] = 0
-                hit = own.keys[at] == found
-                weight = np.bincount(of[hit], weights=own.weights[at[hit]], minlength=table.size)
-            z = own.bias + np.bincount(sentence, weights=weight[back], minlength=of_text.size)[:of_text.size]
+                hit = np.where(own.keys[at] == words.features, own.weights[at], 0.0)
+                weight = np.add.reduceat(np.append(hit, 0.0), words.first[:-1]) if weight.size else weight
+            z = own.bias + np.bincount(sentence, weights=weight[words.word], minlength=of_text.size)[:of_text.size]
             none = -np.bincount(of_text, weights=np.logaddexp(0, z), minlength=batch.num_rows)
             p = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
             bad = np.flatnonzero(p >= least)

@@ -9,11 +9,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from agorametrics.llm import bpe, components, decontaminate, forest, licenses, quality, quality_rules, repeats, samples, token_files, toxicity, url_filter
+from agorametrics.llm import bpe, common, components, decontaminate, forest, licenses, quality, quality_rules, repeats, samples, token_files, toxicity, url_filter
 from agorametrics.llm.common import release, stored
 
 SF = "/root/testdata/sf0.01"
@@ -276,6 +277,60 @@ def test_toxic_sentences_are_located(docs, empty):
         assert toxicity.score(docs(["a b."]), toxicity.fit(one)).first().score == pytest.approx(want, abs=1e-6)
 
 
+def _features(word):
+    """Features of a word, by their definition."""
+    raw = word.encode()
+    return {("word", raw), *(("start", raw[:k]) for k in toxicity.STARTS if len(raw) >= k),
+            *(("inner", raw[i:i + toxicity.INNER]) for i in range(len(raw) - toxicity.INNER + 1) if len(raw) > toxicity.INNER)}
+
+
+def test_word_features_are_what_they_are_said_to_be():
+    words = ["a", "abcd", "abcdef", "abcdefg", "abcdefgabcdefg", "日本語", "日本語日本語", "donaudampfschiff", "aaaaaaaaaa", "abcdefgh1", "abcdefgh2"]
+    features, first = toxicity.features_of(*common.raw(pa.array(words)))
+    by_hash = {}
+    for w, lo, hi in zip(words, first[:-1], first[1:], strict=True):
+        assert len(set(features[lo:hi].tolist())) == hi - lo == len(_features(w))
+        for v in words:
+            at = words.index(v)
+            both = set(features[lo:hi].tolist()) & set(features[first[at]:first[at + 1]].tolist())
+            assert len(both) == len(_features(w) & _features(v))
+        by_hash |= dict.fromkeys(features[lo:hi].tolist(), w)
+
+
+def test_scores_equal_the_noisy_or_by_hand(docs):
+    """Every sentence's logit is the sum over its words of the weights of their features; the document's score the noisy-or."""
+    words = ["grumblor", "grumblors", "plain", "fine", "donaugrumblor", "日本語grumblor"]
+    features, first = toxicity.features_of(*common.raw(pa.array(words)))
+    keys = np.unique(features)
+    weights = np.random.default_rng(1).normal(0, 1, keys.size)
+    model = toxicity.Model(keys, weights, -1.5)
+    of = {w: weights[np.searchsorted(keys, features[lo:hi])].sum() for w, lo, hi in zip(words, first[:-1], first[1:], strict=True)}
+    texts = ["Plain fine grumblor. fine!\nGRUMBLORS plain plain?", "", None, "... !", "donaugrumblor 日本語grumblor fine. plain", "plain " * 3000 + "grumblor"]
+    for r in toxicity.score(docs(texts), model).collect():
+        none = 1.0
+        for sentence in re.split(r"[.!?\n]", texts[r.doc_id] or ""):
+            found = sentence.lower().split()
+            if found:
+                none *= 1 - 1 / (1 + np.exp(min(60, -(model.bias + sum(of[w] for w in found)))))
+        assert r.score == pytest.approx(1 - none, abs=1e-9)
+
+
+def test_words_that_differ_in_the_ninth_byte_are_told_apart(docs):
+    base = prose(11, 160)
+    texts = [t + (" abcdefghXtail rest" if i % 2 else " abcdefghYtail rest") for i, t in enumerate(base)]
+    sample = docs(texts).withColumn("y", (F.col("doc_id") % 2).cast("int")).select("text", "y")
+    model = toxicity.fit(sample)
+    out = {r.doc_id: r.score for r in toxicity.score(docs(["some abcdefghXtail here", "some abcdefghYtail here", "日本語日本語abcdefghXtail"]), model).collect()}
+    assert out[0] > 0.8 > 0.2 > out[1] and out[2] > 0.5
+
+
+def test_the_bytes_of_a_sample_are_bounded(spark):
+    docs = spark.range(200).selectExpr("id as doc_id", "repeat('x', 1000) as text", "1 as y")
+    labels = spark.range(200).selectExpr("id as doc_id", "1 as toxic")
+    assert samples.labelled(docs, labels, "toxic", 4, 2, 1000, most_bytes=20_500).count() == 20
+    assert samples.labelled(docs, labels, "toxic", 4, 2, 10).count() == 10
+
+
 def test_samples_leave_out_the_fold_and_keep_the_bound(spark):
     docs = spark.range(200).selectExpr("id as doc_id", "concat('t', id) as text", "1 as y")
     labels = spark.range(200).selectExpr("if(id % 50 = 49, null, id) as doc_id", "cast(id % 3 as int) as q")
