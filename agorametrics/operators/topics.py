@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from agorametrics.functions.metric import INSUFFICIENT_DATA, round_dp
+from agorametrics.operators import density
 from agorametrics.functions.text import label_from_keywords, net_sentiment_score, preprocess_text
 from agorametrics.operators.posts import nonblank_text, window_filter
 
@@ -123,6 +124,15 @@ def discover_topics(comments: DataFrame, as_of, window: str, cluster, keep=lambd
     return topics, topic_comment_link(linked, assigned.select("comment_id", "account_id", "cluster_id"), usable)
 
 
+def density_topics(comments: DataFrame, vectors: DataFrame, min_size: int = MIN_TOPIC_SIZE, row_id: str = "comment_id", vector: str = "vector", **options) -> DataFrame:
+    """Comments with ``cluster_id`` by the density of their vectors (``row_id``, ``vector``): a cluster is named by its smallest
+    id; outliers, and comments without a vector, are -1."""
+    own = vectors.join(comments.select(row_id), row_id, "left_semi").filter(F.col(vector).isNotNull())
+    found = density.clusters(own, min_size, row_id=row_id, vector=vector, **options)
+    placed = comments.join(found.withColumnRenamed("id", "_id"), comments[row_id] == F.col("_id"), "left")
+    return placed.select(*[comments[c] for c in comments.columns], F.coalesce("cluster_id", F.lit(OUTLIER)).cast("bigint").alias("cluster_id"))
+
+
 def fit_topics(comments: DataFrame, k: int = 10, text: str = "text_content", seed: int = 42,
                min_weight: float = 0.3, vocabulary: int | None = None, max_iter: int = 10):
     """Cluster comments by their words: one topic model over all accounts.

@@ -8,6 +8,7 @@ from agorametrics import vocab
 from agorametrics.functions import text as X
 from agorametrics.functions import timeparse as T
 from agorametrics.functions.metric import round_dp
+from agorametrics.operators import density
 from agorametrics.operators import evaluate as E
 from agorametrics.operators import language as L
 from agorametrics.operators import posts as P
@@ -533,6 +534,20 @@ def _(fx):
     return rolled.withColumn("keywords", F.array_join("keywords", " "))
 
 
+@query("density_clusters")
+def _(fx):
+    rows = fx.spark.read.parquet(f"{fx.sf_dir}/embeddings.parquet").filter("vec_id is not null and embedding is not null")
+    return density.clusters(rows, 8, 4, levels=6, row_id="vec_id", vector="embedding").withColumnRenamed("id", "vec_id")
+
+
+@query("density_topics")
+def _(fx):
+    comments = materialize(fx["fx_comments"].select("comment_id", "account_id", "text_content", "sentiment"), "topic-input")
+    vectors = fx.spark.read.parquet(f"{fx.sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("comment_id"), F.col("embedding").alias("vector"))
+    assigned = materialize(TP.density_topics(comments, vectors, min_size=5, min_samples=3, levels=6), "density-topics")
+    return TP.topic_rollup(assigned, TP.topic_keywords(assigned)).withColumn("keywords", F.array_join("keywords", " "))
+
+
 # --- evaluation ------------------------------------------------------------------------------
 # truth from the fixture, a rule as prediction
 PAIRS = """select comment_id, language, sentiment as y_true, case when comment_id % 5 in (0, 1, 2) then sentiment
