@@ -249,9 +249,9 @@ GENUINE = [
 
 
 def identified(text):
-    known = {licenses.normalised(s): i for i, s in licenses.SENTENCES.items()}
-    known |= {licenses.normalised(s): i for i, forms in licenses.FORMS.items() for s in forms}
-    return licenses.identified(text, known, licenses.starts(known))
+    known = {licenses.form(s): i for i, s in licenses.SENTENCES.items()}
+    known |= {licenses.form(s): i for i, forms in licenses.FORMS.items() for s in forms}
+    return licenses.identified(text, licenses.Known(known))
 
 
 @pytest.mark.parametrize("text, licence, ids", GENUINE)
@@ -272,3 +272,62 @@ def test_lines_and_sentences():
     assert identified("MIT License\n" + MIT.split("\n\n")[2])[1] == [(1, "mit-grant")]
     assert identified("one\n***\ntwo\nstill two") == (2, [])
     assert identified("") == (0, []) and identified(" \n\n ") == (0, [])
+
+
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+   * Redistributions of source code must retain the above copyright
+notice, this list of conditions and the following disclaimer.
+   * Redistributions in binary form must reproduce the above
+copyright notice, this list of conditions and the following disclaimer
+in the documentation and/or other materials provided with the
+distribution.
+"""
+
+
+@pytest.mark.parametrize(("text", "licence"), [
+    (BSD, ["BSD-2-Clause"]),
+    (BSD + """   * Neither the name of Google Inc. nor the names of its
+contributors may be used to endorse or promote products derived from
+this software without specific prior written permission.""", ["BSD-3-Clause"]),
+    (BSD + "3. The name of the author may not be used to endorse or promote products derived\nfrom this software without specific prior written permission.", ["BSD-3-Clause"]),
+    ("// SPDX-License-Identifier: MIT\nint main;", ["MIT"]), ("# SPDX-License-Identifier: GPL-2.0-or-later", ["GPL-2.0"]), ("/* SPDX-License-Identifier: LGPL-2.1-only */", ["LGPL-2.1"]),
+    ("SPDX-License-Identifier: NOT-A-LICENCE", []), ("The Mozilla Public License 2.0 is long", []), ("Mozilla Public License, version 2.0.", ["MPL-2.0"]),
+    ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed", ["MPL-2.0"]),
+    ("This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version.", ["GPL-2.0"]),
+    ("This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version.", ["LGPL-2.1"]),
+    ("This is free and unencumbered software released into the public domain.", ["Unlicense"]),
+    ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.", ["ISC"]),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", ["CC-BY-SA-4.0"]),
+    ("Neither the name of the game nor the rules are clear.", []),
+])
+def test_notices_and_owners(text, licence):
+    _, found = identified(text)
+    assert [m[0] for m in licenses.matches(found, licenses.RULES)] == licence
+
+
+def test_matches_equal_brute_force():
+    """Every way to lay rules over the identifiers, longest first, then the first."""
+    import random
+
+    r = random.Random(2)
+    names = ["a", "b", "c"]
+    rules = [("X", ("a", "b")), ("Y", ("a", "b", "c")), ("Z", ("c",)), ("W", ("b", "b"))]
+    for _ in range(400):
+        found, at = [], 0
+        for _ in range(r.randint(0, 9)):
+            at += r.randint(1, 3)
+            found.append((at, r.choice(names)))
+        spots = []
+        for licence, rule in rules:
+            for k in range(len(found)):
+                part = found[k:k + len(rule)]
+                if [i for _, i in part] == list(rule) and all(q - p <= licenses.GAP + 1 for (p, _), (q, _) in zip(part, part[1:], strict=False)):
+                    spots.append((len(rule), k, licence))
+        free, want = set(range(len(found))), []
+        while spots:
+            size, k, licence = min(spots, key=lambda s: (-s[0], s[1], s[2]))
+            spots.remove((size, k, licence))
+            if set(range(k, k + size)) <= free:
+                free -= set(range(k, k + size))
+                want.append((licence, found[k][0], found[k + size - 1][0]))
+        assert licenses.matches(found, rules) == sorted(want, key=lambda m: m[1:])
