@@ -281,7 +281,8 @@ class Repeats:
         marks = self._marks(_context_bytes(self.texts.where("asked is not null").select("text", "asked")), classes, length)
         marked = mixed.join(marks, ["fp", "ctx"]).select("doc_id", "key", (F.col("at") + F.col("s")).alias("s"), (F.col("at") + F.col("e")).alias("e"))
         whole = shared.where("not mixed").select("doc_id", "key", F.col("at").alias("s"), (F.col("at") + F.col("size")).alias("e"))
-        ranges = whole.unionByName(marked).groupBy("doc_id", "key").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+        # equal rows of one id name the same ranges
+        ranges = whole.unionByName(marked).distinct().groupBy("doc_id", "key").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
         self.spans = stored(_merged(ranges), "spans")
         release(shared, classes, marks)
 
