@@ -131,7 +131,7 @@ def search(index: DataFrame, items: DataFrame, size: int = 10, slop: int | None
     exclusive, one for each occurrence), items (sorted ids as text).
     """
     spark = index.sparkSession
-    items = items.select(F.col(item_id).cast("string").alias("item"), F.col(text).alias("text"))
+    items = items.select(F.col(item_id).cast("string").alias("item"), F.col(text).alias("text")).distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = 1 + total // BLOCK
     hits = None
@@ -143,6 +143,8 @@ def search(index: DataFrame, items: DataFrame, size: int = 10, slop: int | None
         terms = spark.createDataFrame([(x,) for x in sorted({t for w in asked for t in w})], "term binary")
         rows = index.join(terms, "term", "left_semi").unionByName(index.where("term is null"))
         found = _in_segments(rows, asked, slop)
+        if blocks > 1:  # a block's plan and broadcasts end with it
+            found = stored(found, "hits")
         hits = found if hits is None else hits.unionByName(found)
     return hits if hits is not None else spark.createDataFrame([], HITS)
 
