@@ -7,14 +7,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from agorametrics.functions.metric import INSUFFICIENT_DATA, round_dp
-from agorametrics.operators import density
 from agorametrics.functions.text import label_from_keywords, net_sentiment_score, preprocess_text
+from agorametrics.operators import density
 from agorametrics.operators.posts import nonblank_text, window_filter
 
 MIN_DOCS = 20
 MIN_TOPIC_SIZE = 3
 TOP_KEYWORDS = 8
 OUTLIER = -1
+VOCABULARY = 1 << 18
 
 
 def usable_clusters(assigned: DataFrame, keys=("account_id",), min_docs: int = MIN_DOCS,
@@ -134,13 +135,13 @@ def density_topics(comments: DataFrame, vectors: DataFrame, min_size: int = MIN_
 
 
 def fit_topics(comments: DataFrame, k: int = 10, text: str = "text_content", seed: int = 42,
-               min_weight: float = 0.3, vocabulary: int | None = None, max_iter: int = 10):
+               min_weight: float = 0.3, vocabulary: int = VOCABULARY, max_iter: int = 10):
     """Cluster comments by their words: one topic model over all accounts.
 
     A document belongs to its heaviest topic; below ``min_weight`` it is an outlier. Returns the
     comments with ``cluster_id``, and ``cluster_id, keywords``. Every iteration reads all comments.
-    ``vocabulary`` bounds the words the model knows (its tables grow with k times the words); by
-    default all are known. Comments of the same seed and order give the same topics.
+    ``vocabulary`` bounds the words the model knows, the most frequent ones (its tables grow with k times
+    the words, and they pass through the driver); rarer ones tell no topic apart. ``density_topics`` has no such bound. Comments of the same seed and order give the same topics.
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.clustering import LDA
@@ -150,7 +151,7 @@ def fit_topics(comments: DataFrame, k: int = 10, text: str = "text_content", see
     prepared = comments.withColumn("_clean", preprocess_text(F.col(text)))
     model = Pipeline(stages=[
         RegexTokenizer(inputCol="_clean", outputCol="_words", pattern=r"\p{L}[\p{L}\p{N}]+", gaps=False),
-        CountVectorizer(inputCol="_words", outputCol="_counts", vocabSize=vocabulary or (1 << 31) - 1),
+        CountVectorizer(inputCol="_words", outputCol="_counts", vocabSize=vocabulary),
         LDA(featuresCol="_counts", topicDistributionCol="_weights", k=k, seed=seed,
             maxIter=max_iter, optimizer="online", subsamplingRate=1.0),
     ]).fit(prepared)

@@ -10,12 +10,13 @@ from agorametrics.functions import text as X
 from agorametrics.operators import ingest as I
 from agorametrics.operators import posts as P
 from agorametrics.operators import recommend as R
+from agorametrics.operators import rollup as RU
 from agorametrics.operators import sentiment as S
 from agorametrics.operators import topics as TP
 from agorametrics.plans.account_queries import rank_sql
 from agorametrics.plans.fixtures import EVENTS_AS_OF
 from agorametrics.plans.post_queries import _CURSORS, _NEGATIVE, ASSIGNED, GATE_AS_OF
-from agorametrics.plans.registry import isum, query, ts
+from agorametrics.plans.registry import isum, query, rd, ts
 from agorametrics.plans.text_queries import _LABEL_MAP, _MAPPED, _ROLLUP, _ordered_distinct, scored_sql
 from agorametrics.schemas import COUNT_COLUMNS
 from agorametrics.session import materialize, shared_dir
@@ -547,22 +548,57 @@ _GIVEN = """select comment_id, language, sentiment, cast(1.0 as double) as senti
  cast(null as timestamp) as analyzed_at from fx_comments where sentiment is not null"""
 
 
+def _labels(fresh: DataFrame, as_of, backend) -> DataFrame:
+    return S.score_sentiment(fresh.select("comment_id", "text_content"), backend).withColumns(
+        {"analyzed_at": P.timestamp(as_of), "_ord": F.lit(0)})
+
+
 def analyze_new_comments(comments: DataFrame, analyses: DataFrame, as_of, backend=None) -> DataFrame:
     """Label the comments that lack an analysis and upsert the result."""
-    fresh = S.unlabeled_comments(comments, analyses)
-    labels = S.score_sentiment(fresh.select("comment_id", "text_content"), backend).withColumns(
-        {"analyzed_at": P.timestamp(as_of), "_ord": F.lit(0)})
+    labels = _labels(S.unlabeled_comments(comments, analyses), as_of, backend)
     return I.upsert(analyses, labels, ["comment_id"], I.UPDATES["analyses"], "_ord")
 
 
+def store_new_analyses(comments: DataFrame, analyses: KeyedTable, as_of, version: int, backend=None) -> None:
+    """The same into a stored history, of which only files are read that may hold a comment's key."""
+    analyses.append(_labels(analyses.missing(comments), as_of, backend), version)
+
+
 @query("analyze_new_comments", f"""with src as (select comment_id, coalesce(text_content, '') as t from fx_comments), {scored_sql('src', 'comment_id')}
  select comment_id, case when g.comment_id is not null then g.language else d.language end as language,
   case when g.comment_id is not null then g.sentiment else d.sentiment end as sentiment,
   case when g.comment_id is not null then g.sentiment_score else d.sentiment_score end as sentiment_score,
   coalesce(g.model_name, 'lexicon') as model_name from scored d left join ({_GIVEN}) g using (comment_id)""")
 def _(fx):
-    out = analyze_new_comments(fx["fx_comments"], fx.sql(_GIVEN), EVENTS_AS_OF)
-    return out.select("comment_id", "language", "sentiment", "sentiment_score", "model_name")
+    given = fx.sql(_GIVEN)
+    analyses = KeyedTable(shared_dir(fx.spark, "analyses"), ("comment_id",), tuple(I.UPDATES["analyses"])).create(fx.spark, given.schema)
+    analyses.append(given.withColumn("_ord", F.lit(0)), 0)
+    for _ in range(2):  # the second is a retry
+        store_new_analyses(fx["fx_comments"], analyses, EVENTS_AS_OF, 1)
+    return analyses.read(fx.spark).select("comment_id", "language", "sentiment", "sentiment_score", "model_name")
+
+
+# --- rollups kept current --------------------------------------------------------------------
+_ROLLED = """select user_id as account_id, case when user_id % 2 = 0 then 'facebook' else 'youtube' end as platform, ts,
+ cast(floor(value * 100) as bigint) / 100 as value, event_id from events"""
+
+
+@query("rollup_summary", f"""with v as ({_ROLLED}) select account_id, platform, count(*) as n, {rd('sum(cast(round(value * 100) as bigint)) / count(*) / 100.0', 4)} as mean,
+ {rd('median(cast(round(value * 100) as bigint)) / 100', 4)} as median,
+ {rd('sum(cast(round(value * 100) as bigint) * cast(round(value * 100) as bigint)) / count(*) / 10000.0', 4)} as second_moment
+ from v where value is not null group by 1, 2""")
+def _(fx):
+    path, day = shared_dir(fx.spark, "rollup"), F.to_date("ts")
+    rows = materialize(fx.sql(_ROLLED), "rolled")
+    wrong = rows.withColumn("value", F.col("value") + 5)
+    late = F.col("event_id") % 3 == 0
+    # the later half first, with values that a second batch replaces; the earlier half comes last, one batch twice
+    RU.log_changes(RU.changes(None, wrong.filter(~late), "value", day), path, 0)
+    RU.log_changes(RU.changes(wrong.filter(~late), rows.filter(~late), "value", day), path, 1)
+    RU.compact_rollup(fx.spark, path, f"{path}-folded")
+    for _ in range(2):
+        RU.log_changes(RU.changes(None, rows.filter(late), "value", day), f"{path}-folded", 2)
+    return RU.summary(RU.read_rollup(fx.spark, f"{path}-folded"))
 
 
 # --- streams ---------------------------------------------------------------------------------

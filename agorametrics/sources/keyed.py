@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from agorametrics.operators.ingest import folded_rows
+from agorametrics.session import materialize
 
 PROBES = 5
 CELL = 52  # a hash without these low bits is its cell
@@ -149,12 +150,16 @@ class KeyedTable:
         both = rows.select(*columns, F.struct("_version").alias("_at"))
         return folded_rows(both, columns, self.keys, self.updates, self.overwrite_nulls, newest="_version")
 
-    def possible(self, hashes: DataFrame, files: DataFrame) -> DataFrame:
-        """Those of ``files`` that may hold one of ``hashes`` (column ``_h``), by range and filter."""
+    def _hits(self, hashes: DataFrame, files: DataFrame) -> DataFrame:
+        """_h, file: files that may hold a hash, by range and filter."""
         cells = files.withColumn("cell", F.explode(F.sequence(F.shiftright("low", CELL), F.shiftright("high", CELL))))
         asked = hashes.select("_h", F.shiftright("_h", CELL).alias("cell"))
         near = asked.join(cells.select("cell", "file", "low", "high"), "cell").where("_h between low and high").select("_h", "file")
-        return near.join(files.select("file", "bloom"), "file").where(_may_hold("_h", "bloom")).select("file").distinct()
+        return near.join(files.select("file", "bloom"), "file").where(_may_hold("_h", "bloom")).select("_h", "file")
+
+    def possible(self, hashes: DataFrame, files: DataFrame) -> DataFrame:
+        """Those of ``files`` that may hold one of ``hashes`` (column ``_h``), by range and filter."""
+        return self._hits(hashes, files).select("file").distinct()
 
     def read(self, spark: SparkSession) -> DataFrame:
         """All rows, one a key, and those without a key."""
@@ -185,6 +190,17 @@ class KeyedTable:
         found = self._read(spark, names, self._stored(spark)).join(keys, list(self.keys), "left_semi")
         return self._fold(found, columns).select(*columns)
 
+    def missing(self, rows: DataFrame) -> DataFrame:
+        """The rows whose key the table lacks, or that have none. The filters say which keys it may hold; only files that may
+        hold one are read, and of these only rows with such a key are compared."""
+        spark = rows.sparkSession
+        files = self.files(spark).where("not keyless")
+        hashes = rows.select(F.xxhash64(*self.keys).alias("_h")).distinct()
+        hits = materialize(self._hits(hashes, files), "possible-keys")
+        held = self._read(spark, self._names(hits.select("file").distinct()), self._stored(spark))
+        held = held.join(hits.select("_h").distinct(), "_h", "left_semi").select(*self.keys)
+        return rows.join(held, list(self.keys), "left_anti").select(*rows.columns)
+
     # --- upkeep ----------------------------------------------------------------------------
     def compact(self, spark: SparkSession, version: int, share: float = 0.1) -> bool:
         """Fold later versions into the base as ``version`` once they hold ``share`` of its rows; whether it was done."""

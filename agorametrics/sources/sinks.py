@@ -98,12 +98,18 @@ def rejected_snapshots(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}-rejected")
 
 
+ITEMS = 1_000  # ranked keys of a row
+
+
 def recommendation_rows(ranked: DataFrame, as_of, window: str) -> DataFrame:
-    """One row per account and kind: the ranked keys as JSON payload, the top key's confidence,
-    and the evidence. Kinds hold at most some hundred keys per account."""
+    """Rows per account and kind: the ranked keys as JSON payload, the top key's confidence, and the evidence.
+
+    A row holds ``ITEMS`` keys, further ones are in rows with a higher ``part``; those have no confidence.
+    """
+    ranked = ranked.withColumn("part", F.coalesce(F.floor((F.col("rank") - 1) / ITEMS), F.lit(0)).cast("int"))
     item = F.struct("rank", "key", "n", "mean_er", "shrunk_score", "lift", "confidence")
     items = F.array_sort(F.collect_list(F.when(F.col("key").isNotNull(), item)))
-    rows = ranked.groupBy("account_id", "kind").agg(
+    rows = ranked.groupBy("account_id", "kind", "part").agg(
         items.alias("_items"),
         F.max(F.when(F.col("rank") == 1, F.col("confidence"))).alias("confidence"),
         F.max("reason").alias("_reason"), F.max("baseline_er").alias("_baseline"),
@@ -111,7 +117,7 @@ def recommendation_rows(ranked: DataFrame, as_of, window: str) -> DataFrame:
     payload = F.struct(F.col("_items").alias("ranked"), F.col("_reason").alias("reason"))
     evidence = F.struct(F.col("_n").alias("n_total"), F.col("_baseline").alias("baseline_er"),
                         F.col("_basis").alias("basis"), F.lit(window).alias("window"))
-    return rows.select("account_id", "kind", F.to_json(payload).alias("payload"), "confidence",
+    return rows.select("account_id", "kind", "part", F.to_json(payload).alias("payload"), "confidence",
                        F.to_json(evidence).alias("evidence"), timestamp(as_of).alias("generated_at"))
 
 

@@ -5,8 +5,10 @@ Fixed values: each table below is data that results depend on, not logic.
 
 from __future__ import annotations
 
+# Fixed value: the time zone reports are shown in.
 DISPLAY_TZ = "Africa/Tunis"
 
+# Sentiment classes and names of week days, in order.
 SENTIMENTS = ("positive", "neutral", "negative")
 DAY_NAMES = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
 
@@ -33,6 +35,7 @@ INSIGHT_NAMES = {
     "clicks": "post_clicks",
 }
 
+# Fixed value: the longest video that counts as a short one.
 SHORT_MAX_SECONDS = 60
 
 # Class names a sentiment model may answer with.

@@ -120,3 +120,25 @@ def test_no_updates_keeps_first_rows_and_empty_batches_pass(spark, table, make):
     t.append(table([], SCHEMA), 3)
     assert rows_of(t.read(spark)) == [(1, "p", "a", 0)]
     assert t.create(spark, "id long").read(spark).columns == ["id", "part", "name", "seen"]
+
+
+def test_missing_rows_are_found_by_filter_and_compared_exactly(spark, table, make):
+    t = make(keys=("id",), rows=50, bits=2)  # a filter that errs often
+    t.append(table([(i, "p", "a", 0, 0) for i in range(0, 1000, 2)], SCHEMA), 0)
+    t.append(table([(i, "p", "b", 1, 0) for i in range(1, 200, 2)], SCHEMA), 1)
+    rows = [(i, "x") for i in range(0, 1500, 3)] + [(1501, "twice"), (1501, "twice"), (None, "none")]
+    got = sorted((tuple(r) for r in t.missing(table(rows, "id long, note string")).collect()), key=str)
+    held = {*range(0, 1000, 2), *range(1, 200, 2)}
+    assert got == sorted([r for r in rows if r[0] not in held], key=str)
+    assert make().missing(table(rows, "id long, note string").selectExpr("*", "'p' as part")).count() == len(rows)
+
+
+def test_new_keys_read_no_history(spark, make, monkeypatch):
+    t = make(keys=("id",), rows=500, bits=16)
+    old = spark.range(20_000).selectExpr("id", "'p' as part", "'a' as name", "0L as seen", "0L as _ord")
+    t.append(old, 0)
+    read = []
+    plain = KeyedTable._read
+    monkeypatch.setattr(KeyedTable, "_read", lambda self, s, names, schema: read.append(len(names)) or plain(self, s, names, schema))
+    assert t.missing(spark.range(50_000, 50_100).select("id")).count() == 100
+    assert read == [0] or read[0] <= 0.1 * t.files(spark).count()
