@@ -13,6 +13,8 @@ from agorametrics.plans.fixtures import EVENTS_AS_OF, ORDERS_AS_OF, TEXTS
 from agorametrics.plans.registry import (
     FACTS, KPI_SQL, LATEST, POST_METRICS, bounds, isum, kpi_select, query, rd, ts,
 )
+from agorametrics.session import shared_dir
+from agorametrics.sources import layout as LY
 
 O_UNTIL, O_SINCE, O_PREV = bounds(ORDERS_AS_OF, "730d")
 E_UNTIL, E_SINCE, E_PREV = bounds(EVENTS_AS_OF, "14d")
@@ -152,6 +154,28 @@ def _(fx):
     return fx["fx_posts"].select("post_id", "account_id").join(newest, "post_id")
 
 
+@query("bucketed_snapshot_join", f"""with {LATEST} select p.post_id, p.account_id, l.captured_at, l.likes,
+ l.comments_count, l.shares, l.saves, l.reach, l.impressions, l.video_views, l.clicks
+ from fx_posts p join latest l on l.post_id = p.post_id""")
+def _(fx):
+    # as stored tables hold them: no shuffle on post_id in the join or in the aggregation below it
+    held = {}
+    for name in ("fx_posts", "fx_snapshots"):
+        path = shared_dir(fx.spark, name)
+        held[name] = LY.write_bucketed(fx[name], path, path.rsplit("/", 1)[1].replace("-", "_"), ["post_id"], 8)
+    newest = P.latest_snapshot(held["fx_snapshots"], ORDERS_AS_OF)
+    return held["fx_posts"].select("post_id", "account_id").join(newest, "post_id")
+
+
+@query("clustered_window_filter", f"""select post_id, account_id, published_at from fx_posts
+ where published_at >= {O_SINCE} and published_at < {O_UNTIL} and account_id in (4, 7, 10, 13)""")
+def _(fx):
+    path = shared_dir(fx.spark, "clustered")
+    LY.write_clustered(fx["fx_posts"].select("post_id", "account_id", "published_at"), path, ["account_id", "published_at"], files=16)
+    posts = P.scope_filter(fx.spark.read.parquet(path), account_ids=[4, 7, 10, 13])
+    return P.window_filter(posts, "published_at", ORDERS_AS_OF, "730d")
+
+
 # platform ids by the name's place, as a seeded lookup table would hold them
 _PLATFORMS = """select distinct c_mktsegment as name, cast(length(c_mktsegment) * 100 + ascii(c_mktsegment) as bigint) as id
  from customer"""
