@@ -202,11 +202,18 @@ def sentiment_deltas(rows: DataFrame, as_of, window: str = "30d", keys=("account
 def negative_alerts(rows: DataFrame, as_of, window: str = "14d", keys=("account_id",)) -> DataFrame:
     """Days whose share of negative comments exceeds the mean of the daily shares by two standard
     deviations, with at least ten comments. Needs two days."""
-    labeled = P.window_filter(rows, "published_at", as_of, window).filter(F.col("sentiment").isNotNull())
-    daily = labeled.groupBy(*keys, F.to_date("published_at").alias("day")).agg(
-        F.count(F.lit(1)).alias("n_comments"),
-        F.count_if(F.col("sentiment") == "negative").alias("_neg"),
-    ).withColumn("_share", F.col("_neg") / F.col("n_comments"))
+    return alerts_of(daily_negatives(P.window_filter(rows, "published_at", as_of, window), keys), keys)
+
+
+def daily_negatives(rows: DataFrame, keys=("account_id",)) -> DataFrame:
+    """keys, day, n_comments, n_negative of labeled comments: counts that add up over any parts of the rows."""
+    return rows.filter(F.col("sentiment").isNotNull()).groupBy(*keys, F.to_date("published_at").alias("day")).agg(
+        F.count(F.lit(1)).alias("n_comments"), F.count_if(F.col("sentiment") == "negative").alias("n_negative"))
+
+
+def alerts_of(daily: DataFrame, keys=("account_id",)) -> DataFrame:
+    """The alerts among the days of ``daily_negatives``."""
+    daily = daily.withColumn("_share", F.col("n_negative") / F.col("n_comments"))
     daily = daily.withColumn("negative_share", round_dp("_share", 4))
     days = W.partitionBy(*keys)
     rated = daily.withColumn("_days", F.count(F.lit(1)).over(days)).withColumn(

@@ -17,7 +17,7 @@ from agorametrics.plans.account_queries import rank_sql
 from agorametrics.plans.fixtures import EVENTS_AS_OF
 from agorametrics.plans.post_queries import _CURSORS, _NEGATIVE, ASSIGNED, GATE_AS_OF
 from agorametrics.plans.registry import isum, query, rd, ts
-from agorametrics.plans.text_queries import _LABEL_MAP, _MAPPED, _ROLLUP, _ordered_distinct, scored_sql
+from agorametrics.plans.text_queries import _LABEL_MAP, _MAPPED, _ROLLUP, NEGATIVE_ALERTS, _ordered_distinct, scored_sql
 from agorametrics.schemas import COUNT_COLUMNS
 from agorametrics.session import materialize, shared_dir
 from agorametrics.sources import csv_export as C
@@ -655,6 +655,18 @@ def _(fx):
     return fx.spark.read.parquet(f"{root}/analyses").select("comment_id", "language", "sentiment", "sentiment_score", "model_name", "model_version")
 
 
+@query("stream_negative_alerts", NEGATIVE_ALERTS)
+def _(fx):
+    root, half = shared_dir(fx.spark, "alerts"), F.lit("2024-01-16 00:00:00").cast("timestamp")
+    rows = fx["fx_day_sentiment"].select("account_id", "published_at", "sentiment")
+    # the earlier half arrives in a second run, days to weeks late
+    for name, part in (("a", F.col("published_at") >= half), ("b", ~(F.col("published_at") >= half))):
+        rows.filter(part).write.parquet(f"{root}/in/{name}")
+        stream = fx.spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").parquet(f"{root}/in")
+        J.count_negatives(stream, f"{root}/log", f"{root}/checkpoint").awaitTermination()
+    return J.current_alerts(fx.spark, f"{root}/log", EVENTS_AS_OF, "30d")
+
+
 @query("stream_timeseries", """select user_id as account_id, date_trunc('hour', timezone('Africa/Tunis', timezone('UTC', ts)))::timestamp as bucket,
  cast(sum(cast(floor(value) as bigint)) as double) as value, strftime(bucket, '%Y-%m-%d %H:00') as label from events group by 1, 2""")
 def _(fx):

@@ -446,12 +446,15 @@ def _(fx):
 _A_UNTIL, _A_SINCE, _ = bounds(EVENTS_AS_OF, "30d")
 
 
-@query("negative_alerts", f"""with d as (select account_id, cast(published_at as date) as day, count(*) as n_comments,
+NEGATIVE_ALERTS = f"""with d as (select account_id, cast(published_at as date) as day, count(*) as n_comments,
   {rd("count(*) filter (sentiment = 'negative') / count(*)", 4)} as negative_share from fx_day_sentiment
   where published_at >= {_A_SINCE} and published_at < {_A_UNTIL} group by 1, 2),
  t as (select account_id, avg(negative_share) + 2 * stddev_pop(negative_share) as threshold from d group by 1 having count(*) >= 2)
  select d.account_id, d.day, d.negative_share, d.n_comments from d join t on t.account_id = d.account_id
- where negative_share > threshold and n_comments >= 10""")
+ where negative_share > threshold and n_comments >= 10"""
+
+
+@query("negative_alerts", NEGATIVE_ALERTS)
 def _(fx):
     return S.negative_alerts(fx["fx_day_sentiment"], EVENTS_AS_OF, "30d")
 

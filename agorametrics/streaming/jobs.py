@@ -14,9 +14,10 @@ from pyspark.sql.types import StructType
 
 from agorametrics import vocab
 from agorametrics.functions import timeparse as T
-from agorametrics.functions.metric import round_dp
+from agorametrics.functions.metric import parse_window, round_dp
 from agorametrics.operators import ingest as I
 from agorametrics.operators import sentiment as S
+from agorametrics.operators.posts import moment
 from agorametrics.sources import payloads
 from agorametrics.sources.sinks import by_date
 
@@ -161,6 +162,33 @@ def score_comments(comments: DataFrame, path: str, checkpoint: str, backend=None
     )
 
 
+def count_negatives(comments: DataFrame, path: str, checkpoint: str, trigger=None):
+    """Keep the daily counts current that alerts are made of. Every micro-batch logs the counts of its own rows, however late
+    their days are: no watermark, no state that grows with the stream, and a retried batch replaces what it wrote."""
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        S.daily_negatives(batch).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return (
+        comments.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True})).start()
+    )
+
+
+def current_alerts(spark: SparkSession, path: str, as_of, window: str = "14d") -> DataFrame:
+    """Alerts of the logged counts, the same as ``negative_alerts`` of all rows. Days are counted whole, so ``as_of`` is a
+    midnight (UTC); other days than the window's are not read from the log."""
+    until = moment(as_of)
+    if (until.hour, until.minute, until.second, until.microsecond) != (0, 0, 0, 0):
+        raise ValueError(f"alerts are made of whole days, {as_of} is inside one")
+    since = until - parse_window(window)
+    if since != since.replace(hour=0, minute=0, second=0, microsecond=0):
+        raise ValueError(f"{window} is no number of days")
+    days = spark.read.parquet(path).filter((F.col("day") >= F.lit(since.date())) & (F.col("day") < F.lit(until.date())))
+    daily = days.groupBy("account_id", "day").agg(F.sum("n_comments").alias("n_comments"), F.sum("n_negative").alias("n_negative"))
+    return S.alerts_of(daily)
+
+
 _WINDOWS = {"hour": ("1 hour", None), "day": ("1 day", None), "week": ("7 days", "4 days")}
 
 

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from agorametrics.operators import evaluate as E
@@ -39,6 +40,31 @@ def test_alerts_need_a_spike_and_ten_comments(table):
     assert S.negative_alerts(rows(table, spike), AS_OF).count() == 0
 
 
+def test_alerts_of_a_stream_in_any_cut(spark, table):
+    """Batches in any order and cut give the alerts of all rows, however late a day's comments come."""
+    import random
+
+    from agorametrics.session import shared_dir
+    from agorametrics.streaming import jobs as J
+
+    r = random.Random(5)
+    every = [(i, r.randint(1, 2), f"2026-07-{r.randint(3, 15):02d} {r.randint(0, 23):02d}:00:00", r.choice(["positive", "neutral", "positive", "negative", None])) for i in range(400)]
+    every += [(1000 + i, 1, "2026-07-09 05:00:00", "negative") for i in range(60)]
+    schema = "comment_id long, account_id long, published_at timestamp, sentiment string"
+    want = sorted(map(tuple, S.negative_alerts(table(every, schema), "2026-07-15 00:00:00").collect()))
+    assert want
+    for cuts in (1, 3):
+        root = shared_dir(spark, "alerts")
+        r.shuffle(every)
+        for k in range(cuts):
+            table(every[k::cuts], schema).write.mode("append").parquet(f"{root}/in")
+            stream = spark.readStream.schema(table([], schema).schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/in")
+            J.count_negatives(stream, f"{root}/log", f"{root}/ck").awaitTermination()
+        assert sorted(map(tuple, J.current_alerts(spark, f"{root}/log", "2026-07-15 00:00:00").collect())) == want
+    with pytest.raises(ValueError, match="inside one"):
+        J.current_alerts(spark, f"{root}/log", "2026-07-15 08:00:00")
+
+
 def test_recent_negatives(table):
     df = rows(table, [(2, "fr", "negative"), (9, "fr", "negative"), (9, "fr", "negative"), (10, "fr", "positive")])
     got = S.recent_negatives(df, AS_OF, "14d", 2).orderBy("rank").collect()
