@@ -205,8 +205,8 @@ class Fixtures:
         return self.spark.read.schema(TABLES[name]).parquet(f"{self.sf_dir}/{name}.parquet")
 
     def stream(self, name: str) -> DataFrame:
-        reader = self.spark.readStream.schema(TABLES[name]).option("pathGlobFilter", f"{name}.parquet")
-        return reader.parquet(self.sf_dir)
+        # a pattern, as a stream takes no single file; it finds a table that is a folder of files as well
+        return self.spark.readStream.schema(TABLES[name]).parquet(f"{self.sf_dir}/{name}.parque[t]")
 
     def sql(self, text: str) -> DataFrame:
         """Run SQL over tables and views by name."""
