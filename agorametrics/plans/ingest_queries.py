@@ -437,8 +437,9 @@ def _(fx):
 
 
 def _batch(fx) -> dict[str, DataFrame]:
-    return {"accounts": fx["stg_accounts"].drop("account_id"), "posts": fx["stg_posts"], "metrics": fx.sql(_METRIC_BATCH),
-            "comments": fx["stg_comments"]}
+    frames = {"accounts": fx["stg_accounts"].drop("account_id"), "posts": fx["stg_posts"], "metrics": fx.sql(_METRIC_BATCH),
+              "comments": fx["stg_comments"]}
+    return {name: materialize(df, f"batch-{name}") for name, df in frames.items()}
 
 
 def _store(fx, old: dict[str, DataFrame]) -> dict[str, KeyedTable]:
@@ -532,9 +533,10 @@ def _(fx):
         "comments": comments.withColumn("comment_id", I.new_ids(comments, ["post_id", "external_id"])),
     }
     stored = _store(fx, {name: df.select(*_TABLES[name][1]) for name, df in tables.items()})
-    ST.store_batch(_batch(fx), stored, GATE_AS_OF, 1)
+    batch = _batch(fx)
+    ST.store_batch(batch, stored, GATE_AS_OF, 1)
     stored["posts"].compact(fx.spark, 2, share=0.0)
-    ST.store_batch(_batch(fx), stored, GATE_AS_OF, 1)  # a retry, even after the log was folded
+    ST.store_batch(batch, stored, GATE_AS_OF, 1)  # a retry, even after the log was folded
     out = None
     for name, (key, columns) in _TABLES.items():
         texts = [F.unix_micros(c) if c.endswith("_at") else F.array_join(c, " ") if c == "hashtags" else F.col(c) for c in columns if c != key]

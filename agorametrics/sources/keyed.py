@@ -95,12 +95,13 @@ class KeyedTable:
             listed = listed.unionByName(names.withColumns({"keyless": F.lit(True), "removed": F.lit(False), "level": F.lit(level)}), allowMissingColumns=True)
         if removed is not None:
             listed = listed.unionByName(removed.select("file").withColumns({"keyless": F.lit(False), "removed": F.lit(True)}), allowMissingColumns=True)
-        # one file: it is there or it isn't
+        # one file: it is there or it isn't; what it holds, a row a file, was made by many tasks before
         columns = [f.name for f in T.StructType.fromDDL(LOG)]
-        listed.select(*columns).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/log/version={version}")
+        materialize(listed.select(*columns), "listed-files").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/log/version={version}")
 
     def _listed(self, rows: DataFrame, level: int) -> DataFrame:
-        """The log's rows of files: range and filter of the hashes, made of one file's hashes at a time."""
+        """The log's rows of files: range and filter of the hashes, made of one file's hashes at a time. A file goes by a hash of
+        its name, as names are longer than the rest of a row."""
         bits = self.bits
 
         def filters(group: pa.Table) -> pa.Table:
@@ -112,12 +113,14 @@ class KeyedTable:
                 p = (one + i * other) % m
                 np.bitwise_or.at(words, p // 64, np.uint64(1) << (p % 64).astype(np.uint64))
             return pa.table({
-                "file": group["file"].slice(0, 1), "n": pa.array([h.size], pa.int64()), "low": pa.array([h.min()]), "high": pa.array([h.max()]),
+                "_f": group["_f"].slice(0, 1), "n": pa.array([h.size], pa.int64()), "low": pa.array([h.min()]), "high": pa.array([h.max()]),
                 "bloom": pa.array([words.view(np.int64)], pa.list_(pa.int64()))})
 
-        hashes = rows.select(F.col("_metadata.file_path").alias("file"), "_h", _second("_h").alias("_g"))
-        found = hashes.groupBy("file").applyInArrow(filters, "file string, n bigint, low bigint, high bigint, bloom array<bigint>")
-        return found.withColumns({"level": F.lit(level), "keyless": F.lit(False), "removed": F.lit(False)})
+        name = F.col("_metadata.file_path")
+        hashes = rows.select(F.xxhash64(name).alias("_f"), "_h", _second("_h").alias("_g"))
+        found = hashes.groupBy("_f").applyInArrow(filters, "_f bigint, n bigint, low bigint, high bigint, bloom array<bigint>")
+        names = rows.select(name.alias("file")).distinct().withColumn("_f", F.xxhash64("file"))
+        return names.join(found, "_f").drop("_f").withColumns({"level": F.lit(level), "keyless": F.lit(False), "removed": F.lit(False)})
 
     # --- reading ---------------------------------------------------------------------------
     def _schema(self, spark: SparkSession) -> T.StructType:
@@ -184,7 +187,8 @@ class KeyedTable:
         """The rows of the keys in ``wanted``, which has the key columns; only files that may hold one are read. ``before``:
         as the table was before a version."""
         spark, columns = wanted.sparkSession, self._schema(wanted.sparkSession).names
-        keys = wanted.select(*self.keys).distinct()
+        # read twice
+        keys = materialize(wanted.select(*self.keys).distinct(), "wanted-keys")
         files = self.files(spark, before).where("not keyless")
         names = self._names(self.possible(keys.select(F.xxhash64(*self.keys).alias("_h")), files))
         found = self._read(spark, names, self._stored(spark)).join(keys, list(self.keys), "left_semi")

@@ -25,7 +25,7 @@ def store_batch(batch: dict[str, DataFrame], tables: dict[str, KeyedTable], as_o
     """Store accounts, then posts, then snapshots and comments, each resolving ids of the ones before; the report of
     stored and skipped rows. The same batch under the same version gives the same tables and report.
 
-    Staged frames carry ``_ord``. Only table files that may hold a key the batch names are read.
+    Staged frames carry ``_ord`` and are read several times: pass stored ones (``materialize``). Only table files that may hold a key the batch names are read.
     """
     accounts = batch["accounts"].withColumn("account_id", I.new_ids(batch["accounts"], KEYS["accounts"]))
     tables["accounts"].append(accounts, version)

@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from agorametrics.operators import sentiment as S
 from agorametrics.plans import catalog
+from agorametrics.session import shared_dir
+from agorametrics.sources.keyed import KeyedTable
 
 SF = "/root/testdata/sf0.001"
 
@@ -14,3 +16,13 @@ def test_streams_read_a_table_that_is_a_folder_of_files(spark, tmp_path):
     got = catalog.QUERIES["stream_score_comments"](spark, str(tmp_path))
     want = S.score_sentiment(documents.select(F.col("doc_id").alias("comment_id"), F.col("text").alias("text_content")))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
+
+
+def test_filters_of_files_are_not_made_in_one_task(spark, monkeypatch):
+    frame, plans = type(spark.range(1)), []
+    plain = frame.coalesce
+    monkeypatch.setattr(frame, "coalesce", lambda self, n: plans.append(self._jdf.queryExecution().toString()) or plain(self, n))
+    table = KeyedTable(shared_dir(spark, "keyed"), ("id",), (), rows=100).create(spark, "id long")
+    table.append(spark.range(500).withColumn("_ord", F.lit(0)), 0)
+    assert len(plans) == 3 and not any("FlatMapGroupsInArrow" in p for p in plans)
+    assert table.lookup(spark.range(490, 510)).count() == 10
