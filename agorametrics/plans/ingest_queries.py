@@ -28,13 +28,15 @@ from agorametrics.sources.keyed import KeyedTable
 from agorametrics.streaming import jobs as J
 
 EXPORT_AS_OF = "2026-07-10 00:00:00"
+EXPORT_ROWS = 200_000  # of a file
 
 
 # --- CSV exports -----------------------------------------------------------------------------
 def _export(fx) -> DataFrame:
-    """The export as CSV files in order; every other one has its columns the other way round."""
+    """The export as CSV files in order; every other one has its columns the other way round. Files have a bounded size."""
     path = shared_dir(fx.spark, "export")
-    rows = fx["fx_export"].drop("order_key").repartitionByRange(4, "_ord").sortWithinPartitions("_ord")
+    parts = max(4, -(-fx.table("orders").count() // EXPORT_ROWS))
+    rows = fx["fx_export"].drop("order_key").repartitionByRange(parts, "_ord").sortWithinPartitions("_ord")
     rows = materialize(rows.withColumn("_half", F.spark_partition_id() % 2), "export")
     for half, columns in enumerate((rows.columns[:-1], rows.columns[-2::-1])):
         rows.filter(F.col("_half") == half).sortWithinPartitions("_ord").select(*columns).write.csv(

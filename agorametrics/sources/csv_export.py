@@ -98,22 +98,24 @@ def _next(rows: np.ndarray, at: int, end: int) -> int:
     return min(int(rows[k]), end) if k < rows.size else end
 
 
-_SPLITS = "file string, block long, outside boolean, inside boolean, through boolean, head string"
+_SPLITS = "file string, block long, outside boolean, inside boolean, through boolean, plain boolean, head string"
 
 
 def _splits(lines: DataFrame) -> DataFrame:
-    """What each split makes of both starts, whether a value open at its start is open all through it, a file's first record."""
+    """What each split makes of both starts, whether a value open at its start is open all through it, whether no line that
+    starts outside a value ends inside one, a file's first record."""
     # only the first split of a file holds its header
     narrow = lines.select("file", "block", "outside", "inside", F.when(F.col("block") == 0, F.col("value")).alias("value"))
 
     def run(batches):
-        at, states, through, head, reading = None, [False, True], True, [], True
+        at, states, through, plain, head, reading = None, [False, True], True, True, [], True
         names = [c.split()[0] for c in _SPLITS.split(", ")]
 
         def report():
             first = "\n".join(head) if at[1] == 0 else None
             return pa.RecordBatch.from_arrays([
-                pa.array([at[0]]), pa.array([at[1]], pa.int64()), pa.array([states[0]]), pa.array([states[1]]), pa.array([through]), pa.array([first], pa.string())], names)
+                pa.array([at[0]]), pa.array([at[1]], pa.int64()), pa.array([states[0]]), pa.array([states[1]]), pa.array([through]), pa.array([plain]),
+                pa.array([first], pa.string())], names)
 
         for batch in batches:
             turns = _turns(batch)
@@ -121,7 +123,7 @@ def _splits(lines: DataFrame) -> DataFrame:
                 if now != at:
                     if at is not None:
                         yield report()
-                    at, states, through, head, reading = now, [False, True], True, [], True
+                    at, states, through, plain, head, reading = now, [False, True], True, True, [], True
                 i, open_value = lo, bool(head)
                 while at[1] == 0 and reading and i < hi:
                     line = batch.column(4)[i].as_py()
@@ -131,6 +133,7 @@ def _splits(lines: DataFrame) -> DataFrame:
                         reading = open_value
                     i += 1
                 through = through and _next(turns[1], lo, hi) == hi
+                plain = plain and _next(turns[0], lo, hi) == hi
                 for k, state in enumerate(states):
                     i = lo
                     while (i := _next(turns[state], i, hi)) < hi:
@@ -164,12 +167,15 @@ def _inside(splits: DataFrame) -> DataFrame:
 _PARTS = "file string, block long, row long, part long, whole boolean, record string"
 
 
-def _records(lines: DataFrame, inside: dict[tuple[str, int], tuple[int, bool]]) -> DataFrame:
+def _records(lines: DataFrame, inside: dict[tuple[str, int], tuple[int, bool]] | None) -> DataFrame:
     """file, block and row of a record's first line, record; a file's first record, its header, is left out.
 
     ``inside`` says of splits that start inside a value where it was opened and whether it is closed at all. The parts of a
-    record that spans splits are put together; if its quote is never closed, each further part is a record.
+    record that spans splits are put together; if its quote is never closed, each further part is a record. With None
+    every line is a record, whatever its quotes say.
     """
+    if inside is None:
+        lines = lines.withColumns({"outside": F.lit(False), "inside": F.lit(False)})
 
     def run(batches):
         at, state, row, held, first, heading = None, False, 0, [], (0, 0), False
@@ -186,7 +192,7 @@ def _records(lines: DataFrame, inside: dict[tuple[str, int], tuple[int, bool]])
                 if now != at:
                     if held:
                         yield one(False)
-                    opened = inside.get(now)
+                    opened = (inside or {}).get(now)
                     at, row, held, state = now, 0, [], opened is not None
                     first = (opened[0], -1) if opened and opened[1] else (now[1], 0)
                     heading = now[1] == 0
@@ -216,6 +222,8 @@ def _records(lines: DataFrame, inside: dict[tuple[str, int], tuple[int, bool]])
 
     parts = lines.select("file", "block", "outside", "inside", "value").mapInArrow(run, _PARTS)
     whole = parts.where("whole").select("file", "block", "row", "record")
+    if inside is None:
+        return whole
     # a value that reaches into further splits is one text in any case
     joined = parts.where("not whole").groupBy("file", "block").agg(
         F.max("row").alias("row"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "record"))), lambda p: p["record"]), "\n").alias("record"))
@@ -229,8 +237,9 @@ def _names(head: str) -> list[str]:
     return names
 
 
-def _layouts(spark: SparkSession, path: str, sep: str = "\n") -> tuple[dict[tuple[str, tuple[str, ...]], list[str]], dict]:
-    """Files by line end and header, and the splits that start inside a value: one pass over the text.
+def _layouts(spark: SparkSession, path: str, sep: str = "\n") -> tuple[dict[tuple[str, tuple[str, ...]], list[str]], dict, set[str]]:
+    """Files by line end and header, the splits that start inside a value, and the files in which no value holds a line end: one
+    pass over the text.
 
     A row per file comes to the driver, whose file index has them too, and one per split that starts inside a value.
     """
@@ -244,11 +253,14 @@ def _layouts(spark: SparkSession, path: str, sep: str = "\n") -> tuple[dict[tupl
         else:
             found.setdefault((sep, tuple(_names(head))), []).append(file)
     inside = {(r.file, r.block): (r.opened, r.closed) for r in _inside(splits).collect()}
+    # a file's first line starts outside a value; so does each further one as long as none leaves a value open
+    plain = {r.file for r in splits.groupBy("file").agg(F.bool_and("plain").alias("plain")).where("plain").collect()}
     if old:
-        more, others = _layouts(spark, old, "\r")
+        more, others, lines = _layouts(spark, old, "\r")
         found |= more
         inside = {k: v for k, v in inside.items() if k[0] not in set(old)} | others
-    return found, inside
+        plain = plain - set(old) | lines
+    return found, inside, plain
 
 
 def export_headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
@@ -261,15 +273,17 @@ def export_headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list
 
 def _read(spark: SparkSession, path: str, multiline: bool | None, more: str = ""):
     """Frame and column names per header of the files of ``path``; ``_file`` and ``_place`` say where a record starts."""
-    layouts, inside = _layouts(spark, path)
+    layouts, inside, plain = _layouts(spark, path)
     for (sep, header), files in layouts.items():
         names = [n or f"_unnamed_{i}" for i, n in enumerate(header)]
         schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in [*names, *([more] if more else [])])
-        lines = _lines(spark, files, sep)
-        if multiline is False:  # every line is a record, whatever its quotes say
-            lines = lines.withColumns({"outside": F.lit(False), "inside": F.lit(False)})
-        mine = set(files)
-        records = _records(lines, {k: v for k, v in inside.items() if k[0] in mine} if multiline is not False else {})
+        # where every line is a record, quotes need not be looked at again
+        simple = [f for f in files if multiline is False or f in plain]
+        other = sorted(set(files) - set(simple))
+        parts = [_records(_lines(spark, simple, sep), None)] if simple else []
+        if other:
+            parts.append(_records(_lines(spark, other, sep), {k: v for k, v in inside.items() if k[0] in set(other)}))
+        records = parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0]
         text = F.regexp_replace("record", "\\r\\z", "")
         kept = records.where(F.trim(text) != "")
         options = {"escape": '"', "multiLine": "true", "maxColumns": str(max(COLUMNS, len(names) + 1)), "maxCharsPerColumn": "-1"}

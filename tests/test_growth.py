@@ -4,7 +4,10 @@ from pyspark.sql import functions as F
 
 from agorametrics.operators import sentiment as S
 from agorametrics.plans import catalog
+from agorametrics.plans import ingest_queries as Q
+from agorametrics.plans.fixtures import Fixtures
 from agorametrics.session import shared_dir
+from agorametrics.sources import csv_export as C
 from agorametrics.sources.keyed import KeyedTable
 
 SF = "/root/testdata/sf0.001"
@@ -26,3 +29,27 @@ def test_filters_of_files_are_not_made_in_one_task(spark, monkeypatch):
     table.append(spark.range(500).withColumn("_ord", F.lit(0)), 0)
     assert len(plans) == 3 and not any("FlatMapGroupsInArrow" in p for p in plans)
     assert table.lookup(spark.range(490, 510)).count() == 10
+
+
+def test_files_whose_lines_are_records_are_read_once(spark, tmp_path):
+    rows = [f'"Title ""a"", {i}",{i}' for i in range(500)]
+    (tmp_path / "plain.csv").write_text("\n".join(["name,n", *rows]) + "\n")
+    (tmp_path / "broken.csv").write_text("\n".join(["name,n", *[f'"two\nlines",{i}' for i in range(500, 700)], *rows[:5]]) + "\n")
+
+    def read(path):
+        raw, = C.read_export(spark, str(path))
+        return raw, sorted((int(r.n), r.name) for r in raw.collect())
+
+    raw, got = read(tmp_path / "plain.csv")
+    assert got == [(i, f'Title "a", {i}') for i in range(500)]
+    text = raw._jdf.queryExecution().executedPlan().toString()
+    assert text.count("MapInArrow") == 1 and "collect_list" not in text and "RLike" not in text
+    both = got + [(i, "two\nlines") for i in range(500, 700)] + got[:5]
+    assert read(tmp_path)[1] == sorted(both)
+
+
+def test_exports_have_as_many_files_as_their_rows_ask_for(spark, monkeypatch):
+    monkeypatch.setattr(Q, "EXPORT_ROWS", 150)
+    mapped = Q._export(Fixtures(spark, SF))
+    places = mapped.select("_place.file").distinct().count()
+    assert places > 4 and mapped.count() == spark.read.parquet(f"{SF}/orders.parquet").where("o_orderkey % 21 <> 0").count()
