@@ -65,9 +65,13 @@ class Detector:
 
     def scores(self, texts: DataFrame, row_id: str, text: str = "text_content") -> DataFrame:
         """row_id, n_grams and the score of each label (``s0``, ``s1``, ...) of texts that have a letter."""
-        words = texts.select(row_id, _words(F.col(text)).alias("word")).groupBy(row_id, "word").agg(F.count(F.lit(1)).alias("n"))
-        grams = _parts(words, self.unit, row_id)
-        met = grams.join(self.weights, "gram", "left")
+        words = texts.select(row_id, _words(F.col(text)).alias("word"))
+        if self.unit == "trigram":
+            # an alphabet bounds the trigrams: they go to the texts, and a text's sums are begun where it is read
+            grams, weights = words.select(row_id, F.lit(1).cast("long").alias("n"), _grams(F.col("word")).alias("gram")), F.broadcast(self.weights)
+        else:
+            grams, weights = _parts(words.groupBy(row_id, "word").agg(F.count(F.lit(1)).alias("n")), self.unit, row_id), self.weights
+        met = grams.join(weights, "gram", "left")
         sums = [F.sum(F.col("n") * F.coalesce(f"w{i}", F.lit(w))).alias(f"s{i}") for i, w in enumerate(self.unseen)]
         return met.groupBy(row_id).agg(F.sum("n").alias("n_grams"), *sums)
 
