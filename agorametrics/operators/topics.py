@@ -10,6 +10,7 @@ from agorametrics.functions.metric import INSUFFICIENT_DATA, round_dp
 from agorametrics.functions.text import label_from_keywords, net_sentiment_score, preprocess_text
 from agorametrics.operators import density
 from agorametrics.operators.posts import nonblank_text, window_filter
+from agorametrics.session import materialize
 
 MIN_DOCS = 20
 MIN_TOPIC_SIZE = 3
@@ -139,29 +140,29 @@ def fit_topics(comments: DataFrame, k: int = 10, text: str = "text_content", see
     """Cluster comments by their words: one topic model over all accounts.
 
     A document belongs to its heaviest topic; below ``min_weight`` it is an outlier. Returns the
-    comments with ``cluster_id``, and ``cluster_id, keywords``. Every iteration reads all comments.
+    comments with ``cluster_id``, and ``cluster_id, keywords``. Texts are cleaned and cut once; every iteration reads the stored
+    counts of all comments.
     ``vocabulary`` bounds the words the model knows, the most frequent ones (its tables grow with k times
     the words, and they pass through the driver); rarer ones tell no topic apart. ``density_topics`` has no such bound. Comments of the same seed and order give the same topics.
     """
-    from pyspark.ml import Pipeline
     from pyspark.ml.clustering import LDA
     from pyspark.ml.feature import CountVectorizer, RegexTokenizer
     from pyspark.ml.functions import vector_to_array
 
     prepared = comments.withColumn("_clean", preprocess_text(F.col(text)))
-    model = Pipeline(stages=[
-        RegexTokenizer(inputCol="_clean", outputCol="_words", pattern=r"\p{L}[\p{L}\p{N}]+", gaps=False),
-        CountVectorizer(inputCol="_words", outputCol="_counts", vocabSize=vocabulary),
-        LDA(featuresCol="_counts", topicDistributionCol="_weights", k=k, seed=seed,
-            maxIter=max_iter, optimizer="online", subsamplingRate=1.0),
-    ]).fit(prepared)
-    placed = model.transform(prepared).withColumn("_w", vector_to_array("_weights"))
+    tokenizer = RegexTokenizer(inputCol="_clean", outputCol="_words", pattern=r"\p{L}[\p{L}\p{N}]+", gaps=False)
+    words = materialize(tokenizer.transform(prepared).drop("_clean"), "topic-words")
+    counter = CountVectorizer(inputCol="_words", outputCol="_counts", vocabSize=vocabulary).fit(words)
+    counts = materialize(counter.transform(words).drop("_words"), "topic-counts")
+    lda = LDA(featuresCol="_counts", topicDistributionCol="_weights", k=k, seed=seed,
+              maxIter=max_iter, optimizer="online", subsamplingRate=1.0).fit(counts)
+    placed = lda.transform(counts).withColumn("_w", vector_to_array("_weights"))
     heaviest = F.array_max("_w")
     cluster = F.when(heaviest < min_weight, OUTLIER).otherwise(F.array_position("_w", heaviest) - 1)
     assigned = placed.withColumn("cluster_id", cluster.cast("bigint"))
     # k rows of eight words each
-    terms, lda = model.stages[1].vocabulary, model.stages[2]
+    terms = counter.vocabulary
     named = [(int(r["topic"]), [terms[i] for i in r["termIndices"]])
              for r in lda.describeTopics(TOP_KEYWORDS).collect()]
     keywords = comments.sparkSession.createDataFrame(named, "cluster_id bigint, keywords array<string>")
-    return assigned.select(*comments.columns, "cluster_id"), keywords
+    return materialize(assigned.select(*comments.columns, "cluster_id"), "topics"), keywords

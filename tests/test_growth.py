@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from agorametrics.operators import language as L
 from agorametrics.operators import sentiment as S
+from agorametrics.operators import topics as TP
 from agorametrics.plans import catalog
 from agorametrics.plans import ingest_queries as Q
 from agorametrics.plans.fixtures import Fixtures
@@ -53,3 +55,19 @@ def test_exports_have_as_many_files_as_their_rows_ask_for(spark, monkeypatch):
     mapped = Q._export(Fixtures(spark, SF))
     places = mapped.select("_place.file").distinct().count()
     assert places > 4 and mapped.count() == spark.read.parquet(f"{SF}/orders.parquet").where("o_orderkey % 21 <> 0").count()
+
+
+def test_texts_are_scored_without_a_table_of_their_trigrams(spark):
+    texts = spark.range(50).selectExpr("id", "if(id % 2 = 0, 'the ship and the sea', 'le bateau et la mer') as t", "if(id % 2 = 0, 'en', 'fr') as lang")
+    found = L.train(L.gram_counts(texts, "lang", "t")).scores(texts, "id", "t")
+    aggregated = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate [id#" in x]
+    assert len(aggregated) == 1
+    assert {(r.id, r.n_grams, r.s0 > r.s1) for r in found.collect()} == {(i, 16 if i % 2 == 0 else 15, i % 2 == 0) for i in range(50)}
+
+
+def test_topics_are_fitted_to_stored_counts(table):
+    rows = [(i, "ship sea harbour boat" if i % 2 else "cake sugar flour oven") for i in range(40)]
+    assigned, keywords = TP.fit_topics(table(rows, "comment_id long, text_content string"), k=2, max_iter=10)
+    plan = assigned._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "regexp_replace" not in plan and "udf" not in plan
+    assert assigned.count() == 40 and keywords.count() == 2
