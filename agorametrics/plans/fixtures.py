@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from agorametrics.session import configure
+from agorametrics.session import configure, materialize
 
 # Read with fixed schemas: no inference pass, and timestamps arrive as UTC instants.
 TABLES = {
@@ -198,8 +198,9 @@ class Fixtures:
     """Tables and adapter views of one data folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        self.spark = configure(spark)
+        self.spark = configure(spark, short_rows=True)
         self.sf_dir = sf_dir
+        self._kept: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.schema(TABLES[name]).parquet(f"{self.sf_dir}/{name}.parquet")
@@ -217,8 +218,13 @@ class Fixtures:
         # a quoted name is an identifier in ANSI SQL; Spark quotes those with backticks
         return self.spark.sql(re.sub(r' as "([^"]+)"', r" as `\1`", text))
 
+    def keep(self, name: str) -> None:
+        """Store a view's rows once; all SQL that names it from now on reads them."""
+        if name not in self._kept:
+            self._kept[name] = materialize(self.view(name), name.replace("_", "-"))
+
     def view(self, name: str) -> DataFrame:
-        return self.sql(VIEWS[name])
+        return self._kept[name] if name in self._kept else self.sql(VIEWS[name])
 
     __getitem__ = view
 

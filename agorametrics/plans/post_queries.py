@@ -159,10 +159,13 @@ def _(fx):
  from fx_posts p join latest l on l.post_id = p.post_id""")
 def _(fx):
     # as stored tables hold them: no shuffle on post_id in the join or in the aggregation below it
-    held = {}
-    for name in ("fx_posts", "fx_snapshots"):
+    held, names = {}, ("fx_posts", "fx_snapshots")
+    for name in names:
+        fx.keep(name)
+    buckets = LY.bucket_count(*[fx[name] for name in names])
+    for name in names:
         path = shared_dir(fx.spark, name)
-        held[name] = LY.write_bucketed(fx[name], path, path.rsplit("/", 1)[1].replace("-", "_"), ["post_id"], 8)
+        held[name] = LY.write_bucketed(fx[name], path, path.rsplit("/", 1)[1].replace("-", "_"), ["post_id"], buckets)
     newest = P.latest_snapshot(held["fx_snapshots"], ORDERS_AS_OF)
     return held["fx_posts"].select("post_id", "account_id").join(newest, "post_id")
 

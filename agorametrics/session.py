@@ -25,15 +25,40 @@ RUNTIME_CONF = {
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
+# A task that aggregates or sorts short rows holds its share of them, so shares are bounded in bytes: stored rows
+# are read in small splits, and shuffles start with many partitions, of which AQE makes as few as the size asks for.
+SHORT_ROWS_CONF = {
+    "spark.sql.files.maxPartitionBytes": "8m",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "600",
+}
+
 
-def configure(spark: SparkSession) -> SparkSession:
-    """Set the runtime options every operator assumes (UTC session, AQE, skew join)."""
+def configure(spark: SparkSession, short_rows: bool = False) -> SparkSession:
+    """Set the runtime options every operator assumes (UTC session, AQE, skew join).
+
+    ``short_rows`` bounds the share of a task as well, for tables whose rows are many rather than long; without it the
+    session has its own sizes again.
+    """
     for key, value in RUNTIME_CONF.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    own = _own_sizes.setdefault(spark.sparkContext.applicationId, {})
+    for key, value in SHORT_ROWS_CONF.items():
+        now = spark.conf.get(key, None)
+        if short_rows and now != value:
+            own[key] = now
+            spark.conf.set(key, value)
+        elif not short_rows and key in own:
+            before = own.pop(key)
+            if now == value:
+                spark.conf.unset(key) if before is None else spark.conf.set(key, before)
     return spark
 
 
+_own_sizes: dict[str, dict[str, str | None]] = {}
+
+
 def shared_root(spark: SparkSession) -> str:
     """Folder all executors can reach.
 

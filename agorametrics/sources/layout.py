@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 BITS = 8
 FILE_ROWS = 1_000_000
+BUCKET_ROWS = 500_000  # of a table, on average
 
 
 class HotKey(ValueError):
@@ -51,6 +52,12 @@ def write_clustered(df: DataFrame, path: str, columns: list[str], files: int | N
     ordered.drop("_curve").write.mode("overwrite").option("parquet.block.size", row_group).parquet(path)
 
 
+def bucket_count(*tables: DataFrame, least: int = 8) -> int:
+    """Buckets for tables that are joined with each other: as many as the longest one asks for, since a bucket is one task. Pass
+    stored tables, whose rows are counted from file footers."""
+    return max(least, *[-(-t.count() // BUCKET_ROWS) for t in tables])
+
+
 def write_bucketed(df: DataFrame, path: str, name: str, keys: list[str], buckets: int, most: float = 4.0) -> DataFrame:
     """A table in hash buckets of ``keys``, each one sorted file: joins and aggregations on the keys need no shuffle
     between tables of as many buckets. A bucket is one task, so a key with more than ``most`` times a bucket's

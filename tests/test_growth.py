@@ -8,8 +8,9 @@ from agorametrics.operators import topics as TP
 from agorametrics.plans import catalog
 from agorametrics.plans import ingest_queries as Q
 from agorametrics.plans.fixtures import Fixtures
-from agorametrics.session import shared_dir
+from agorametrics.session import configure, shared_dir
 from agorametrics.sources import csv_export as C
+from agorametrics.sources import layout as LY
 from agorametrics.sources.keyed import KeyedTable
 
 SF = "/root/testdata/sf0.001"
@@ -71,3 +72,24 @@ def test_topics_are_fitted_to_stored_counts(table):
     plan = assigned._jdf.queryExecution().optimizedPlan().toString().lower()
     assert "regexp_replace" not in plan and "udf" not in plan
     assert assigned.count() == 40 and keywords.count() == 2
+
+
+def test_a_task_holds_a_bounded_share_of_short_rows(spark):
+    fx = Fixtures(spark, SF)
+    plan = fx["fx_snapshots"]._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(l_orderkey" in plan and ", 600)" in plan
+    read = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    configure(spark)  # long texts: the session's own sizes again
+    own = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    assert (read, own != read) == ("8m", True)
+    assert configure(spark).conf.get("spark.sql.files.maxPartitionBytes") == own
+
+
+def test_buckets_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(LY, "BUCKET_ROWS", 300)
+    dealt, plain = [], LY.write_bucketed
+    monkeypatch.setattr(LY, "write_bucketed", lambda df, path, name, keys, n: dealt.append(n) or plain(df, path, name, keys, n))
+    got = catalog.QUERIES["bucketed_snapshot_join"](spark, SF)
+    n = spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey", "l_shipdate").distinct().count()
+    assert dealt == [-(-n // 300)] * 2 and dealt[0] > 8
+    assert got.count() == catalog.QUERIES["latest_snapshot_join"](spark, SF).count()
