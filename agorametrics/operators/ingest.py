@@ -165,17 +165,26 @@ def stage_posts(staged: DataFrame, accounts: DataFrame, as_of) -> DataFrame:
     }).drop("reject_reason")
 
 
-def stage_metrics(staged: DataFrame, accounts: DataFrame, posts: DataFrame, as_of) -> DataFrame:
-    """Gate and resolve staged snapshots; ``reason`` is null on those to store."""
-    gated = reach_anomaly_flag(metric_quality_gate(staged, as_of))
-    resolved = resolve_posts(resolve_accounts(gated, accounts), posts)
+def post_names(accounts: DataFrame, posts: DataFrame, named: DataFrame) -> DataFrame:
+    """Add ``account_id`` and ``post_id`` to distinct names of posts (platform, account_external_id, post_external_id): what
+    rows that name a post many times are joined with once."""
+    return resolve_posts(resolve_accounts(named, accounts), posts)
+
+
+def metrics_of(resolved: DataFrame, as_of) -> DataFrame:
+    """Gate snapshots whose ids are resolved; ``reason`` is null on those to store."""
+    gated = reach_anomaly_flag(metric_quality_gate(resolved, as_of))
     reason = F.coalesce("reject_reason", F.when(F.col("post_id").isNull(), "unknown_post"))
-    return resolved.withColumn("reason", reason).drop("reject_reason")
+    return gated.withColumn("reason", reason).drop("reject_reason")
 
 
-def stage_comments(staged: DataFrame, accounts: DataFrame, posts: DataFrame) -> DataFrame:
-    """Resolve staged comments and hash their authors; raw author ids go no further."""
-    resolved = resolve_posts(resolve_accounts(staged, accounts), posts)
+def stage_metrics(staged: DataFrame, accounts: DataFrame, posts: DataFrame, as_of) -> DataFrame:
+    """Resolve and gate staged snapshots; ``reason`` is null on those to store."""
+    return metrics_of(resolve_posts(resolve_accounts(staged, accounts), posts), as_of)
+
+
+def comments_of(resolved: DataFrame) -> DataFrame:
+    """Hash the authors of comments whose ids are resolved; raw author ids go no further."""
     return resolved.withColumns({
         "author_hash": X.author_hash(F.col("author_external_id")),
         "reason": F.when(F.col("post_id").isNull(), "unknown_post"),
@@ -183,6 +192,11 @@ def stage_comments(staged: DataFrame, accounts: DataFrame, posts: DataFrame) ->
     }).drop("author_external_id")
 
 
+def stage_comments(staged: DataFrame, accounts: DataFrame, posts: DataFrame) -> DataFrame:
+    """Resolve staged comments and hash their authors."""
+    return comments_of(resolve_posts(resolve_accounts(staged, accounts), posts))
+
+
 def normalize_and_store(batch: dict[str, DataFrame], tables: dict[str, DataFrame], as_of,
                         keep=lambda df, name: df) -> tuple[dict[str, DataFrame], DataFrame]:
     """Store a staged batch: accounts, then posts, then snapshots and comments, each resolving ids

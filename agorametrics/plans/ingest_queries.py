@@ -439,6 +439,7 @@ def _(fx):
 
 
 def _batch(fx) -> dict[str, DataFrame]:
+    fx.keep("stg_metrics")  # the batch reads it twice
     frames = {"accounts": fx["stg_accounts"].drop("account_id"), "posts": fx["stg_posts"], "metrics": fx.sql(_METRIC_BATCH),
               "comments": fx["stg_comments"]}
     return {name: materialize(df, f"batch-{name}") for name, df in frames.items()}
@@ -525,6 +526,7 @@ def _(fx):
         with_account = owned(df.withColumn("platform", F.lit("facebook")))
         return with_account.withColumn("post_id", I.new_ids(with_account, ["account_id", "post_external_id"]))
 
+    fx.keep("stg_metrics")  # the stored rows and the batch are made of it
     accounts = fx.sql(_OLD_ACCOUNTS)
     posts = owned(fx.sql(_OLD_POSTS)).withColumn("hashtags", F.array(F.lit("#old")))
     comments = of_post(fx.sql(_OLD_COMMENTS))

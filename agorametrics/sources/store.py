@@ -21,30 +21,47 @@ def keyed_tables(path: str) -> dict[str, KeyedTable]:
     return {name: KeyedTable(f"{path}/{name}", keys, tuple(I.UPDATES.get(name, ()))) for name, keys in KEYS.items()}
 
 
+REPORT = "entity string, reason string, n bigint"
+NAMES = ["platform", "account_external_id", "post_external_id"]
+
+
 def store_batch(batch: dict[str, DataFrame], tables: dict[str, KeyedTable], as_of, version: int) -> DataFrame:
     """Store accounts, then posts, then snapshots and comments, each resolving ids of the ones before; the report of
-    stored and skipped rows. The same batch under the same version gives the same tables and report.
+    stored and skipped rows. The same batch under the same version gives the same tables and report: the report is stored
+    last, so a retry of a whole batch reads it, and one of a batch that failed stores what is lacking.
 
     Staged frames carry ``_ord`` and are read several times: pass stored ones (``materialize``). Only table files that may hold a key the batch names are read.
     """
+    spark = batch["accounts"].sparkSession
+    reports = f"{tables['accounts'].path}/reports"
+    spark.createDataFrame([], REPORT).coalesce(1).write.mode("ignore").parquet(f"{reports}/version=-1")
+    done = spark.read.schema(f"{REPORT}, version bigint").parquet(reports).where(F.col("version") == version).drop("version")
+    if done.limit(1).count():
+        return done
     accounts = batch["accounts"].withColumn("account_id", I.new_ids(batch["accounts"], KEYS["accounts"]))
     tables["accounts"].append(accounts, version)
-    named = [batch[n].select("platform", F.col("account_external_id").alias("external_id")) for n in ("posts", "metrics", "comments")]
-    known = materialize(tables["accounts"].lookup(named[0].unionByName(named[1]).unionByName(named[2])), "known-accounts")
+    # a post's name is resolved once, however many snapshots and comments name it
+    named = materialize(batch["metrics"].select(*NAMES).unionByName(batch["comments"].select(*NAMES)).distinct(), "named-posts")
+    owners = batch["posts"].select("platform", "account_external_id").unionByName(named.select("platform", "account_external_id"))
+    known = materialize(tables["accounts"].lookup(owners.withColumnRenamed("account_external_id", "external_id")), "known-accounts")
     posts = materialize(I.stage_posts(batch["posts"], known, as_of), "staged-posts")
     tables["posts"].append(posts.filter(F.col("reason").isNull()), version)
-    asked = [I.resolve_accounts(batch[n], known).select("account_id", F.col("post_external_id").alias("external_id")) for n in ("metrics", "comments")]
-    known_posts = materialize(tables["posts"].lookup(asked[0].unionByName(asked[1])), "known-posts")
-    metrics = I.stage_metrics(batch["metrics"], known, known_posts, as_of)
+    asked = I.resolve_accounts(named, known).select("account_id", F.col("post_external_id").alias("external_id"))
+    known_posts = materialize(tables["posts"].lookup(asked).select("account_id", "external_id", "post_id"), "known-posts")
+    ids = materialize(I.post_names(known, known_posts, named), "post-names")
+    metrics = I.metrics_of(batch["metrics"].join(ids, NAMES, "left"), as_of)
     undated = F.when(F.col("captured_at").isNull(), "missing_capture_time")
     metrics = materialize(metrics.withColumn("reason", F.coalesce("reason", undated)), "staged-metrics")
-    good = metrics.filter(F.col("reason").isNull()).select("post_id", "captured_at", *COUNT_COLUMNS, "_ord")
-    before = tables["snapshots"].lookup(good, before=version)
-    added = materialize(I.insert_new(before, good, KEYS["snapshots"], "_ord").select("post_id", "captured_at"), "added-snapshots")
+    good = metrics.filter(F.col("reason").isNull()).select(*KEYS["snapshots"], *COUNT_COLUMNS, "_ord")
+    before = tables["snapshots"].lookup(good, before=version).select(*KEYS["snapshots"])
+    added = materialize(good.select(*KEYS["snapshots"]).distinct().join(before, list(KEYS["snapshots"]), "left_anti"), "added-snapshots")
     tables["snapshots"].append(good, version)
-    comments = materialize(I.stage_comments(batch["comments"], known, known_posts), "staged-comments")
+    comments = materialize(I.comments_of(batch["comments"].join(ids, NAMES, "left")), "staged-comments")
     tables["comments"].append(comments.filter(F.col("reason").isNull()), version)
-    return report(batch["accounts"], posts, metrics, good, added, comments)
+    # one file: it is there or it isn't
+    report(batch["accounts"], posts, metrics, good, added, comments).select("entity", "reason", "n").coalesce(1).write.mode("overwrite").parquet(
+        f"{reports}/version={version}")
+    return done.sparkSession.read.schema(REPORT).parquet(f"{reports}/version={version}")
 
 
 def report(accounts: DataFrame, posts: DataFrame, metrics: DataFrame, good: DataFrame, added: DataFrame, comments: DataFrame) -> DataFrame:
