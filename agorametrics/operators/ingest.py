@@ -105,12 +105,15 @@ def folded_rows(rows: DataFrame, columns, keys, updates, overwrite_nulls: bool =
 
 
 def insert_new(target: DataFrame, batch: DataFrame, keys, order: str) -> DataFrame:
-    """Batch rows whose key the target lacks, the first per key: what an append-only sink adds."""
+    """Batch rows whose key the target lacks, the first per key: what an append-only sink adds.
+
+    Stored keys leave before rows are compared, so a retry compares none; both steps share one shuffle and one sort by key.
+    """
     keys = list(keys)
     others = [c for c in batch.columns if c not in keys and c != order]
-    first = batch.groupBy(*keys).agg(F.min_by(F.struct(*others), order).alias("_r")).select(
+    new = batch.join(target.select(*keys), keys, "left_anti")
+    return new.groupBy(*keys).agg(F.min_by(F.struct(*others), order).alias("_r")).select(
         *keys, *[F.col(f"_r.{c}").alias(c) for c in others])
-    return first.join(target.select(*keys), keys, "left_anti")
 
 
 # --- id resolution ---------------------------------------------------------------------------

@@ -222,7 +222,7 @@ _LOST = "case when captured_at is null then 'missing_capture_time' when post_id
 def _(fx):
     path = shared_dir(fx.spark, "snapshots")
     columns = ["post_id", "captured_at", *COUNT_COLUMNS]
-    stored = fx.sql(_STORED).select(*columns)
+    stored = materialize(fx.sql(_STORED).select(*columns), "stored-snapshots")  # read several times
     SK.append_snapshots(stored.withColumn("_ord", F.lit(0)), path, unit="month", run="stored")
     for _ in range(2):  # the second is a retry
         SK.append_snapshots(fx.sql(_LINES).select(*columns, "_ord"), path, unit="month", run="lines")

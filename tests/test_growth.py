@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from agorametrics.operators import ingest as I
 from agorametrics.operators import language as L
 from agorametrics.operators import sentiment as S
 from agorametrics.operators import topics as TP
@@ -93,3 +94,11 @@ def test_buckets_grow_with_the_rows(spark, monkeypatch):
     n = spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey", "l_shipdate").distinct().count()
     assert dealt == [-(-n // 300)] * 2 and dealt[0] > 8
     assert got.count() == catalog.QUERIES["latest_snapshot_join"](spark, SF).count()
+
+
+def test_stored_keys_leave_before_rows_are_compared(table):
+    schema = "post_id long, captured_at long, likes long, _ord long"
+    batch, target = table([(1, 1, 5, 2), (2, 1, 7, 1), (2, 1, 8, 0)], schema), table([(1, 1, 3, 0)], schema)
+    new = I.insert_new(target, batch, ["post_id", "captured_at"], "_ord")
+    plan = new._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("Join LeftAnti") and [tuple(r) for r in new.collect()] == [(2, 1, 8)]
