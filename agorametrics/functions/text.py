@@ -126,11 +126,20 @@ def count_chars(text: Column, members: str) -> Column:
     return F.length(F.regexp_replace(text, f"[^{members}]+", ""))
 
 
+_BEFORE_EMOJI = ord(min(vocab.EMOJI_POSITIVE + vocab.EMOJI_NEUTRAL + vocab.EMOJI_NEGATIVE)) - 1
+
+
+def count_emoji(text: Column, members: str) -> Column:
+    """How many of the listed emoji a text has. Characters before the first scored one, nearly all, go by one plain range,
+    which several counts of a projection share."""
+    return count_chars(F.regexp_replace(text, rf"[\x{{0}}-\x{{{_BEFORE_EMOJI:x}}}]+", ""), members)
+
+
 def emoji_polarity(text: Column) -> Column:
     """Mean polarity of the scored emoji, 0 when there is none."""
-    up = count_chars(text, vocab.EMOJI_POSITIVE)
-    flat = count_chars(text, vocab.EMOJI_NEUTRAL)
-    down = count_chars(text, vocab.EMOJI_NEGATIVE)
+    up = count_emoji(text, vocab.EMOJI_POSITIVE)
+    flat = count_emoji(text, vocab.EMOJI_NEUTRAL)
+    down = count_emoji(text, vocab.EMOJI_NEGATIVE)
     n = up + flat + down
     return F.when(n > 0, round_dp((up - down) / n, 4)).otherwise(0.0)
 

@@ -41,7 +41,7 @@ def lexicon_backend() -> Backend:
             return found
 
         def emoji(listed: str) -> Column:
-            return X.count_chars(F.col(text), listed)
+            return X.count_emoji(F.col(text), listed)
 
         counted = df.select(
             "*", (hits(vocab.POSITIVE_WORDS) + emoji(vocab.EMOJI_POSITIVE)).alias("_up"),

@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from agorametrics import vocab
+from agorametrics.functions import text as X
 from agorametrics.operators import ingest as I
 from agorametrics.operators import language as L
 from agorametrics.operators import sentiment as S
@@ -102,3 +104,10 @@ def test_stored_keys_leave_before_rows_are_compared(table):
     new = I.insert_new(target, batch, ["post_id", "captured_at"], "_ord")
     plan = new._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Aggregate") < plan.index("Join LeftAnti") and [tuple(r) for r in new.collect()] == [(2, 1, 8)]
+
+
+def test_emoji_are_counted_among_late_characters_only(spark):
+    rows = [("❤ great ✨✨ 漢字 é", 3, 0), ("plain text", 0, 0), ("😡😡👎 \U0001f9ff ✌", 0, 3), ("", 0, 0), (None, None, None)]
+    df = spark.createDataFrame(rows, "t string, up int, down int")
+    up, down = (X.count_emoji(F.col("t"), m) for m in (vocab.EMOJI_POSITIVE, vocab.EMOJI_NEGATIVE))
+    assert [(r.a, r.b) for r in df.select(up.alias("a"), down.alias("b")).collect()] == [r[1:] for r in rows]
