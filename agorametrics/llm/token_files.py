@@ -23,6 +23,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,6 +33,7 @@ from agorametrics.llm.common import LOWER, lists, packed, pieces, ragged, raw, s
 ROW_GROUP = 16 << 20
 PAGE = 128 << 10
 CACHE = 200_000  # chunks a worker remembers
+PIECE = 4 << 20  # bytes of text that are encoded together
 
 FILE = "doc_id long, part int, offset long, n_tokens int, ids array<int>"
 
@@ -63,17 +65,16 @@ def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.Dict
     low = LOWER[data]
     low[tail & (data <= 0x9E)] += 0x20
     whole, ends = spans(kind != 0, offsets)
-    odd = np.concatenate([[0], np.cumsum(kind == 4)])
-    left = np.flatnonzero(odd[ends] > odd[whole])
+    left = np.unique(np.searchsorted(whole, np.flatnonzero(kind == 4), side="right")) - 1
     kind[ragged(whole[left], ends[left] - whole[left])] = 4
     new = np.empty(data.size, dtype=bool)
     if data.size:
         new[0] = True
         new[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
         new[offsets[(offsets > 0) & (offsets < data.size)]] = True
-    starts = np.flatnonzero(new & (kind != 0))
     first = np.flatnonzero(new)
-    after = np.append(first[1:], data.size)[np.searchsorted(first, starts)]
+    some = kind[first] != 0
+    starts, after = first[some], np.append(first[1:], data.size)[some]
     return starts, packed(low, kind != 0, starts, after).dictionary_encode()
 
 
@@ -88,7 +89,7 @@ class Chunks:
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.bytes = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xE0, 0x100)}
         self.mark = self.full.encode(_MARK, add_special_tokens=False).ids
-        self.known: dict[bytes, int] = {}
+        self.known = pa.array([], pa.binary())
         self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def _together(self, chunks: list[str]) -> list[list[int]]:
@@ -120,19 +121,19 @@ class Chunks:
             found[i] = ids
         return found
 
-    def table(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Number of ids and first place of each chunk in the flat ids, and these."""
-        at = np.fromiter((self.known.get(c, -1) for c in chunks), np.int64, len(chunks))
+    def table(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number of ids and first place of each of the different chunks in the flat ids, and these."""
+        at = pc.fill_null(pc.index_in(chunks, value_set=self.known), -1).to_numpy().astype(np.int64)
         new = np.flatnonzero(at < 0)
-        missing = [chunks[i] for i in new]
-        ids = self.encode(missing)
+        missing = chunks.take(pa.array(new))
+        ids = self.encode(missing.to_pylist())
         size = np.concatenate([self.size, np.fromiter(map(len, ids), np.int64, len(ids))])
         flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.int32)])
         at[new] = self.size.size + np.arange(new.size)
         room = CACHE - self.size.size
-        if room > 0 and missing:
+        if room > 0 and len(missing):
             total = self.size.size + min(room, len(missing))
-            self.known.update(zip(missing, range(self.size.size, total), strict=False))
+            self.known = pa.concat_arrays([self.known, missing[:total - self.size.size]])
             self.size, self.flat = size[:total].copy(), flat[:int(size[:total].sum())].copy()
         return size[at], (np.cumsum(size) - size)[at], flat
 
@@ -149,10 +150,10 @@ def rows(docs: DataFrame, path: str, end: int = 1, doc_id: str = "doc_id", text:
         if path not in _workers:
             _workers[path] = Chunks(path)
         own, part, done = _workers[path], TaskContext.get().partitionId(), 0
-        for batch in pieces(batches):
+        for batch in pieces(batches, most=PIECE):
             data, offsets = raw(batch.column(1))
             starts, chunks = segments(data, offsets)
-            size, first, flat = own.table(chunks.dictionary.to_pylist())
+            size, first, flat = own.table(chunks.dictionary)
             codes = chunks.indices.to_numpy()
             ids = flat[ragged(first[codes], size[codes])]
             upto = np.concatenate([[0], np.cumsum(size[codes])])[np.searchsorted(starts, offsets)]
@@ -199,7 +200,7 @@ def tokens(spark: SparkSession, folder: str, low: int | None = None, high: int |
 def _started(some: DataFrame, files: DataFrame) -> DataFrame:
     totals = files.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # a row a file
     before = totals.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    joined = some.join(before, "part")
+    joined = some.join(F.broadcast(before), "part")  # else all ids are shuffled before their sizes tell
     return joined.select("doc_id", (F.col("base") + F.col("offset")).alias("start"), F.col("n_tokens").cast("long").alias("n_tokens"), *[c for c in some.columns if c == "ids"])
 
 

@@ -131,6 +131,30 @@ def test_token_files_of_nothing(empty, spark, tmp_path):
     assert token_files.checksums(token_files.tokens(spark, str(tmp_path / "t"))).collect() == []
 
 
+def test_token_files_are_read_without_a_shuffle_of_their_ids(docs, spark, tmp_path):
+    token_files.write(docs(prose(3, 50)), str(tmp_path / "t"), WORDS)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # files too large for Spark to send about by itself
+    try:
+        found = token_files.checksums(token_files.tokens(spark, str(tmp_path / "t")))
+        assert found.count() == 50
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_token_file_chunks_beyond_the_remembered_ones(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_files, "CACHE", 5)
+    own, plain = token_files.Chunks(WORDS), Tokenizer.from_file(WORDS)
+    for words in (["one", "two", "three"], ["three", "two", "fourth", "fifth", "sixth"], ["sixth", "one", "seventh"], []):
+        size, first, flat = own.table(pa.array([w.encode() for w in words], pa.binary()))
+        assert [flat[f:f + n].tolist() for f, n in zip(first, size)] == [plain.encode(w, add_special_tokens=False).ids for w in words]
+        assert len(own.known) <= 5 and own.flat.size == own.size.sum()
+
+
 # --- 1: decontamination ----------------------------------------------------------------------
 def split(text):
     return re.findall("[0-9a-z\u0080-\U0010ffff]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
