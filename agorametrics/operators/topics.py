@@ -88,15 +88,16 @@ def list_topics(topics: DataFrame, limit: int = 50, keys=("account_id",)) -> Dat
         "rank", F.col("rank").cast("bigint"))
 
 
-def topic_keywords(assigned: DataFrame, keys=("account_id",), text: str = "text_content", top: int = TOP_KEYWORDS) -> DataFrame:
+def topic_keywords(assigned: DataFrame, keys=("account_id",), text: str = "text_content", top: int = TOP_KEYWORDS,
+                   keep=materialize) -> DataFrame:
     """The ``top`` words of every cluster of a key, by class-based TF-IDF: a word's share of the
     cluster's words, times ln(1 + mean words of a cluster / uses of the word in all clusters of the
-    key). Outliers have no keywords. Ties go by the word."""
+    key). Outliers have no keywords. Ties go by the word. ``keep`` is called on the counts, which several steps read."""
     keys = list(keys)
     words = F.explode(F.regexp_extract_all(F.lower(preprocess_text(F.col(text))), F.lit(r"\p{L}[\p{L}\p{N}]+"), 0)).alias("word")
     used = assigned.filter(F.col("cluster_id") != OUTLIER).select(*keys, "cluster_id", words)
-    # counted before the shuffle; everything after works on the counts
-    counts = used.groupBy(*keys, "cluster_id", "word").agg(F.count(F.lit(1)).alias("n"))
+    # counted before the shuffle; everything after works on the counts, without cleaning the texts again
+    counts = keep(used.groupBy(*keys, "cluster_id", "word").agg(F.count(F.lit(1)).alias("n")), "topic-word-counts")
     sizes = counts.groupBy(*keys, "cluster_id").agg(F.sum("n").alias("size"))
     means = sizes.groupBy(*keys).agg((F.sum("size") / F.count(F.lit(1))).alias("mean"))
     everywhere = counts.groupBy(*keys, "word").agg(F.sum("n").alias("uses"))
@@ -114,12 +115,13 @@ def discover_topics(comments: DataFrame, as_of, window: str, cluster, keep=lambd
 
     Blank texts are left out, comments without a sentiment stay. ``cluster`` gives comments a
     ``cluster_id``, such as the first result of ``fit_topics``. Accounts with too few texts get one row
-    with reason and number. ``keep`` is called on the clustered comments, which several steps read.
+    with reason and number. ``keep`` is called on the clustered comments (``topic-input``) and on their words' counts
+    (``topic-word-counts``, which only the topics need): several steps read either.
     """
     inside = nonblank_text(window_filter(comments, "published_at", as_of, window))
     assigned = keep(cluster(inside), "topic-input")
     usable = usable_clusters(assigned, min_docs=min_docs, min_size=min_size)
-    rolled = topic_rollup(assigned, topic_keywords(assigned), min_docs=min_docs, min_size=min_size)
+    rolled = topic_rollup(assigned, topic_keywords(assigned, keep=keep), min_docs=min_docs, min_size=min_size)
     sizes = usable.select("account_id", "cluster_id", "n_docs").withColumnsRenamed({"account_id": "_a", "cluster_id": "_c"})
     topics = rolled.join(sizes, (F.col("account_id") == F.col("_a")) & F.col("cluster_id").eqNullSafe(F.col("_c"))).drop("_a", "_c")
     linked = assigned.select("comment_id", "account_id")

@@ -506,10 +506,10 @@ _DISCOVERED = f"""assigned as (select * from ({_FEW}) where published_at >= {_T_
   from (select * from weighed qualify row_number() over (partition by account_id, cluster_id order by score desc, word) <= 8) group by 1, 2)"""
 
 
-def _discovered(fx):
+def _discovered(fx, keep_all=materialize):
     keep = lambda df: fx.sql(_FEW).select("comment_id", "account_id", "cluster_id").join(df, ["comment_id", "account_id"])
     comments = fx.sql(_FEW).drop("cluster_id")
-    return TP.discover_topics(comments, EVENTS_AS_OF, "20d", keep, keep=materialize)
+    return TP.discover_topics(comments, EVENTS_AS_OF, "20d", keep, keep=keep_all)
 
 
 @query("discover_topics", f"""with {_DISCOVERED}
@@ -526,7 +526,8 @@ def _(fx):
 @query("discover_topic_links", f"""with {_DISCOVERED} select a.account_id, a.comment_id, t.cluster_id as topic_id
  from assigned a left join topics t on t.account_id = a.account_id and t.cluster_id = a.cluster_id""")
 def _(fx):
-    return _discovered(fx)[1].select("account_id", "comment_id", "topic_id")
+    _, links = _discovered(fx, lambda df, name: materialize(df, name) if name == "topic-input" else df)
+    return links.select("account_id", "comment_id", "topic_id")
 
 
 @query("fit_topics")

@@ -111,3 +111,24 @@ def test_emoji_are_counted_among_late_characters_only(spark):
     df = spark.createDataFrame(rows, "t string, up int, down int")
     up, down = (X.count_emoji(F.col("t"), m) for m in (vocab.EMOJI_POSITIVE, vocab.EMOJI_NEGATIVE))
     assert [(r.a, r.b) for r in df.select(up.alias("a"), down.alias("b")).collect()] == [r[1:] for r in rows]
+
+
+def test_words_of_topics_are_counted_once(table):
+    rows = [(i, i % 2, i % 3, f"harbour food{i % 4} photo{i}") for i in range(60)]
+    assigned = table(rows, "comment_id long, account_id long, cluster_id long, text_content string")
+    found = TP.topic_keywords(assigned, top=2)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan  # texts are cleaned and cut where the counts are stored
+    kept = []
+    lazy = TP.topic_keywords(assigned, top=2, keep=lambda df, name: kept.append(name) or df)
+    assert kept == ["topic-word-counts"] and sorted(map(tuple, found.collect())) == sorted(map(tuple, lazy.collect()))
+
+
+def test_links_of_topics_count_no_words(spark, tmp_path, monkeypatch):
+    from agorametrics.plans import catalog, text_queries
+
+    stored = []
+    real = text_queries.materialize
+    monkeypatch.setattr(text_queries, "materialize", lambda df, name: stored.append(name) or real(df, name))
+    catalog.QUERIES["discover_topic_links"](spark, "/root/testdata/sf0.001")
+    assert stored == ["topic-input"]

@@ -1,4 +1,6 @@
 import hashlib
+import random
+import re
 import unicodedata
 
 import pytest
@@ -138,3 +140,27 @@ def test_numbers(apply):
 def test_local_day(spark):
     df = spark.createDataFrame([("2026-07-05 23:30:00",)], "t string").select(F.col("t").cast("timestamp").alias("t"))
     assert tuple(df.select(T.local_dow(F.col("t")), T.local_hour(F.col("t"))).first()) == (0, 0)
+
+
+def test_cleaning_equals_its_steps(apply):
+    rng = random.Random(5)
+    signs = ["a", "aaa", "  ", " ", "\t", "\x1c", "\x85", "\xa0", "\u1680", "\u2028", "\u3000", "é", "e\u0301", "a\u0323", "\u05ff", "\u0600", "\u0622",
+             "\u0627\u0653", "\u0640", "\u064b", "\u200b", "\u200f", "\ufeff", "\u2066", "😍", "😍😍😍", "http", "ht\u200btp", "://", "s://x.y", "www.", "@", "@é_1", "\n\n\n"]
+    texts = ["".join(rng.choices(signs[:n], k=rng.randint(0, 12))) for n in (9, 16, len(signs)) for _ in range(300)] + [None, "", " "]
+
+    def steps(text, for_model=True):
+        out = X.strip_zero_width(X.nfc(text))
+        out = X.mask_mentions_urls(out) if for_model else out
+        out = F.regexp_replace(X.normalize_arabic(X.collapse_repeats(out)), rf"[{X.WS}]+", " ")
+        return F.coalesce(F.trim(out), F.lit(""))
+
+    assert apply(X.preprocess_text, *texts) == apply(steps, *texts)
+    assert apply(lambda t: X.preprocess_text(t, for_model=False), *texts) == apply(lambda t: steps(t, False), *texts)
+
+
+def test_low_texts_need_no_skipped_step():
+    named = [*X.vocab.ARABIC_FROM, *map(chr, [*range(0x64B, 0x653), 0x670, 0x640, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2066, 0x206A), 0xFEFF])]
+    made = {c for low in map(chr, range(0x600)) for c in unicodedata.normalize("NFC", low)}
+    assert all(ord(c) >= 0x600 and ord(unicodedata.normalize("NFD", c)[0]) >= 0x600 for c in named) and not made & set(named)
+    low, other = re.compile(X._LOW.replace(r"\x{0}", r"\x00").replace(r"\x{5ff}", "\u05ff").replace(r"\z", r"\Z")), "é\n"
+    assert low.match("") and low.match(other) and not any(low.match(other + c) for c in named)
