@@ -218,10 +218,11 @@ class Fixtures:
         # a quoted name is an identifier in ANSI SQL; Spark quotes those with backticks
         return self.spark.sql(re.sub(r' as "([^"]+)"', r" as `\1`", text))
 
-    def keep(self, name: str) -> None:
+    def keep(self, name: str) -> DataFrame:
         """Store a view's rows once; all SQL that names it from now on reads them."""
         if name not in self._kept:
-            self._kept[name] = materialize(self.view(name), name.replace("_", "-"))
+            self._kept[name] = materialize(self.view(name), name.replace("_", "-"), "zstd")
+        return self._kept[name]
 
     def view(self, name: str) -> DataFrame:
         return self._kept[name] if name in self._kept else self.sql(VIEWS[name])

@@ -19,7 +19,7 @@ from agorametrics.plans.post_queries import _CURSORS, _NEGATIVE, ASSIGNED, GATE_
 from agorametrics.plans.registry import isum, query, rd, ts
 from agorametrics.plans.text_queries import _LABEL_MAP, _MAPPED, _ROLLUP, NEGATIVE_ALERTS, _ordered_distinct, scored_sql
 from agorametrics.schemas import COUNT_COLUMNS
-from agorametrics.session import materialize, shared_dir
+from agorametrics.session import materialize, scratch, shared_dir
 from agorametrics.sources import csv_export as C
 from agorametrics.sources import payloads as PL
 from agorametrics.sources import sinks as SK
@@ -435,14 +435,16 @@ _STORED_COLUMNS = {
   having count(*) > count(distinct (post_external_id, captured_at))
  union all select 'comments', coalesce(reason, 'stored'), count(*) from c group by 2""")
 def _(fx):
-    return ST.store_batch(_batch(fx), _store(fx, {}), GATE_AS_OF, 1)
+    with scratch():
+        return ST.store_batch(_batch(fx), _store(fx, {}), GATE_AS_OF, 1)
 
 
 def _batch(fx) -> dict[str, DataFrame]:
-    fx.keep("stg_metrics")  # the batch reads it twice
-    frames = {"accounts": fx["stg_accounts"].drop("account_id"), "posts": fx["stg_posts"], "metrics": fx.sql(_METRIC_BATCH),
-              "comments": fx["stg_comments"]}
-    return {name: materialize(df, f"batch-{name}") for name, df in frames.items()}
+    with scratch() as keep:
+        keep(fx.keep("stg_metrics"))  # the batch reads it twice
+        frames = {"accounts": fx["stg_accounts"].drop("account_id"), "posts": fx["stg_posts"], "comments": fx["stg_comments"]}
+        out = {name: keep(materialize(df, f"batch-{name}", "zstd")) for name, df in frames.items()}
+        return out | {"metrics": fx.sql(_METRIC_BATCH)}  # of stored rows
 
 
 def _store(fx, old: dict[str, DataFrame]) -> dict[str, KeyedTable]:
@@ -451,7 +453,8 @@ def _store(fx, old: dict[str, DataFrame]) -> dict[str, KeyedTable]:
     for name, columns in _STORED_COLUMNS.items():
         tables[name].create(fx.spark, columns)
         if name in old:
-            tables[name].append(old[name].withColumn("_ord", F.lit(0)), 0)
+            with scratch():
+                tables[name].append(old[name].withColumn("_ord", F.lit(0)), 0)
     return tables
 
 
@@ -519,6 +522,19 @@ _STORED_COMMENTS = upsert_sql(
  {_flat_sql('accounts', 'select * from acc')} union all {_flat_sql('posts', 'select * from posts_now')}
  union all {_flat_sql('snapshots', _STORED_SNAPSHOTS)} union all {_flat_sql('comments', _STORED_COMMENTS)}""")
 def _(fx):
+    with scratch():  # what is left are the tables
+        stored = _after_batch(fx)
+    out = None
+    for name, (key, columns) in _TABLES.items():
+        texts = [F.unix_micros(c) if c.endswith("_at") else F.array_join(c, " ") if c == "hashtags" else F.col(c) for c in columns if c != key]
+        part = stored[name].read(fx.spark).select(F.lit(name).alias("entity"), F.col(key).alias("id"),
+                                   F.concat_ws("|", *[F.coalesce(t.cast("string"), F.lit("~")) for t in texts]).alias("content"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _after_batch(fx) -> dict[str, KeyedTable]:
+    """Tables with rows, after a batch and its retry."""
     def owned(df):
         return df.withColumn("account_id", I.new_ids(df, ["platform", "account_external_id"]))
 
@@ -526,7 +542,8 @@ def _(fx):
         with_account = owned(df.withColumn("platform", F.lit("facebook")))
         return with_account.withColumn("post_id", I.new_ids(with_account, ["account_id", "post_external_id"]))
 
-    fx.keep("stg_metrics")  # the stored rows and the batch are made of it
+    with scratch() as keep:
+        keep(fx.keep("stg_metrics"))  # the stored rows and the batch are made of it
     accounts = fx.sql(_OLD_ACCOUNTS)
     posts = owned(fx.sql(_OLD_POSTS)).withColumn("hashtags", F.array(F.lit("#old")))
     comments = of_post(fx.sql(_OLD_COMMENTS))
@@ -541,13 +558,7 @@ def _(fx):
     ST.store_batch(batch, stored, GATE_AS_OF, 1)
     stored["posts"].compact(fx.spark, 2, share=0.0)
     ST.store_batch(batch, stored, GATE_AS_OF, 1)  # a retry, even after the log was folded
-    out = None
-    for name, (key, columns) in _TABLES.items():
-        texts = [F.unix_micros(c) if c.endswith("_at") else F.array_join(c, " ") if c == "hashtags" else F.col(c) for c in columns if c != key]
-        part = stored[name].read(fx.spark).select(F.lit(name).alias("entity"), F.col(key).alias("id"),
-                                   F.concat_ws("|", *[F.coalesce(t.cast("string"), F.lit("~")) for t in texts]).alias("content"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return stored
 
 
 _GIVEN = """select comment_id, language, sentiment, cast(1.0 as double) as sentiment_score, 'given' as model_name, '1' as model_version,

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # All of these can be changed on a running session.
 RUNTIME_CONF = {
@@ -79,32 +82,55 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """Write a frame once to the shared folder and read it back.
 
     For frames several branches of a plan read: the work is not repeated, the lineage is cut, the
-    table outlives lost executors, and each branch scans only the columns it needs.
+    table outlives lost executors, and each branch scans only the columns it needs. ``codec`` is the files' compression,
+    the session's own without it; ids as text take half the space with zstd.
     """
     path = shared_dir(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").options(**({"compression": codec} if codec else {})).parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     if _open:
         _open[-1].append((path, back))
     return back
 
 
+def empty(spark: SparkSession, schema: str | T.StructType) -> DataFrame:
+    """No rows of a schema, in one partition; no Python worker is asked for them."""
+    fields = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in fields]).coalesce(1)
+
+
 _open: list[list[tuple[str, DataFrame]]] = []
 
 
 @contextmanager
 def scratch():
     """Tables that ``materialize`` writes inside the block give their space back at its end, when the
-    block's results must have been written or collected: each becomes an empty table."""
+    block's results must have been written or collected: each becomes an empty table. So do shuffles of the block, unless a
+    variable still holds a frame whose rows were collected. The block's function leaves a table to the block around it."""
     _open.append([])
+
+    def keep(df: DataFrame) -> DataFrame:
+        mine = [x for x in _open[-1] if x[1] is df]
+        _open[-1] = [x for x in _open[-1] if x[1] is not df]
+        if len(_open) > 1:
+            _open[-2].extend(mine)
+        return df
+
     try:
-        yield
+        yield keep
     finally:
-        for path, df in _open.pop():
-            df.sparkSession.createDataFrame([], df.schema).coalesce(1).write.mode("overwrite").option(
-                "partitionOverwriteMode", "static").parquet(path)
+        made = _open.pop()
+        for path, df in made:
+            empty(df.sparkSession, df.schema).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
+        forget_shuffles()
+
 
+def forget_shuffles() -> None:
+    """Spark removes a shuffle's files when the driver's garbage collection finds its plan, which an idle heap puts off: ask for one."""
+    gc.collect()
+    if spark := SparkSession.getActiveSession():
+        spark.sparkContext._jvm.System.gc()

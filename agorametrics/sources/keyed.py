@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from agorametrics.operators.ingest import folded_rows
-from agorametrics.session import materialize
+from agorametrics.session import empty, materialize
 
 PROBES = 5
 CELL = 52  # a hash without these low bits is its cell
@@ -46,6 +46,17 @@ def _may_hold(h: str, bloom: str) -> Column:
     return F.expr(" and ".join(tests))
 
 
+def _pack(c: Column) -> Column:
+    """Text as bytes, half as many where it is an id in hex digits, as shuffles can't pack those; ``_plain`` gives back any text."""
+    short = F.unhex(c)
+    return F.when(F.lower(F.hex(short)) == c, F.concat(F.lit(b"\1"), short)).otherwise(F.concat(F.lit(b"\0"), c.cast("binary")))
+
+
+def _plain(c: Column) -> Column:
+    rest = F.substring(c, 2, 1 << 30)
+    return F.when(F.substring(c, 1, 1) == F.lit(b"\1"), F.lower(F.hex(rest))).otherwise(rest.cast("string"))
+
+
 @dataclass(frozen=True)
 class KeyedTable:
     """A table at ``path``: columns in ``updates`` take the last value of a key, all others keep the first."""
@@ -61,8 +72,8 @@ class KeyedTable:
     def create(self, spark: SparkSession, columns: str | T.StructType) -> KeyedTable:
         """An empty table with these columns; one that is there already stays."""
         schema = columns if isinstance(columns, T.StructType) else T.StructType.fromDDL(columns)
-        spark.createDataFrame([], schema).coalesce(1).write.mode("ignore").parquet(f"{self.path}/columns")
-        spark.createDataFrame([], LOG).coalesce(1).write.mode("ignore").parquet(f"{self.path}/log/version=-1")
+        empty(spark, schema).write.mode("ignore").parquet(f"{self.path}/columns")
+        empty(spark, LOG).write.mode("ignore").parquet(f"{self.path}/log/version=-1")
         return self
 
     def append(self, batch: DataFrame, version: int, order: str = "_ord") -> None:
@@ -80,17 +91,25 @@ class KeyedTable:
         for k in self.keys:
             keyed = keyed & F.col(k).isNotNull()
         columns = self._schema(spark).names
-        at = batch.select(*columns, F.struct(F.col(order).cast("bigint")).alias("_at"))
-        rows = folded_rows(at.filter(keyed), columns, self.keys, self.updates, self.overwrite_nulls)
+        at = self._each(batch.filter(keyed), _pack, F.struct(F.col(order).cast("bigint")).alias("_at"))
+        rows = folded_rows(at, columns, self.keys, self.updates, self.overwrite_nulls)
         self._write(rows.withColumn("_version", F.lit(version).cast("bigint")), version, level, batch.filter(~keyed).select(*columns))
 
+    def _each(self, rows: DataFrame, f, *more: Column | str, columns: list[str] | None = None) -> DataFrame:
+        """The table's columns, or these, with ``f`` of those that are text, and more columns."""
+        text = self._texts(rows.sparkSession)
+        return rows.select(*[f(F.col(c)).alias(c) if c in text else F.col(c) for c in columns or self._schema(rows.sparkSession).names], *more)
+
     def _write(self, rows: DataFrame, version: int, level: int, keyless: DataFrame | None = None, removed: DataFrame | None = None) -> None:
+        """Write packed rows, one a key."""
         spark, folder = rows.sparkSession, f"{self.path}/data/{version}"
-        placed = rows.withColumn("_h", F.xxhash64(*self.keys)).repartitionByRange("_h").sortWithinPartitions("_h")
-        placed.write.mode("overwrite").option("maxRecordsPerFile", self.rows).parquet(f"{folder}/keyed")
+        text = self._texts(spark)
+        placed = rows.withColumn("_h", F.xxhash64(*[_plain(F.col(k)) if k in text else F.col(k) for k in self.keys])).repartitionByRange("_h").sortWithinPartitions("_h")
+        plain = self._each(placed, _plain, "_version", "_h")
+        plain.write.mode("overwrite").option("maxRecordsPerFile", self.rows).option("compression", "zstd").parquet(f"{folder}/keyed")
         listed = self._listed(spark.read.schema(self._stored(spark)).parquet(f"{folder}/keyed"), level)
         if keyless is not None:
-            keyless.write.mode("overwrite").parquet(f"{folder}/keyless")
+            keyless.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/keyless")
             names = spark.read.schema(self._schema(spark)).parquet(f"{folder}/keyless").groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("n"))
             listed = listed.unionByName(names.withColumns({"keyless": F.lit(True), "removed": F.lit(False), "level": F.lit(level)}), allowMissingColumns=True)
         if removed is not None:
@@ -129,6 +148,9 @@ class KeyedTable:
             _schemas[self.path] = spark.read.parquet(f"{self.path}/columns").schema
         return _schemas[self.path]
 
+    def _texts(self, spark: SparkSession) -> set[str]:
+        return {f.name for f in self._schema(spark) if isinstance(f.dataType, T.StringType)}
+
     def _stored(self, spark: SparkSession) -> T.StructType:
         return T.StructType([*self._schema(spark), T.StructField("_version", T.LongType()), T.StructField("_h", T.LongType())])
 
@@ -149,9 +171,10 @@ class KeyedTable:
     def _read(self, spark: SparkSession, names: list[str], schema: T.StructType) -> DataFrame:
         return spark.read.schema(schema).parquet(*names) if names else spark.createDataFrame([], schema)
 
-    def _fold(self, rows: DataFrame, columns: list[str]) -> DataFrame:
-        both = rows.select(*columns, F.struct("_version").alias("_at"))
-        return folded_rows(both, columns, self.keys, self.updates, self.overwrite_nulls, newest="_version")
+    def _fold(self, rows: DataFrame, columns: list[str] | None = None) -> DataFrame:
+        """One packed row a key."""
+        both = self._each(rows, _pack, F.struct("_version").alias("_at"), columns=columns)
+        return folded_rows(both, both.columns[:-1], self.keys, self.updates, self.overwrite_nulls, newest="_version")
 
     def _hits(self, hashes: DataFrame, files: DataFrame) -> DataFrame:
         """_h, file: files that may hold a hash, by range and filter."""
@@ -171,7 +194,7 @@ class KeyedTable:
         keyless = self._read(spark, self._names(files.where("keyless")), self._schema(spark))
         base, met, later = self._parts(spark, files)
         out = self._read(spark, base, stored).select(*columns).unionByName(keyless)
-        return out.unionByName(self._fold(self._read(spark, met + later, stored), columns).select(*columns)) if later else out
+        return out.unionByName(self._each(self._fold(self._read(spark, met + later, stored)), _plain)) if later else out
 
     def _parts(self, spark: SparkSession, files: DataFrame) -> tuple[list[str], list[str], list[str]]:
         """Base files nothing later shares a key with, other base files, files of later versions."""
@@ -183,16 +206,28 @@ class KeyedTable:
         met = self._names(self.possible(hashes, keyed.where("level = 0")))
         return [f for f in base if f not in set(met)], met, later
 
-    def lookup(self, wanted: DataFrame, before: int | None = None) -> DataFrame:
+    def lookup(self, wanted: DataFrame, before: int | None = None, columns: list[str] | None = None) -> DataFrame:
         """The rows of the keys in ``wanted``, which has the key columns; only files that may hold one are read. ``before``:
-        as the table was before a version."""
-        spark, columns = wanted.sparkSession, self._schema(wanted.sparkSession).names
+        as the table was before a version. ``columns``: the keys and what else is asked for, all columns without it."""
+        spark = wanted.sparkSession
         # read twice
-        keys = materialize(wanted.select(*self.keys).distinct(), "wanted-keys")
+        keys = materialize(wanted.select(*self.keys).distinct(), "wanted-keys", "zstd")
         files = self.files(spark, before).where("not keyless")
         names = self._names(self.possible(keys.select(F.xxhash64(*self.keys).alias("_h")), files))
         found = self._read(spark, names, self._stored(spark)).join(keys, list(self.keys), "left_semi")
-        return self._fold(found, columns).select(*columns)
+        return self._each(self._fold(found, columns), _plain, columns=columns)
+
+    def size(self, spark: SparkSession, version: int) -> int:
+        """Keys of a stored version."""
+        return self._log(spark).where(F.col("version") == version).where("not keyless and not removed").agg(F.sum("n").alias("n")).first().n or 0
+
+    def repeated(self, spark: SparkSession, version: int) -> DataFrame:
+        """n: how many keys of a stored version the table held before it. No row but those two sides' keys is read."""
+        own = self._names(self._log(spark).where(F.col("version") == version).where("not keyless and not removed"))
+        rows = self._read(spark, own, self._stored(spark))
+        names = self._names(self.possible(rows.select("_h"), self.files(spark, version).where("not keyless")))
+        held = self._each(self._read(spark, names, self._stored(spark)), _pack, columns=list(self.keys))
+        return self._each(rows, _pack, columns=list(self.keys)).join(held, list(self.keys), "left_semi").agg(F.count(F.lit(1)).alias("n"))
 
     def missing(self, rows: DataFrame) -> DataFrame:
         """The rows whose key the table lacks, or that have none. The filters say which keys it may hold; only files that may
@@ -215,6 +250,6 @@ class KeyedTable:
         if not sizes.get(1) or sizes[1] < share * sizes.get(0, 0):
             return False
         _, met, later = self._parts(spark, files)
-        rows = self._fold(self._read(spark, met + later, self._stored(spark)), self._schema(spark).names)
+        rows = self._fold(self._read(spark, met + later, self._stored(spark)))
         self._write(rows, version, 0, removed=spark.createDataFrame([(f,) for f in met + later], "file string"))
         return True

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from agorametrics.operators import ingest as I
 from agorametrics.schemas import COUNT_COLUMNS
-from agorametrics.session import materialize
+from agorametrics.session import empty, materialize, scratch
 from agorametrics.sources.keyed import KeyedTable
 
 KEYS = {
@@ -31,49 +31,85 @@ def store_batch(batch: dict[str, DataFrame], tables: dict[str, KeyedTable], as_o
     last, so a retry of a whole batch reads it, and one of a batch that failed stores what is lacking.
 
     Staged frames carry ``_ord`` and are read several times: pass stored ones (``materialize``). Only table files that may hold a key the batch names are read.
+    What a step stores for itself and its shuffles go when it ends, so the disk holds the tables and one step's rows.
     """
     spark = batch["accounts"].sparkSession
     reports = f"{tables['accounts'].path}/reports"
-    spark.createDataFrame([], REPORT).coalesce(1).write.mode("ignore").parquet(f"{reports}/version=-1")
+    empty(spark, REPORT).write.mode("ignore").parquet(f"{reports}/version=-1")
     done = spark.read.schema(f"{REPORT}, version bigint").parquet(reports).where(F.col("version") == version).drop("version")
     if done.limit(1).count():
         return done
-    accounts = batch["accounts"].withColumn("account_id", I.new_ids(batch["accounts"], KEYS["accounts"]))
-    tables["accounts"].append(accounts, version)
-    # a post's name is resolved once, however many snapshots and comments name it
-    named = materialize(batch["metrics"].select(*NAMES).unionByName(batch["comments"].select(*NAMES)).distinct(), "named-posts")
-    owners = batch["posts"].select("platform", "account_external_id").unionByName(named.select("platform", "account_external_id"))
-    known = materialize(tables["accounts"].lookup(owners.withColumnRenamed("account_external_id", "external_id")), "known-accounts")
-    posts = materialize(I.stage_posts(batch["posts"], known, as_of), "staged-posts")
+    with scratch():
+        parts = [_stored_accounts(batch, tables, version)]
+        with scratch() as keep:
+            # a post's name is resolved once, however many snapshots and comments name it
+            names = batch["metrics"].select(*NAMES).unionByName(batch["comments"].select(*NAMES)).distinct()
+            named = keep(materialize(names, "named-posts", "zstd"))
+        with scratch() as keep:
+            owners = batch["posts"].select("platform", "account_external_id").unionByName(named.select("platform", "account_external_id"))
+            owners = owners.withColumnRenamed("account_external_id", "external_id")
+            known = keep(materialize(tables["accounts"].lookup(owners, columns=[*KEYS["accounts"], "account_id"]), "known-accounts", "zstd"))
+        with scratch() as keep:
+            parts.append(keep(_stored_posts(batch, tables, known, as_of, version)))
+        with scratch() as keep:
+            asked = I.resolve_accounts(named, known).select("account_id", F.col("post_external_id").alias("external_id"))
+            known_posts = tables["posts"].lookup(asked, columns=[*KEYS["posts"], "post_id"])
+            ids = keep(materialize(I.post_names(known, known_posts, named).select(*NAMES, "post_id"), "post-names", "zstd"))
+        with scratch() as keep:
+            parts.append(keep(_stored_snapshots(batch, tables, ids, as_of, version)))
+        with scratch() as keep:
+            parts.append(keep(_stored_comments(batch, tables, ids, version)))
+        report = parts[0]
+        for part in parts[1:]:
+            report = report.unionByName(part)
+        # one file: it is there or it isn't
+        report.select("entity", "reason", "n").coalesce(1).write.mode("overwrite").parquet(f"{reports}/version={version}")
+    return spark.read.schema(REPORT).parquet(f"{reports}/version={version}")
+
+
+def _counted(df: DataFrame, entity: str, reason: Column) -> DataFrame:
+    """The report's rows of a frame."""
+    return I.skip_report(df.select(F.lit(entity).alias("entity"), reason.alias("reason")))
+
+
+def _stored_accounts(batch: dict[str, DataFrame], tables: dict[str, KeyedTable], version: int) -> DataFrame:
+    with scratch():
+        accounts = batch["accounts"].withColumn("account_id", I.new_ids(batch["accounts"], KEYS["accounts"]))
+        tables["accounts"].append(accounts, version)
+    return _counted(batch["accounts"], "accounts", F.lit("stored"))
+
+
+def _stored_posts(batch: dict[str, DataFrame], tables: dict[str, KeyedTable], known: DataFrame, as_of, version: int) -> DataFrame:
+    posts = I.stage_posts(batch["posts"], known, as_of)
+    posts = materialize(posts.drop("platform", "account_external_id"), "staged-posts", "zstd")
     tables["posts"].append(posts.filter(F.col("reason").isNull()), version)
-    asked = I.resolve_accounts(named, known).select("account_id", F.col("post_external_id").alias("external_id"))
-    known_posts = materialize(tables["posts"].lookup(asked).select("account_id", "external_id", "post_id"), "known-posts")
-    ids = materialize(I.post_names(known, known_posts, named), "post-names")
-    metrics = I.metrics_of(batch["metrics"].join(ids, NAMES, "left"), as_of)
-    undated = F.when(F.col("captured_at").isNull(), "missing_capture_time")
-    metrics = materialize(metrics.withColumn("reason", F.coalesce("reason", undated)), "staged-metrics")
-    good = metrics.filter(F.col("reason").isNull()).select(*KEYS["snapshots"], *COUNT_COLUMNS, "_ord")
-    before = tables["snapshots"].lookup(good, before=version).select(*KEYS["snapshots"])
-    added = materialize(good.select(*KEYS["snapshots"]).distinct().join(before, list(KEYS["snapshots"]), "left_anti"), "added-snapshots")
-    tables["snapshots"].append(good, version)
-    comments = materialize(I.comments_of(batch["comments"].join(ids, NAMES, "left")), "staged-comments")
-    tables["comments"].append(comments.filter(F.col("reason").isNull()), version)
-    # one file: it is there or it isn't
-    report(batch["accounts"], posts, metrics, good, added, comments).select("entity", "reason", "n").coalesce(1).write.mode("overwrite").parquet(
-        f"{reports}/version={version}")
-    return done.sparkSession.read.schema(REPORT).parquet(f"{reports}/version={version}")
+    return materialize(_counted(posts, "posts", F.coalesce("reason", F.lit("stored"))), "posts-report")
 
 
-def report(accounts: DataFrame, posts: DataFrame, metrics: DataFrame, good: DataFrame, added: DataFrame, comments: DataFrame) -> DataFrame:
-    """entity, reason, n of what was stored and what was not."""
+def _stored_snapshots(batch: dict[str, DataFrame], tables: dict[str, KeyedTable], ids: DataFrame, as_of, version: int) -> DataFrame:
+    spark, keys = ids.sparkSession, list(KEYS["snapshots"])
+    with scratch() as keep:
+        metrics = I.metrics_of(batch["metrics"].join(ids, NAMES, "left"), as_of)
+        undated = F.when(F.col("captured_at").isNull(), "missing_capture_time")
+        metrics = metrics.select(*keys, *COUNT_COLUMNS, "_ord", F.coalesce("reason", undated).alias("reason"))
+        metrics = keep(materialize(metrics, "staged-metrics", "zstd"))
+    with scratch():
+        tables["snapshots"].append(metrics.filter(F.col("reason").isNull()), version)
+    # keys are counted where they are stored: once each, and none of them is null
+    n_keys = tables["snapshots"].size(spark, version)
+    added = tables["snapshots"].repeated(spark, version).select((F.lit(n_keys) - F.col("n")).alias("n"))
+    added = materialize(added, "added-snapshots")  # one row
+    n_good = metrics.filter(F.col("reason").isNull()).agg(F.count(F.lit(1)).alias("n"))
+    twice = n_good.unionByName(added.select((-F.col("n")).alias("n"))).agg(F.sum("n").alias("n"))
+    out = _counted(metrics, "metrics", F.col("reason"))
+    for reason, n in (("stored", added), ("duplicate_snapshot", twice)):
+        out = out.unionByName(n.filter(F.col("n") > 0).select(F.lit("metrics").alias("entity"), F.lit(reason).alias("reason"), "n"))
+    return materialize(out, "metrics-report")
 
-    def counted(df: DataFrame, entity: str, reason: Column) -> DataFrame:
-        return df.select(F.lit(entity).alias("entity"), reason.alias("reason"))
 
-    stored = F.lit("stored")
-    kept = I.skip_report(
-        counted(accounts, "accounts", stored), counted(posts, "posts", F.coalesce("reason", stored)), counted(metrics, "metrics", F.col("reason")),
-        counted(added, "metrics", stored), counted(comments, "comments", F.coalesce("reason", stored)))
-    n_good = good.agg(F.count(F.lit(1)).alias("n")).unionByName(added.agg((-F.count(F.lit(1))).alias("n")))
-    duplicates = n_good.agg(F.sum("n").alias("n")).select(F.lit("metrics").alias("entity"), F.lit("duplicate_snapshot").alias("reason"), "n")
-    return kept.unionByName(duplicates.filter(F.col("n") > 0))
+def _stored_comments(batch: dict[str, DataFrame], tables: dict[str, KeyedTable], ids: DataFrame, version: int) -> DataFrame:
+    with scratch() as keep:
+        comments = I.comments_of(batch["comments"].join(ids, NAMES, "left"))
+        comments = keep(materialize(comments.drop(*NAMES), "staged-comments", "zstd"))
+    tables["comments"].append(comments.filter(F.col("reason").isNull()), version)
+    return materialize(_counted(comments, "comments", F.coalesce("reason", F.lit("stored"))), "comments-report")
