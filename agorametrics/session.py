@@ -111,19 +111,18 @@ def scratch():
     """Tables that ``materialize`` writes inside the block give their space back at its end, when the
     block's results must have been written or collected: each becomes an empty table. So do shuffles of the block, unless a
     variable still holds a frame whose rows were collected. The block's function leaves a table to the block around it."""
-    _open.append([])
+    around, made = _open[-1] if _open else [], []
+    _open.append(made)
 
     def keep(df: DataFrame) -> DataFrame:
-        mine = [x for x in _open[-1] if x[1] is df]
-        _open[-1] = [x for x in _open[-1] if x[1] is not df]
-        if len(_open) > 1:
-            _open[-2].extend(mine)
+        around.extend(x for x in made if x[1] is df)
+        made[:] = [x for x in made if x[1] is not df]
         return df
 
     try:
         yield keep
     finally:
-        made = _open.pop()
+        _open.pop()
         for path, df in made:
             empty(df.sparkSession, df.schema).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
         forget_shuffles()

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from agorametrics.operators.ingest import folded_rows
-from agorametrics.session import empty, materialize
+from agorametrics.session import empty, forget_shuffles, materialize
 
 PROBES = 5
 CELL = 52  # a hash without these low bits is its cell
@@ -107,6 +107,7 @@ class KeyedTable:
         placed = rows.withColumn("_h", F.xxhash64(*[_plain(F.col(k)) if k in text else F.col(k) for k in self.keys])).repartitionByRange("_h").sortWithinPartitions("_h")
         plain = self._each(placed, _plain, "_version", "_h")
         plain.write.mode("overwrite").option("maxRecordsPerFile", self.rows).option("compression", "zstd").parquet(f"{folder}/keyed")
+        forget_shuffles()  # before the files' hashes are shuffled
         listed = self._listed(spark.read.schema(self._stored(spark)).parquet(f"{folder}/keyed"), level)
         if keyless is not None:
             keyless.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/keyless")

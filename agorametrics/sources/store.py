@@ -42,16 +42,9 @@ def store_batch(batch: dict[str, DataFrame], tables: dict[str, KeyedTable], as_o
     with scratch():
         parts = [_stored_accounts(batch, tables, version)]
         with scratch() as keep:
-            # a post's name is resolved once, however many snapshots and comments name it
-            names = batch["metrics"].select(*NAMES).unionByName(batch["comments"].select(*NAMES)).distinct()
-            named = keep(materialize(names, "named-posts", "zstd"))
-        with scratch() as keep:
-            owners = batch["posts"].select("platform", "account_external_id").unionByName(named.select("platform", "account_external_id"))
-            owners = owners.withColumnRenamed("account_external_id", "external_id")
-            known = keep(materialize(tables["accounts"].lookup(owners, columns=[*KEYS["accounts"], "account_id"]), "known-accounts", "zstd"))
-        with scratch() as keep:
-            parts.append(keep(_stored_posts(batch, tables, known, as_of, version)))
-        with scratch() as keep:
+            known, named = _names(batch, tables)
+            with scratch() as keep_report:
+                parts.append(keep(keep_report(_stored_posts(batch, tables, known, as_of, version))))
             asked = I.resolve_accounts(named, known).select("account_id", F.col("post_external_id").alias("external_id"))
             known_posts = tables["posts"].lookup(asked, columns=[*KEYS["posts"], "post_id"])
             ids = keep(materialize(I.post_names(known, known_posts, named).select(*NAMES, "post_id"), "post-names", "zstd"))
@@ -67,6 +60,18 @@ def store_batch(batch: dict[str, DataFrame], tables: dict[str, KeyedTable], as_o
     return spark.read.schema(REPORT).parquet(f"{reports}/version={version}")
 
 
+def _names(batch: dict[str, DataFrame], tables: dict[str, KeyedTable]) -> tuple[DataFrame, DataFrame]:
+    """The stored accounts a batch names, and the posts its snapshots and comments name: a post's name is resolved once, however many do."""
+    with scratch() as keep:
+        named = batch["metrics"].select(*NAMES).unionByName(batch["comments"].select(*NAMES)).distinct()
+        named = keep(materialize(named, "named-posts", "zstd"))
+    with scratch() as keep:
+        owners = batch["posts"].select("platform", "account_external_id").unionByName(named.select("platform", "account_external_id"))
+        owners = owners.withColumnRenamed("account_external_id", "external_id")
+        known = tables["accounts"].lookup(owners, columns=[*KEYS["accounts"], "account_id"])
+        return keep(materialize(known, "known-accounts", "zstd")), named
+
+
 def _counted(df: DataFrame, entity: str, reason: Column) -> DataFrame:
     """The report's rows of a frame."""
     return I.skip_report(df.select(F.lit(entity).alias("entity"), reason.alias("reason")))

@@ -70,7 +70,8 @@ def test_a_batch_leaves_its_tables_alone_on_disk(spark):
 def test_a_block_can_leave_a_table_to_the_one_around(spark):
     with scratch():
         with scratch() as keep:
-            inner, left = materialize(spark.range(5), "inner"), keep(materialize(spark.range(7), "left"))
+            with scratch() as keep_inside:
+                inner, left = materialize(spark.range(5), "inner"), keep(keep_inside(materialize(spark.range(7), "left")))
         path = inner.inputFiles()[0].rsplit("/", 1)[0]
         assert (spark.read.parquet(path).count(), left.count()) == (0, 7)
         path = left.inputFiles()[0].rsplit("/", 1)[0]
